@@ -114,7 +114,6 @@ def _apply(docs: DataFrame, prefixes: dict, windows: dict, name: str) -> DataFra
     return docs.withColumn(name, F.pandas_udf(find, _HITS)(F.col("text")))
 
 
-@F.pandas_udf(_FOUND)
 def _summary(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
     rows = []
     for found, names in zip(spans, items):
@@ -135,7 +134,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         names = ["__block0"]
     spans = F.flatten(F.array(*[F.col(f"{n}.spans") for n in names]))
     found = F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names])))
-    marked = marked.withColumn("__found", _summary(spans, found))
+    marked = marked.withColumn("__found", F.pandas_udf(_summary, _FOUND)(spans, found))
     hit, words = F.col("__found.n_hit"), F.col("__block0.n_words")
     return marked.select(
         *docs.columns, words.alias("n_words"), hit.alias("n_hit"), F.col("__found.n_items").alias("n_items"),

@@ -70,7 +70,7 @@ def _points(parts: list[tuple], ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     gaps = np.diff(points, prepend=0)
     for k in np.flatnonzero(gaps > LENGTH)[::-1]:
         extra = np.arange(points[k] - gaps[k] + LENGTH, points[k], LENGTH)
-        points, penalties = np.insert(points, k, extra), np.insert(penalties, k, WORD_PENALTY)
+        points, penalties = np.insert(points, k, extra), np.insert(penalties, k, np.full(len(extra), WORD_PENALTY))
     return points, penalties
 
 

@@ -54,7 +54,6 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
 def _fingerprints(texts: pd.Series) -> pd.Series:
     values = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts))
     return pd.Series(values.view(np.int64))
@@ -161,7 +160,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) and component_id (the smallest doc_id reachable) of every row."""
-    marked = cut(docs.select("doc_id", _fingerprints("text").alias("fp")))
+    marked = cut(docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp")))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(near_links(distinct.select("fp")))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select(

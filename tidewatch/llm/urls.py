@@ -53,6 +53,15 @@ def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, list]]) -> l
     return best
 
 
+def _matcher(shared):
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for hosts, paths in batches:
+            found = sweep([reversed_key(h) for h in hosts], paths.tolist(), shared.value)
+            yield pd.DataFrame([f or (None, None, None) for f in found], columns=["rule", "verdict", "size"]).astype({"size": "Int32"})
+
+    return match
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """All columns of pages, host, path, rule and verdict; rules are (verdict, host, path)."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
@@ -67,13 +76,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
             grouped.setdefault(reversed_key(rule_host), []).append((len(name), rule_path, name, verdict))
         shared = pages.sparkSession.sparkContext.broadcast(sorted(grouped.items()))
 
-        def match(batches: Iterator[tuple[pd.Series, pd.Series]], shared=shared) -> Iterator[pd.DataFrame]:
-            for hosts, paths in batches:
-                found = sweep([reversed_key(h) for h in hosts], paths.tolist(), shared.value)
-                yield pd.DataFrame([f or (None, None, None) for f in found], columns=["rule", "verdict", "size"]).astype({"size": "Int32"})
-
         names.append(f"__best{len(names)}")
-        judged = judged.withColumn(names[-1], F.pandas_udf(match, _BEST)(F.col("__host"), F.col("__path")))
+        judged = judged.withColumn(names[-1], F.pandas_udf(_matcher(shared), _BEST)(F.col("__host"), F.col("__path")))
     own = F.when(F.col("__host").rlike(SPAM), "block").otherwise("allow")
     best = F.array_max(F.array(*[F.struct(F.coalesce(F.col(f"{n}.size"), F.lit(-1)).alias("size"), F.col(f"{n}.rule").alias("rule"),
                                           F.col(f"{n}.verdict").alias("verdict")) for n in names])) if names else None
