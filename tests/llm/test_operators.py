@@ -1,0 +1,256 @@
+"""Training-data operators against brute force on small tables with nulls, empty, long, repeated and tied rows."""
+
+import hashlib
+import re
+import zlib
+
+import duckdb
+import pandas as pd
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidewatch.llm import (
+    decontamination, fingerprints, html, licenses, packing, pii, simhash, toxicity, urls, warc)
+
+DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, source string, n int, fp long, words int, score double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(80).collect()]
+    odd = [
+        None, "", " \n\t ", "one", "under the MIT license", "cc by nc cc by nc", "word " * 30_000, real[3][1], real[3][1] + " more",
+        "Mail a.b@c.de, +49 30 1234567 89, 4111 1111 1111 1111, 10.0.0.256 and 10.0.0.1. token = \"7c72db563d7f6e50cec0\"",
+        "1.2.3.4.5.6.7.8 @@x@y.z @ a@b a@b.c", "9" * 20_000, "a" * 50_000, "İstanbul ÄÖ é 😀 under the mit license 😀",
+        "apache license version 2.0 Licensed under the Apache License, Version 2.0 all rights reserved",
+    ]
+    rows = real + [(1000 + i, t) for i, t in enumerate(odd)]
+    return spark.createDataFrame([(i, t, "s", 1, 2, 3, 0.5) for i, t in rows], SCHEMA).repartition(3).cache()
+
+
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+
+
+def test_simhash(docs):
+    def brute(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        grams = [" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+    expected = {i: brute(t) for i, t in texts(docs).items()}
+    ids = sorted(expected)
+    group = {i: i for i in ids}
+    for _ in ids:
+        changed = False
+        for a in ids:
+            for b in ids:
+                if (expected[a] ^ expected[b]).bit_count() <= 4 and group[b] > group[a]:
+                    group[b], changed = group[a], True
+        if not changed:
+            break
+    found = {r["doc_id"]: (r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.group_near_duplicates(docs).collect()}
+    assert found == {i: (expected[i], group[i]) for i in ids}
+
+
+def test_simhash_links_span_components_in_split_shards(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 10)
+    values = [(k * 0x9E3779B97F4A7C15 & (2**63 - 1)) ^ (1 << b) for k in range(6) for b in range(0, 60, 4)]
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in set(values)], "fp long"))
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert len({roots.get(v, v) for v in values}) == 6
+
+
+def test_decontamination(spark, docs):
+    real = texts(docs)
+    items = [(1, " ".join(real[0].split()[:20])), (2, "one"), (3, None), (4, "!!"), (5, " ".join(real[3].split()[4:17])), (5, "one")]
+    found = {r["doc_id"]: r for r in decontamination.mark_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    form = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def words(text):
+        return form.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+    for doc_id, text in real.items():
+        w, hit, names = words(text), set(), set()
+        for item, it in items:
+            iw = words(it)
+            n = min(13, len(iw))
+            windows = {tuple(iw[i:i + n]) for i in range(len(iw) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1 if n else 0):
+                if tuple(w[i:i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    names.add(str(item))
+        r = found[doc_id]
+        assert (r["n_words"], r["n_hit"], r["n_items"]) == (len(w), len(hit), len(names))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
+
+
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    once = sorted(map(tuple, decontamination.mark_contamination(docs.select("doc_id", "text"), items).drop("text").collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 400)
+    assert once == sorted(map(tuple, decontamination.mark_contamination(docs.select("doc_id", "text"), items).drop("text").collect()))
+
+
+def test_pii_base_spans(docs):
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    for text in texts(docs).values():
+        if text is None or len(text) > 15_000:
+            continue
+        digits = lambda m: re.sub("[^0-9]", "", m.group())
+        expected = [("email", *m.span()) for m in email.finditer(text)]
+        expected += [("ip", *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        expected += [("card", *m.span()) for m in card.finditer(text) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        expected += [("phone", *m.span()) for m in phone.finditer(text) if 9 <= len(digits(m)) <= 15]
+        assert pii.base_spans(text) == expected
+
+
+def test_pii_selects_secrets_and_redacts(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fitted = pii.fit(corpus)
+    text = "ask a@b.de about token = \"7c72db563d7f6e50cec00950f7bab1f2223b6afd\" now"
+    row = pii.redact(spark.createDataFrame([(1, text, 9)], "doc_id long, text string, pii_base int"), fitted).first()
+    assert "a@b.de" not in row["text"] and "7c72db" not in row["text"] and row["pii_base"] == 9
+    assert pii.redact(spark.createDataFrame([(1, None)], "doc_id long, text string"), fitted).first()["text"] is None
+
+
+def test_fingerprints(spark, docs):
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_with_edits(docs).collect()}
+    real = {i: t or "" for i, t in texts(docs).items()}
+    order = sorted(real, reverse=True)
+    shingles = lambda t: {tuple(w[i:i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))}
+    errors = []
+    for k, i in enumerate(order):
+        text, following = real[i], real[order[(k + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[:half]
+        r = found[i]
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = shingles(text), shingles(edited)
+        if len(text.split()) >= 40:
+            errors.append(abs(r["near_edited"] - len(a & b) / len(a | b)))
+        assert len(r["fingerprint"]) == 256
+    assert sum(errors) / len(errors) < 0.05 and max(errors) < 0.25
+    assert found[3]["fingerprint"] == found[1007]["fingerprint"] and found[1000]["fingerprint"] == found[1001]["fingerprint"]
+    assert fingerprints.fingerprint_with_edits(docs.limit(0)).count() == 0
+
+
+def test_licenses(docs):
+    form = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for r in licenses.scan_licenses(docs).collect():
+        w = form.findall((r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
+        places = sorted((i, label) for p, label in licenses.BASE.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split())
+        assert (r["n_words"], r["n_base"]) == (len(w), len(places))
+        assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+        assert r["base_labels"] == ",".join(sorted({label for _, label in places}))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert len(licenses.rules()) > 200
+
+
+def test_packing(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in texts(docs).items()}
+    pieces = pd.DataFrame([r.asDict() for r in packing.pack(docs).collect()])
+    for doc_id, group in pieces.sort_values("start").groupby("doc_id"):
+        at = 0
+        for p in group.itertuples():
+            assert p.start == at and p.doc_tokens == len(ids[doc_id])
+            assert p.ids_crc32 == zlib.crc32(b"".join(v.to_bytes(4, "little") for v in ids[doc_id][at:at + p.length]))
+            at += p.length
+        assert at == len(ids[doc_id])
+    sizes = pieces.groupby("sequence_id")["length"].sum()
+    assert sizes.max() <= 2048 and set(pieces["doc_id"]) == set(ids)
+    padded = sum(2048 - n for n in sizes if n & (n - 1))
+    assert padded < 0.02 * sizes.sum()
+    for _, group in pieces.sort_values("offset").groupby("sequence_id"):
+        assert group["offset"].tolist() == [0, *group["length"].cumsum().tolist()[:-1]]
+
+
+def test_urls(spark):
+    values = [None, "", "x.net/a", "http://a.net", "http://a.NET/", "https://b.example.net/en/x?q", "http://example.com/de/", "http://notexample.com/de/x",
+              "http://x.org/fr/#a", "http://x.org/frx", "ftp://:///", "http://spam-farm.example.org/en", "http://net/"]
+    found = urls.judge_urls(spark.createDataFrame([(i, v, "r") for i, v in enumerate(values)], "page_id long, url string, other string"))
+    pages = pd.DataFrame({"page_id": range(len(values)), "url": values})
+    expected = duckdb.sql(urls.OP9_SQL).df()
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    clean = lambda df: [tuple(None if pd.isna(v) else v for v in r) for r in df[columns].sort_values("page_id").itertuples(index=False)]
+    assert len(pages) and clean(found.toPandas()) == clean(expected)
+    assert urls.judge_urls(spark.createDataFrame([(1, "http://a.de/")], "page_id long, url string"), []).first()["verdict"] == "allow"
+
+
+def test_html():
+    page = (
+        "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><li>menu</li></nav><!-- x -->"
+        "<div class='ad'>buy</div><article><h1>Head &amp; more</h1><p><b>First<br><p>Second\n line</p><div class='comments'>no</div></article><footer>f</footer></body>")
+    assert html.main_text(page, set()) == "Head & more\nFirst\nSecond line"
+    assert html.main_text(None, set()) == "" == html.main_text("", set())
+    assert html.main_text("<body><div id='sidebar'>s</div><p>only</p><p>frame</p><form>f</form>", {"frame"}) == "only"
+    wrapper = html.infer_wrapper([f"<body><p>Our site</p><h1>{t}</h1></body>" for t in ("a", "b", "c")])
+    assert ["#", "Our site"] in wrapper and ["#", None] in wrapper
+
+
+def test_html_on_pages(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").union(spark.createDataFrame([(9999, None, None)], "page_id long, url string, html string"))
+    rows = {r["page_id"]: r for r in html.extract_text(pages).collect()}
+    assert rows[9999]["text"] == "" and len(rows) == pages.count()
+    for page_id, r in rows.items():
+        if page_id != 9999:
+            article = re.search(r"(?s)<article>(.*?)</article>", r["html"]).group(1)
+            plain = re.sub(r"\s+", "", re.sub(r"<[^>]*>", "", article))
+            import html as entities
+
+            assert re.sub(r"\s+", "", r["text"]) == re.sub(r"\s+", "", entities.unescape(plain))
+
+
+def test_warc(spark):
+    rows = [
+        (1, "response", "http://a.de/x", 10, "d1", {"ETag": "e1", "Server": "s", "Date": "1"}),
+        (2, "revisit", "https://www.A.de:443/x/#f", 7500, "d1", {"Date": "2", "Server": "t"}),
+        (3, "revisit", "http://a.de/x", 5, "d1", {}), (4, "revisit", "http://a.de/x", 20, "d9", {"ETag": "e1"}),
+        (5, "revisit", "http://a.de/x", 20, None, {"ETag": "e1"}), (6, "revisit", None, None, None, None), (7, "response", "http://a.de/x", 8000, "d2", None)]
+    found = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(
+        rows, "record_id long, type string, url string, time long, digest string, headers map<string,string>")).collect()}
+    assert found[2]["resolved_id"] == 1 and found[2]["merged_headers"] == {"etag": "e1", "server": "s", "date": "2"}
+    assert [found[i]["resolved_id"] for i in (3, 4, 5, 6, 7)] == [None, None, 1, None, None]
+
+
+def test_warc_matches_sql(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").toPandas()
+    expected = sorted(map(str, (tuple(None if pd.isna(v) else str(v) if isinstance(v, str) else int(v) for v in r)
+                                for r in duckdb.sql(warc.OP3_SQL).df()[["record_id", "resolved_id", "etag"]].itertuples(index=False))))
+    found = sorted(map(str, (tuple(r) for r in warc.op3_warc(spark, DIR).select("record_id", "resolved_id", "etag").collect())))
+    assert len(pages) and found == expected
+
+
+def test_toxicity(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxicity.op10_toxicity(spark, folder).join(labels, "doc_id").where("held_out").toPandas()
+    right = ((found["predicted"] == 1) & (found["toxic"] == 1)).sum()
+    assert right / max(1, (found["predicted"] == 1).sum()) > 0.9 and right / (found["toxic"] == 1).sum() > 0.8
+
+
+def test_deobfuscation(spark):
+    rows = [(i, "the idiot and the moron are stupid people of the town", None) for i in range(300)]
+    model = toxicity.character_model(spark.createDataFrame(rows, "doc_id long, text string, x int"))
+    restorer = toxicity.Restorer(model)
+    assert "idiot" in restorer.words("an 1d10t here") and "moron" in restorer.words("m.o.r.o.n")
+    assert "stupid" in restorer.words("s t u p i d") and "idiot" in restorer.words("iiiidiooot")
+    assert restorer.words(None) == [] == restorer.words("")
+
+
+def test_empty_tables(docs):
+    none = docs.limit(0)
+    assert simhash.group_near_duplicates(none).count() == 0 and packing.pack(none).count() == 0
+    assert pii.find_pii(none, pii.fit(none)).count() == 0 and licenses.scan_licenses(none).count() == 0
+    fitted = toxicity.fit(none, none.select("doc_id", F.lit(1).alias("toxic")))
+    assert toxicity.score_toxicity(docs, fitted).where("score > 0.01").count() == 0
