@@ -120,6 +120,16 @@ def market_summary(cmp: DataFrame) -> DataFrame:
         central.alias("value"), F.avg("reference").alias("reference"), F.nullif(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def liquidity_stress(cmp: DataFrame) -> DataFrame:
+    """z of the spread plus z of volatility less z of depth, per bucket, symbol and date; null where one is missing."""
+
+    def z(metric: str):
+        return F.max(F.when(F.col("metric_name") == metric, F.col("z")))
+
+    stress = z("quoted_spread_bps") + z("parkinson_volatility_bps") - z("top_of_book_depth")
+    return cmp.groupBy("time_bucket", "sym", "date").agg(stress.alias("stress"))
+
+
 def group_deltas(current: DataFrame, reference: DataFrame, by: str, n: int = 12) -> DataFrame:
     """Current mean per group against the reference mean of daily means, by size of the difference."""
     cur = current.groupBy("metric_name", by).agg(F.avg("value").alias("current"))

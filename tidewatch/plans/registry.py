@@ -117,7 +117,6 @@ def _compared(load, robust: bool = True) -> DataFrame:
     return compare.compare(obs.where(F.col("date") >= TARGET), obs.where(F.col("date") < TARGET), robust=robust)
 
 
-_CMP = ["value", "reference", "z", "percentile", "empirical_tail", "tail", "change_abs", "change_pct"]
 _CMP_SQL = ("SELECT metric_name, time_bucket, sym, date, n, round(value, 6) AS value, round(reference, 6) AS reference, round(z, 6) AS z, "
             "round(CASE WHEN n >= 10 THEN below END, 6) AS percentile, round(empirical_tail, 6) AS empirical_tail, round(tail, 6) AS tail, "
             "round(change_abs, 6) AS change_abs, round(change_pct, 6) AS change_pct, confidence, status FROM cmp")
@@ -395,6 +394,18 @@ def intraday_profile(load):
     return _rounded(trends.intraday_profile(_obs(load)))
 
 
+@_register("symbol_anchor", "SELECT DISTINCT sym, 'symbol-' || lower(sym) || '-' || substr(sha1(sym), 1, 8) AS anchor FROM ticks")
+def symbol_anchors(load):
+    return load("ticks").select("sym").distinct().select("sym", symbol_anchor(F.col("sym")).alias("anchor"))
+
+
+@_register("liquidity_stress", """SELECT time_bucket, sym, date, round(max(CASE WHEN metric_name = 'quoted_spread_bps' THEN z END)
+    + max(CASE WHEN metric_name = 'parkinson_volatility_bps' THEN z END) - max(CASE WHEN metric_name = 'top_of_book_depth' THEN z END), 6) AS stress
+    FROM cmp GROUP BY time_bucket, sym, date""")
+def liquidity_stress(load):
+    return _rounded(compare.liquidity_stress(_compared(load)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
