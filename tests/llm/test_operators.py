@@ -175,6 +175,18 @@ def test_packing(docs):
         assert group["offset"].tolist() == [0, *group["length"].cumsum().tolist()[:-1]]
 
 
+def test_packing_encodes_pieces_as_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    odd = ["don't x\x1c'll É ﬁ ΑΣ Σ İ a\u200db \x85 c, é, 'x',", "it's\x0b'S x́ ́a a,b,, a., ).", "<|startoftext|>a <|endoftext|>", " \n", "", "a\xa0b\u3000c,",
+           "日本語 テスト123abc_--'re,", "a;;, ; ., , ,, ,a don't. don't's, 1, 2,3"]
+    encoder = packing.Encoder(t)
+    for texts_ in (odd, odd[::-1], odd[:3]):
+        assert [e.tolist() for e in encoder.encode(texts_)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts_]
+
+
 def test_urls(spark):
     values = [None, "", "x.net/a", "http://a.net", "http://a.NET/", "https://b.example.net/en/x?q", "http://example.com/de/", "http://notexample.com/de/x",
               "http://x.org/fr/#a", "http://x.org/frx", "ftp://:///", "http://spam-farm.example.org/en", "http://net/"]

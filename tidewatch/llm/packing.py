@@ -17,6 +17,7 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,16 +42,16 @@ _PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 def choose_cuts(points: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """Cheapest increasing cuts among points (the last is always one), windows at most length wide."""
     places = [0, *points.tolist()]
-    costs, back = [0.0] * len(places), [0] * len(places)
+    # least cost up to each place, with the place itself added: the padding of a window then needs no difference
+    keys, back = [0] * len(places), [0] * len(places)
     queue: deque[int] = deque([0])
-    for i in range(1, len(places)):
-        while places[i] - places[queue[0]] > length:
+    for i, penalty in enumerate(penalties.tolist(), 1):
+        reach = places[i] - length
+        while places[queue[0]] < reach:
             queue.popleft()
-        j = queue[0]
-        costs[i] = costs[j] + length - (places[i] - places[j]) + float(penalties[i - 1])
-        back[i] = j
-        key = costs[i] + places[i]
-        while queue and costs[queue[-1]] + places[queue[-1]] >= key:
+        back[i] = queue[0]
+        keys[i] = key = keys[queue[0]] + length + penalty
+        while queue and keys[queue[-1]] >= key:
             queue.pop()
         queue.append(i)
     cuts, i = [], len(places) - 1
@@ -61,10 +62,10 @@ def choose_cuts(points: np.ndarray, penalties: np.ndarray, length: int = LENGTH)
 
 
 def _points(parts: list[tuple], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cut points of a buffer of (doc_id, ids, start, total) and their penalties."""
+    """Cut points of a buffer of (doc_id, ids, start, total) and their penalties; ends tells of each id whether it ends a sentence."""
     points, penalties, at = [], [], 0
     for _, ids, _, _ in parts:
-        inner = np.flatnonzero(np.isin(ids[:-1], ends)) + 1
+        inner = np.flatnonzero(ends[ids[:-1]]) + 1
         points.append(np.append(inner, len(ids)) + at)
         penalties.append(np.append(np.full(len(inner), SENTENCE_PENALTY), 0))
         at += len(ids)
@@ -85,6 +86,57 @@ def _binary(total: int) -> list[int]:
     return cuts
 
 
+class Encoder:
+    """Ids of whole texts, exactly as the tokenizer gives them, encoding each distinct piece between ASCII blanks once.
+
+    No token of this tokenizer crosses a blank, so a text's ids are those of its pieces. Pieces not yet in the table
+    are encoded together, set apart by a comma; pieces with commas of their own are encoded by themselves, those
+    that merely end in stops by their stem and stops. The table is emptied when it is full.
+    """
+
+    STOPS = b".,!?;:"
+    KNOWN = 500_000
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer, self.known = tokenizer, {}
+        self.comma = self._alone([","])[0]
+
+    def _alone(self, texts: list[str]) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.array([i for e in found for i in e.ids], dtype=np.uint32)
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        known, stems, ended = self.known, set(), []
+        for piece in pieces:
+            stem = piece.rstrip(self.STOPS)
+            if len(stem) < len(piece) and stem[-1:].isalnum():
+                stops = piece[len(stem):]
+                ended.append((piece, stem, stops))
+                stems.update(s for s in (stem, stops) if s not in known)
+            else:
+                stems.add(piece)
+        joined = [s for s in stems if b"," not in s]
+        ids = self._alone([b" , ".join(joined).decode("utf-8")])
+        marks = [-1, *np.flatnonzero(ids == self.comma).tolist(), len(ids)]
+        ids = ids.tobytes()
+        known.update((s, ids[4 * a + 4:4 * b]) for s, a, b in zip(joined, marks, marks[1:]))
+        known.update((s, self._alone([s.decode("utf-8")]).tobytes()) for s in stems if b"," in s)
+        known.update((piece, known[stem] + known[stops]) for piece, stem, stops in ended)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text and the closing id."""
+        if len(self.known) > self.KNOWN:
+            self.known.clear()
+        split = [None if "<|" in t else t.encode("utf-8").split() for t in texts]
+        missing = {p for pieces in split if pieces for p in pieces if p not in self.known}
+        if missing:
+            self._learn(missing)
+        closing = np.uint32(CLOSING_ID).tobytes()
+        for text, pieces in zip(texts, split):
+            ids = self._alone([text]).tobytes() if pieces is None else b"".join(map(self.known.__getitem__, pieces))
+            yield np.frombuffer(ids + closing, dtype=np.uint32)
+
+
 class Packer:
     def __init__(self, first_sequence: int, ends: np.ndarray):
         self.sequence, self.ends, self.parts, self.held = first_sequence, ends, [], 0
@@ -124,17 +176,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Tokenizer.from_file(path)
-        ends = np.array([i for w in SENTENCE_ENDS if (i := encoder.token_to_id(f"{w}</w>")) is not None])
+        tokenizer = Tokenizer.from_file(path)
+        encoder, ends = Encoder(tokenizer), np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        ends[[i for w in SENTENCE_ENDS if (i := tokenizer.token_to_id(f"{w}</w>")) is not None]] = True
         packer = Packer(TaskContext.get().partitionId() << 40, ends)
         columns = [c.split()[0] for c in _PIECES.split(", ")]
         for batch in batches:
             ids_of, texts = batch["doc_id"].tolist(), ["" if t is None else t for t in batch["text"]]
             for at in range(0, len(texts), 64):
-                encoded = encoder.encode_batch_fast(texts[at:at + 64], add_special_tokens=False)
                 rows = []
-                for doc_id, e in zip(ids_of[at:at + 64], encoded):
-                    packer.add(doc_id, np.array([*e.ids, CLOSING_ID], dtype=np.uint32))
+                for doc_id, ids in zip(ids_of[at:at + 64], encoder.encode(texts[at:at + 64])):
+                    packer.add(doc_id, ids)
                     if packer.held > BUFFER_SEQUENCES * LENGTH:
                         rows += packer.drain(False)
                 if rows:
