@@ -64,6 +64,16 @@ def test_simhash_links_span_components_in_split_shards(spark, monkeypatch):
     assert len({roots.get(v, v) for v in values}) == 6
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    words = [" ".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest()[:6] for k in range(60)) for i in range(5)]
+    rows = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (8, words[4]), (8, words[4]), (None, words[4]), (None, words[0])]
+    found = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    expected = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (8, words[4])]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
 def test_decontamination(spark, docs):
     real = texts(docs)
     items = [(1, " ".join(real[0].split()[:20])), (2, "one"), (3, None), (4, "!!"), (5, " ".join(real[3].split()[4:17])), (5, "one")]

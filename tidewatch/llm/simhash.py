@@ -159,18 +159,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) and component_id (the smallest doc_id reachable) of every row."""
-    marked = cut(docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fp")))
+    """doc_id, text_hash, fp (long), root (fp that names the component) and component_id (the smallest doc_id reachable) of every row."""
+    marked = cut(docs.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(_fingerprints, "long")("text").alias("fp")))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(near_links(distinct.select("fp")))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(linked.join(least, "root").select("fp", "n", "component_id"))
+    named = cut(linked.join(least, "root").select("fp", "n", "root", "component_id"))
     limit = marked.count() * HOT_PART
-    hot = F.broadcast(named.where(F.col("n") > limit).select("fp", "component_id"))
-    rest = marked.join(hot.select("fp"), "fp", "left_anti").join(named.select("fp", "component_id"), "fp")
-    return marked.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    hot = F.broadcast(named.where(F.col("n") > limit).select("fp", "root", "component_id"))
+    rest = marked.join(hot.select("fp"), "fp", "left_anti").join(named.select("fp", "root", "component_id"), "fp")
+    return marked.join(hot, "fp").unionByName(rest).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
