@@ -74,6 +74,34 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
 
 
+def test_pipeline_drops_near_copies(spark, monkeypatch):
+    import random
+
+    import corpus_pipeline
+    from tidewatch.llm import near_copies
+
+    draw, texts = random.Random(3), []
+    for _ in range(12):
+        words = [f"w{draw.randrange(9999)}" for _ in range(100)]
+        texts += [" ".join(words)]
+        for _ in range(4):
+            at = draw.randrange(100)
+            texts.append(" ".join(words[:at] + [f"x{draw.randrange(9999)}"] + words[at + 1:]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[i:i + 5]) for i in range(96)} for w in (t.split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    expected = sorted({min(k for k in range(len(texts)) if group[k] == g) for g in group})
+    for part in (near_copies.PART_SHINGLES, 150):
+        monkeypatch.setattr(near_copies, "PART_SHINGLES", part)
+        found = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
+        assert sorted(r["doc_id"] for r in found) == expected and len(expected) < len(texts) / 3
+
+
 def test_decontamination(spark, docs):
     real = texts(docs)
     items = [(1, " ".join(real[0].split()[:20])), (2, "one"), (3, None), (4, "!!"), (5, " ".join(real[3].split()[4:17])), (5, "one")]
