@@ -298,6 +298,22 @@ def test_deobfuscation(spark):
     assert restorer.words(None) == [] == restorer.words("")
 
 
+def test_deobfuscation_of_any_length(spark):
+    rows = [(i, "you are an idiot and a moron and the people of the town are stupid", None) for i in range(300)]
+    model = toxicity.character_model(spark.createDataFrame(rows, "doc_id long, text string, x int"))
+    restorer = toxicity.Restorer(model)
+    assert {"you", "idiot"} <= set(restorer.words("y o u i d i o t"))
+    assert {"idiot", "moron", "stupid"} <= set(restorer.words(" ".join("youareanidiotandamoronandthepeoplearestupid")))
+    assert {"idiot", "moron"} <= set(restorer.words(".".join("youareanidiotandamoronandthepeopleofthetown")))
+    assert "idiot" in restorer.words("i" * 60 + "d" * 50 + "iot") and restorer.words("m o r o n   i d i o t")[-2:] == ["moron", "idiot"]
+    folder = "/root/testdata/sf0.1"
+    fitted = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    plain = "a report on the idiot and the moron with a stupid loser of the town and disgusting trash"
+    disguised = [" ".join(plain.replace(" ", "")), ".".join(plain.replace(" ", "")), "y o u i d i o t , w o r t h l e s s m o r o n , p a t h e t i c t r a s h"]
+    frame = spark.createDataFrame(list(enumerate(disguised)), "doc_id long, text string")
+    assert toxicity.score_toxicity(frame, fitted).where("score >= 0.5").count() == 3
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert simhash.group_near_duplicates(none).count() == 0 and packing.pack(none).count() == 0
