@@ -158,6 +158,21 @@ def test_pii_selects_secrets_and_redacts(spark):
     assert pii.redact(spark.createDataFrame([(1, None)], "doc_id long, text string"), fitted).first()["text"] is None
 
 
+def test_pii_takes_whole_values(spark):
+    jwt = ".".join(hashlib.sha256(str(i).encode()).hexdigest() * 3 for i in range(3))
+    key, local = hashlib.sha512(b"x").hexdigest() * 2, "very.long.name" * 9
+    spans = lambda t: {t[a:b] for _, a, b in pii.candidates(t)}
+    assert jwt in spans(f"token={jwt} end") and key in spans(f"see {key}.") and f"{local} [at] host [dot] org" in spans(f"to {local} [at] host [dot] org.")
+    label = lambda kind, before, span, after="": pii._weak_label(before + span + after, kind, len(before), len(before + span))
+    assert label("secret", "password = ", "k7Lm2x9Q") and label("secret", "pwd: \"", "tigerlily", "\"") and label("secret", "secret: ", "tigerlilyhouse", "\n")
+    assert not label("secret", "the secret: ", "patience", " and time") and not label("secret", "password: ", "********")
+    assert label("local", "at ", "212-555-0199") and label("local", "phone ", "55 12 34 56") and not label("local", "on ", "2024-01-15")
+    fitted = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rows = [(1, f"token={jwt} end"), (2, f"key {key} end"), (3, "password = k7Lm2x9Q end")]
+    found = pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), fitted).orderBy("doc_id").collect()
+    assert [r["text"] for r in found] == ["token=[SECRET] end", "key [KEY] end", "password = [SECRET] end"]
+
+
 def test_fingerprints(spark, docs):
     found = {r["doc_id"]: r for r in fingerprints.fingerprint_with_edits(docs).collect()}
     real = {i: t or "" for i, t in texts(docs).items()}
