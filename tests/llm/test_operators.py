@@ -134,6 +134,14 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert once == sorted(map(tuple, decontamination.mark_contamination(docs.select("doc_id", "text"), items).drop("text").collect()))
 
 
+def test_decontamination_by_items_without_id(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    frame = spark.createDataFrame([(1, f"a {passage} b"), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage)], "item_id string, text string")
+    found = decontamination.mark_contamination(frame, items).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in found] == [(13, 0, True), (0, 0, False)]
+
+
 def test_pii_base_spans(docs):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")

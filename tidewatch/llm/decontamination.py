@@ -9,7 +9,8 @@ Items go to the tasks in blocks of at most BLOCK_WORDS words (one longer item is
 what is broadcast does not grow with the benchmark; hits of several blocks are merged per document.
 
 Null or empty text has no words and is clean; items without words never match. Repeated rows give
-repeated results; repeated items count once per item_id. Further columns are ignored.
+repeated results; repeated items count once per item_id. Items
+with a null item_id count for the words hit, not for the items. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ WINDOW = 13
 BLOCK_WORDS = 2_000_000
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     block, words = [], 0
-    for row in items.select(F.col("item_id").cast("string").alias("i"), "text").where("item_id is not null").toLocalIterator():
+    for row in items.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
         found = alnum_words(row["text"])
         if block and words + len(found) > BLOCK_WORDS:
             yield block
@@ -56,7 +57,7 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in rows.collect()}
 
 
-def _index(block: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> tuple[dict, dict]:
+def _index(block: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int]) -> tuple[dict, dict]:
     """prefix word -> places (offset, length) to lay a window; window -> its items."""
     prefixes: dict[bytes, set[tuple[int, int]]] = {}
     windows: dict[bytes, set[str]] = {}
@@ -66,7 +67,7 @@ def _index(block: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> tu
             window = words[at:at + length]
             rarest = min(range(length), key=lambda k: (counts.get(window[k], 0), window[k], k))
             prefixes.setdefault(window[rarest], set()).add((rarest, length))
-            windows.setdefault(b" ".join(window), set()).add(item)
+            windows.setdefault(b" ".join(window), set()).update([] if item is None else [item])
     return {w: sorted(p) for w, p in prefixes.items()}, windows
 
 
@@ -78,7 +79,7 @@ def _match(words: list[bytes], prefixes: dict, windows: dict) -> tuple[list[tupl
             start = at - offset
             if start >= 0 and start + length <= len(words):
                 found = windows.get(b" ".join(words[start:start + length]))
-                if found:
+                if found is not None:
                     items |= found
                     spans.append((start, start + length))
     return _merge(spans), items
