@@ -242,9 +242,12 @@ def test_packing_encodes_pieces_as_whole_texts():
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     odd = ["don't x\x1c'll É ﬁ ΑΣ Σ İ a\u200db \x85 c, é, 'x',", "it's\x0b'S x́ ́a a,b,, a., ).", "<|startoftext|>a <|endoftext|>", " \n", "", "a\xa0b\u3000c,",
-           "日本語 テスト123abc_--'re,", "a;;, ; ., , ,, ,a don't. don't's, 1, 2,3"]
-    encoder = packing.Encoder(t)
-    for texts_ in (odd, odd[::-1], odd[:3]):
+           "日本語 テスト123abc_--'re,", "a;;, ; ., , ,, ,a don't. don't's, 1, 2,3", "ÀÉÎ×÷Þß ŸÿŒ x" + "́", "a" * 63 + " " + "b" * 64 + " " + "é" * 40,
+           "12é3_$5.a\x7f b\x00c 'tis", "x" * 5_000 + "," + "9" * 300]
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.merges
+    corpus = [x for x in pd.read_parquet(f"{DIR}/documents.parquet")["text"].head(60) if x]
+    for texts_ in (odd, odd[::-1], odd[:3], corpus, [x * 2 for x in odd]):
         assert [e.tolist() for e in encoder.encode(texts_)] == [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts_]
 
 

@@ -13,17 +13,20 @@ An empty table gives no pieces. Further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm.common import table
@@ -31,12 +34,12 @@ from tidewatch.llm.common import table
 LENGTH = 2048
 CLOSING_ID = 1
 BUFFER_SEQUENCES = 64
-SENTENCE_PENALTY = 16
-WORD_PENALTY = 32
-#: Within a sentence a cut is allowed after every so many tokens of the stream.
-WORD_STEP = 16
+SENTENCE_PENALTY = 8
+WORD_PENALTY = 24
+#: Only a sentence of more than so many tokens can be cut within, after every so many of its tokens.
+LONG_SENTENCE, WORD_STEP = 64, 16
 SENTENCE_ENDS = (".", "!", "?", "...")
-_PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+_PIECES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def choose_cuts(points: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -66,15 +69,19 @@ def _points(parts: list[tuple], ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     points, penalties, at = [], [], 0
     for _, ids, _, _ in parts:
         inner = np.flatnonzero(ends[ids[:-1]]) + 1
-        points.append(np.append(inner, len(ids)) + at)
-        penalties.append(np.append(np.full(len(inner), SENTENCE_PENALTY), 0))
+        bounds = np.concatenate([[0], inner, [len(ids)]])
+        wide = np.flatnonzero(np.diff(bounds) > LONG_SENTENCE)
+        if len(wide):
+            steps = np.concatenate([np.arange(bounds[k] + WORD_STEP, bounds[k + 1], WORD_STEP) for k in wide])
+            inner, step = np.concatenate([inner, steps]), np.repeat([SENTENCE_PENALTY, WORD_PENALTY], [len(inner), len(steps)])
+            order = np.argsort(inner, kind="stable")
+            inner, step = inner[order], step[order]
+        else:
+            step = np.full(len(inner), SENTENCE_PENALTY)
+        points += [inner + at, [at + len(ids)]]
+        penalties += [step, [0]]
         at += len(ids)
-    points, penalties = np.concatenate(points), np.concatenate(penalties)
-    steps = np.setdiff1d(np.arange(WORD_STEP, at, WORD_STEP), points, assume_unique=True)
-    order = np.argsort(np.append(points, steps), kind="stable")
-    points = np.append(points, steps)[order]
-    penalties = np.append(penalties, np.full(len(steps), WORD_PENALTY))[order]
-    return points, penalties
+    return np.concatenate(points), np.concatenate(penalties)
 
 
 def _binary(total: int) -> list[int]:
@@ -86,55 +93,185 @@ def _binary(total: int) -> list[int]:
     return cuts
 
 
+class Merges:
+    """Byte-pair merges of many words at once: in every round each word merges its pair of least rank, leftmost first."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, vocabulary: dict[str, int], merges: list):
+        shown = [n for n in range(256) if 33 <= n <= 126 or 161 <= n <= 172 or n >= 174]
+        letters = {n: chr(n) for n in shown} | {n: chr(256 + i) for i, n in enumerate(n for n in range(256) if n not in shown)}
+        self.inner = np.array([vocabulary[letters[n]] for n in range(256)], dtype=np.int32)
+        self.final = np.array([vocabulary[letters[n] + "</w>"] for n in range(256)], dtype=np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int32)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], dtype=np.int64)
+        self.levels, rest = [], np.arange(len(keys))
+        while len(rest):  # a few hash tables, each for the pairs that met a taken slot in the one before
+            factor = np.int64(0x9E3779B97F4A7C15 - 2**64 + 2 * 7919 * len(self.levels))
+            slots = self._slots(keys[rest], factor)
+            chosen = rest[np.unique(slots, return_index=True)[1]]
+            held, ranks = np.full(1 << 20, -1, dtype=np.int64), np.full(1 << 20, self.NONE, dtype=np.int32)
+            at = self._slots(keys[chosen], factor)
+            held[at], ranks[at] = keys[chosen], chosen
+            self.levels.append((factor, held, ranks))
+            rest = np.setdiff1d(rest, chosen)
+
+    @staticmethod
+    def _slots(keys: np.ndarray, factor: np.int64) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * factor).view(np.uint64) >> np.uint64(44)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.int64) << 32 | right
+        found = np.full(len(keys), self.NONE, dtype=np.int32)
+        for factor, held, ranks in self.levels:
+            slots = self._slots(keys, factor)
+            hit = held[slots] == keys
+            found[hit] = ranks[slots[hit]]
+        return found
+
+    def merge(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in order and their number per word; a word goes from its start to the next."""
+        word = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(symbols))))
+        rank = np.append(self.ranks(symbols[:-1], symbols[1:]), self.NONE)
+        rank[starts[1:] - 1] = self.NONE
+        done = []
+        while len(symbols):
+            sizes = np.diff(np.append(starts, len(symbols)))
+            best = np.minimum.reduceat(rank, starts)
+            live = best < self.NONE
+            if not live.all():
+                every = np.repeat(live, sizes)
+                done.append((word[~every], symbols[~every]))
+                word, symbols, rank, sizes, best = word[every], symbols[every], rank[every], sizes[live], best[live]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            at = at[np.append(True, word[at[1:]] != word[at[:-1]])]
+            symbols[at] = self.merged[best]
+            keep = np.ones(len(symbols), dtype=bool)
+            keep[at + 1] = False
+            word, symbols, rank = word[keep], symbols[keep], rank[keep]
+            at -= np.arange(len(at))
+            starts = np.cumsum(sizes - 1) - (sizes - 1)
+            for left in (at, at[at > starts] - 1):
+                right = np.minimum(left + 1, len(symbols) - 1)
+                rank[left] = np.where((word[right] == word[left]) & (right > left), self.ranks(symbols[left], symbols[right]), self.NONE)
+        word, symbols = (np.concatenate(c) for c in zip(*done)) if done else (word, symbols)
+        return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=0)
+
+
 class Encoder:
-    """Ids of whole texts, exactly as the tokenizer gives them, encoding each distinct piece between ASCII blanks once.
+    """Ids of whole texts, exactly as the tokenizer gives them.
 
-    No token of this tokenizer crosses a blank, so a text's ids are those of its pieces. Pieces not yet in the table
-    are encoded together, set apart by a comma; pieces with commas of their own are encoded by themselves, those
-    that merely end in stops by their stem and stops. The table is emptied when it is full.
+    No token of this tokenizer crosses a blank, so a text's ids are those of its pieces between ASCII blanks. Arrow
+    numbers the pieces of a batch; the distinct ones are tokenized together by Merges. Pieces of more than LONG
+    bytes, or with characters other than Latin letters, digits and ASCII signs, are left to the tokenizer itself, as
+    are texts with its special tokens and all texts where the tokenizer's file has other rules. Nothing is kept from
+    batch to batch.
     """
 
-    STOPS = b".,!?;:"
-    KNOWN = 500_000
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-        self.comma = self._alone([","])[0]
-
-    def _alone(self, texts: list[str]) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.array([i for e in found for i in e.ids], dtype=np.uint32)
-
-    def _learn(self, pieces: set[bytes]) -> None:
-        known, stems, ended = self.known, set(), []
-        for piece in pieces:
-            stem = piece.rstrip(self.STOPS)
-            if len(stem) < len(piece) and stem[-1:].isalnum():
-                stops = piece[len(stem):]
-                ended.append((piece, stem, stops))
-                stems.update(s for s in (stem, stops) if s not in known)
-            else:
-                stems.add(piece)
-        joined = [s for s in stems if b"," not in s]
-        ids = self._alone([b" , ".join(joined).decode("utf-8")])
-        marks = [-1, *np.flatnonzero(ids == self.comma).tolist(), len(ids)]
-        ids = ids.tobytes()
-        known.update((s, ids[4 * a + 4:4 * b]) for s, a, b in zip(joined, marks, marks[1:]))
-        known.update((s, self._alone([s.decode("utf-8")]).tobytes()) for s in stems if b"," in s)
-        known.update((piece, known[stem] + known[stops]) for piece, stem, stops in ended)
+    BATCH_CHARS, LONG = 4 << 20, 64
+    LETTER, DIGIT, SIGN = 1, 2, 3
+    #: Fixed value: how words part in the tokenizer's file whose rules Merges follows.
+    SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for w in SENTENCE_ENDS if (i := self.tokenizer.token_to_id(f"{w}</w>")) is not None]] = True
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        model = spec["model"]
+        known = [spec["normalizer"] and [n["type"] for n in spec["normalizer"].get("normalizers", [])],
+                 spec["pre_tokenizer"] and [p.get("pattern", {}).get("Regex", p["type"]) for p in spec["pre_tokenizer"].get("pretokenizers", [])],
+                 model["type"], model.get("end_of_word_suffix"), model.get("dropout"), model.get("ignore_merges")]
+        as_known = known == [["NFC", "Replace", "Lowercase"], [self.SPLIT, "ByteLevel"], "BPE", "</w>", None, False]
+        self.merges = Merges(model["vocab"], model["merges"]) if as_known else None
+        kinds = np.zeros(256, dtype=np.uint8)
+        kinds[[n for n in range(33, 127) if n != 39]] = self.SIGN
+        kinds[[n for n in range(128) if chr(n).isalpha()] + [0xC3]] = self.LETTER
+        kinds[48:58] = self.DIGIT
+        self.kinds, self.lower = kinds, np.array([n + 32 if 65 <= n <= 90 else n for n in range(256)], dtype=np.uint8)
+
+    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _values(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in order, and their number per piece."""
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset:pieces.offset + len(pieces) + 1].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+        offsets = offsets - offsets[0]
+        sizes = np.diff(offsets)
+        kinds, low = self.kinds[data], self.lower[data]
+        latin = np.append(False, data[:-1] == 0xC3) & (data != 0x97) & (data != 0xB7)
+        kinds[latin] = self.LETTER
+        low[latin & (data <= 0x9E)] += 0x20
+        strange = np.append(0, np.cumsum(kinds == 0))
+        plain = (strange[offsets[1:]] == strange[offsets[:-1]]) & (sizes <= self.LONG) & (self.merges is not None)
+        counts, flat = np.zeros(len(pieces), dtype=np.int64), []
+        taken = np.repeat(plain, sizes)
+        if taken.any():
+            first = np.zeros(len(data) + 1, dtype=bool)
+            first[offsets] = True
+            first = first[:-1][taken]
+            kinds, low = kinds[taken], low[taken]
+            first |= np.append(True, kinds[1:] != kinds[:-1]) | (kinds == self.DIGIT)
+            starts = np.flatnonzero(first)
+            symbols = self.merges.inner[low]
+            finals = np.append(starts[1:], len(low)) - 1
+            symbols[finals] = self.merges.final[low[finals]]
+            ids, numbers = self.merges.merge(symbols, starts)
+            owner = np.repeat(np.arange(len(pieces)), sizes)[taken][starts]
+            counts += np.bincount(owner, numbers, len(pieces)).astype(np.int64)
+            flat.append(ids)
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            found = self._alone(pieces.take(pa.array(rest)).to_pylist())
+            counts[rest] = [len(f) for f in found]
+            flat += found
+        place = np.cumsum(counts) - counts
+        out = np.empty(counts.sum(), dtype=np.int32)
+        order = np.append(np.flatnonzero(plain), rest)
+        some = counts[order]
+        out[np.repeat(place[order] - (np.cumsum(some) - some), some) + np.arange(len(out))] = np.concatenate(flat) if flat else []
+        return out, counts
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        numbered = split.flatten().dictionary_encode()
+        flat, sizes = self._values(numbered.dictionary)
+        starts, at = np.cumsum(sizes) - sizes, numbered.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.append(0, np.cumsum(counts))
+        ids = flat[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])].astype(np.uint32)
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield np.append(ids[a:b], np.uint32(CLOSING_ID))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text and the closing id."""
-        if len(self.known) > self.KNOWN:
-            self.known.clear()
-        split = [None if "<|" in t else t.encode("utf-8").split() for t in texts]
-        missing = {p for pieces in split if pieces for p in pieces if p not in self.known}
-        if missing:
-            self._learn(missing)
-        closing = np.uint32(CLOSING_ID).tobytes()
-        for text, pieces in zip(texts, split):
-            ids = self._alone([text]).tobytes() if pieces is None else b"".join(map(self.known.__getitem__, pieces))
-            yield np.frombuffer(ids + closing, dtype=np.uint32)
+        held, size = [], 0
+        for text in texts:
+            special = "<|" in text
+            if held and (special or size + len(text) > self.BATCH_CHARS):
+                yield from self._encode(held)
+                held, size = [], 0
+            if special:
+                yield np.append(self._alone([text])[0].astype(np.uint32), np.uint32(CLOSING_ID))
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from self._encode(held)
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, for all tasks that the worker runs."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 class Packer:
@@ -170,30 +307,28 @@ class Packer:
         return rows
 
 
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_PIECES)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(_PIECES))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """One row per piece; a sequence belongs to one partition, whose number is in the high bits of its id."""
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
-        encoder, ends = Encoder(tokenizer), np.zeros(tokenizer.get_vocab_size(), dtype=bool)
-        ends[[i for w in SENTENCE_ENDS if (i := tokenizer.token_to_id(f"{w}</w>")) is not None]] = True
-        packer = Packer(TaskContext.get().partitionId() << 40, ends)
-        columns = [c.split()[0] for c in _PIECES.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = shared_encoder(path)
+        packer = Packer(TaskContext.get().partitionId() << 40, encoder.ends)
         for batch in batches:
-            ids_of, texts = batch["doc_id"].tolist(), ["" if t is None else t for t in batch["text"]]
-            for at in range(0, len(texts), 64):
-                rows = []
-                for doc_id, ids in zip(ids_of[at:at + 64], encoder.encode(texts[at:at + 64])):
-                    packer.add(doc_id, ids)
-                    if packer.held > BUFFER_SEQUENCES * LENGTH:
-                        rows += packer.drain(False)
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-        yield pd.DataFrame(packer.drain(True), columns=columns)
-
-    return docs.select("doc_id", "text").mapInPandas(run, _PIECES)
+            texts, rows = ["" if t is None else t for t in batch.column(1).to_pylist()], []
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                packer.add(doc_id, ids)
+                if packer.held > BUFFER_SEQUENCES * LENGTH:
+                    rows += packer.drain(False)
+            yield _pieces(rows)
+        yield _pieces(packer.drain(True))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in _PIECES))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
