@@ -202,6 +202,20 @@ def test_fingerprints(spark, docs):
     assert fingerprints.fingerprint_with_edits(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", ["1", "4", "9"])
+def test_fingerprints_of_repeated_null_and_single_ids(spark, partitions):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rows = [(5, "e" * 9, "x"), (5, "b" * 8, "x"), (5, "b" * 8, "x"), (9, "n" * 7, "x"), (1, "a" * 10, "x"), (-3, None, "x"), (None, "z" * 6, "x"), (2**40, "t" * 3, "x")]
+    found = fingerprints.fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string, part string")).collect()
+    expected = ["e" * 5 + "a" * 4, "b" * 4 + "a" * 4, "b" * 4 + "a" * 4, "n" * 4 + "b" * 3, "a" * 5, "", "z" * 3, "t" * 2 + "n"]
+    assert sorted(r["edited_sha256"] for r in found) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in expected)
+    assert [r["near_next"] for r in found if r["doc_id"] is None] == [None]
+    one = fingerprints.fingerprint_with_edits(spark.createDataFrame([(4, "abcd")], "doc_id long, text string")).collect()
+    assert [(r["edited_sha256"], r["near_next"]) for r in one] == [(hashlib.sha256(b"abab").hexdigest(), 1.0)]
+    spark.conf.set("spark.sql.shuffle.partitions", usual)
+
+
 def test_licenses(docs):
     form = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for r in licenses.scan_licenses(docs).collect():

@@ -6,21 +6,28 @@ the least hash of (i, j): a random probing order per bin (optimal densification)
 texts. The low eight bits of every bin are packed as hex. The share of equal bins, less the 1/256 that
 agree by chance, estimates the Jaccard similarity.
 
-Null or empty text is one empty shingle; a text of fewer than five words is one shingle. Repeated rows
-stay; a repeated doc_id is one place in the order of documents, represented by its least text. A null
-doc_id has no next document. Further columns are ignored.
+Null or empty text is one empty shingle; a text of fewer than five words is one shingle; texts of any length are
+read whole. Repeated rows stay; a repeated doc_id is one place in the order of documents, represented by its least
+text (so ties are settled). A null doc_id has no next document: the edited text then keeps the first half alone
+and near_next is null. A single document is its own next one. An empty table gives an empty result. Ids are
+integers. Further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, table
+from tidewatch.llm.common import table
 
 BINS = 128
 WORDS = 5
 KEPT_BITS = 8
+#: Ranges of doc_id for each shuffle partition: several, so that partitions come out even.
+PARTS = 4
 
 
 def _let(value: Column, body) -> Column:
@@ -65,41 +72,59 @@ def minhash(text: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two fingerprints, corrected for agreement by chance."""
-    equal = F.lit(0)
     at = F.array(*[F.lit(1 + 2 * n) for n in range(BINS)])
-    same = F.size(F.filter(at, lambda p: F.substring(a, p, F.lit(2)) == F.substring(b, p, F.lit(2)))) + equal
+    same = F.size(F.filter(at, lambda p: F.substring(a, p, F.lit(2)) == F.substring(b, p, F.lit(2))))
     chance = 1.0 / (1 << KEPT_BITS)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance)))
-
-
-def next_ids(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, half): the next document by descending doc_id, after the last the first."""
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 2)).alias("half"))
-    ranged = cut(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
-    # one row per partition, whatever the number of documents
-    parts = ranged.groupBy("part").agg(F.max("doc_id").alias("top"))
-    order = Window.orderBy(F.desc("top"))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    parts = parts.select("part", F.coalesce(F.lead("top").over(order), F.first("top").over(whole)).alias("beyond"))
-    inside = F.lead("doc_id").over(Window.partitionBy("part").orderBy(F.desc("doc_id")))
-    return ranged.withColumn("inside", inside).join(F.broadcast(parts), "part").select(
-        "doc_id", F.coalesce("inside", "beyond").alias("next_id"), "half")
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance))))
+
+
+def _tops(docs: DataFrame) -> list[int]:
+    """Greatest doc_id of each of PARTS x spark.sql.shuffle.partitions ranges of about equal rows; ids alone are shuffled."""
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = docs.select("doc_id").repartitionByRange(parts, "doc_id")
+    rows = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("top")).collect()  # one row a range
+    return sorted(r["top"] for r in rows)
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with part, its range of ids, and extra: the top document of each range comes also to the range above, that
+    of the last one to the first."""
+    tops = _tops(docs)
+    width = max(1, math.isqrt(len(tops)))
+    groups = [tops[at:at + width] for at in range(0, len(tops), width)]
+    outer = F.from_json(F.lit(json.dumps([g[-1] for g in groups])), "array<bigint>")
+    inner = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
+    group = F.size(F.filter(outer, lambda t: t < F.col("doc_id")))
+    beneath = F.size(F.filter(F.get(inner, F.col("group")), lambda t: t < F.col("doc_id")))
+    placed = docs.withColumn("group", group).withColumn("part", F.col("group") * width + beneath)
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
+    above = F.struct(((F.col("part") + 1) % max(1, len(tops))).alias("part"), F.lit(True).alias("extra"))
+    is_top = F.get(F.get(inner, F.col("group")), F.col("part") % width) == F.col("doc_id")
+    return placed.select("doc_id", "text", F.inline(F.when(is_top, F.array(own, above)).otherwise(F.array(own))))
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
-    """Fingerprints of the texts and of their edited forms, see the query's contract."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = next_ids(docs)
-    following = docs.withColumnRenamed("doc_id", "next_id").join(links, "next_id").select(
-        "doc_id", F.expr("substring(text, 1, cast(half as int))").alias("head"), minhash(F.col("text")).alias("next_fp"))
-    if docs.where("doc_id is not null").count() != links.count():
-        following = following.groupBy("doc_id").agg(F.min(F.struct("head", "next_fp")).alias("f")).select("doc_id", "f.*")
+    """Fingerprints of the texts and of their edited forms, see the query's contract.
+
+    Texts are shuffled once, by range of doc_id; inside a range a running window hands each row the least text
+    of the next smaller id.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = _placed(docs.where("doc_id is not null")).repartition("part")
+    order = Window.partitionBy("part").orderBy(F.desc("extra"), F.asc("doc_id"), F.desc("text"))
+    after = F.struct(F.lead("doc_id").over(order).alias("id"), F.lead("extra").over(order).alias("extra"))
+    least = F.when((after["id"] != F.col("doc_id")) | (after["extra"] != F.col("extra")) | after["id"].isNull(), F.struct("text", "fp"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    marked = placed.withColumn("fp", minhash(F.col("text"))).withColumn("least", least)
+    linked = marked.withColumn("next", F.last("least", ignorenulls=True).over(before)).where("not extra").select(
+        "doc_id", "text", "fp", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
+    none = F.lit(None).cast("string")
+    linked = linked.unionByName(docs.where("doc_id is null").select("doc_id", "text", minhash(F.col("text")).alias("fp"), none.alias("next_text"), none.alias("next_fp")))
     half = "cast(floor(n_chars / 2) as int)"
-    joined = docs.join(following, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
-    joined = joined.withColumn("edited", F.expr(
-        f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(coalesce(head, ''), 1, {half}))"))
-    marked = joined.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), minhash(F.col("text")).alias("fingerprint"),
+    edited = linked.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr(
+        f"concat(substring(text, 1, cast(n_chars as int) - {half}), substring(coalesce(next_text, ''), 1, {half}))"))
+    marked = edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
         minhash(F.col("edited")).alias("edited_fingerprint"), "next_fp")
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
