@@ -12,12 +12,27 @@ _UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
 def duration_ms(text: str) -> int:
     """Milliseconds of a duration such as 10ms, 5m or 1h."""
-    found = re.fullmatch(r"([1-9]\d*)(ms|s|m|h|d)", text)
+    found = re.fullmatch(r"([1-9][0-9]*)(ms|s|m|h)", text)
     if not found:
         raise ValueError(f"not a duration: {text!r}")
     return int(found[1]) * _UNITS[found[2]]
 
 
+def bucket_ms(text: str) -> int:
+    """Milliseconds of a bucket size such as 5m, 1h or 1d."""
+    found = re.fullmatch(r"([1-9][0-9]*)(m|h|d)", text)
+    if not found:
+        raise ValueError(f"not a bucket size: {text!r}")
+    return int(found[1]) * _UNITS[found[2]]
+
+
+def duration_of(text: Column) -> Column:
+    """Milliseconds of a column of durations; null where it is none."""
+    size, unit = (F.regexp_extract(text, "^([1-9][0-9]*)(ms|s|m|h)$", n) for n in (1, 2))
+    factor = F.when(unit == "ms", 1).when(unit == "s", 1000).when(unit == "m", 60_000).when(unit == "h", 3_600_000)
+    return F.nullif(size, F.lit("")).cast("long") * factor
+
+
 def time_bucket_continuous(time: Column, bucket_ms: int) -> Column:
     """Clock label HH:mm:ss.SSS of the bucket that holds a time of day in milliseconds."""
     start = (time - time % bucket_ms).cast("long")
@@ -39,9 +54,43 @@ def session_label(bucket: Column) -> Column:
 
 
 def symbol_anchor(symbol: Column) -> Column:
-    """Stable anchor of a symbol: slug and the first eight hex digits of its SHA-1."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(symbol), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return F.concat(F.lit("symbol-"), slug, F.lit("-"), F.substring(F.sha1(symbol), 1, 8))
+    """Stable anchor of a symbol: slug, where it has one, and the first eight hex digits of its SHA-1; a blank one fails."""
+    text = F.trim(symbol)
+    slug = F.lower(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9_-]+", "-"), "^-+|-+$", ""))
+    anchor = F.concat_ws("-", F.lit("symbol-detail"), F.nullif(slug, F.lit("")), F.substring(F.sha1(text), 1, 8))
+    return F.when(text == "", F.raise_error(F.lit("symbol must not be empty"))).otherwise(anchor)
+
+
+#: Sessions of a day in order.
+SESSIONS = ("AM opening auction", "AM continuous session", "AM closing auction", "PM opening auction", "PM continuous session",
+            "PM closing auction", "Other")
+
+
+def activity_session(bucket: Column) -> Column:
+    """The session of the day that a bucket belongs to."""
+    part = session_label(F.upper(F.trim(F.coalesce(bucket, F.lit("")))))
+    names = {"AMO": SESSIONS[0], "AM": SESSIONS[1], "AMC": SESSIONS[2], "PMO": SESSIONS[3], "PM": SESSIONS[4], "PMC": SESSIONS[5]}
+    out = F.lit(SESSIONS[6])
+    for code, name in names.items():
+        out = F.when(part == code, name).otherwise(out)
+    return out
+
+
+def bucket_order(bucket: Column, legacy: bool = False) -> Column:
+    """Sort key of a bucket label in market order: opening auction, clock buckets and closing auction of each half day.
+
+    legacy gives the older keys, in which clock buckets come after every auction but the full day.
+    """
+    form = "^([0-2]?[0-9]):([0-5][0-9])"
+    minute = F.nullif(F.regexp_extract(bucket, form, 1), F.lit("")).cast("int") * 60 + F.nullif(F.regexp_extract(bucket, form, 2), F.lit("")).cast("int")
+    if legacy:
+        keys, clock, other = (0, 200, 300, 500), minute + 100, 900
+    else:
+        keys, clock, other = (0, 1000, 2000, 5000), F.when(minute < 720, minute).otherwise(minute + 2000), 9000
+    out = F.coalesce(clock, F.lit(other))
+    for label, key in zip(("AMO", "AMC", "PMO", "PMC"), keys):
+        out = F.when(bucket == label, key).otherwise(out)
+    return out
 
 
 #: Coefficients of Hart's rational approximation, highest power first.

@@ -31,28 +31,32 @@ def asof_join(
         F.col(f"__f.{v}").alias(f"{prefix}{v}") for v in values if v != "time_ms"])
 
 
-def _mids(quotes: DataFrame) -> DataFrame:
+def mids(quotes: DataFrame, venues: tuple[str, ...] = ()) -> DataFrame:
+    """Quotes that are neither crossed nor locked, of the venues (none listed: all), with their mid."""
     valid = quotes.where("bidPrice > 0 and askPrice > bidPrice and sym is not null and venue is not null")
+    valid = valid.where(F.col("venue").isin(*venues)) if venues else valid
     return valid.withColumn("mid", (F.col("bidPrice") + F.col("askPrice")) / 2)
 
 
-def reversion_prepare(trades: DataFrame, pts_quotes: DataFrame, primary: DataFrame, exclude_auction: bool = True) -> DataFrame:
-    """Trades with the venue's mid and the primary mid at trade time, side and notional."""
+def reversion_prepare(trades: DataFrame, pts_quotes: DataFrame, primary: DataFrame, exclude_auction: bool = True,
+                      venues: tuple[str, ...] = (), primary_venue: str | None = None) -> DataFrame:
+    """Trades of the venues (none listed: all) with the venue's mid and the primary mid at trade time, side and notional."""
     valid = trades.where("tradePrice > 0 and tradeSize > 0 and sym is not null and venue is not null")
+    valid = valid.where(F.col("venue").isin(*venues)) if venues else valid
     if exclude_auction:
         valid = valid.where("auction = 0")
-    with_pts = asof_join(valid, _mids(pts_quotes), ["date", "sym", "venue"], ["mid"], prefix="pts_")
-    both = asof_join(with_pts, _mids(primary), ["date", "sym"], ["mid"], prefix="primary_")
+    with_pts = asof_join(valid, mids(pts_quotes, venues), ["date", "sym", "venue"], ["mid"], prefix="pts_")
+    both = asof_join(with_pts, mids(primary, (primary_venue,) if primary_venue else ()), ["date", "sym"], ["mid"], prefix="primary_")
     side = F.when(F.col("tradePrice") > F.col("pts_mid"), 1).when(F.col("tradePrice") < F.col("pts_mid"), -1).otherwise(0)
     return both.withColumn("side", side).withColumn("notional", F.col("tradePrice") * F.col("tradeSize"))
 
 
-def score_horizons(prepared: DataFrame, primary: DataFrame, horizons: list[str], max_age: int) -> DataFrame:
+def score_horizons(prepared: DataFrame, primary: DataFrame, horizons: list[str], max_age: int, primary_venue: str | None = None) -> DataFrame:
     """Scored trades of all horizons in one as-of pass: signed reversion in basis points."""
     steps = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(duration_ms(h)).cast("long").alias("h_ms"), F.lit(i).alias("horizon_sort_order"))
                       for i, h in enumerate(horizons)])
     fanned = prepared.select("*", F.inline(steps)).withColumn("post_at", F.col("time_ms") + F.col("h_ms"))
-    joined = asof_join(fanned, _mids(primary), ["date", "sym"], ["mid"], left_time="post_at", prefix="post_")
+    joined = asof_join(fanned, mids(primary, (primary_venue,) if primary_venue else ()), ["date", "sym"], ["mid"], left_time="post_at", prefix="post_")
     fresh = (
         (F.col("time_ms") - F.col("pts_time_ms") <= max_age) & (F.col("time_ms") - F.col("primary_time_ms") <= max_age)
         & (F.col("post_at") - F.col("post_time_ms") <= max_age))

@@ -1,138 +1,147 @@
-"""Comparison of current observations with the reference distribution of the same key."""
+"""Comparison of current observations with the reference distribution of the same key.
+
+Reference values are folded to one per key and day, and the days of a key are gathered as one sorted array, which is as
+long as the reference window. Every statistic and share is read from that array, so that a comparison is one
+aggregation of the reference and one join.
+
+A key without reference days has sample size 0 and no statistics; null matches null in every key. Null values are no
+observations of the reference; a current row with a null value stays, without scores. Repeated current rows stay.
+An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import norm_cdf
+from tidewatch.operators.definitions import with_definitions
+from tidewatch.operators.observations import collapse_units, field, require_fields, require_reversion
 
-KEYS = ("metric_name", "time_bucket", "sym")
-#: Direction of each metric (which side is adverse).
-LOWER_IS_BETTER = ("quoted_spread_bps", "parkinson_volatility_bps", "primary_quote_reversion_bps")
-MIN_NORMAL, MIN_WEAK, MAD_SCALE = 30, 10, 1.4826
-PRIORITY = {"alert": 0, "watch": 1, "normal": 2, "comparison_only": 3}
+KEYS = ("metric_name", "time_bucket", "group_key")
+REVERSION_KEYS = ("metric_name", "time_bucket", "venue", "horizon", "group_key")
+MIN_NORMAL, MIN_WEAK, MIN_RANGE, MAD_SCALE = 30, 10, 2, 1.4826
+#: Order of severity.
+PRIORITY = {"alert": 0, "watch": 1, "comparison_only": 2, "normal": 3}
 
 
-def collapse_units(obs: DataFrame, keys: tuple[str, ...] = KEYS, how: str = "mean") -> DataFrame:
-    """One value per key and date; nulls are left out."""
-    folds = {"mean": F.avg, "median": F.median, "sum": F.sum}
-    if how not in folds:
-        raise ValueError(f"unknown fold: {how}")
-    return obs.groupBy(*keys, "date").agg(folds[how]("value").alias("value")).where("value is not null")
+def array_percentile(values: Column, p: float) -> Column:
+    """Percentile of a sorted array, interpolated between neighbours; null for an empty one."""
+    rank = (F.size(values) - 1) * F.lit(p)
+    low, high = F.get(values, F.floor(rank).cast("int")), F.get(values, F.ceil(rank).cast("int"))
+    return F.when(F.size(values) > 0, low + (high - low) * (rank - F.floor(rank)))
 
 
 def reference_stats(units: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """n, mean, median, standard deviation, least, greatest, 5th and 95th percentile and MAD per key."""
-    median = F.median("value").over(Window.partitionBy(*keys))
-    return units.withColumn("__m", median).groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("low"), F.max("value").alias("high"), F.percentile("value", F.lit(0.05)).alias("p5"),
-        F.percentile("value", F.lit(0.95)).alias("p95"), F.median(F.abs(F.col("value") - F.col("__m"))).alias("mad"))
+    """n, mean, median, deviation, least, greatest, 5th and 95th percentile, MAD and the sorted days of each key."""
+    rows = units.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"),
+        F.max("value").alias("high"), F.array_sort(F.collect_list("value")).alias("days"))  # as many as the window has days
+    days = F.col("days")
+    rows = rows.withColumn("median", array_percentile(days, 0.5))
+    distances = F.array_sort(F.transform(days, lambda x: F.abs(x - F.col("median"))))
+    return rows.withColumn("distances", distances).select(
+        "*", array_percentile(days, 0.05).alias("p5"), array_percentile(days, 0.95).alias("p95"), array_percentile(F.col("distances"), 0.5).alias("mad"))
+
 
+def _share(values: Column, test) -> Column:
+    return F.size(F.filter(values, test)) / F.size(values)
 
-def compare(current: DataFrame, reference: DataFrame, keys: tuple[str, ...] = KEYS, robust: bool = True) -> DataFrame:
-    """One row per current observation (keys, date, value) with z-score, percentile, tail, change and status.
 
-    Current rows join the reference units of their key; a key has at most one unit per reference day, so the
-    join grows with the input times the length of the window only.
+def compare(current: DataFrame, reference: DataFrame, keys: tuple[str, ...] = KEYS, robust: bool = True, fold: str = "mean",
+            higher_is_better: Column | None = None) -> DataFrame:
+    """One row per current observation with reference value, change, scores, tails, confidence and status.
+
+    The direction of a metric is its definition's, unless higher_is_better gives one: True, False or null (neither).
     """
-    units = collapse_units(reference, keys)
-    stats = reference_stats(units, keys)
-
-    def same(a: DataFrame, b: DataFrame):
-        condition = F.lit(True)
-        for k in keys:
-            condition = condition & a[k].eqNullSafe(b[k])
-        return condition
-
-    cur = current.select(*keys, "date", F.col("value").alias("v"))
-    lower = F.col("metric_name").isin(*LOWER_IS_BETTER)
-    ref = units.select(*[F.col(k).alias(f"u_{k}") for k in keys], F.col("value").alias("r"))
-    condition = F.lit(True)
+    keyed = [require_fields(df, keys).select("*", *[field(k).alias(k) for k in keys if k not in df.columns]) for df in (current, reference)]
+    stats = reference_stats(collapse_units(keyed[1], keys, fold), keys)
+    stats = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in stats.columns if c not in keys])
+    same = F.lit(True)
     for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"u_{k}"))
-    shares = cur.join(ref, condition).groupBy(*keys, "date", "v").agg(
-        F.avg((F.col("r") <= F.col("v")).cast("double")).alias("share_below"),
-        F.avg((F.col("r") >= F.col("v")).cast("double")).alias("share_above"))
-    joined = cur.join(stats, same(cur, stats), "left").select(cur["*"], *[stats[c] for c in stats.columns if c not in keys])
-    joined = joined.join(shares.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.col("date").alias("s_date"), F.col("v").alias("s_v"),
-                                       "share_below", "share_above"),
-                         [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys] + [F.col("date") == F.col("s_date"), F.col("v") == F.col("s_v")], "left")
-    n = F.coalesce("n", F.lit(0))
-    centre, width = ("median", F.lit(MAD_SCALE) * F.col("mad")) if robust else ("mean", F.col("std"))
-    z = F.when((n >= MIN_NORMAL) & (width != 0), (F.col("v") - F.col(centre)) / width)
-    empirical = F.when(n >= MIN_WEAK, F.when(lower, F.col("share_above")).otherwise(F.col("share_below")))
-    rows = joined.select(*keys, "date", F.col("v").alias("value"), n.alias("n"), F.col(centre).alias("reference"), z.alias("z"),
-                         F.when(n >= MIN_WEAK, F.col("share_below")).alias("percentile"), empirical.alias("empirical_tail"))
-    normal_tail = F.when(lower, 1 - norm_cdf(F.col("z"))).otherwise(norm_cdf(F.col("z")))
-    rows = rows.withColumn("tail", F.when(F.coalesce(normal_tail, F.lit(0.0)) == 0, F.col("empirical_tail")).otherwise(normal_tail))
-    size = F.abs("z")
-    status = (
-        F.when((F.col("n") < MIN_WEAK) & F.col("z").isNull(), "comparison_only")
-        .when(F.col("tail") <= 0.025, "alert").when(F.col("tail") <= 0.10, "watch").when(F.col("tail").isNotNull(), "normal")
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rows = keyed[0].join(stats, same, "left")
+    rows = with_definitions(rows, "higher_is_better") if higher_is_better is None else rows.withColumn("higher_is_better", higher_is_better)
+    v, n, days, better = F.col("value"), F.coalesce("n", F.lit(0)), F.col("days"), F.col("higher_is_better")
+    centre, width = ("median", MAD_SCALE * F.col("mad")) if robust else ("mean", F.col("std"))
+    z = F.when((n >= MIN_NORMAL) & (width != 0), (v - F.col(centre)) / width)
+    enough = (n >= MIN_WEAK) & v.isNotNull()
+    tail = (
+        F.when(better, _share(days, lambda x: x <= v)).when(~better, _share(days, lambda x: x >= v))
+        .otherwise(_share(F.col("distances"), lambda d: d >= F.abs(v - F.col("median")))))
+    rows = rows.select(
+        *[c for c in current.columns if c != "metadata"], *[k for k in keys if k not in current.columns], n.alias("reference_sample_size"),
+        F.col(centre).alias("reference_value"), z.alias("z_score"), F.when(enough, _share(days, lambda x: x <= v)).alias("empirical_percentile"),
+        F.when(enough, tail).alias("empirical_adverse_tail"), better, "p5", "p95",
+        F.when(n >= MIN_RANGE, 100 * (v - F.col("p5")) / F.nullif(F.col("p95") - F.col("p5"), F.lit(0.0))).alias("range_position_score"))
+    cdf = norm_cdf(F.col("z_score"))
+    normal_tail = F.when(better, cdf).when(~better, 1 - cdf).otherwise(2 * F.least(cdf, 1 - cdf))
+    change = v - F.col("reference_value")
+    rows = rows.withColumns({
+        "percentile": F.col("empirical_percentile"), "normal_percentile": cdf, "normal_adverse_tail": F.when(F.col("z_score").isNotNull(), normal_tail), "change_abs": change,
+        "change_pct": change / F.nullif(F.col("reference_value"), F.lit(0.0)), "comparison_method": F.lit("robust" if robust else "standard"),
+        "comparison_confidence": confidence(F.col("reference_sample_size")), "message": sample_message(F.col("reference_sample_size"))})
+    return rows.withColumn("status", status())
+
+
+def confidence(n: Column) -> Column:
+    return F.when(n < MIN_WEAK, "insufficient").when(n < MIN_NORMAL, "weak").otherwise("normal")
+
+
+def sample_message(n: Column) -> Column:
+    """What a small sample means; null for one that is large enough."""
+    few = F.concat(F.lit("low-confidence comparison: "), n.cast("string"), F.lit(f" reference observations; {MIN_NORMAL} required for headline z-score"))
+    return F.when(n == 1, "comparison only: one reference observation, so z-score is undefined").when(n < MIN_NORMAL, few)
+
+
+def status() -> Column:
+    """Status of a scored row by its tail; a normal-score tail of null or 0 gives way to the empirical one."""
+    tail = F.coalesce(F.nullif(F.col("normal_adverse_tail"), F.lit(0.0)), F.col("empirical_adverse_tail"))
+    size = F.abs("z_score")
+    return (
+        F.when((F.col("comparison_confidence") == "insufficient") & F.col("z_score").isNull(), "comparison_only")
+        .when(tail <= 0.025, "alert").when(tail <= 0.10, "watch").when(tail.isNotNull(), "normal")
         .when(size >= 2.0, "alert").when(size >= 1.5, "watch").otherwise("normal"))
-    confidence = F.when(F.col("n") < MIN_WEAK, "insufficient").when(F.col("n") < MIN_NORMAL, "weak").otherwise("normal")
-    change = F.col("value") - F.col("reference")
-    return rows.withColumn("change_abs", change).withColumn("change_pct", change / F.nullif(F.col("reference"), F.lit(0.0))).withColumn(
-        "confidence", confidence).withColumn("status", status)
-
-
-def priority() -> F.Column:
-    out = F.lit(9)
-    for status, rank in PRIORITY.items():
-        out = F.when(F.col("status") == status, rank).otherwise(out)
-    return out
-
-
-def severity() -> list:
-    """Ordering by status, then size of z, then names."""
-    return [priority(), F.desc(F.coalesce(F.abs("z"), F.lit(0.0))), F.col("metric_name"), F.col("date"), F.col("time_bucket"), F.col("sym")]
 
 
-def status_counts(cmp: DataFrame) -> DataFrame:
-    return cmp.groupBy("metric_name", "status").agg(F.count("*").alias("n"))
+def compare_reversion(current: DataFrame, reference: DataFrame, robust: bool = True, fold: str = "mean") -> DataFrame:
+    """Comparison of reversion observations by venue and horizon; lower is better whatever the definition says."""
+    return compare(require_reversion(current), require_reversion(reference), REVERSION_KEYS, robust, fold, F.lit(False))
 
 
-def metric_overview(cmp: DataFrame) -> DataFrame:
-    return cmp.groupBy("metric_name").agg(
-        F.count_if(F.col("status") == "alert").alias("alerts"), F.count_if(F.col("status") == "watch").alias("watches"), F.count("*").alias("n"),
-        F.avg("value").alias("mean_value"), F.avg("reference").alias("mean_reference"), F.avg("change_pct").alias("mean_change"))
-
-
-def worst_per_symbol(cmp: DataFrame, n: int) -> DataFrame:
-    """The most severe alert or watch of each symbol, the n worst of them."""
-    rank = F.row_number().over(Window.partitionBy("sym").orderBy(*severity()))
-    return cmp.where("status in ('alert', 'watch') and sym is not null").withColumn("rank", rank).where("rank = 1").drop("rank").orderBy(*severity()).limit(n)
+def priority(column: str = "status") -> Column:
+    out = F.lit(99)
+    for name, rank in PRIORITY.items():
+        out = F.when(F.col(column) == name, rank).otherwise(out)
+    return out
 
 
-def top_changes(cmp: DataFrame, n: int = 5) -> DataFrame:
-    """Diversified top n: the worst of each metric first, then by severity."""
-    rank = F.row_number().over(Window.partitionBy("metric_name").orderBy(*severity()))
-    rows = cmp.where("status in ('alert', 'watch')").withColumn("rank", rank)
-    return rows.orderBy(F.col("rank") > 1, *severity()).limit(n)
+def size_of(column: str) -> Column:
+    """Size of a number, 0 where it is null or not finite."""
+    value = F.col(column)
+    return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.abs(value)).otherwise(0.0)
 
 
-def market_summary(cmp: DataFrame) -> DataFrame:
-    """Buckets collapsed per metric and date: mean, or root mean square for volatilities."""
-    central = F.when(F.col("metric_name").contains("volatility"), F.sqrt(F.avg(F.col("value") * F.col("value")))).otherwise(F.avg("value"))
-    return cmp.groupBy("metric_name", "date").agg(
-        central.alias("value"), F.avg("reference").alias("reference"), F.nullif(F.sum("n"), F.lit(0)).alias("n"))
+def severity() -> list[Column]:
+    """Total order of comparisons: status, sizes of z and of the relative change, then names."""
+    return [priority(), F.desc(size_of("z_score")), F.desc(size_of("change_pct")), F.col("metric_name"), F.asc_nulls_first("date"),
+            F.asc_nulls_first("time_bucket"), F.col("group_key"), F.asc_nulls_first("value")]
 
 
 def liquidity_stress(cmp: DataFrame) -> DataFrame:
-    """z of the spread plus z of volatility less z of depth, per bucket, symbol and date; null where one is missing."""
+    """z of the spread plus z of volatility less z of depth, per bucket, group and date; null where one is missing."""
 
     def z(metric: str):
-        return F.max(F.when(F.col("metric_name") == metric, F.col("z")))
+        return F.max(F.when(F.col("metric_name") == metric, F.col("z_score")))
 
     stress = z("quoted_spread_bps") + z("parkinson_volatility_bps") - z("top_of_book_depth")
-    return cmp.groupBy("time_bucket", "sym", "date").agg(stress.alias("stress"))
+    return cmp.groupBy("time_bucket", "group_key", "date").agg(stress.alias("stress"))
 
 
-def group_deltas(current: DataFrame, reference: DataFrame, by: str, n: int = 12) -> DataFrame:
+def group_deltas(current: DataFrame, reference: DataFrame, n: int = 12) -> DataFrame:
     """Current mean per group against the reference mean of daily means, by size of the difference."""
-    cur = current.groupBy("metric_name", by).agg(F.avg("value").alias("current"))
-    ref = reference.groupBy("metric_name", by, "date").agg(F.avg("value").alias("value")).groupBy("metric_name", by).agg(F.avg("value").alias("reference"))
-    rows = cur.join(ref, ["metric_name", by]).withColumn("delta", F.col("current") - F.col("reference"))
-    return rows.orderBy(F.desc(F.abs("delta")), "metric_name", by).limit(n)
+    cur = current.groupBy("metric_name", "group_key").agg(F.avg("value").alias("current"))
+    daily = reference.groupBy("metric_name", "group_key", "date").agg(F.avg("value").alias("value"))
+    ref = daily.groupBy("metric_name", "group_key").agg(F.avg("value").alias("reference"))
+    rows = cur.join(ref, ["metric_name", "group_key"]).withColumn("delta", F.col("current") - F.col("reference"))
+    return rows.orderBy(F.desc(F.abs("delta")), "metric_name", "group_key").limit(n)

@@ -2,54 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import time_bucket, time_bucket_continuous
+from tidewatch.operators.observations import flatten, to_observations
 from tidewatch.sources.ticks import require_columns
 
 KEYS = ("date", "time_bucket", "sym", "topixCapGrp")
 
 
-def enrich(df: DataFrame, refs: DataFrame) -> DataFrame:
-    """Left join of the day's reference row; rows without one stay, with nulls.
+def enrich(facts: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
+    """Left join of the day's reference row, one per date and symbol; facts without one stay, with nulls.
 
-    A plain equi-join on purpose: reference data grows with days and symbols, so the choice of a broadcast is
-    left to the size statistics.
+    Facts are joined after they are aggregated, so that no tick is shuffled for it. A plain equi-join on purpose:
+    reference data grows with days and symbols, so the choice of a broadcast is left to the size statistics.
     """
-    return df.join(refs.select("date", "sym", "topixCapGrp", "lotSize"), ["date", "sym"], "left")
+    return facts.join(refs.select("date", "sym", "topixCapGrp", *columns), ["date", "sym"], "left")
 
 
 def activity(trades: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
-    require_columns(trades, "date", "time_ms", "sym", "session", "auction", "tradePrice", "tradeSize")
+    require_columns(trades, "date", "time_ms", "sym", "session", "auction", "tradePrice", "tradeSize", role="trades")
     valid = trades.where("tradePrice > 0 and tradeSize > 0 and sym is not null")
-    label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms)
-    return enrich(valid.withColumn("time_bucket", label), refs).groupBy(*KEYS).agg(
-        F.sum(F.col("tradePrice") * F.col("tradeSize")).alias("turnover"), F.sum("tradeSize").alias("volume"),
-        F.count("*").alias("trade_count"))
+    label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms).alias("time_bucket")
+    sums = valid.groupBy("date", label, "sym").agg(
+        F.sum(F.col("tradePrice") * F.col("tradeSize")).alias("turnover"), F.sum("tradeSize").alias("volume"), F.count("*").alias("trade_count"))
+    return enrich(sums, refs).select(*KEYS, "turnover", "volume", "trade_count")
 
 
-def valid_quotes(quotes: DataFrame, refs: DataFrame) -> DataFrame:
-    require_columns(quotes, "date", "time_ms", "sym", "bidPrice", "askPrice", "bidSize", "askSize")
-    return enrich(quotes.where("bidPrice > 0 and askPrice > bidPrice and sym is not null"), refs).where("lotSize > 0")
+def _quotes(quotes: DataFrame) -> DataFrame:
+    require_columns(quotes, "date", "time_ms", "sym", "bidPrice", "askPrice", "bidSize", "askSize", role="quotes")
+    spread = 10000 * (F.col("askPrice") - F.col("bidPrice")) / ((F.col("askPrice") + F.col("bidPrice")) / 2)
+    valid = quotes.where("bidPrice > 0 and askPrice > bidPrice and sym is not null")
+    return valid.withColumn("spread", spread).withColumn("size", F.col("bidSize") + F.col("askSize"))
 
 
-def liquidity(quotes: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
-    spread = 10000 * (F.col("askPrice") - F.col("bidPrice")) / ((F.col("askPrice") + F.col("bidPrice")) / 2)
-    depth = (F.col("bidSize") + F.col("askSize")) / F.col("lotSize")
-    labelled = valid_quotes(quotes, refs).withColumn("time_bucket", time_bucket_continuous(F.col("time_ms"), bucket_ms))
-    return labelled.groupBy(*KEYS).agg(F.median(spread).alias("quoted_spread_bps"), F.median(depth).alias("top_of_book_depth"))
+def liquidity(quotes: DataFrame, refs: DataFrame, bucket_ms: int, accuracy: int | None = None) -> DataFrame:
+    """Median spread and depth in lots; a quote without lot size is left out. accuracy asks for approximate medians."""
+    middle = F.median if accuracy is None else lambda c: F.percentile_approx(c, 0.5, accuracy)
+    label = time_bucket_continuous(F.col("time_ms"), bucket_ms).alias("time_bucket")
+    facts = _quotes(quotes).groupBy("date", label, "sym").agg(middle("spread").alias("quoted_spread_bps"), middle("size").alias("size"))
+    # the lot size is one per date and symbol, so that the median can be divided by it
+    return enrich(facts, refs, "lotSize").where("lotSize > 0").select(*KEYS, "quoted_spread_bps", (F.col("size") / F.col("lotSize")).alias("top_of_book_depth"))
 
 
 def parkinson(trades: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
     """Range volatility; auction prints count in their clock bucket."""
-    valid = trades.where("tradePrice > 0 and sym is not null")
-    labelled = enrich(valid.withColumn("time_bucket", time_bucket_continuous(F.col("time_ms"), bucket_ms)), refs)
-    ranged = labelled.groupBy(*KEYS).agg(F.max("tradePrice").alias("high"), F.min("tradePrice").alias("low"))
+    require_columns(trades, "date", "time_ms", "sym", "tradePrice", role="trades")
+    label = time_bucket_continuous(F.col("time_ms"), bucket_ms).alias("time_bucket")
+    ranged = trades.where("tradePrice > 0 and sym is not null").groupBy("date", label, "sym").agg(F.max("tradePrice").alias("high"), F.min("tradePrice").alias("low"))
     spread = F.pow(F.log(F.col("high") / F.col("low")), 2)
-    return ranged.select(*KEYS, (10000 * F.sqrt(spread / (4 * F.log(F.lit(2.0))))).alias("parkinson_volatility_bps"))
+    return enrich(ranged, refs).select(*KEYS, (10000 * F.sqrt(spread / (4 * F.log(F.lit(2.0))))).alias("parkinson_volatility_bps"))
 
 
 def pre_aggregate(facts: DataFrame) -> DataFrame:
@@ -85,46 +88,33 @@ def label_levels(facts: DataFrame, levels: list[str]) -> DataFrame:
     return facts.select("*", F.inline(F.array(*scopes)))
 
 
-def rollup_levels(facts: DataFrame, levels: list[str], sums: tuple[str, ...]) -> DataFrame:
-    """Sums of additive facts per level: one partial aggregation over the labelled facts."""
-    labelled = []
+def _labelled(facts: DataFrame, levels: list[str]) -> list[Column]:
+    found = []
     for n in _usable(facts, levels):
         bucket = F.col("time_bucket") if "time_bucket" in LEVELS[n][2] else F.lit(None).cast("string")
-        labelled.append(F.struct(*_scope(n), bucket.alias("bucket")))
-    rows = facts.select("date", *sums, F.inline(F.array(*labelled)))
+        found.append(F.struct(*_scope(n), bucket.alias("bucket")))
+    return found
+
+
+def rollup_levels(facts: DataFrame, levels: list[str], sums: tuple[str, ...]) -> DataFrame:
+    """Sums of additive facts per level: one partial aggregation over the labelled facts."""
+    rows = facts.select("date", *sums, F.inline(F.array(*_labelled(facts, levels))))
     return rows.groupBy("date", F.col("bucket").alias("time_bucket"), "aggregationLevel", "groupType", "groupValue").agg(
         *[F.sum(c).alias(c) for c in sums])
 
 
-def to_observations(facts: DataFrame, metrics: list[str]) -> DataFrame:
-    """Long rows (metric_name, date, time_bucket, sym, topixCapGrp, value) of a fact table."""
-    return facts.select(*KEYS, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        list(KEYS), metrics, "metric_name", "value").select("metric_name", *KEYS, "value")
+def rollup_medians(quotes: DataFrame, refs: DataFrame, levels: list[str], bucket_ms: int) -> DataFrame:
+    """Median spread and depth per level, over quotes: medians of symbols do not add up to that of a market."""
+    label = time_bucket_continuous(F.col("time_ms"), bucket_ms)
+    ticks = enrich(_quotes(quotes).withColumn("time_bucket", label), refs, "lotSize").where("lotSize > 0")
+    rows = ticks.select("date", "spread", (F.col("size") / F.col("lotSize")).alias("depth"), F.inline(F.array(*_labelled(ticks, levels))))
+    return rows.groupBy("date", F.col("bucket").alias("time_bucket"), "aggregationLevel", "groupType", "groupValue").agg(
+        F.median("spread").alias("quoted_spread_bps"), F.median("depth").alias("top_of_book_depth"))
 
 
-def observations(trades: DataFrame, quotes: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
+def observations(trades: DataFrame, quotes: DataFrame, refs: DataFrame, bucket_ms: int, group_by: tuple[str, ...] = ("sym",)) -> DataFrame:
     """All activity, liquidity and volatility observations."""
-    parts = [
-        to_observations(activity(trades, refs, bucket_ms), ["turnover", "volume", "trade_count"]),
-        to_observations(liquidity(quotes, refs, bucket_ms), ["quoted_spread_bps", "top_of_book_depth"]),
-        to_observations(parkinson(trades, refs, bucket_ms), ["parkinson_volatility_bps"]),
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def to_stock_metrics(obs: DataFrame, bucket_size: str, metrics: list[str]) -> DataFrame:
-    """Wide rows, one column per metric, by date, bucket and symbol."""
-    return obs.groupBy("date", F.coalesce("time_bucket", F.lit("FULL_DAY")).alias("timeBucket"), F.coalesce("sym", F.lit("ALL")).alias("sym")).agg(
-        *[F.max(F.when(F.col("metric_name") == m, F.col("value"))).alias(m) for m in metrics]).select(
-        "date", "timeBucket", F.lit(bucket_size).alias("bucketSize"), "sym", F.lit("symbol").alias("groupType"), F.col("sym").alias("groupValue"), *metrics)
-
-
-def from_stock_metrics(wide: DataFrame, metrics: list[str]) -> DataFrame:
-    """Long rows of the wide table; a metric without a column is a miss."""
-    present = [m for m in metrics if m in wide.columns]
-    return wide.unpivot(["date", "timeBucket", "sym"], present, "metric_name", "value").where("value is not null")
-
-
-def missing_metrics(requested: DataFrame, wide: DataFrame, metrics: list[str]) -> DataFrame:
-    """Requested (date, metric_name) pairs that the wide table does not hold."""
-    return requested.join(from_stock_metrics(wide, metrics).select("date", "metric_name").distinct(), ["date", "metric_name"], "left_anti")
+    return flatten(
+        to_observations(activity(trades, refs, bucket_ms), ["turnover", "volume", "trade_count"], group_by),
+        to_observations(liquidity(quotes, refs, bucket_ms), ["quoted_spread_bps", "top_of_book_depth"], group_by),
+        to_observations(parkinson(trades, refs, bucket_ms), ["parkinson_volatility_bps"], group_by))

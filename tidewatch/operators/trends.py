@@ -1,11 +1,20 @@
-"""Trend series and statistics, intraday distribution and profile."""
+"""Trend series and statistics, overview cards, intraday distribution and profile.
+
+Values that are null, NaN or infinite are no observations; distributions also leave out negative ones. An empty table
+gives an empty result.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scalars import session_label
+from tidewatch.functions import labels
+from tidewatch.functions.scalars import SESSIONS, activity_session, bucket_order, norm_cdf
+from tidewatch.operators.definitions import with_definitions
+from tidewatch.operators.observations import label_periods
 
 LABELS = {
     "daily": lambda d: F.date_format(d, "yyyy-MM-dd"),
@@ -16,22 +25,32 @@ LABELS = {
 }
 
 
-def _fold(value: str, volatility: Column) -> Column:
+def _valid(obs: DataFrame) -> DataFrame:
+    return obs.where(labels.finite(F.col("value")))
+
+
+def _fold(volatility: Column) -> Column:
     name = F.col("metric_name")
     return (
-        F.when(name == "turnover", F.sum(value)).when(name.isin("quoted_spread_bps", "top_of_book_depth"), F.median(value))
-        .when(name.contains("volatility"), volatility).otherwise(F.avg(value)))
+        F.when(name == "turnover", F.sum("value")).when(name.isin("quoted_spread_bps", "top_of_book_depth"), F.median("value"))
+        .when(name.contains("volatility"), volatility).otherwise(F.avg("value")))
 
 
 def daily_rollup(obs: DataFrame) -> DataFrame:
     """One value per metric and date: turnover summed, spread and depth by median, others by mean."""
-    return obs.groupBy("metric_name", "date").agg(_fold("value", F.avg("value")).alias("value"))
+    return _valid(obs).groupBy("metric_name", "date").agg(_fold(F.avg("value")).alias("value"))
 
 
 def trend_series(obs: DataFrame, grain: str) -> DataFrame:
     """Second rollup over daily values by day, ISO week, month, quarter or year; volatility by root mean square."""
     daily = daily_rollup(obs).withColumn("period", LABELS[grain](F.col("date")))
-    return daily.groupBy("metric_name", "period").agg(_fold("value", F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("value"))
+    return daily.groupBy("metric_name", "period").agg(_fold(F.sqrt(F.avg(F.col("value") * F.col("value")))).alias("value"))
+
+
+def trend_payload(current: DataFrame, reference: DataFrame, grain: str) -> DataFrame:
+    """Both periods' series with their flags and each period's mean."""
+    series = [trend_series(obs, grain).withColumnRenamed("period", "label") for obs in (reference, current)]
+    return label_periods(*series).withColumn("period_mean", F.avg("value").over(Window.partitionBy("metric_name", "period")))
 
 
 def _indexed(series: DataFrame) -> DataFrame:
@@ -50,11 +69,39 @@ def theil_sen(series: DataFrame) -> DataFrame:
     return _pairs(series).groupBy("metric_name").agg(F.median((F.col("b") - F.col("a")) / (F.col("j") - F.col("i"))).alias("slope"))
 
 
-def kendall(series: DataFrame) -> DataFrame:
-    """Kendall's tau-b of value against time per series."""
-    sums = _pairs(series).groupBy("metric_name").agg(
-        F.sum(F.signum(F.col("b") - F.col("a"))).alias("s"), F.count("*").cast("double").alias("pairs"), F.sum((F.col("a") == F.col("b")).cast("double")).alias("tied"))
-    return sums.select("metric_name", (F.col("s") / F.sqrt(F.nullif(F.col("pairs") * (F.col("pairs") - F.col("tied")), F.lit(0.0)))).alias("tau"))
+def exact_tail(n: int, discordant: int) -> float:
+    """Two-sided p-value of Kendall's statistic for n untied values: the share of orders at least as far from the middle."""
+    ways = [1]
+    for k in range(2, n + 1):
+        sums = [0] * (len(ways) + k - 1)
+        for at, w in enumerate(ways):
+            for more in range(k):
+                sums[at + more] += w
+        ways = sums
+    least = min(discordant, n * (n - 1) // 2 - discordant)
+    return 1.0 if 4 * least == n * (n - 1) else min(1.0, 2 * sum(ways[:least + 1]) / math.factorial(n))
+
+
+def kendall(series: DataFrame, exact_up_to: int = 0) -> DataFrame:
+    """Kendall's tau-b of value against time and its two-sided p-value per series.
+
+    The p-value is the normal approximation with correction for ties; series without ties of at most exact_up_to values
+    get the exact one, from a table made by rule.
+    """
+    ties = series.groupBy("metric_name", "value").agg(F.count("*").alias("t")).groupBy("metric_name").agg(
+        F.sum("t").cast("double").alias("n"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).cast("double").alias("y1"),
+        F.sum(F.expr("t * (t - 1) / 2")).cast("double").alias("tied"))
+    sums = _pairs(series).groupBy("metric_name").agg(F.sum(F.signum(F.col("b") - F.col("a"))).alias("s"), F.count("*").cast("double").alias("pairs"))
+    rows = sums.join(ties, "metric_name")
+    tau = F.col("s") / F.sqrt(F.nullif(F.col("pairs") * (F.col("pairs") - F.col("tied")), F.lit(0.0)))
+    variance = (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("y1")) / 18
+    p = F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.abs("s") / F.sqrt(F.nullif(variance, F.lit(0.0))))))
+    if exact_up_to > 1:
+        table = [(float(n), d, exact_tail(n, d)) for n in range(2, exact_up_to + 1) for d in range(n * (n - 1) // 2 + 1)]
+        known = F.broadcast(series.sparkSession.createDataFrame(table, "n double, d long, exact double"))
+        rows = rows.withColumn("d", ((F.col("pairs") - F.col("s")) / 2).cast("long")).join(known, ["n", "d"], "left")
+        p = F.when((F.col("tied") == 0) & F.col("exact").isNotNull(), F.col("exact")).otherwise(p)
+    return rows.select("metric_name", F.coalesce(tau, F.lit(0.0)).alias("tau"), F.coalesce(p, F.lit(1.0)).alias("p_value"))
 
 
 def weekday_adjust(series: DataFrame) -> DataFrame:
@@ -65,42 +112,188 @@ def weekday_adjust(series: DataFrame) -> DataFrame:
 
 
 def rebase(series: DataFrame) -> DataFrame:
-    """Series as a percentage of its first value; unchanged where that is 0 or null."""
+    """Series as a percentage of its first value; unchanged where that is 0 or not finite."""
     first = F.first("value").over(Window.partitionBy("metric_name").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return series.select("metric_name", "date", F.when(F.coalesce(first, F.lit(0.0)) == 0, F.col("value")).otherwise(100 * F.col("value") / first).alias("value"))
+    usable = labels.finite(first) & (first != 0)
+    return series.select("metric_name", "date", F.when(usable, 100 * F.col("value") / first).otherwise(F.col("value")).alias("value"))
 
 
-def activity_shares(obs: DataFrame) -> DataFrame:
-    """Cumulative share of a day's activity after each bucket, per date; a bucket without trades adds nothing."""
-    sums = obs.where("value >= 0 and not isnan(value)").groupBy("date", "time_bucket").agg(F.sum("value").alias("value"))
-    labels = sums.select("time_bucket").distinct()  # buckets of one day
-    grid = sums.select("date").distinct().join(F.broadcast(labels.agg(F.collect_set("time_bucket").alias("all"))))
-    grid = grid.select("date", F.explode("all").alias("time_bucket"))
-    full = grid.join(sums, ["date", "time_bucket"], "left").fillna(0.0, ["value"])
-    running = Window.partitionBy("date").orderBy("time_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("value").over(Window.partitionBy("date"))
-    return full.select("date", "time_bucket", F.when(total > 0, 100 * F.sum("value").over(running) / total).otherwise(0.0).alias("share"))
+def prepare_trend(series: DataFrame) -> DataFrame:
+    """Rebased series; those of ten days or more also adjusted by weekday."""
+    based = rebase(series)
+    n = F.count("*").over(Window.partitionBy("metric_name"))
+    whole, day = Window.partitionBy("metric_name"), Window.partitionBy("metric_name", F.weekday("date"))
+    adjusted = F.col("value") - F.avg("value").over(day) + F.avg("value").over(whole)
+    return based.select("metric_name", "date", F.when(n >= 10, adjusted).otherwise(F.col("value")).alias("value"))
+
+
+#: Significance, least slope that counts, and where mild and moderate trends end.
+SIGNIFICANCE, FLOOR, MILD, MODERATE = 0.05, 0.004, 0.010, 0.020
+
+
+def classify_trend(series: DataFrame, exact_up_to: int = 0) -> DataFrame:
+    """Trend class, tau, p-value, slope, normalised slope and text of each series of daily values."""
+    prepared = prepare_trend(series)
+    sizes = prepared.groupBy("metric_name").agg(F.count("*").alias("n"), F.median(F.abs("value")).alias("base"))
+    rows = sizes.join(theil_sen(prepared), "metric_name", "left").join(kendall(prepared, exact_up_to), "metric_name", "left")
+    few = F.col("n") < 5
+    rows = rows.select(
+        "metric_name", "n", *[F.when(few, F.lit(d)).otherwise(F.coalesce(c, F.lit(d))).alias(c) for c, d in (("tau", 0.0), ("p_value", 1.0), ("slope", 0.0))], "base")
+    rows = rows.withColumn("normalized_slope", F.coalesce(F.col("slope") / F.nullif(F.col("base"), F.lit(0.0)), F.lit(0.0)))
+    size = F.abs("normalized_slope")
+    strength = F.when(size < MILD, "mild").when(size < MODERATE, "moderate").otherwise("strong")
+    flat = (F.col("p_value") >= SIGNIFICANCE) | (size < FLOOR)
+    way = F.when(F.col("slope") > 0, "up").otherwise("down")
+    numbers = F.concat(F.lit(" (p="), labels.grouped(F.col("p_value"), 3), F.lit(", normalized slope="),
+                       labels.grouped(F.col("normalized_slope") * 100, 3), F.lit("% per bucket)."))
+    text = (
+        F.when(few, "Insufficient observations for robust trend classification.")
+        .when(flat, F.concat(F.lit("Target period has no clear directional trend"), numbers))
+        .otherwise(F.concat(F.lit("Target period shows a "), strength, F.lit(" "), way, F.lit(" trend"), numbers)))
+    label = F.when(few, "insufficient").when(flat, "fluctuating").otherwise(F.concat_ws("_", strength, way, F.lit("trend")))
+    return rows.select("metric_name", label.alias("label"), "tau", "p_value", "slope", "normalized_slope", text.alias("summary_text"))
+
+
+def trend_comments(current: DataFrame, reference: DataFrame, exact_up_to: int = 0) -> DataFrame:
+    """Trend text of each metric and how its target mean compares with the benchmark's, null without a benchmark."""
+    cur, ref = daily_rollup(current), daily_rollup(reference)
+    means = cur.groupBy("metric_name").agg(F.avg("value").alias("c")).join(ref.groupBy("metric_name").agg(F.avg("value").alias("r")), "metric_name", "left")
+    share = (F.col("c") - F.col("r")) / F.abs(F.nullif(F.col("r"), F.lit(0.0)))
+    word = F.when(share >= 0, "above").otherwise("below")
+    said = F.when(F.col("r") == 0, "Benchmark mean is zero, so relative mean comparison is not computed.").when(
+        F.col("r").isNotNull(), F.concat(F.lit("Target-period mean is "), labels.percent(F.abs(share)), F.lit(" "), word, F.lit(" benchmark mean.")))
+    return classify_trend(cur, exact_up_to).select("metric_name", F.col("summary_text").alias("trend")).join(means.select("metric_name", said.alias("comparison")), "metric_name")
+
+
+VOLATILITY_NAMES = ("realized_volatility", "return_volatility", "volatility")
+CARDS = (("Traded Value", "turnover"), ("Quoted Spread", "quoted_spread_bps"), ("Top of book Depth", "top_of_book_depth"), ("Volatility", None))
+
+
+def _period_value(obs: DataFrame) -> DataFrame:
+    """Average daily total (turnover), root mean square of all values (volatility) or mean of daily rollups (others)."""
+    x = F.col("value")
+    daily = _valid(obs).groupBy("metric_name", "date").agg(
+        _fold(F.avg("value")).alias("rolled"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"), F.count("*").alias("n"))
+    name = F.col("metric_name")
+    return daily.groupBy("metric_name").agg(
+        F.when(name == "turnover", F.avg("total")).when(name.contains("volatility"), F.sqrt(F.sum("squares") / F.sum("n"))).otherwise(F.avg("rolled")).alias("value"))
+
+
+def overview_cards(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """The four cards: value, relative change against the reference period and their texts."""
+    cur, ref = _period_value(current), _period_value(reference).select("metric_name", F.col("value").alias("reference"))
+    rows = with_definitions(cur.join(ref, "metric_name", "left"), "unit")
+    preferred = F.array_position(F.array(*[F.lit(v) for v in VOLATILITY_NAMES]), F.col("metric_name"))
+    chosen = F.row_number().over(Window.partitionBy(F.col("metric_name").contains("volatility")).orderBy(F.col("metric_name").isin(*VOLATILITY_NAMES).cast("int").desc(), preferred, "metric_name"))
+    card = F.when(F.col("metric_name").contains("volatility") & (chosen == 1), len(CARDS))
+    for place, (_, name) in enumerate(CARDS, 1):
+        if name:
+            card = F.when(F.col("metric_name") == name, place).otherwise(card)
+    change = (F.col("value") - F.col("reference")) / F.nullif(F.col("reference"), F.lit(0.0))
+    rows = rows.withColumn("place", card).where("place is not null").withColumn("change_pct", change)
+    title = F.element_at(F.array(*[F.lit(t) for t, _ in CARDS]), F.col("place"))
+    return rows.select("place", title.alias("card"), "metric_name", "value", "change_pct", labels.card_text(F.col("value"), F.coalesce("unit", F.lit(""))).alias("value_text"),
+                       labels.delta_text(F.col("change_pct")).alias("delta_text"), labels.delta_direction(F.col("change_pct")).alias("direction"))
 
 
-def activity_distribution(obs: DataFrame) -> DataFrame:
-    """Quartiles over dates of the cumulative share per bucket."""
-    return activity_shares(obs).groupBy("time_bucket").agg(
-        F.percentile("share", F.lit(0.25)).alias("q1"), F.median("share").alias("median"), F.percentile("share", F.lit(0.75)).alias("q3"),
-        F.min("share").alias("low"), F.max("share").alias("high"))
+BARS = 30
+
+
+def minmax_scale(value: Column, *by: str) -> Column:
+    """28 to 96 between the least and greatest value of a series, 55 in a flat one."""
+    over = Window.partitionBy(*by)
+    low, high = F.min("value").over(over), F.max("value").over(over)
+    return F.when(high > low, 28 + 68 * (value - low) / (high - low)).otherwise(55.0)
+
+
+def spark_bars(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Daily means per metric, binned by week, month or quarter where there are more than BARS, with bar and mean heights."""
+    daily = _valid(current).groupBy("metric_name", "date").agg(F.avg("value").alias("value"))
+    grains = F.array(*[F.struct(F.lit(i).alias("grain"), LABELS[g](F.col("date")).alias("label")) for i, g in enumerate(("daily", "weekly", "monthly", "quarterly"))])
+    binned = daily.select("metric_name", "value", F.inline(grains)).groupBy("metric_name", "grain", "label").agg(F.avg("value").alias("value"))
+    sized = binned.withColumn("n", F.count("*").over(Window.partitionBy("metric_name", "grain")))
+    sized = sized.withColumn("usable", F.when((F.col("n") <= BARS) | (F.col("grain") == 3), F.col("grain")))
+    bars = sized.withColumn("best", F.min("usable").over(Window.partitionBy("metric_name"))).where("grain = best")
+    mean = _valid(reference).groupBy("metric_name").agg(F.avg("value").alias("benchmark_mean"))
+    bars = bars.join(F.broadcast(mean), "metric_name", "left")  # one row per metric
+    line = minmax_scale(F.col("benchmark_mean"), "metric_name")
+    return bars.select("metric_name", "label", "value", minmax_scale(F.col("value"), "metric_name").alias("height"),
+                       F.when(F.col("benchmark_mean").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), line))).alias("mean_height"))
+
+
+def _day_sums(obs: DataFrame) -> DataFrame:
+    """Activity per date and bucket, without negative values."""
+    return _valid(obs).where("value >= 0").groupBy("date", F.coalesce("time_bucket", F.lit("Full day")).alias("time_bucket")).agg(F.sum("value").alias("value"))
+
+
+def cumulative_share(df: DataFrame, *by: str) -> DataFrame:
+    """Running share of value over buckets in market order, as share; 0 where a series has no activity."""
+    order = Window.partitionBy(*by).orderBy(bucket_order(F.col("time_bucket")), "time_bucket")
+    total = F.sum("value").over(Window.partitionBy(*by))
+    running = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("share", F.when(total > 0, 100 * running / total).otherwise(0.0))
+
+
+def activity_distribution(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per bucket in market order: the current cumulative share and the spread of the reference days' shares.
+
+    The current share is of the mean over dates; a bucket that a period or day lacks adds nothing to it.
+    """
+    cur = _day_sums(current).groupBy("time_bucket").agg(F.avg("value").alias("value"))
+    ref = _day_sums(reference)
+    grid = cur.select("time_bucket").union(ref.select("time_bucket")).distinct()  # buckets of one day
+    mine = cumulative_share(grid.join(cur, "time_bucket", "left").fillna(0.0, ["value"]).withColumn("one", F.lit(1)), "one")
+    names = grid.agg(F.collect_set("time_bucket").alias("all"))
+    days = ref.select("date").distinct().join(F.broadcast(names)).select("date", F.explode("all").alias("time_bucket"))
+    theirs = cumulative_share(days.join(ref, ["date", "time_bucket"], "left").fillna(0.0, ["value"]), "date").groupBy("time_bucket").agg(*_box("share"))
+    return mine.select("time_bucket", bucket_order(F.col("time_bucket")).alias("bucket_order"), F.col("share").alias("current")).join(theirs, "time_bucket", "left")
+
+
+def _box(column: str) -> list[Column]:
+    return [F.percentile(column, F.lit(0.25)).alias("q1"), F.median(column).alias("median"), F.percentile(column, F.lit(0.75)).alias("q3"),
+            F.min(column).alias("low"), F.max(column).alias("high")]
 
 
 def session_share(obs: DataFrame) -> DataFrame:
-    """Mean over dates of each session's share of the day, absent sessions counting as 0."""
-    sums = obs.groupBy("date", session_label(F.col("time_bucket")).alias("session")).agg(F.sum("value").alias("value"))
-    shares = sums.withColumn("share", 100 * F.col("value") / F.nullif(F.sum("value").over(Window.partitionBy("date")), F.lit(0.0)))
-    days = obs.agg(F.count_distinct("date").alias("days"))
-    return shares.groupBy("session").agg(F.sum("share").alias("total")).join(F.broadcast(days)).select(
-        "session", (F.col("total") / F.col("days")).alias("share"))
-
-
-def intraday_profile(obs: DataFrame) -> DataFrame:
-    """Box statistics over dates of the mean per bucket."""
-    means = obs.groupBy("metric_name", "date", "time_bucket").agg(F.avg("value").alias("value"))
-    return means.groupBy("metric_name", "time_bucket").agg(
-        F.percentile("value", F.lit(0.25)).alias("q1"), F.median("value").alias("median"), F.percentile("value", F.lit(0.75)).alias("q3"),
-        F.min("value").alias("low"), F.max("value").alias("high"))
+    """Mean over dates of the share of each of the seven sessions; absent sessions are 0."""
+    sums = _valid(obs).where("value >= 0").groupBy("date", activity_session(F.col("time_bucket")).alias("session")).agg(F.sum("value").alias("value"))
+    total = F.sum("value").over(Window.partitionBy("date"))
+    shares = sums.withColumn("share", F.when(total > 0, 100 * F.col("value") / total).otherwise(0.0))
+    days = sums.agg(F.count_distinct("date").alias("days"))
+    means = shares.groupBy("session").agg(F.sum("share").alias("total")).join(F.broadcast(days)).select("session", (F.col("total") / F.col("days")).alias("share"))
+    every = obs.sparkSession.createDataFrame([(s,) for s in SESSIONS], "session string")
+    return F.broadcast(every).join(means, "session", "left").fillna(0.0, ["share"])
+
+
+def intraday_profile(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per metric and bucket: the current mean and the spread of the reference days' means."""
+    bucket = F.coalesce("time_bucket", F.lit("Full day")).alias("time_bucket")
+    cur = _valid(current).groupBy("metric_name", bucket).agg(F.avg("value").alias("current"))
+    means = _valid(reference).groupBy("metric_name", "date", bucket).agg(F.avg("value").alias("value"))
+    both = cur.join(means.groupBy("metric_name", "time_bucket").agg(*_box("value")), ["metric_name", "time_bucket"], "full")
+    return both.withColumn("bucket_order", bucket_order(F.col("time_bucket")))
+
+
+def chart_points(obs: DataFrame, n: int | None = None) -> DataFrame:
+    """Points of a metric's chart, the first n of each in the order of date, bucket and group, with display labels."""
+    place = F.row_number().over(Window.partitionBy("metric_name").orderBy("date", bucket_order(F.col("time_bucket")), "time_bucket", "group_key", "value"))
+    rows = obs.withColumn("place", place)
+    rows = rows if n is None else rows.where(F.col("place") <= n)
+    return rows.select("metric_name", "place", "date", labels.bucket_label(F.col("time_bucket")).alias("bucket"), labels.group_label(F.col("group")).alias("label"), "value")
+
+
+def heatmap_cells(obs: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """Cells bucket x group value of a metric with value texts, the first n of each."""
+    rows = with_definitions(obs.where(F.col("group")[key].isNotNull()), "unit")
+    place = F.row_number().over(Window.partitionBy("metric_name").orderBy("date", bucket_order(F.col("time_bucket")), "time_bucket", "group_key", "value"))
+    rows = rows.withColumn("place", place)
+    rows = rows if n is None else rows.where(F.col("place") <= n)
+    return rows.select("metric_name", "place", labels.bucket_label(F.col("time_bucket")).alias("x"), F.col("group")[key].alias("y"), "value",
+                       labels.value_text(F.col("value"), F.coalesce("unit", F.lit(""))).alias("value_text"))
+
+
+def period_text(obs: DataFrame) -> DataFrame:
+    """First and last date and number of dates, as text."""
+    span = obs.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b"), F.count_distinct("date").alias("n"))
+    return span.select(F.when(F.col("n") == 0, "n/a").when(F.col("n") == 1, F.concat("a", F.lit(" (1 day)"))).otherwise(
+        F.concat("a", F.lit(" to "), "b", F.lit(" ("), F.col("n").cast("string"), F.lit(" days)"))).alias("period_text"))

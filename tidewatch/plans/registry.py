@@ -1,7 +1,4 @@
-"""Registered queries of the market-monitoring operators, each beside its SQL.
-
-Values are rounded to six digits in both forms, so that the order of additions does not matter.
-"""
+"""Registered queries over ticks, facts, observations, comparisons and trends, each beside its SQL."""
 
 from __future__ import annotations
 
@@ -11,120 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import symbol_anchor, time_bucket
-from tidewatch.operators import asof, compare, facts, trends
-from tidewatch.sources import ticks
-
-BUCKET_MS = 1_800_000
-MAX_AGE_MS = 1_800_000
-HORIZONS = ["1m", "5m", "15m", "30m"]
-TARGET = "2024-02-05"
-METRICS = ["turnover", "volume", "trade_count", "quoted_spread_bps", "top_of_book_depth", "parkinson_volatility_bps"]
-LEVELS = list(facts.LEVELS)
-
-_QUERIES: dict[str, Callable] = {}
-_SQL: dict[str, str] = {}
-
-
-def _clock(t: str) -> str:
-    s = f"({t} - {t} % {BUCKET_MS})"
-    return (f"lpad(CAST({s} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({s} // 60000) % 60 AS VARCHAR), 2, '0') || ':' || "
-            f"lpad(CAST(({s} // 1000) % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({s} % 1000 AS VARCHAR), 3, '0')")
-
-
-_BUCKET = (
-    "CASE WHEN auction = 1 AND session = 'am' THEN 'AMO' WHEN auction = 2 AND session = 'am' THEN 'AMC' "
-    f"WHEN auction = 1 AND session = 'pm' THEN 'PMO' WHEN auction = 2 AND session = 'pm' THEN 'PMC' ELSE {_clock('time_ms')} END")
-_K = "date, time_bucket, sym, topixCapGrp"
-
-#: Common table expressions of the oracle, after the views.
-_PARTS = {
-    "act": f"""SELECT {_K}, sum(tradePrice * tradeSize) AS turnover, sum(tradeSize) AS volume, count(*) AS trade_count
-        FROM (SELECT t.*, {_BUCKET} AS time_bucket, r.topixCapGrp FROM trades t LEFT JOIN refs r USING (date, sym)) x
-        WHERE tradePrice > 0 AND tradeSize > 0 AND sym IS NOT NULL GROUP BY {_K}""",
-    "liq": f"""SELECT {_K}, median(10000 * (askPrice - bidPrice) / ((askPrice + bidPrice) / 2)) AS quoted_spread_bps,
-        median((bidSize + askSize) / lotSize) AS top_of_book_depth
-        FROM (SELECT q.*, {_clock('time_ms')} AS time_bucket, r.topixCapGrp, r.lotSize FROM quotes q LEFT JOIN refs r USING (date, sym)) x
-        WHERE bidPrice > 0 AND askPrice > bidPrice AND lotSize > 0 AND sym IS NOT NULL GROUP BY {_K}""",
-    "vol": f"""SELECT {_K}, 10000 * sqrt(pow(ln(max(tradePrice) / min(tradePrice)), 2) / (4 * ln(2))) AS parkinson_volatility_bps
-        FROM (SELECT t.*, {_clock('time_ms')} AS time_bucket, r.topixCapGrp FROM trades t LEFT JOIN refs r USING (date, sym)) x
-        WHERE tradePrice > 0 AND sym IS NOT NULL GROUP BY {_K}""",
-    "obs": " UNION ALL ".join(
-        f"SELECT '{m}' AS metric_name, {_K}, CAST({m} AS DOUBLE) AS value FROM {t}"
-        for t, names in (("act", METRICS[:3]), ("liq", METRICS[3:5]), ("vol", METRICS[5:])) for m in names),
-    "ref": f"SELECT * FROM obs WHERE date < DATE '{TARGET}'",
-    "cur": f"SELECT * FROM obs WHERE date >= DATE '{TARGET}'",
-    "units": "SELECT metric_name, time_bucket, sym, date, avg(value) AS value FROM ref GROUP BY ALL HAVING avg(value) IS NOT NULL",
-    "mid": "SELECT metric_name, time_bucket, sym, median(value) AS m FROM units GROUP BY ALL",
-    "stats": """SELECT u.metric_name, u.time_bucket, u.sym, count(value) AS n, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std,
-        min(value) AS low, max(value) AS high, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.95) AS p95, median(abs(value - m)) AS mad
-        FROM units u JOIN mid USING (metric_name, time_bucket, sym) GROUP BY ALL""",
-    "zs": """SELECT c.metric_name, c.time_bucket, c.sym, c.date, c.value, coalesce(s.n, 0) AS n, s.{centre} AS reference,
-        CASE WHEN coalesce(s.n, 0) >= 30 AND {width} <> 0 THEN (c.value - s.{centre}) / ({width}) END AS z,
-        (SELECT avg(CASE WHEN u.value <= c.value THEN 1.0 ELSE 0.0 END) FROM units u WHERE u.metric_name = c.metric_name AND u.time_bucket = c.time_bucket AND u.sym = c.sym) AS below,
-        (SELECT avg(CASE WHEN u.value >= c.value THEN 1.0 ELSE 0.0 END) FROM units u WHERE u.metric_name = c.metric_name AND u.time_bucket = c.time_bucket AND u.sym = c.sym) AS above
-        FROM cur c LEFT JOIN stats s USING (metric_name, time_bucket, sym)""",
-    "phi": """SELECT *, CASE WHEN abs(z) < 7.07106781186547 THEN exp(-z*z/2)
-        * ((((((3.52624965998911e-02*abs(z) + 0.700383064443688)*abs(z) + 6.37396220353165)*abs(z) + 33.912866078383)*abs(z) + 112.079291497871)*abs(z) + 221.213596169931)*abs(z) + 220.206867912376)
-        / (((((((8.83883476483184e-02*abs(z) + 1.75566716318264)*abs(z) + 16.064177579207)*abs(z) + 86.7807322029461)*abs(z) + 296.564248779674)*abs(z) + 637.333633378831)*abs(z) + 793.826512519948)*abs(z) + 440.413735824752)
-        ELSE exp(-z*z/2) / (abs(z) + 1/(abs(z) + 2/(abs(z) + 3/(abs(z) + 4/(abs(z) + 0.65))))) / 2.506628274631 END AS upper FROM zs""",
-    "tails": """SELECT *, metric_name IN ('quoted_spread_bps', 'parkinson_volatility_bps') AS lower_better, CASE WHEN z > 0 THEN 1 - upper ELSE upper END AS cdf FROM phi""",
-    "tail2": """SELECT *, CASE WHEN n >= 10 THEN CASE WHEN lower_better THEN above ELSE below END END AS empirical_tail,
-        CASE WHEN lower_better THEN 1 - cdf ELSE cdf END AS normal_tail FROM tails""",
-    "tail3": "SELECT *, CASE WHEN coalesce(normal_tail, 0) = 0 THEN empirical_tail ELSE normal_tail END AS tail FROM tail2",
-    "cmp": """SELECT *, value - reference AS change_abs, (value - reference) / nullif(reference, 0) AS change_pct,
-        CASE WHEN n < 10 THEN 'insufficient' WHEN n < 30 THEN 'weak' ELSE 'normal' END AS confidence,
-        CASE WHEN n < 10 AND z IS NULL THEN 'comparison_only' WHEN tail <= 0.025 THEN 'alert' WHEN tail <= 0.10 THEN 'watch' WHEN tail IS NOT NULL THEN 'normal'
-             WHEN abs(z) >= 2 THEN 'alert' WHEN abs(z) >= 1.5 THEN 'watch' ELSE 'normal' END AS status FROM tail3""",
-    "daily": """SELECT metric_name, date, CASE WHEN metric_name = 'turnover' THEN sum(value) WHEN metric_name IN ('quoted_spread_bps', 'top_of_book_depth') THEN median(value)
-        ELSE avg(value) END AS value FROM obs GROUP BY metric_name, date""",
-    "idx": "SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY date) AS i FROM daily",
-}
-
-
-def _oracle(select: str, robust: bool = True) -> str:
-    parts = ",\n".join(f"{n} AS ({q})" for n, q in _PARTS.items())
-    parts = parts.replace("{centre}", "median" if robust else "mean").replace("{width}", "1.4826 * s.mad" if robust else "s.std")
-    return f"{ticks.with_clause()},\n{parts}\n{select}"
-
-
-def _register(name: str, sql: str, robust: bool = True):
-    def add(query: Callable[[Callable], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: query(lambda view: ticks.load(spark, sf_dir, view))
-        _SQL[name] = _oracle(sql, robust)
-        return query
+from tidewatch.operators import asof, compare, facts, observations, trends
+from tidewatch.plans import base
+from tidewatch.plans.base import (
+    BUCKET_MS, BUCKET_SQL, LEVELS, MAX_AGE_MS, METRICS, QUERIES, REVERSION, SCORED, SQL, TARGET, K, clock, compared, periods, r, register, rounded, scored)
+from tidewatch.sources import calendar
 
-    return add
+CAP = ("topixCapGrp",)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def _r(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n.split('.')[-1]}" for n in names)
-
-
-def _obs(load) -> DataFrame:
-    return facts.observations(load("trades"), load("quotes"), load("refs"), BUCKET_MS)
+def _obs(load, group: tuple[str, ...] = ("sym",)) -> DataFrame:
+    return base.observations(load, group)
 
 
 def _activity(load) -> DataFrame:
     return facts.activity(load("trades"), load("refs"), BUCKET_MS)
 
 
-def _compared(load, robust: bool = True) -> DataFrame:
-    obs = _obs(load)
-    return compare.compare(obs.where(F.col("date") >= TARGET), obs.where(F.col("date") < TARGET), robust=robust)
+_CMP_SQL = ("SELECT metric_name, time_bucket, group_key, date, CAST(n AS BIGINT) AS reference_sample_size, round(value, 6) AS value, round(reference, 6) AS reference_value, round(z, 6) AS z_score, "
+            "round(CASE WHEN n >= 10 THEN below END, 6) AS percentile, round(empirical_tail, 6) AS empirical_adverse_tail, round(normal_tail, 6) AS normal_adverse_tail, "
+            "round(CASE WHEN z IS NOT NULL THEN cdf END, 6) AS normal_percentile, round(p5, 6) AS p5, round(p95, 6) AS p95, round(range_position_score, 6) AS range_position_score, "
+            "round(change_abs, 6) AS change_abs, round(change_pct, 6) AS change_pct, confidence AS comparison_confidence, status FROM cmp")
+_CMP = ("metric_name", "time_bucket", "group_key", "date", "reference_sample_size", "value", "reference_value", "z_score", "percentile", "empirical_adverse_tail",
+        "normal_adverse_tail", "normal_percentile", "p5", "p95", "range_position_score", "change_abs", "change_pct", "comparison_confidence", "status")
 
 
-_CMP_SQL = ("SELECT metric_name, time_bucket, sym, date, n, round(value, 6) AS value, round(reference, 6) AS reference, round(z, 6) AS z, "
-            "round(CASE WHEN n >= 10 THEN below END, 6) AS percentile, round(empirical_tail, 6) AS empirical_tail, round(tail, 6) AS tail, "
-            "round(change_abs, 6) AS change_abs, round(change_pct, 6) AS change_pct, confidence, status FROM cmp")
+def _compared_columns(cmp: DataFrame) -> DataFrame:
+    """Of a comparison, the columns of the SQL."""
+    return rounded(cmp.select(*_CMP))
 
 
-@_register("activity", f"SELECT {_K}, {_r('turnover', 'volume')}, trade_count FROM act")
+@register("activity", f"SELECT {K}, {r('turnover', 'volume')}, trade_count FROM act")
 def activity(load):
-    return _rounded(_activity(load))
+    return rounded(_activity(load))
 
 
 _SUMS = ("turnover", "volume", "trade_count")
@@ -134,50 +50,50 @@ _ROLL = " UNION ALL ".join(
     "CAST(sum(trade_count) AS BIGINT) AS trade_count FROM act GROUP BY ALL" for n, (kind, _, _) in facts.LEVELS.items())
 
 
-@_register("activity_market_levels", _ROLL)
+@register("activity_market_levels", _ROLL)
 def activity_market_levels(load):
-    return _rounded(facts.rollup_levels(_activity(load), LEVELS, _SUMS))
+    return rounded(facts.rollup_levels(_activity(load), LEVELS, _SUMS))
 
 
 _LABEL = " UNION ALL ".join(
-    f"SELECT {_K}, round(turnover, 6) AS turnover, '{n}' AS aggregationLevel, '{kind}' AS groupType, {chr(39) + 'TSE' + chr(39) if kind == 'market' else kind} AS groupValue FROM act"
+    f"SELECT {K}, round(turnover, 6) AS turnover, '{n}' AS aggregationLevel, '{kind}' AS groupType, {chr(39) + 'TSE' + chr(39) if kind == 'market' else kind} AS groupValue FROM act"
     for n, (kind, _, _) in facts.LEVELS.items())
 
 
-@_register("label_levels", _LABEL)
+@register("label_levels", _LABEL)
 def label_levels(load):
-    return _rounded(facts.label_levels(_activity(load).drop("volume", "trade_count"), LEVELS))
+    return rounded(facts.label_levels(_activity(load).drop("volume", "trade_count"), LEVELS))
 
 
-@_register("pre_aggregate", "SELECT date, time_bucket, topixCapGrp, round(sum(turnover), 6) AS turnover, round(sum(volume), 6) AS volume, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM act GROUP BY ALL")
+@register("pre_aggregate", "SELECT date, time_bucket, topixCapGrp, round(sum(turnover), 6) AS turnover, round(sum(volume), 6) AS volume, CAST(sum(trade_count) AS BIGINT) AS trade_count FROM act GROUP BY ALL")
 def pre_aggregate(load):
-    return _rounded(facts.pre_aggregate(_activity(load)))
+    return rounded(facts.pre_aggregate(_activity(load)))
 
 
-@_register("liquidity", f"SELECT {_K}, {_r('quoted_spread_bps', 'top_of_book_depth')} FROM liq")
+@register("liquidity", f"SELECT {K}, {r('quoted_spread_bps', 'top_of_book_depth')} FROM liq")
 def liquidity(load):
-    return _rounded(facts.liquidity(load("quotes"), load("refs"), BUCKET_MS))
+    return rounded(facts.liquidity(load("quotes"), load("refs"), BUCKET_MS))
 
 
-@_register("parkinson", f"SELECT {_K}, {_r('parkinson_volatility_bps')} FROM vol")
+@register("parkinson", f"SELECT {K}, {r('parkinson_volatility_bps')} FROM vol")
 def parkinson(load):
-    return _rounded(facts.parkinson(load("trades"), load("refs"), BUCKET_MS))
+    return rounded(facts.parkinson(load("trades"), load("refs"), BUCKET_MS))
 
 
-@_register("time_bucket_labels", f"SELECT time_bucket, count(*) AS n FROM (SELECT {_BUCKET} AS time_bucket FROM trades) x GROUP BY time_bucket")
+@register("time_bucket_labels", f"SELECT time_bucket, count(*) AS n FROM (SELECT {BUCKET_SQL} AS time_bucket FROM trades) x GROUP BY time_bucket")
 def time_bucket_labels(load):
     label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), BUCKET_MS)
     return load("trades").groupBy(label.alias("time_bucket")).agg(F.count("*").alias("n"))
 
 
-@_register("universe_filter", "SELECT DISTINCT sym FROM refs WHERE length(sym) > 0 AND sym IN ('S1', 'S3', 'S7')")
+@register("universe_filter", "SELECT DISTINCT sym FROM refs WHERE length(sym) > 0 AND sym IN ('S1', 'S3', 'S7')")
 def universe_filter(load):
-    return load("refs").where("length(sym) > 0 and sym in ('S1', 'S3', 'S7')").select("sym").distinct()
+    return calendar.universe(calendar.filter_universe(load("refs"), ["S1", "S3", "S7"]))
 
 
-@_register("reference_window", f"SELECT DISTINCT date FROM ticks WHERE date < DATE '{TARGET}' ORDER BY date DESC LIMIT 20")
+@register("reference_window", f"SELECT DISTINCT date FROM ticks WHERE date < DATE '{TARGET}' ORDER BY date DESC LIMIT 20")
 def reference_window(load):
-    return load("ticks").where(F.col("date") < TARGET).select("date").distinct().orderBy(F.desc("date")).limit(20)
+    return calendar.reference_window(load("ticks"), TARGET, 20)
 
 
 def _asof_sql(keys: str, quotes: str, age: str = "") -> str:
@@ -190,153 +106,156 @@ def _asof_sql(keys: str, quotes: str, age: str = "") -> str:
 
 
 def _asof(load, quotes: str, keys: list[str], **options) -> DataFrame:
-    joined = asof.asof_join(load("pts_trades").where("auction = 0"), asof._mids(load(quotes)), keys, ["mid"], **options)
-    return _rounded(joined.select("seq", "date", "sym", "time_ms", "r_time_ms", "r_mid"))
+    joined = asof.asof_join(load("pts_trades").where("auction = 0"), asof.mids(load(quotes)), keys, ["mid"], **options)
+    return rounded(joined.select("seq", "date", "sym", "time_ms", "r_time_ms", "r_mid"))
 
 
-@_register("asof_pts_quote", _asof_sql("date, sym, venue", "pts_quotes"))
+@register("asof_pts_quote", _asof_sql("date, sym, venue", "pts_quotes"))
 def asof_pts_quote(load):
     return _asof(load, "pts_quotes", ["date", "sym", "venue"])
 
 
-@_register("asof_primary_mid", _asof_sql("date, sym", "quotes"))
+@register("asof_primary_mid", _asof_sql("date, sym", "quotes"))
 def asof_primary_mid(load):
     return _asof(load, "quotes", ["date", "sym"])
 
 
-@_register("asof_max_age", _asof_sql("date, sym", "quotes", f"t.time_ms - q.time_ms <= {MAX_AGE_MS}"))
+@register("asof_max_age", _asof_sql("date, sym", "quotes", f"t.time_ms - q.time_ms <= {MAX_AGE_MS}"))
 def asof_max_age(load):
     return _asof(load, "quotes", ["date", "sym"], max_age=MAX_AGE_MS)
 
 
-_H = " UNION ALL ".join(f"SELECT '{h}' AS horizon, {h[:-1]} * 60000 AS h_ms, {i} AS horizon_sort_order" for i, h in enumerate(HORIZONS))
-_MID = "(SELECT {k}, time_ms, arg_max((bidPrice + askPrice) / 2, seq) AS mid FROM {t} WHERE askPrice > bidPrice AND bidPrice > 0 GROUP BY {k}, time_ms)"
-_P, _Q = _MID.format(k="date, sym, venue", t="pts_quotes"), _MID.format(k="date, sym", t="quotes")
-_SCORED = f"""(SELECT *, side * 10000 * (post_mid - primary_mid) / post_mid AS bps FROM (
-    SELECT t.*, p.mid AS pts_mid, p.time_ms AS pts_t, b.mid AS primary_mid, b.time_ms AS primary_t, a.mid AS post_mid, a.time_ms AS post_t,
-        CASE WHEN t.tradePrice > p.mid THEN 1 WHEN t.tradePrice < p.mid THEN -1 ELSE 0 END AS side, t.tradePrice * t.tradeSize AS notional
-    FROM (SELECT pt.*, h.*, pt.time_ms + h.h_ms AS post_at FROM pts_trades pt, ({_H}) h WHERE pt.auction = 0) t
-    ASOF LEFT JOIN {_P} p ON t.date = p.date AND t.sym = p.sym AND t.venue = p.venue AND t.time_ms >= p.time_ms
-    ASOF LEFT JOIN {_Q} b ON t.date = b.date AND t.sym = b.sym AND t.time_ms >= b.time_ms
-    ASOF LEFT JOIN {_Q} a ON t.date = a.date AND t.sym = a.sym AND t.post_at >= a.time_ms) x
-    WHERE time_ms - pts_t <= {MAX_AGE_MS} AND time_ms - primary_t <= {MAX_AGE_MS} AND post_at - post_t <= {MAX_AGE_MS} AND side <> 0 AND post_mid > 0 AND primary_mid IS NOT NULL)"""
+@register("asof_horizons", f"SELECT seq, horizon, round(bps, 6) AS bps FROM {SCORED} s")
+def asof_horizons(load):
+    return rounded(scored(load).select("seq", "horizon", "bps"))
 
 
-def _scored(load) -> DataFrame:
-    prepared = asof.reversion_prepare(load("pts_trades"), load("pts_quotes"), load("quotes"))
-    return asof.score_horizons(prepared, load("quotes"), HORIZONS, MAX_AGE_MS)
+@register("reversion_family", f"""SELECT date, time_bucket, venue, horizon, sym, topixCapGrp, round(bps, 6) AS primary_quote_reversion_bps, horizon_sort_order,
+    round(positive_ratio, 6) AS positive_reversion_ratio, trade_count, round(notional, 6) AS notional, CAST(1 AS DOUBLE) AS valid_primary_quote_ratio FROM ({REVERSION}) v""")
+def reversion_family(load):
+    return rounded(asof.reversion(scored(load), load("refs"), BUCKET_MS))
 
 
-@_register("asof_horizons", f"SELECT seq, horizon, round(bps, 6) AS bps FROM {_SCORED} s")
-def asof_horizons(load):
-    return _rounded(_scored(load).select("seq", "horizon", "bps"))
+@register("liquidity_market_levels", " UNION ALL ".join(
+    f"SELECT date, {'time_bucket' if 'bucket' in n else 'CAST(NULL AS VARCHAR)'} AS time_bucket, '{n}' AS aggregationLevel, '{kind}' AS groupType, "
+    f"{chr(39) + 'TSE' + chr(39) if kind == 'market' else kind} AS groupValue, round(median(10000 * (askPrice - bidPrice) / ((askPrice + bidPrice) / 2)), 6) AS quoted_spread_bps, "
+    f"round(median((bidSize + askSize) / lotSize), 6) AS top_of_book_depth FROM (SELECT q.*, {clock('time_ms')} AS time_bucket, r.topixCapGrp, r.lotSize FROM quotes q JOIN refs r USING (date, sym)) x "
+    "WHERE bidPrice > 0 AND askPrice > bidPrice AND lotSize > 0 GROUP BY ALL" for n, (kind, _, _) in facts.LEVELS.items()))
+def liquidity_market_levels(load):
+    return rounded(facts.rollup_medians(load("quotes"), load("refs"), LEVELS, BUCKET_MS))
 
 
-@_register("reversion_family", f"""SELECT date, time_bucket, venue, horizon, sym, topixCapGrp, round(sum(bps * notional) / sum(notional), 6) AS primary_quote_reversion_bps,
-    min(horizon_sort_order) AS horizon_sort_order, round(avg(CASE WHEN bps > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_reversion_ratio, count(*) AS trade_count,
-    round(sum(notional), 6) AS notional, CAST(1 AS DOUBLE) AS valid_primary_quote_ratio
-    FROM (SELECT s.*, {_BUCKET} AS time_bucket, r.topixCapGrp FROM {_SCORED} s LEFT JOIN refs r USING (date, sym)) y GROUP BY date, time_bucket, venue, horizon, sym, topixCapGrp""")
-def reversion_family(load):
-    return _rounded(asof.reversion(_scored(load), load("refs"), BUCKET_MS))
+@register("observations_long", f"SELECT metric_name, date, time_bucket, group_key, {r('value')} FROM obs")
+def observations_long(load):
+    return rounded(_obs(load).drop("group", "metadata"))
 
 
-@_register("observations_long", f"SELECT metric_name, {_K}, {_r('value')} FROM obs")
-def observations_long(load):
-    return _rounded(_obs(load))
+@register("observations_by_group", f"SELECT metric_name, date, time_bucket, group_key, {r('value')} FROM obs", group=CAP)
+def observations_by_group(load):
+    return rounded(_obs(load, CAP).drop("group", "metadata"))
 
 
 _WIDE = ", ".join(f"round(max(CASE WHEN metric_name = '{m}' THEN value END), 6) AS {m}" for m in METRICS)
 _WIDE_SQL = f"SELECT date, time_bucket AS timeBucket, '30m' AS bucketSize, sym, 'symbol' AS groupType, sym AS groupValue, {_WIDE} FROM obs GROUP BY date, time_bucket, sym"
 
 
-@_register("stock_metrics_wide", _WIDE_SQL)
+@register("stock_metrics_wide", _WIDE_SQL)
 def stock_metrics_wide(load):
-    return _rounded(facts.to_stock_metrics(_obs(load), "30m", METRICS))
-
+    return rounded(observations.to_stock_metrics(_obs(load), "30m", METRICS))
 
-@_register("stock_metrics_hydrate", "SELECT date, time_bucket AS timeBucket, sym, metric_name, round(value, 6) AS value FROM obs WHERE metric_name IN ('turnover', 'quoted_spread_bps')")
-def stock_metrics_hydrate(load):
-    return _rounded(facts.from_stock_metrics(facts.to_stock_metrics(_obs(load), "30m", METRICS), ["turnover", "quoted_spread_bps", "absent"]))
 
+@register("stock_metrics_by_group", f"""SELECT date, time_bucket AS timeBucket, '30m' AS bucketSize, 'ALL' AS sym, CASE WHEN topixCapGrp IS NULL THEN 'market' ELSE 'topixCapGrp' END AS groupType,
+    coalesce(topixCapGrp, 'ALL') AS groupValue, {_WIDE} FROM obs GROUP BY date, time_bucket, topixCapGrp""", group=CAP)
+def stock_metrics_by_group(load):
+    return rounded(observations.to_stock_metrics(_obs(load, CAP), "30m", METRICS))
 
-@_register("missing_metrics", f"SELECT DISTINCT date, 'spread_of_close' AS metric_name FROM obs")
-def missing_metrics(load):
-    wanted = F.explode(F.array(F.lit("turnover"), F.lit("spread_of_close"))).alias("metric_name")
-    requested = load("trades").select("date").distinct().select("date", wanted)
-    return facts.missing_metrics(requested, facts.to_stock_metrics(_obs(load), "30m", METRICS), ["turnover", "spread_of_close"])
 
+@register("stock_metrics_hydrate", "SELECT metric_name, date, time_bucket, group_key, round(value, 6) AS value FROM obs WHERE metric_name IN ('turnover', 'quoted_spread_bps')")
+def stock_metrics_hydrate(load):
+    wide = observations.to_stock_metrics(_obs(load), "30m", METRICS)
+    return rounded(observations.from_stock_metrics(wide, ["turnover", "quoted_spread_bps", "absent"]).drop("group"))
 
-@_register("reference_stats", f"SELECT metric_name, time_bucket, sym, n, {_r('mean', 'median', 'std', 'low', 'high', 'p5', 'p95', 'mad')} FROM stats")
-def reference_stats(load):
-    return _rounded(compare.reference_stats(compare.collapse_units(_obs(load).where(F.col("date") < TARGET))))
 
+@register("stock_metrics_merge", f"""SELECT date, time_bucket AS timeBucket, '30m' AS bucketSize, sym, 'symbol' AS groupType, sym AS groupValue,
+    round(max(CASE WHEN metric_name = 'turnover' THEN CASE WHEN date >= DATE '{TARGET}' THEN 2 * value ELSE value END END), 6) AS turnover,
+    round(max(CASE WHEN metric_name = 'volume' THEN value END), 6) AS volume FROM obs WHERE metric_name IN ('turnover', 'volume') GROUP BY date, time_bucket, sym""")
+def stock_metrics_merge(load):
+    obs = _obs(load).where("metric_name in ('turnover', 'volume')")
+    later = obs.where((F.col("metric_name") == "turnover") & (F.col("date") >= TARGET)).withColumn("value", 2 * F.col("value"))
+    return rounded(observations.merge_stock_metrics(
+        observations.to_stock_metrics(obs, "30m", ["turnover", "volume"]), observations.to_stock_metrics(later, "30m", ["turnover"])))
 
-@_register("compare_robust", _CMP_SQL)
-def compare_robust(load):
-    return _rounded(_compared(load))
 
-
-@_register("compare_standard", _CMP_SQL, robust=False)
-def compare_standard(load):
-    return _rounded(_compared(load, robust=False))
+@register("missing_metrics", f"SELECT DISTINCT t.date, m.metric_name FROM trades t, (VALUES ('turnover'), ('quoted_spread_bps')) AS m(metric_name) "
+          f"WHERE t.date >= DATE '{TARGET}' OR m.metric_name = 'quoted_spread_bps' AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.date = t.date AND o.metric_name = m.metric_name)")
+def missing_metrics(load):
+    wanted = F.explode(F.array(F.lit("turnover"), F.lit("quoted_spread_bps"))).alias("metric_name")
+    requested = load("trades").select("date").distinct().select("date", wanted)
+    held = observations.to_stock_metrics(periods(_obs(load))[1], "30m", METRICS)
+    return observations.missing_metrics(requested, held, ["turnover", "quoted_spread_bps"])
 
 
-@_register("status_counts", "SELECT metric_name, status, count(*) AS n FROM cmp GROUP BY ALL")
-def status_counts(load):
-    return compare.status_counts(_compared(load))
+@register("cache_complete", f"""SELECT metric_name, date, time_bucket, group_key, round(CASE WHEN date >= DATE '{TARGET}' THEN -value ELSE value END, 6) AS value
+    FROM obs WHERE metric_name IN ('turnover', 'quoted_spread_bps')""")
+def cache_complete(load):
+    obs, names = _obs(load), ["turnover", "quoted_spread_bps"]
+    requested = obs.where(F.col("metric_name").isin(*names)).select("date", "metric_name").distinct()
+    held = observations.to_stock_metrics(periods(obs)[1], "30m", METRICS)
+    return rounded(observations.complete(requested, held, names, obs.withColumn("value", -F.col("value"))).drop("group"))
 
 
-@_register("metric_overview", """SELECT metric_name, count(*) FILTER (status = 'alert') AS alerts, count(*) FILTER (status = 'watch') AS watches, count(*) AS n,
-    round(avg(value), 6) AS mean_value, round(avg(reference), 6) AS mean_reference, round(avg(change_pct), 6) AS mean_change FROM cmp GROUP BY metric_name""")
-def metric_overview(load):
-    return _rounded(compare.metric_overview(_compared(load)))
+@register("reference_stats", f"SELECT metric_name, time_bucket, group_key, n, {r('mean', 'median', 'std', 'low', 'high', 'p5', 'p95', 'mad')} FROM stats")
+def reference_stats(load):
+    units = observations.collapse_units(periods(_obs(load))[1], compare.KEYS)
+    return rounded(compare.reference_stats(units).drop("days", "distances"))
 
 
-@_register("market_summary", """SELECT metric_name, date, round(CASE WHEN metric_name LIKE '%volatility%' THEN sqrt(avg(value * value)) ELSE avg(value) END, 6) AS value,
-    round(avg(reference), 6) AS reference, CAST(nullif(sum(n), 0) AS BIGINT) AS n FROM cmp GROUP BY metric_name, date""")
-def market_summary(load):
-    return _rounded(compare.market_summary(_compared(load)))
+@register("compare_robust", _CMP_SQL)
+def compare_robust(load):
+    return _compared_columns(compared(load))
 
 
-_SEV = ("CASE status WHEN 'alert' THEN 0 WHEN 'watch' THEN 1 WHEN 'normal' THEN 2 ELSE 3 END, coalesce(abs(z), 0) DESC, metric_name, date, time_bucket, sym")
+@register("compare_standard", _CMP_SQL, robust=False)
+def compare_standard(load):
+    return _compared_columns(compared(load, robust=False))
 
 
-@_register("symbol_anomalies", f"SELECT sym, metric_name, date, time_bucket, status, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY {_SEV}) AS k FROM cmp WHERE status IN ('alert', 'watch')) x WHERE k = 1 ORDER BY {_SEV} LIMIT 20")
-def symbol_anomalies(load):
-    return _rounded(compare.worst_per_symbol(_compared(load), 20).select("sym", "metric_name", "date", "time_bucket", "status", "z"))
+@register("compare_groups", _CMP_SQL, group=CAP)
+def compare_groups(load):
+    return _compared_columns(compared(load, group=CAP))
 
 
-@_register("top_changes", f"SELECT metric_name, sym, date, time_bucket, status, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY {_SEV}) AS k FROM cmp WHERE status IN ('alert', 'watch')) x ORDER BY k > 1, {_SEV} LIMIT 5")
-def top_changes(load):
-    return _rounded(compare.top_changes(_compared(load)).select("metric_name", "sym", "date", "time_bucket", "status", "z"))
+@register("compare_reversion", _CMP_SQL, reversion=True)
+def compare_reversion(load):
+    return _compared_columns(compare.compare_reversion(*periods(base.reversion_obs(load))))
 
 
-@_register("group_deltas", """SELECT metric_name, topixCapGrp, round(current, 6) AS current, round(reference, 6) AS reference, round(current - reference, 6) AS delta FROM
-    (SELECT metric_name, topixCapGrp, avg(value) AS current FROM cur GROUP BY ALL) a JOIN
-    (SELECT metric_name, topixCapGrp, avg(v) AS reference FROM (SELECT metric_name, topixCapGrp, date, avg(value) AS v FROM ref GROUP BY ALL) b GROUP BY ALL) c
-    USING (metric_name, topixCapGrp) ORDER BY abs(current - reference) DESC, metric_name, topixCapGrp LIMIT 12""")
+@register("group_deltas", """SELECT metric_name, group_key, round(current, 6) AS current, round(reference, 6) AS reference, round(current - reference, 6) AS delta FROM
+    (SELECT metric_name, group_key, avg(value) AS current FROM cur GROUP BY ALL) a JOIN
+    (SELECT metric_name, group_key, avg(v) AS reference FROM (SELECT metric_name, group_key, date, avg(value) AS v FROM ref GROUP BY ALL) b GROUP BY ALL) c
+    USING (metric_name, group_key) ORDER BY abs(current - reference) DESC, metric_name, group_key LIMIT 12""", group=CAP)
 def group_deltas(load):
-    obs = _obs(load)
-    return _rounded(compare.group_deltas(obs.where(F.col("date") >= TARGET), obs.where(F.col("date") < TARGET), "topixCapGrp"))
+    return rounded(compare.group_deltas(*periods(_obs(load, CAP))))
 
 
-@_register("daily_rollup", "SELECT metric_name, date, round(value, 6) AS value FROM daily")
+@register("daily_rollup", "SELECT metric_name, date, round(value, 6) AS value FROM daily")
 def daily_rollup(load):
-    return _rounded(trends.daily_rollup(_obs(load)))
+    return rounded(trends.daily_rollup(_obs(load)))
 
 
 _LABEL_SQL = {
+    "daily": "strftime(date, '%Y-%m-%d')", "yearly": "strftime(date, '%Y')",
     "weekly": "CAST(isoyear(date) AS VARCHAR) || '-W' || lpad(CAST(week(date) AS VARCHAR), 2, '0')", "monthly": "strftime(date, '%Y-%m')",
     "quarterly": "CAST(year(date) AS VARCHAR) || '-Q' || CAST(quarter(date) AS VARCHAR)",
 }
 
 
 def _trend(grain: str) -> None:
-    @_register(f"trend_series_{grain}", f"""SELECT metric_name, {_LABEL_SQL[grain]} AS period, round(CASE WHEN metric_name = 'turnover' THEN sum(value)
+    @register(f"trend_series_{grain}", f"""SELECT metric_name, {_LABEL_SQL[grain]} AS period, round(CASE WHEN metric_name = 'turnover' THEN sum(value)
         WHEN metric_name IN ('quoted_spread_bps', 'top_of_book_depth') THEN median(value) WHEN metric_name LIKE '%volatility%' THEN sqrt(avg(value * value))
         ELSE avg(value) END, 6) AS value FROM daily GROUP BY metric_name, period""")
     def series(load):
-        return _rounded(trends.trend_series(_obs(load), grain))
+        return rounded(trends.trend_series(_obs(load), grain))
 
 
 for _grain in _LABEL_SQL:
@@ -346,69 +265,109 @@ for _grain in _LABEL_SQL:
 _PAIRS = "idx a JOIN idx b ON a.metric_name = b.metric_name AND a.i < b.i"
 
 
-@_register("theil_sen", f"SELECT a.metric_name, round(median((b.value - a.value) / (b.i - a.i)), 6) AS slope FROM {_PAIRS} GROUP BY a.metric_name")
+@register("theil_sen", f"SELECT a.metric_name, round(median((b.value - a.value) / (b.i - a.i)), 6) AS slope FROM {_PAIRS} GROUP BY a.metric_name")
 def theil_sen(load):
-    return _rounded(trends.theil_sen(trends.daily_rollup(_obs(load))))
+    return rounded(trends.theil_sen(trends.daily_rollup(_obs(load))))
 
 
-_COUNTS = "(SELECT metric_name, date, sum(value) AS value FROM obs WHERE metric_name IN ('volume', 'trade_count') GROUP BY ALL)"
+_PHI = """CASE WHEN x < 7.07106781186547 THEN exp(-x*x/2) * ((((((3.52624965998911e-02*x + 0.700383064443688)*x + 6.37396220353165)*x + 33.912866078383)*x + 112.079291497871)*x
+    + 221.213596169931)*x + 220.206867912376) / (((((((8.83883476483184e-02*x + 1.75566716318264)*x + 16.064177579207)*x + 86.7807322029461)*x + 296.564248779674)*x
+    + 637.333633378831)*x + 793.826512519948)*x + 440.413735824752) ELSE 0 END"""
+_KENDALL = """SELECT metric_name, s / sqrt(nullif(p * (p - tied), 0)) AS tau, abs(s) / sqrt(nullif((n * (n - 1) * (2 * n + 5) - y1) / 18, 0)) AS x FROM (
+    SELECT a.metric_name, sum(sign(b.value - a.value)) AS s, CAST(count(*) AS DOUBLE) AS p FROM {t} a JOIN {t} b ON a.metric_name = b.metric_name AND a.i < b.i GROUP BY a.metric_name) q
+    JOIN (SELECT metric_name, CAST(sum(t) AS DOUBLE) AS n, CAST(sum(t * (t - 1) * (2 * t + 5)) AS DOUBLE) AS y1, CAST(sum(t * (t - 1) / 2) AS DOUBLE) AS tied
+    FROM (SELECT metric_name, value, count(*) AS t FROM {t} GROUP BY ALL) g GROUP BY metric_name) y USING (metric_name)"""
 
 
-@_register("kendall", f"""SELECT metric_name, round(s / sqrt(nullif(p * (p - t), 0)), 6) AS tau FROM (SELECT a.metric_name, sum(sign(b.value - a.value)) AS s,
-    CAST(count(*) AS DOUBLE) AS p, CAST(sum(CASE WHEN a.value = b.value THEN 1 ELSE 0 END) AS DOUBLE) AS t
-    FROM {_COUNTS} a JOIN {_COUNTS} b ON a.metric_name = b.metric_name AND a.date < b.date GROUP BY a.metric_name) x""")
+@register("kendall", f"SELECT metric_name, round(coalesce(tau, 0), 6) AS tau, round(coalesce(least(1, 2 * {_PHI}), 1), 6) AS p_value FROM ({_KENDALL.format(t='idx')}) k")
 def kendall(load):
-    obs = _obs(load).where("metric_name in ('volume', 'trade_count')").groupBy("metric_name", "date").agg(F.sum("value").alias("value"))
-    return _rounded(trends.kendall(obs))
+    return rounded(trends.kendall(trends.daily_rollup(_obs(load))))
 
 
-@_register("weekday_adjust", "SELECT metric_name, date, round(value - avg(value) OVER (PARTITION BY metric_name, dayofweek(date)) + avg(value) OVER (PARTITION BY metric_name), 6) AS value FROM daily")
+_PREPARED = """(SELECT metric_name, date, i, CASE WHEN n >= 10 THEN v - avg(v) OVER (PARTITION BY metric_name, dayofweek(date)) + avg(v) OVER (PARTITION BY metric_name) ELSE v END AS value
+    FROM (SELECT *, CASE WHEN f <> 0 THEN 100 * value / f ELSE value END AS v, count(*) OVER (PARTITION BY metric_name) AS n
+    FROM (SELECT *, first_value(value) OVER (PARTITION BY metric_name ORDER BY date) AS f FROM idx) a) b)"""
+_CLASSES = f"""SELECT *, CASE WHEN n < 5 THEN 'insufficient' WHEN p_value >= 0.05 OR abs(norm) < 0.004 THEN 'fluctuating' ELSE
+    CASE WHEN abs(norm) < 0.010 THEN 'mild' WHEN abs(norm) < 0.020 THEN 'moderate' ELSE 'strong' END || CASE WHEN slope > 0 THEN '_up_trend' ELSE '_down_trend' END END AS label
+    FROM (SELECT metric_name, n, slope, coalesce(tau, 0) AS tau, coalesce(least(1, 2 * {_PHI}), 1) AS p_value, coalesce(slope / nullif(base, 0), 0) AS norm FROM
+    (SELECT metric_name, count(*) AS n, median(abs(value)) AS base FROM {_PREPARED} t GROUP BY metric_name) s
+    JOIN (SELECT a.metric_name, median((b.value - a.value) / (b.i - a.i)) AS slope FROM {_PREPARED} a JOIN {_PREPARED} b ON a.metric_name = b.metric_name AND a.i < b.i GROUP BY a.metric_name) t USING (metric_name)
+    JOIN ({_KENDALL.format(t=_PREPARED)}) k USING (metric_name)) c"""
+_SUMMARY = """CASE WHEN label = 'insufficient' THEN 'Insufficient observations for robust trend classification.' ELSE
+    CASE WHEN label = 'fluctuating' THEN 'Target period has no clear directional trend' ELSE 'Target period shows a ' || replace(replace(label, '_trend', ' trend'), '_', ' ') END
+    || format(' (p={:.3f}, normalized slope={:.3f}% per bucket).', p_value, norm * 100) END"""
+
+
+@register("classify_trend", f"""SELECT metric_name, label, round(tau, 6) AS tau, round(p_value, 6) AS p_value, round(slope, 6) AS slope, round(norm, 6) AS normalized_slope,
+    {_SUMMARY} AS summary_text FROM ({_CLASSES}) d""")
+def classify_trend(load):
+    return rounded(trends.classify_trend(trends.daily_rollup(_obs(load))))
+
+
+@register("weekday_adjust", "SELECT metric_name, date, round(value - avg(value) OVER (PARTITION BY metric_name, dayofweek(date)) + avg(value) OVER (PARTITION BY metric_name), 6) AS value FROM daily")
 def weekday_adjust(load):
-    return _rounded(trends.weekday_adjust(trends.daily_rollup(_obs(load))))
+    return rounded(trends.weekday_adjust(trends.daily_rollup(_obs(load))))
 
 
-@_register("rebase", "SELECT metric_name, date, round(CASE WHEN f = 0 THEN value ELSE 100 * value / f END, 6) AS value FROM (SELECT *, first_value(value) OVER (PARTITION BY metric_name ORDER BY date) AS f FROM daily) x")
+@register("rebase", "SELECT metric_name, date, round(CASE WHEN f = 0 THEN value ELSE 100 * value / f END, 6) AS value FROM (SELECT *, first_value(value) OVER (PARTITION BY metric_name ORDER BY date) AS f FROM daily) x")
 def rebase(load):
-    return _rounded(trends.rebase(trends.daily_rollup(_obs(load))))
+    return rounded(trends.rebase(trends.daily_rollup(_obs(load))))
+
 
+_ORDER = ("CASE {b} WHEN 'AMO' THEN 0 WHEN 'AMC' THEN 1000 WHEN 'PMO' THEN 2000 WHEN 'PMC' THEN 5000 ELSE CAST(substr({b}, 1, 2) AS INT) * 60 + CAST(substr({b}, 4, 2) AS INT) "
+          "+ CASE WHEN {b} < '12' THEN 0 ELSE 2000 END END")
+_DAY_SUMS = "(SELECT date, time_bucket, sum(turnover) AS value FROM act WHERE date {p} GROUP BY ALL)"
+_REF_SUMS, _CUR_SUMS = _DAY_SUMS.format(p=f"< DATE '{TARGET}'"), _DAY_SUMS.format(p=f">= DATE '{TARGET}'")
+_BOX = "round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS q3, round(min({v}), 6) AS low, round(max({v}), 6) AS high"
 
-@_register("activity_distribution", """SELECT time_bucket, round(quantile_cont(share, 0.25), 6) AS q1, round(median(share), 6) AS median, round(quantile_cont(share, 0.75), 6) AS q3,
-    round(min(share), 6) AS low, round(max(share), 6) AS high FROM (SELECT date, time_bucket, CASE WHEN sum(value) OVER (PARTITION BY date) > 0 THEN
-    100 * sum(value) OVER (PARTITION BY date ORDER BY time_bucket ROWS UNBOUNDED PRECEDING) / sum(value) OVER (PARTITION BY date) ELSE 0 END AS share FROM
-    (SELECT d.date, b.time_bucket, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT date FROM act) d, (SELECT DISTINCT time_bucket FROM act) b
-     LEFT JOIN (SELECT date, time_bucket, sum(turnover) AS value FROM act GROUP BY ALL) s ON s.date = d.date AND s.time_bucket = b.time_bucket) g) h GROUP BY time_bucket""")
+
+@register("activity_distribution", f"""SELECT c.time_bucket, c.o AS bucket_order, round(CASE WHEN c.total > 0 THEN 100 * c.running / c.total ELSE 0 END, 6) AS current, q1, median, q3, low, high FROM
+    (SELECT *, sum(value) OVER (ORDER BY o ROWS UNBOUNDED PRECEDING) AS running, sum(value) OVER () AS total FROM (SELECT b.time_bucket, {_ORDER.format(b='b.time_bucket')} AS o, coalesce(m.value, 0) AS value
+     FROM (SELECT DISTINCT time_bucket FROM act) b LEFT JOIN (SELECT time_bucket, avg(value) AS value FROM {_CUR_SUMS} s GROUP BY time_bucket) m USING (time_bucket)) x) c LEFT JOIN
+    (SELECT time_bucket, {_BOX.format(v='share')} FROM (SELECT date, time_bucket, CASE WHEN sum(value) OVER (PARTITION BY date) > 0 THEN
+    100 * sum(value) OVER (PARTITION BY date ORDER BY {_ORDER.format(b='time_bucket')} ROWS UNBOUNDED PRECEDING) / sum(value) OVER (PARTITION BY date) ELSE 0 END AS share FROM
+    (SELECT d.date, b.time_bucket, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT date FROM act WHERE date < DATE '{TARGET}') d CROSS JOIN (SELECT DISTINCT time_bucket FROM act) b
+     LEFT JOIN {_REF_SUMS} s ON s.date = d.date AND s.time_bucket = b.time_bucket) g) h GROUP BY time_bucket) z USING (time_bucket)""")
 def activity_distribution(load):
-    return _rounded(trends.activity_distribution(_activity(load).select("date", "time_bucket", F.col("turnover").alias("value"))))
+    return rounded(trends.activity_distribution(*periods(_activity(load).select("date", "time_bucket", F.col("turnover").alias("value")))))
+
+
+_SEVEN = ("(VALUES ('AM opening auction', 'AMO'), ('AM continuous session', 'AM'), ('AM closing auction', 'AMC'), ('PM opening auction', 'PMO'), ('PM continuous session', 'PM'), "
+          "('PM closing auction', 'PMC'), ('Other', 'Other')) AS n(session, code)")
 
 
-@_register("session_share", """SELECT session, round(sum(share) / (SELECT count(DISTINCT date) FROM act), 6) AS share FROM (
-    SELECT session, 100 * value / sum(value) OVER (PARTITION BY date) AS share FROM (SELECT date, CASE WHEN time_bucket IN ('AMO', 'AMC', 'PMO', 'PMC') THEN time_bucket
-    WHEN time_bucket < '12' THEN 'AM' ELSE 'PM' END AS session, sum(turnover) AS value FROM act GROUP BY ALL) x) y GROUP BY session""")
+@register("session_share", f"""SELECT session, round(coalesce(sum(share) / (SELECT count(DISTINCT date) FROM act), 0), 6) AS share FROM {_SEVEN} LEFT JOIN (
+    SELECT code, 100 * value / sum(value) OVER (PARTITION BY date) AS share FROM (SELECT date, CASE WHEN time_bucket IN ('AMO', 'AMC', 'PMO', 'PMC') THEN time_bucket
+    WHEN time_bucket < '12' THEN 'AM' ELSE 'PM' END AS code, sum(turnover) AS value FROM act GROUP BY ALL) x) y USING (code) GROUP BY session""")
 def session_share(load):
-    return _rounded(trends.session_share(_activity(load).select("date", "time_bucket", F.col("turnover").alias("value"))))
+    return rounded(trends.session_share(_activity(load).select("date", "time_bucket", F.col("turnover").alias("value"))))
 
 
-@_register("intraday_profile", """SELECT metric_name, time_bucket, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3,
-    round(min(v), 6) AS low, round(max(v), 6) AS high FROM (SELECT metric_name, date, time_bucket, avg(value) AS v FROM obs GROUP BY ALL) x GROUP BY ALL""")
+@register("intraday_profile", f"""SELECT metric_name, time_bucket, {_ORDER.format(b='time_bucket')} AS bucket_order, round(current, 6) AS current, q1, median, q3, low, high FROM
+    (SELECT metric_name, time_bucket, avg(value) AS current FROM cur GROUP BY ALL) a FULL JOIN
+    (SELECT metric_name, time_bucket, {_BOX.format(v='v')} FROM (SELECT metric_name, date, time_bucket, avg(value) AS v FROM ref GROUP BY ALL) x GROUP BY ALL) b USING (metric_name, time_bucket)""")
 def intraday_profile(load):
-    return _rounded(trends.intraday_profile(_obs(load)))
+    return rounded(trends.intraday_profile(*periods(_obs(load))))
 
 
-@_register("symbol_anchor", "SELECT DISTINCT sym, 'symbol-' || lower(sym) || '-' || substr(sha1(sym), 1, 8) AS anchor FROM ticks")
+@register("symbol_anchor", "SELECT DISTINCT sym, 'symbol-detail-' || lower(sym) || '-' || substr(sha1(sym), 1, 8) AS anchor FROM ticks")
 def symbol_anchors(load):
     return load("ticks").select("sym").distinct().select("sym", symbol_anchor(F.col("sym")).alias("anchor"))
 
 
-@_register("liquidity_stress", """SELECT time_bucket, sym, date, round(max(CASE WHEN metric_name = 'quoted_spread_bps' THEN z END)
+@register("liquidity_stress", """SELECT time_bucket, group_key, date, round(max(CASE WHEN metric_name = 'quoted_spread_bps' THEN z END)
     + max(CASE WHEN metric_name = 'parkinson_volatility_bps' THEN z END) - max(CASE WHEN metric_name = 'top_of_book_depth' THEN z END), 6) AS stress
-    FROM cmp GROUP BY time_bucket, sym, date""")
+    FROM cmp GROUP BY time_bucket, group_key, date""")
 def liquidity_stress(load):
-    return _rounded(compare.liquidity_stress(_compared(load)))
+    return rounded(compare.liquidity_stress(compared(load)))
+
+
+import tidewatch.plans.reports  # noqa: E402,F401  registers the report queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

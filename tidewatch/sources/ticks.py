@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: View definitions in order; each may use the earlier ones and {lineitem}.
 VIEWS = {
@@ -53,9 +54,61 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"{with_clause('{lineitem}')} SELECT * FROM {name}", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def require_columns(df: DataFrame, *names: str) -> DataFrame:
+#: Columns that each role's table must have; further ones are allowed.
+CONTRACTS = {
+    "refs": ("date", "sym", "ric", "topixCapGrp", "lotSize"),
+    "trades": ("date", "time_ms", "sym", "session", "auction", "tradePrice", "tradeSize"),
+    "quotes": ("date", "time_ms", "sym", "bidPrice", "askPrice", "bidSize", "askSize"),
+    "pts_trades": ("date", "time_ms", "sym", "session", "auction", "venue", "tradePrice", "tradeSize"),
+    "pts_quotes": ("date", "time_ms", "sym", "venue", "bidPrice", "askPrice"),
+    "primary_quotes": ("date", "time_ms", "sym", "venue", "bidPrice", "askPrice"),
+}
+#: Tables that stand in for a role's own, in order.
+FALLBACKS = {
+    "pts_trades": ("pts_trades", "venue_trades", "trades"), "pts_quotes": ("pts_quotes", "venue_quotes", "quotes"), "primary_quotes": ("primary_quotes", "quotes")}
+_ACTIVITY, _LIQUIDITY = ("turnover", "volume", "trade_count"), ("quoted_spread_bps", "top_of_book_depth")
+
+
+def roles_of(metrics: list[str]) -> list[str]:
+    """Roles that the metrics need, each once."""
+    found = []
+    for metric in metrics:
+        if metric in _ACTIVITY or metric == "parkinson_volatility_bps":
+            found += ["trades"]
+        elif metric in _LIQUIDITY:
+            found += ["quotes"]
+        elif metric.startswith("primary_quote_reversion_"):
+            found += ["pts_trades", "pts_quotes", "primary_quotes"]
+        else:
+            raise ValueError(f"unknown metric: {metric}")
+    return list(dict.fromkeys(found))
+
+
+def load_sources(tables: dict[str, DataFrame], metrics: list[str], dates: list[str] | None = None, refs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables that the metrics need, by role, restricted to dates (partition pruning) and to the universe of refs."""
+    out = {}
+    for role in roles_of(metrics):
+        name = next((n for n in FALLBACKS.get(role, (role,)) if n in tables), None)
+        if name is None:
+            raise ValueError(f"no table for role {role}")
+        df = require_columns(tables[name], *CONTRACTS[role], role=role, table=name)
+        if dates is not None:
+            df = df.where(F.col("date").isin(*[F.lit(d).cast("date") for d in dates]) if dates else F.lit(False))
+        out[role] = df if refs is None else df.join(refs.select("date", "sym"), ["date", "sym"], "left_semi")
+    return out
+
+
+def load_refs(spark: SparkSession, tables: dict[str, DataFrame], dates: list[str] | None = None) -> DataFrame:
+    """Reference data of the dates; a typed empty table where there is none."""
+    if "refs" not in tables:
+        return spark.createDataFrame([], "date date, sym string, ric string, topixCapGrp string, lotSize long")
+    refs = require_columns(tables["refs"], *CONTRACTS["refs"], role="refs")
+    return refs if dates is None else refs.where(F.col("date").isin(*[F.lit(d).cast("date") for d in dates]) if dates else F.lit(False))
+
+
+def require_columns(df: DataFrame, *names: str, role: str = "input", table: str | None = None) -> DataFrame:
     """Input contract: raises when required columns are missing; further columns are allowed."""
     missing = [n for n in names if n not in df.columns]
     if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
+        raise ValueError(f"{role} ({table or role}) lacks: {', '.join(missing)}")
     return df
