@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +34,17 @@ def sha(text: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoints df in the shared folder that the session names; sets one only where it is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "tidewatch-checkpoint"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, without it a folder of the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoint"
+
+
 def hash_share(column: str, share: float) -> F.Column:
     """True for about this share of the values, chosen by hash: a bounded training sample."""
     buckets = 1 << 20
