@@ -1,63 +1,89 @@
 """URL filter by a sort-merge range join of reversed-host keys.
 
 A host with its labels reversed and a blank after each sorts directly after every domain it belongs to, so
-a rule's host is an interval of keys. Each batch of URLs is sorted and swept once against the sorted rules;
-a stack holds the rules whose intervals contain the current key, nested from the widest to the narrowest.
-Of those whose path is a prefix of the URL's, the longest (host and path) wins. Rules go to the tasks in blocks of at
-most BLOCK_RULES, so no broadcast grows with their number.
-
-A null URL or one without ``://`` has empty host and path and meets no rule. Without a rule, hosts with a
-label that names spam are blocked and all others allowed. Repeated rows stay; an empty table gives an
-empty result; further columns are kept as they are.
+a rule's host is an interval of keys. Each batch of URLs is sorted and swept once against the sorted rules, leaping over
+rules between two keys; a stack holds the rules whose intervals contain the current key, nested from the widest to the
+narrowest. Of those whose path is a prefix of the URL's, the longest (host and path) wins; of equally long ones that of
+the longer host; of one rule listed with both verdicts, block. Rules go to the tasks in blocks of at most BLOCK_RULES,
+one block a stage, so no broadcast grows with their number; the result does not depend on the blocks.
+
+A null URL or one without ``://`` has empty host and path and meets no rule; texts of any length are read whole. Without
+a rule, hosts with a label part among BLOCKED_WORDS are blocked and all others allowed. Repeated rows stay; an empty
+table gives an empty result; further columns are kept as they are, but for those named like the results.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import cut, table
 
 BLOCK_RULES = 500_000
 #: Verdict, host, path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-SPAM = r"(^|[.-])(spam|pills|casino|porn|viagra)([.-]|$)"
-_BEST = "struct<rule:string,verdict:string,size:int>"
+BLOCKED_WORDS = (
+    "adult", "bet", "betting", "bingo", "casino", "cialis", "crack", "escort", "gambling", "jackpot", "keygen", "loan", "lottery", "malware", "payday", "phish",
+    "phishing", "pills", "poker", "porn", "replica", "roulette", "scam", "sex", "slots", "spam", "viagra", "warez", "xxx")
+SPAM = rf"(^|[.-])({'|'.join(BLOCKED_WORDS)})([.-]|$)"
+_BEST = "struct<rule:string,verdict:string,size:int,host_size:int>"
+
+
+_RANKED = "struct<size:int,host_size:int,rule:string,verdict:string>"
 
 
 def reversed_key(host: str) -> str:
     return " ".join(reversed(host.split("."))) + " "
 
 
-def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, list]]) -> list[tuple | None]:
-    """For every key, in sorted order, the longest rule fitting its path; rules are sorted by key."""
+def _sorted_rules(rules: list[tuple[str, str, str]]) -> list[tuple[str, dict, list[int]]]:
+    """(key, verdict by path, lengths of paths from the longest) of each host, by key."""
+    grouped: dict[str, dict[str, tuple[str, str]]] = {}
+    for verdict, host, path in rules:
+        paths = grouped.setdefault(reversed_key(host), {})
+        paths[path] = (host + path, "block" if "block" in (verdict, paths.get(path, (None, verdict))[1]) else verdict)
+    return [(key, paths, sorted({len(p) for p in paths}, reverse=True)) for key, paths in sorted(grouped.items())]
+
+
+def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, dict, list[int]]]) -> list[tuple | None]:
+    """For every key, swept in sorted order, (rule, verdict, length, length of its host) of the longest rule fitting its path."""
     best: list[tuple | None] = [None] * len(keys)
-    stack: list[tuple[str, list]] = []
+    names = [r[0] for r in rules]
+    stack: list[tuple] = []
     at = 0
     for i in sorted(range(len(keys)), key=keys.__getitem__):
         key = keys[i]
-        while at < len(rules) and rules[at][0] <= key:
-            while stack and not rules[at][0].startswith(stack[-1][0]):
-                stack.pop()
-            stack.append(rules[at])
-            at += 1
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
-        fitting = [r for _, group in stack for r in group if paths[i].startswith(r[1])]
-        if fitting:
-            size, path, name, verdict = max(fitting, key=lambda r: (r[0], r[2]))
-            best[i] = (name, verdict, size)
-    return best
+        end = bisect_right(names, key, at)
+        step = key.find(" ", len(stack[-1][0]) if stack else 0) + 1
+        while step and at < end:  # the labels below the top of the stack, each an interval that may begin here
+            place = bisect_left(names, key[:step], at, end)
+            if place < end and names[place] == key[:step]:
+                stack.append(rules[place])
+                at = place + 1
+            step = key.find(" ", step) + 1
+        at = end
+        path = paths[i]
+        for name, by_path, lengths in stack:
+            for n in lengths:
+                if path[:n] in by_path and len(path) >= n:
+                    rule, verdict = by_path[path[:n]]
+                    found = (len(rule), len(rule) - n, rule, verdict)
+                    best[i] = max(best[i] or found, found)
+                    break
+    return [b and (b[2], b[3], b[0], b[1]) for b in best]
 
 
 def _matcher(shared):
     def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for hosts, paths in batches:
             found = sweep([reversed_key(h) for h in hosts], paths.tolist(), shared.value)
-            yield pd.DataFrame([f or (None, None, None) for f in found], columns=["rule", "verdict", "size"]).astype({"size": "Int32"})
+            yield pd.DataFrame([f or (None, None, None, None) for f in found], columns=["rule", "verdict", "size", "host_size"]).astype({"size": "Int32", "host_size": "Int32"})
 
     return match
 
@@ -68,30 +94,26 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> D
     rest = F.coalesce(rest, F.lit(""))
     host = F.translate(F.regexp_extract(rest, "(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, "(?s)^[^/?#]*([^?#]*)", 1)
-    judged, names = pages.select("*", host.alias("__host"), path.alias("__path")), []
+    judged = pages.select("*", host.alias("__host"), path.alias("__path"), F.lit(None).cast(_RANKED).alias("__best"))
     for start in range(0, len(rules), BLOCK_RULES):
-        grouped: dict[str, list] = {}
-        for verdict, rule_host, rule_path in rules[start:start + BLOCK_RULES]:
-            name = rule_host + rule_path
-            grouped.setdefault(reversed_key(rule_host), []).append((len(name), rule_path, name, verdict))
-        shared = pages.sparkSession.sparkContext.broadcast(sorted(grouped.items()))
-
-        names.append(f"__best{len(names)}")
-        judged = judged.withColumn(names[-1], F.pandas_udf(_matcher(shared), _BEST)(F.col("__host"), F.col("__path")))
-    own = F.when(F.col("__host").rlike(SPAM), "block").otherwise("allow")
-    best = F.array_max(F.array(*[F.struct(F.coalesce(F.col(f"{n}.size"), F.lit(-1)).alias("size"), F.col(f"{n}.rule").alias("rule"),
-                                          F.col(f"{n}.verdict").alias("verdict")) for n in names])) if names else None
-    rule = best["rule"] if names else F.lit(None).cast("string")
-    verdict = F.coalesce(best["verdict"], own) if names else own
-    return judged.select(*pages.columns, F.col("__host").alias("host"), F.col("__path").alias("path"),
-                         rule.alias("rule"), verdict.alias("verdict"))
+        if start:
+            judged = cut(judged)  # so that no task holds two blocks
+        shared = pages.sparkSession.sparkContext.broadcast(_sorted_rules(rules[start:start + BLOCK_RULES]))
+        found = F.pandas_udf(_matcher(shared), _BEST)(F.col("__host"), F.col("__path"))
+        judged = judged.withColumn("__found", found)
+        # of one rule in two blocks, block comes after allow and so is the greater
+        ranked = F.when(F.col("__found.rule").isNotNull(), F.struct(*[F.col(f"__found.{c}").alias(c) for c in ("size", "host_size", "rule", "verdict")]))
+        judged = judged.withColumn("__best", F.greatest(F.col("__best"), ranked)).drop("__found")
+    verdict = F.coalesce(F.col("__best.verdict"), F.when(F.col("__host").rlike(SPAM), "block").otherwise("allow"))
+    made = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__best.rule"), "verdict": verdict}
+    return judged.select(*[c for c in pages.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
-OP9_SQL = r"""
+OP9_SQL = rf"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
@@ -101,5 +123,5 @@ v AS (SELECT *, CASE
     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches(host, '(^|[.-])(spam|pills|casino|porn|viagra)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM v
+    WHEN regexp_matches(host, '{SPAM}') THEN 'block' ELSE 'allow' END AS verdict FROM v
 """
