@@ -9,9 +9,9 @@ Captures are dealt by canonical URL and by block of time, so that a URL with a t
 task: inside a block a running last value finds the response, and one row per block and URL carries the last
 response forward.
 
-Null URL or time: the record resolves to nothing. Ties in time: the response with the greatest record_id
-wins, and a response at a revisit's own time counts as earlier. Repeated rows stay. An empty table gives an
-empty result; further columns are kept.
+Null URL or time: the record resolves to nothing and takes no part in a join. Ties in time: the response with the greatest
+record_id wins, and a response at a revisit's own time counts as earlier. Repeated rows stay. Values of any length are
+read whole. An empty table gives an empty result; further columns are kept, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -27,37 +27,45 @@ BLOCK_SECONDS = 3600
 
 
 def canonical_url(url: F.Column) -> F.Column:
-    """Scheme, fragment, port 80/443, www., query order-insensitive noise and a closing slash removed; host lowered."""
+    """Scheme, fragment, port 80 or 443, www. and a closing slash removed and the host lowered; the query stays as it is."""
     bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.lower(F.regexp_extract(bare, r"^([^/?]*)", 1)), r"^(www\.)|:(80|443)$", "")
     return F.concat(host, F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*(.*)$", 1), r"/$", ""))
 
 
 def resolve_revisits(records: DataFrame, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
-    """records: record_id, type ('response' or 'revisit'), url, time (seconds), digest, headers (map). Adds __resolved columns."""
-    keyed = records.select("*", canonical_url(F.col("url")).alias("canonical"), F.floor(F.col("time") / block_seconds).alias("block"))
-    lowered = F.transform_keys("headers", lambda k, _: F.lower(k))
-    full = F.when((F.col("type") == "response") & F.col("canonical").isNotNull(), F.struct(
-        "time", "record_id", "digest", lowered.alias("headers")))
-    keyed = keyed.withColumn("full", full)
-    order = [F.col("time"), F.when(F.col("type") == "response", 0).otherwise(1), F.col("record_id")]
+    """records: record_id, type ('response' or 'revisit'), url, time (seconds), digest, headers (map).
+
+    Adds resolved_id, valid and merged_headers.
+    """
+    columns = [c for c in records.columns if c not in ("resolved_id", "valid", "merged_headers")]
+    keyed = records.select(F.struct(*columns).alias("row")).withColumn("canonical", canonical_url(F.col("row.url")))
+    keyed = keyed.withColumn("block", F.floor(F.col("row.time") / block_seconds))
+    lowered = F.transform_keys("row.headers", lambda k, _: F.lower(k))
+    response = F.col("row.type") == "response"
+    full = F.struct(F.col("row.time").alias("time"), F.col("row.record_id").alias("record_id"), F.col("row.digest").alias("digest"), lowered.alias("headers"))
+    placed = keyed.where("canonical is not null and block is not null").withColumn("full", F.when(response, full))
+    order = [F.col("row.time"), F.when(response, 0).otherwise(1), F.col("row.record_id")]
     inside = Window.partitionBy("canonical", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = keyed.where("full is not null").groupBy("canonical", "block").agg(F.max_by("full", F.struct("time", "record_id")).alias("end"))
-    spots = keyed.select("canonical", "block").distinct().join(ends, ["canonical", "block"], "left")
+    ends = placed.where("full is not null").groupBy("canonical", "block").agg(F.max_by("full", F.struct("full.time", "full.record_id")).alias("end"))
+    spots = placed.select("canonical", "block").distinct().join(ends, ["canonical", "block"], "left")
     before = Window.partitionBy("canonical").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = spots.select("canonical", "block", F.last("end", ignorenulls=True).over(before).alias("carried"))
-    found = keyed.withColumn("found", F.last("full", ignorenulls=True).over(inside)).join(carried, ["canonical", "block"], "left")
-    found = found.withColumn("found", F.when(F.col("type") == "revisit", F.coalesce("found", "carried")))
+    found = placed.withColumn("found", F.last("full", ignorenulls=True).over(inside)).join(carried, ["canonical", "block"], "left")
+    found = found.select("row", F.when(F.col("row.type") == "revisit", F.coalesce("found", "carried")).alias("found"))
+    # records that no URL or time places would all meet in one task of the windows
+    apart = keyed.where("canonical is null or block is null").select("row", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    found = found.unionByName(apart)
     own = F.coalesce(lowered, F.create_map().cast("map<string,string>"))
 
     def same(field: str) -> F.Column:
         return F.element_at(own, F.lit(field)) == F.element_at(F.col("found.headers"), F.lit(field))
 
-    valid = F.coalesce(F.col("digest") == F.col("found.digest"), same("etag"), same("last-modified"), F.lit(False))
+    valid = F.coalesce(F.col("row.digest") == F.col("found.digest"), same("etag"), same("last-modified"), F.lit(False))
     kept = F.map_filter(own, lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(F.col("found.headers"), lambda k, _: ~F.coalesce(F.array_contains(F.map_keys(kept), k), F.lit(False))), kept)
     return found.select(
-        *records.columns, F.when(valid, F.col("found.record_id")).alias("resolved_id"), valid.alias("valid"),
+        "row.*", F.when(valid, F.col("found.record_id")).alias("resolved_id"), valid.alias("valid"),
         F.when(valid, merged).alias("merged_headers"))
 
 
@@ -69,9 +77,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("record_id"), F.regexp_replace("url", r"/[^/]*$", "/").alias("url"), F.col("page_id").alias("time"),
         F.when(F.col("page_id") % 3 == 0, "response").otherwise("revisit").alias("type"),
         F.when(F.col("page_id") % 5 != 0, F.crc32(F.regexp_replace("url", r"/[^/]*$", "/")).cast("string")).alias("digest"),
-        F.create_map(F.lit("ETag"), (F.col("page_id") % 2).cast("string"), F.lit("Server"), F.lit("s")).alias("headers"))
+        F.create_map(F.lit("ETag"), (F.col("page_id") % 2).cast("string"), F.lit("Server"), F.concat(F.lit("s"), (F.col("page_id") % 7).cast("string"))).alias("headers"))
     found = resolve_revisits(records, 1000)
-    return found.select("record_id", "url", "type", "resolved_id", F.element_at("merged_headers", F.lit("etag")).alias("etag"))
+    return found.select("record_id", "url", "type", "resolved_id", F.element_at("merged_headers", F.lit("etag")).alias("etag"),
+                        F.element_at("merged_headers", F.lit("server")).alias("server"))
 
 
 OP3_SQL = r"""
@@ -82,5 +91,6 @@ f AS (SELECT a.record_id, a.url, a.type, a.has_digest, a.etag, b.record_id AS fo
     row_number() OVER (PARTITION BY a.record_id ORDER BY b.record_id DESC) AS n
     FROM c a LEFT JOIN c b ON a.type = 'revisit' AND b.type = 'response' AND a.canonical = b.canonical AND b.record_id <= a.record_id),
 v AS (SELECT *, CASE WHEN found_id IS NULL THEN FALSE WHEN has_digest AND found_digest THEN url = found_url ELSE etag = found_etag END AS valid FROM f WHERE n = 1)
-SELECT record_id, url, type, CASE WHEN valid THEN found_id END AS resolved_id, CASE WHEN valid THEN etag END AS etag FROM v
+SELECT record_id, url, type, CASE WHEN valid THEN found_id END AS resolved_id, CASE WHEN valid THEN etag END AS etag,
+    CASE WHEN valid THEN 's' || CAST(found_id % 7 AS VARCHAR) END AS server FROM v
 """
