@@ -6,8 +6,9 @@ is searched with a BK-tree (children keyed by their distance to the parent); it
 join two of its components, so a group of n copies gives at most n - 1 of them. Shards above
 SHARD_ROWS are split by salt and searched part against part, which loses no link.
 
-Null or empty text has fingerprint zero and links like any other. Equal texts share a fingerprint.
-Repeated rows stay. Further columns are ignored. An empty table gives an empty result.
+Null or empty text has fingerprint zero and links like any other. Equal texts share a fingerprint; texts of any length
+are read whole. Repeated rows stay, a null doc_id is in its component but never names it (a component of null ids alone has
+a null name), and of tied ids the smallest names it. Further columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,9 +166,15 @@ def group_near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(near_links(distinct.select("fp")))
     linked = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = cut(linked.join(least, "root").select("fp", "n", "component_id"))
+    linked = cut(linked)
+    least = cut(linked.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")).where("members > 1"))
     limit = marked.count() * HOT_PART
+    # large components, of which there are few, by broadcast; a fingerprint alone in its component needs no join
+    large = F.broadcast(least.where(F.col("members") > limit).select("root", F.col("component_id").alias("large_id")))
+    rest = linked.join(large, "root", "left")
+    small = least.where(F.col("members") <= limit).select("root", "component_id")
+    joined = rest.where("large_id is null").join(small, "root", "left").select("fp", "n", F.coalesce("component_id", "low").alias("component_id"))
+    named = cut(rest.where("large_id is not null").select("fp", "n", F.col("large_id").alias("component_id")).unionByName(joined))
     hot = F.broadcast(named.where(F.col("n") > limit).select("fp", "component_id"))
     rest = marked.join(hot.select("fp"), "fp", "left_anti").join(named.select("fp", "component_id"), "fp")
     return marked.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
