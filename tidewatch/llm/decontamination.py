@@ -5,12 +5,14 @@ the corpus; since a window must be contained whole, its prefix is its single rar
 position joins where its word is some window's prefix and the window, laid so that the words meet, lies
 inside the document (positional and length bounds); equality of all its words is then verified.
 
-Items go to the tasks in blocks of at most BLOCK_WORDS words (one longer item is a block of its own), so
-what is broadcast does not grow with the benchmark; hits of several blocks are merged per document.
-
-Null or empty text has no words and is clean; items without words never match. Repeated rows give
-repeated results; repeated items count once per item_id. Items
-with a null item_id count for the words hit, not for the items. Further columns are ignored.
+Items go to the tasks in blocks of at most BLOCK_WORDS words (one longer item is a block of its own), one block a stage:
+a block of that size is an index of about 100 MB, and neither the driver nor a task holds two. Hits of several blocks are
+merged per document.
+
+Null or empty text has no words and is clean; texts of any length are read whole. Items without words never match.
+Repeated rows give repeated results; repeated items count once per item_id. Items with a null item_id count for the
+words hit, not for the items. Of words equally rare in a window the smallest is its prefix. An empty table gives an
+empty result. Further columns are kept, but for those named like the results.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import alnum_words, sha, table
+from tidewatch.llm.common import alnum_words, cut, sha, table
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
@@ -95,7 +97,8 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return merged
 
 
-_HITS = "struct<n_words:long,spans:array<struct<a:long,b:long>>,items:array<string>>"
+_SPANS = "array<struct<a:long,b:long>>"
+_HITS = f"struct<n_words:long,spans:{_SPANS},items:array<string>>"
 _FOUND = "struct<n_hit:long,n_items:long,items_sha256:string>"
 
 
@@ -125,18 +128,22 @@ def _summary(spans: pd.Series, items: pd.Series) -> pd.DataFrame:
 
 def mark_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """All columns of docs, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    marked, names = docs, []
+    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    docs = docs.select(*[c for c in docs.columns if c not in made])
+    marked, spans, items_found, done = docs, F.array().cast(_SPANS), F.array().cast("array<string>"), 0
     for block in _blocks(items):
+        if done:
+            marked = cut(marked)  # so that no task holds two blocks
         counts = word_counts(docs, {w for _, words in block for w in words})
-        names.append(f"__block{len(names)}")
-        marked = _apply(marked, *_index(block, counts), names[-1])
-    if not names:
-        marked = _apply(marked, {}, {}, "__block0")
-        names = ["__block0"]
-    spans = F.flatten(F.array(*[F.col(f"{n}.spans") for n in names]))
-    found = F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names])))
-    marked = marked.withColumn("__found", F.pandas_udf(_summary, _FOUND)(spans, found))
-    hit, words = F.col("__found.n_hit"), F.col("__block0.n_words")
+        marked = _apply(marked, *_index(block, counts), "__now")
+        before = (F.col("__spans"), F.col("__items")) if done else (spans, items_found)
+        marked = marked.select(*docs.columns, F.col("__now.n_words").alias("__n"), F.concat(before[0], F.col("__now.spans")).alias("__spans"),
+                               F.array_union(before[1], F.col("__now.items")).alias("__items"))
+        done += 1
+    if not done:
+        marked = _apply(marked, {}, {}, "__now").select(*docs.columns, F.col("__now.n_words").alias("__n"), spans.alias("__spans"), items_found.alias("__items"))
+    marked = marked.withColumn("__found", F.pandas_udf(_summary, _FOUND)(F.col("__spans"), F.col("__items")))
+    hit, words = F.col("__found.n_hit"), F.col("__n")
     return marked.select(
         *docs.columns, words.alias("n_words"), hit.alias("n_hit"), F.col("__found.n_items").alias("n_items"),
         F.col("__found.items_sha256").alias("items_sha256"),
