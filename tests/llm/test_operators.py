@@ -281,11 +281,32 @@ def test_html():
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><li>menu</li></nav><!-- x -->"
         "<div class='ad'>buy</div><article><h1>Head &amp; more</h1><p><b>First<br><p>Second\n line</p><div class='comments'>no</div></article><footer>f</footer></body>")
-    assert html.main_text(page, set()) == "Head & more\nFirst\nSecond line"
-    assert html.main_text(None, set()) == "" == html.main_text("", set())
-    assert html.main_text("<body><div id='sidebar'>s</div><p>only</p><p>frame</p><form>f</form>", {"frame"}) == "only"
-    wrapper = html.infer_wrapper([f"<body><p>Our site</p><h1>{t}</h1></body>" for t in ("a", "b", "c")])
-    assert ["#", "Our site"] in wrapper and ["#", None] in wrapper
+    assert html.main_text(page) == "Head & more\nFirst\nSecond line"
+    assert html.main_text(None) == "" == html.main_text("")
+    assert html.main_text("<body><div id='sidebar'>s</div><p>only</p><form>f</form>") == "only"
+
+
+def _anonymous(n: int) -> str:
+    """A page whose tags tell nothing: what is its article shows only beside other pages of its host."""
+    menu = "".join(f"<div class='r'><a href='/{n}{k}'>link {n} {k}</a></div>" for k in range(3 + n % 2))
+    paragraphs = "".join(f"<div class='t'>word{n} <i>text</i> {k} and more of the story number {n * 7 + k}</div>" for k in range(2 + n % 3))
+    note = "<div class='z'><div class='y'>seen by some</div></div>" if n % 2 else ""
+    return f"<html><body><div class='a'>{menu}</div><div class='b'>Our site</div>{note}<div class='c'><div class='h'>Title {n}</div>{paragraphs}</div><div class='d'>page {n}</div></body></html>"
+
+
+def test_html_wrapper_decides_pages_without_telling_tags(spark):
+    wrapper = html.infer_wrapper([_anonymous(n) for n in range(6)])
+    text = html.expression(wrapper)
+    assert '"Our site")' in text and "div.c/div.t:#)+" in text and "seen by some" in text and ")?" in text
+    assert html.region(wrapper) == "html/body/div.c" and html.region([]) is None
+    rows = [(n, f"http://h.de/{n}", _anonymous(n), "x", "y") for n in range(6)] + [(6, "http://h.de/6", "<body><p>another form</p></body>", "x", "y"), (7, None, "<p>alone</p>", "x", "y"),
+            (8, "http://h.de/8", None, "x", "y"), (0, "http://h.de/0", _anonymous(0), "x", "y")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, region string")
+    found = [(r["page_id"], r["text"], r["region"]) for r in html.extract_text(frame).collect()]
+    expected = {n: "\n".join([f"Title {n}"] + [f"word{n} text {k} and more of the story number {n * 7 + k}" for k in range(2 + n % 3)]) for n in range(6)} | {6: "another form", 7: "alone", 8: ""}
+    assert sorted(found) == sorted((i, expected[i], "y") for i, *_ in rows) and html.extract_text(frame.limit(0)).count() == 0
+    # the plain rules alone would take the menus and notes too
+    assert html.main_text(_anonymous(1)) != expected[1]
 
 
 def test_html_on_pages(spark):
@@ -354,6 +375,70 @@ def test_deobfuscation_of_any_length(spark):
     assert toxicity.score_toxicity(frame, fitted).where("score >= 0.5").count() == 3
 
 
+def test_viterbi_equals_exhaustive_search(spark):
+    import itertools
+
+    rows = [(i, "the idiot and the moron are stupid people of this town and shit happens to an asshole", None) for i in range(300)]
+    model = toxicity.character_model(spark.createDataFrame(rows, "doc_id long, text string, x int"))
+
+    def brute(token):
+        options = []
+        for at, char in enumerate(token):
+            again = at > 0 and token[at - 1] == char
+            arcs = [(char, 0.0)] if char in toxicity._CODES else []
+            arcs += [(c, -0.5) for c in toxicity.LEET.get(char, "")]
+            if char in "!|+(":
+                arcs.append(("", toxicity.DROPPED if 0 < at < len(token) - 1 and not again else -0.5))
+            elif char not in toxicity._CODES and char not in toxicity.LEET:
+                arcs.append(("", -0.5))
+            if again:
+                arcs.append(("", toxicity.REPEAT if char in toxicity._CODES or char in "!|+(" else toxicity.DROPPED))
+            options.append(arcs)
+        best = {}
+        for path in itertools.product(*options):
+            word = "".join(c for c, _ in path)
+            codes = [toxicity.BLANK, toxicity.BLANK, *(toxicity._CODES[c] for c in word)] + ([toxicity.BLANK] if word else [])
+            score = sum(c for _, c in path) + sum(model[x, y, z] for x, y, z in zip(codes, codes[1:], codes[2:]))
+            best[word] = max(score, best.get(word, -1e9))
+        return max(best.values()), best
+
+    for token in ("1d10t", "sh!t", "a55hole", "st|_|p1d", "mm00rr", "$h1t", "x", "!!", "t0wn!"):
+        top, every = brute(token)
+        assert every[toxicity.decode(token, model)] == pytest.approx(top), token
+    assert toxicity.decode("sh!t", model) == "shit" and toxicity.decode("a55hole", model) == "asshole"
+    restorer = toxicity.Restorer(model, {"the": -1.0}, {"stupid": 1.0})
+    assert "stupid" in restorer.words("the st upid town") and "stupid" not in toxicity.Restorer(model, {"upid": -1.0}, {"stupid": 1.0}).words("st upid")
+
+
+def test_decoding_restores_held_out_documents(spark):
+    """Held-out toxic documents with their lexicon words disguised: scores with the decoder and without."""
+    import random
+
+    folder, draw = "/root/testdata/sf0.1", random.Random(4)
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    fitted = toxicity.fit(docs, labels)
+    held = docs.join(labels, "doc_id").where("toxic = 1 and crc32(cast(doc_id as string)) % 5 = 0 and length(text) < 4000").select("doc_id", "text").collect()
+    lexicon = {w for w in fitted["weights"] if w.isalpha() and len(w) > 3}
+    leet = str.maketrans({"i": "1", "o": "0", "e": "3", "a": "@", "s": "$"})
+
+    def disguise(word):
+        bare = word.strip(".,")
+        if bare.lower() not in lexicon:
+            return word
+        return draw.choice([bare.translate(leet), " ".join(bare), ".".join(bare), bare[0] + bare[1] * 5 + bare[2:]])
+
+    rows = [(r["doc_id"], " ".join(disguise(w) for w in r["text"].split(" "))) for r in held]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    caught = toxicity.score_toxicity(frame, fitted).where("score >= 0.5").count()
+    weights, beta = fitted["weights"], fitted["beta"]
+    plain = 0
+    for _, text in rows:
+        x = toxicity._evidence([w.strip(".,") for w in text.lower().split()], weights, {})
+        plain += beta[0] + sum(b * v for b, v in zip(beta[1:], x)) >= 0
+    print(len(rows), caught, plain)
+    assert len(rows) >= 20 and caught >= 0.85 * len(rows) and plain <= 0.5 * len(rows)
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert simhash.group_near_duplicates(none).count() == 0 and packing.pack(none).count() == 0
