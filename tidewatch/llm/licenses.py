@@ -129,7 +129,9 @@ def _kept(found: Column) -> Column:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """All columns of docs and those of the query's contract."""
-    norm = docs.select("*", normalised(F.col("text")).alias("__norm"))
+    made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    columns = [c for c in docs.columns if c not in made]
+    norm = docs.select(*columns, normalised(F.col("text")).alias("__norm"))
     texts = norm.withColumn("__norm", F.concat(F.lit(" "), F.col("__norm"), F.lit(" ")))
     n_words = F.when(F.col("__norm") == "  ", F.lit(0)).otherwise(_spaces(F.col("__norm")) - 1)
     gate = r" (?:licen[cs]ed?|licensing|unlicense|released|distributed|published|available|provided|subject|spdx|copyright|cc|reserved|domain|permission|redistribution) "
@@ -149,7 +151,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     own = F.coalesce(F.transform("__found", lambda x: x["label"]), F.array().cast("array<string>"))
     strength = F.coalesce(F.array_max(F.transform("__found", lambda x: x["strength"])), F.lit(0.0))
     return out.select(
-        *docs.columns, "n_words", count.alias("n_base"), F.least(*firsts).alias("first_word"),
+        *columns, "n_words", count.alias("n_base"), F.least(*firsts).alias("first_word"),
         F.greatest(*lasts).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
         F.when(count > 0, F.lit(1.0)).otherwise(strength).alias("score"))
