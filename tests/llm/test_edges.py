@@ -66,8 +66,43 @@ def test_clashing_names_and_empty_tables(spark):
     assert sorted(map(str, map(tuple, marked))) == sorted(map(str, [(1, 7, 5, 7), (1, 7, 5, 7), (None, 0, 0, 7)]))
     assert decontamination.mark_contamination(docs.limit(0), items).count() == 0 and decontamination.mark_contamination(docs, items.limit(0)).where("contaminated").count() == 0
     assert {r["labels"] for r in licenses.scan_licenses(docs).collect()} == {"mit", ""} and licenses.scan_licenses(docs).columns.count("score") == 1
-    assert pii.find_pii(docs, (pii.BoostedTrees(), 1.1)).columns.count("pii_base") == 1
+    assert pii.find_pii(docs, (pii.BoostedTrees(), {})).columns.count("pii_base") == 1
     labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).columns.count("score") == 1
     assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+#: What real notices say, and the labels that the method must find in them.
+NOTICES = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+    ("GNU General Public License, version 2, as published by the Free Software Foundation", "gpl-2"), ("Released under the GPLv3.", "gpl-3"), ("SPDX-License-Identifier: AGPL-3.0-only", "agpl-3"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2"), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"), ("a Creative Commons Attribution-ShareAlike 3.0 Unported License", "cc-by-sa"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivs 2.0 Generic License", "cc-by-nc-nd"), ("see https://creativecommons.org/licenses/by-nc-sa/4.0/ for licenses", "cc-by-nc-sa"), ("Text: CC BY-SA 4.0", "cc-by-sa"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", "mit"),
+    ("Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software", "bsd-3"),
+    ("Use of this source code is governed by a BSD-style license", "bsd-3"), ("Distributed under the Boost Software License, Version 1.0.", "boost"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "ofl"),
+    ("made available under the terms of the Eclipse Public License 2.0", "epl-2"), ("Licensed under the EUPL v1.2", "eupl"), ("under the Server Side Public License", "sspl"), ("all rights reserved", "all-rights-reserved"),
+    ("The committee published a report on the weather.", ""), ("a license to drive is available from the office", ""),
+]
+
+
+def test_licenses_of_real_notices(spark):
+    rows = spark.createDataFrame(list(enumerate(t for t, _ in NOTICES)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(rows).collect()}
+    for i, (text, labels) in enumerate(NOTICES):
+        assert set(filter(None, labels.split(","))) <= set(filter(None, found[i][0].split(","))), (text, found[i])
+        if not labels:
+            assert found[i] == ("", 0.0), text
+
+
+def test_license_rules_gate_rank_and_contain(spark, monkeypatch):
+    rules = [("short", "alpha", "alpha beta", 9, 0.5), ("long", "alpha", "alpha beta gamma", 1, 0.6), ("low", "delta", "delta", 1, 0.9), ("high", "delta", "delta", 2, 0.2), ("gated", "absent", "delta", 9, 1.0), ("tie", "delta", "delta", 2, 0.3)]
+    monkeypatch.setattr(licenses, "rules", lambda: rules)
+    rows = spark.createDataFrame([(1, "license alpha beta gamma"), (2, "license alpha beta delta delta"), (3, "license epsilon")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(rows).collect()}
+    assert found == {1: ("long", 0.6), 2: ("high,short,tie", 0.5), 3: ("", 0.0)}
