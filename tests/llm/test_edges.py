@@ -106,3 +106,24 @@ def test_license_rules_gate_rank_and_contain(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "license alpha beta gamma"), (2, "license alpha beta delta delta"), (3, "license epsilon")], "doc_id long, text string")
     found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan_licenses(rows).collect()}
     assert found == {1: ("long", 0.6), 2: ("high,short,tie", 0.5), 3: ("", 0.0)}
+
+
+def test_pii_thresholds_of_kinds_and_planted_spans(spark):
+    import numpy as np
+
+    kinds = np.array([4] * 100 + [8] * 100 + [9] * 5)
+    p = np.array([0.9] * 50 + [0.5] * 50 + [0.9] * 50 + [0.5] * 50 + [0.9] * 5)
+    truth = np.array([1.0] * 50 + [0.0] * 50 + [1.0] * 100 + [0.0] * 5)
+    found = pii.calibrate(p, truth, kinds)
+    assert 0.5 < found["secret"] <= 0.9 and found["local"] <= 0.5 and found["disguised"] == found[""]
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fitted, draw = pii.fit(corpus), random.Random(8)
+    token = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHJKMNPQRSTUVWXYZ0123456789") for _ in range(n))
+    hexes = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    planted = [f"set {k} {v} {token(draw.randint(12, 40))}" for k in ("token", "api_key", "password") for v in ("=", ":") for _ in range(10)]
+    planted += [f"the digest {hexes(draw.choice((32, 40, 64)))} was kept" for _ in range(30)] + [f"call 0{draw.randint(20, 99)} {draw.randint(1000, 9999)} {draw.randint(1000, 9999)} now" for _ in range(20)]
+    clean = [f"the {w} of the town was a matter of {k} days and {n} people, see page {n}" for w in ("secret", "token", "key") for k in (3, 14) for n in (12, 2024, 150)]
+    caught = sum(bool(pii.select_spans(t, *fitted)[1]) for t in planted)
+    wrong = sum(bool(pii.select_spans(t, *fitted)[1]) for t in clean)
+    print("planted", len(planted), "caught", caught, "clean", len(clean), "touched", wrong)
+    assert caught >= 0.9 * len(planted) and not wrong
