@@ -86,8 +86,10 @@ def kendall(series: DataFrame, exact_up_to: int = 0) -> DataFrame:
     """Kendall's tau-b of value against time and its two-sided p-value per series.
 
     The p-value is the normal approximation with correction for ties; series without ties of at most exact_up_to values
-    get the exact one, from a table made by rule.
+    get the exact one, from a table made by rule. Values that agree to nine digits after the point are ties: adjusted values
+    carry the rounding of their sums.
     """
+    series = series.withColumn("value", F.round("value", 9))
     ties = series.groupBy("metric_name", "value").agg(F.count("*").alias("t")).groupBy("metric_name").agg(
         F.sum("t").cast("double").alias("n"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).cast("double").alias("y1"),
         F.sum(F.expr("t * (t - 1) / 2")).cast("double").alias("tied"))

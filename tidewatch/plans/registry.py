@@ -279,7 +279,10 @@ _KENDALL = """SELECT metric_name, s / sqrt(nullif(p * (p - tied), 0)) AS tau, ab
     FROM (SELECT metric_name, value, count(*) AS t FROM {t} GROUP BY ALL) g GROUP BY metric_name) y USING (metric_name)"""
 
 
-@register("kendall", f"SELECT metric_name, round(coalesce(tau, 0), 6) AS tau, round(coalesce(least(1, 2 * {_PHI}), 1), 6) AS p_value FROM ({_KENDALL.format(t='idx')}) k")
+_ROUNDED = "(SELECT metric_name, i, round(value, 9) AS value FROM {t})"
+
+
+@register("kendall", f"SELECT metric_name, round(coalesce(tau, 0), 6) AS tau, round(coalesce(least(1, 2 * {_PHI}), 1), 6) AS p_value FROM ({_KENDALL.format(t=_ROUNDED.format(t='idx'))}) k")
 def kendall(load):
     return rounded(trends.kendall(trends.daily_rollup(_obs(load))))
 
@@ -292,7 +295,7 @@ _CLASSES = f"""SELECT *, CASE WHEN n < 5 THEN 'insufficient' WHEN p_value >= 0.0
     FROM (SELECT metric_name, n, slope, coalesce(tau, 0) AS tau, coalesce(least(1, 2 * {_PHI}), 1) AS p_value, coalesce(slope / nullif(base, 0), 0) AS norm FROM
     (SELECT metric_name, count(*) AS n, median(abs(value)) AS base FROM {_PREPARED} t GROUP BY metric_name) s
     JOIN (SELECT a.metric_name, median((b.value - a.value) / (b.i - a.i)) AS slope FROM {_PREPARED} a JOIN {_PREPARED} b ON a.metric_name = b.metric_name AND a.i < b.i GROUP BY a.metric_name) t USING (metric_name)
-    JOIN ({_KENDALL.format(t=_PREPARED)}) k USING (metric_name)) c"""
+    JOIN ({_KENDALL.format(t=_ROUNDED.format(t=_PREPARED + ' u'))}) k USING (metric_name)) c"""
 _SUMMARY = """CASE WHEN label = 'insufficient' THEN 'Insufficient observations for robust trend classification.' ELSE
     CASE WHEN label = 'fluctuating' THEN 'Target period has no clear directional trend' ELSE 'Target period shows a ' || replace(replace(label, '_trend', ' trend'), '_', ' ') END
     || format(' (p={:.3f}, normalized slope={:.3f}% per bucket).', p_value, norm * 100) END"""
