@@ -59,6 +59,24 @@ def test_simhash_large_components_and_null_ids(spark, monkeypatch):
         assert sorted(found, key=str) == sorted([(i, 0) for i in texts] * 3 + [(None, 900)] * 2 + [(900, 900)], key=str)
 
 
+@pytest.mark.parametrize("part", [0.001, 0.05, 1.0])
+def test_components_of_hubs_and_chains(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "HOT_PART", part)
+    draw = random.Random(5)
+    pairs = [(500, n) for n in range(400, 480)] + [(900, n) for n in range(901, 980)] + [(n, n + 1) for n in range(1000, 1040)]
+    pairs += [(1040, 2000), (7, 7), *[(2000, n) for n in range(2001, 2060)], *[(draw.randrange(3000, 3300), draw.randrange(3000, 3300)) for _ in range(120)]]
+    least = {n: n for p in pairs for n in p}
+    for _ in least:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            break
+    found = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs + pairs[:9], "a long, b long")).collect()}
+    alone = {a for a, b in pairs if a == b} - {n for a, b in pairs if a != b for n in (a, b)}
+    assert found == {n: r for n, r in least.items() if n not in alone and n != r}
+
+
 def test_clashing_names_and_empty_tables(spark):
     docs = wide(spark, [(1, "under the mit license a@b.de"), (1, "under the mit license a@b.de"), (None, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "under the mit license a")], "item_id long, text string")

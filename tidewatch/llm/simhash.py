@@ -28,7 +28,7 @@ RADIUS = 4
 SHINGLE_WORDS = 4
 #: Fingerprints of one search; larger shards are split into salted parts.
 SHARD_ROWS = 20_000
-#: Fingerprints with more than this part of all rows are joined by broadcast: fewer than its inverse.
+#: Keys with more than this part of all rows (links counted from both ends) are joined by broadcast: fewer than its inverse.
 HOT_PART = 0.001
 #: Widths of the six bit blocks.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -141,22 +141,29 @@ def near_links(fps: DataFrame) -> DataFrame:
     )
 
 
+def _with_least(edges: DataFrame, limit: float) -> DataFrame:
+    """edges (u, v) and m, the least of u and all its v; nodes of more than limit edges, of which there are few, meet theirs by broadcast."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hubs = F.broadcast(low.where(F.col("n") > limit).select("u", "m"))
+    others = low.where(F.col("n") <= limit).select("u", "m")
+    return edges.join(hubs, "u").union(edges.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes: rounds of large and small stars until the forest is flat."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    previous = None
+    previous, n_edges = None, edges.count()
     while True:
+        limit = 2 * n_edges * HOT_PART
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        small = _with_least(large, limit).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = cut(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if tuple(state) == previous:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        previous = tuple(state)
+        previous, n_edges = tuple(state), state["n"]
 
 
 def group_near_duplicates(docs: DataFrame) -> DataFrame:
