@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -259,6 +260,23 @@ def test_asof_edges(spark):
     assert asof.asof_join(left, right.limit(0), ["date", "sym"], ["mid"], "t", "t").where("r_mid is null").count() == 5
 
 
+def test_asof_blocks(spark):
+    """Blocks of time change no match: gaps of several blocks, ties at their borders, times outside the day and none at all."""
+    draw = random.Random(5)
+    times = [None, -5, 0, 999, 1000, 1001, 86_399_999, 86_400_000, 90_000_000] + [draw.randrange(40_000_000) for _ in range(60)]
+    schema = "date date, sym string, t long, seq long, mid double"
+    left = [(DAY, draw.choice("ABC"), t, i, 0.0) for i, t in enumerate(times * 2)]
+    right = [(DAY, draw.choice("AB"), t, i, float(i)) for i, t in enumerate(draw.sample(times, 30) + [0, 1000, 1000, None, 86_399_999])]
+    expected = {}
+    for _, sym, t, i, _ in left:
+        fits = [(u, j, mid) for _, s, u, j, mid in right if s == sym and None not in (t, u) and u <= t]
+        expected[i] = max(fits)[2] if fits else None
+    frames = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    for block_ms in (1000 * 60, asof.BLOCK_MS, asof.DAY_MS):
+        found = asof.asof_join(*frames, ["date", "sym"], ["mid"], "t", "t", block_ms=block_ms).collect()
+        assert len(found) == len(left) and {r["seq"]: r["r_mid"] for r in found} == expected
+
+
 def test_facts_edges(spark):
     trades = spark.createDataFrame([(DAY, 32_400_000, "A", "am", 1, 10.0, 5.0), (DAY, 32_400_000, "A", "am", 1, 10.0, 5.0), (DAY, 32_400_000, None, "am", 0, 1.0, 1.0), (DAY, 1, "A", "am", 0, -1.0, 1.0)],
                                    "date date, time_ms long, sym string, session string, auction int, tradePrice double, tradeSize double")

@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import duration_ms, time_bucket
 
 
+#: Milliseconds of a block of time, and those of a day.
+BLOCK_MS, DAY_MS = 1_800_000, 86_400_000
+
+
+def _block(time: Column, block_ms: int) -> Column:
+    """Number of a time's block; times before the day fall into the first, times after it into the last."""
+    return F.least(F.greatest(F.floor(time / block_ms), F.lit(0)), F.lit(DAY_MS // block_ms - 1)).cast("int")
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, keys: list[str], values: list[str], left_time: str = "time_ms", right_time: str = "time_ms",
-    tie: str = "seq", prefix: str = "r_", max_age: int | None = None,
+    tie: str = "seq", prefix: str = "r_", max_age: int | None = None, block_ms: int = BLOCK_MS,
 ) -> DataFrame:
-    """All columns of left and the values of the last right row of the same keys at or before its time.
+    """All columns of left and the values of the last right row of the same keys at or before its time (in ms of the day).
 
-    One union and one window per join: both sides shuffle once by key. Right rows of equal time are reduced to
-    the one with the greatest tie. An unmatched row, or one older than max_age milliseconds, gives nulls.
+    One union and one window: each side shuffles once, by keys and block of time, so that the day of a busy symbol is
+    not one task. The last right row of a block, found by partial aggregation, opens the blocks up to the next one that
+    has right rows, which is at most one row per key and block. Of right rows of equal time that with the greatest
+    tie counts. An unmatched row, one without time, or one older than max_age milliseconds, gives nulls; right rows without
+    time match nothing.
     """
-    packed = F.struct(F.col(right_time).alias("time_ms"), *[F.col(v) for v in values if v != "time_ms"])
-    quotes = right.groupBy(*keys, F.col(right_time).alias("__t")).agg(F.max_by(packed, F.col(tie)).alias("__r"))
-    rows = left.select(*keys, F.col(left_time).alias("__t"), F.struct(*left.columns).alias("__l"))
-    both = rows.withColumn("__r", F.lit(None).cast(quotes.schema["__r"].dataType)).unionByName(
-        quotes.withColumn("__l", F.lit(None).cast(rows.schema["__l"].dataType)))
-    order = Window.partitionBy(*keys).orderBy("__t", F.col("__l").isNotNull())
+    packed = F.when(F.col(right_time).isNotNull(), F.struct(F.col(right_time).alias("time_ms"), *[F.col(v) for v in values if v != "time_ms"]))
+    quotes = right.select(
+        *keys, F.col(right_time).alias("__t"), F.col(tie).alias("__tie"), packed.alias("__r"), _block(F.col(right_time), block_ms).alias("__b"))
+    ends = quotes.groupBy(*keys, "__b").agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__r"))
+    until = F.coalesce(F.lead("__b").over(Window.partitionBy(*keys).orderBy("__b")), F.lit(DAY_MS // block_ms - 1))
+    carried = ends.withColumn("__until", until).where("__b < __until").select(
+        *keys, F.lit(None).cast(quotes.schema["__t"].dataType).alias("__t"), F.lit(None).cast(quotes.schema["__tie"].dataType).alias("__tie"), "__r",
+        F.explode(F.sequence(F.col("__b") + 1, F.col("__until"))).alias("__b"))
+    rows = left.select(*keys, F.col(left_time).alias("__t"), _block(F.col(left_time), block_ms).alias("__b"), F.struct(*left.columns).alias("__l"))
+    both = rows.unionByName(quotes.unionByName(carried), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "__b").orderBy("__t", F.col("__l").isNotNull(), "__tie")
     last = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("__f", last).where("__l is not null")
+    found = both.withColumn("__f", F.when(F.col("__t").isNotNull(), last)).where("__l is not null")
     if max_age is not None:
         found = found.withColumn("__f", F.when(F.col("__t") - F.col("__f.time_ms") <= max_age, F.col("__f")))
     return found.select("__l.*", F.col("__f.time_ms").alias(f"{prefix}time_ms"), *[
@@ -52,15 +69,19 @@ def reversion_prepare(trades: DataFrame, pts_quotes: DataFrame, primary: DataFra
 
 
 def score_horizons(prepared: DataFrame, primary: DataFrame, horizons: list[str], max_age: int, primary_venue: str | None = None) -> DataFrame:
-    """Scored trades of all horizons in one as-of pass: signed reversion in basis points."""
+    """Scored trades of all horizons in one as-of pass: signed reversion in basis points.
+
+    Trades that no horizon can score go before they are fanned out.
+    """
     steps = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(duration_ms(h)).cast("long").alias("h_ms"), F.lit(i).alias("horizon_sort_order"))
                       for i, h in enumerate(horizons)])
-    fanned = prepared.select("*", F.inline(steps)).withColumn("post_at", F.col("time_ms") + F.col("h_ms"))
-    joined = asof_join(fanned, mids(primary, (primary_venue,) if primary_venue else ()), ["date", "sym"], ["mid"], left_time="post_at", prefix="post_")
     fresh = (
         (F.col("time_ms") - F.col("pts_time_ms") <= max_age) & (F.col("time_ms") - F.col("primary_time_ms") <= max_age)
-        & (F.col("post_at") - F.col("post_time_ms") <= max_age))
-    scored = joined.where(fresh & (F.col("side") != 0) & (F.col("post_mid") > 0) & F.col("primary_mid").isNotNull())
+        & (F.col("side") != 0) & F.col("primary_mid").isNotNull())
+    fanned = prepared.where(fresh).select("*", F.inline(steps)).withColumn("post_at", F.col("time_ms") + F.col("h_ms"))
+    joined = asof_join(
+        fanned, mids(primary, (primary_venue,) if primary_venue else ()), ["date", "sym"], ["mid"], left_time="post_at", prefix="post_", max_age=max_age)
+    scored = joined.where("post_mid > 0")
     return scored.withColumn("bps", F.col("side") * 10000 * (F.col("post_mid") - F.col("primary_mid")) / F.col("post_mid"))
 
 
