@@ -143,7 +143,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 def _with_least(edges: DataFrame, limit: float) -> DataFrame:
     """edges (u, v) and m, the least of u and all its v; nodes of more than limit edges, of which there are few, meet theirs by broadcast."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
     hubs = F.broadcast(low.where(F.col("n") > limit).select("u", "m"))
     others = low.where(F.col("n") <= limit).select("u", "m")
     return edges.join(hubs, "u").union(edges.join(hubs.select("u"), "u", "left_anti").join(others, "u"))
@@ -157,7 +157,7 @@ def components(links: DataFrame) -> DataFrame:
         limit = 2 * n_edges * HOT_PART
         both = edges.union(edges.select("v", "u"))
         large = _with_least(both, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = cut(large.where("u <> v").distinct())  # else the plan of a round repeats that of its first half
         small = _with_least(large, limit).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = cut(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
