@@ -1,5 +1,7 @@
 """Queries of the training-data operators and their SQL."""
 
+from tidewatch.llm.bpe import op11_bpe
+from tidewatch.llm.centroids import OP13_SQL, op13_centroids
 from tidewatch.llm.decontamination import op6_decontamination
 from tidewatch.llm.fingerprints import op2_fingerprints
 from tidewatch.llm.html import op5_html
@@ -14,6 +16,6 @@ from tidewatch.llm.warc import OP3_SQL, op3_warc
 QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_fingerprints, op3_warc, op4_simhash, op5_html, op6_decontamination, op7_licenses, op8_packing,
-              op9_urls, op10_toxicity)
+              op9_urls, op10_toxicity, op11_bpe, op13_centroids)
 }
-ORACLES = {"op3_warc": OP3_SQL, "op9_urls": OP9_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op9_urls": OP9_SQL, "op13_centroids": OP13_SQL}
