@@ -1,4 +1,9 @@
-"""Backward as-of joins and the reversion facts built on them."""
+"""Backward as-of joins and the reversion facts built on them.
+
+Times are milliseconds of a day. Sides are dealt by keys and blocks of time, so that the day of a busy symbol is not one task.
+Rows without time match nothing; of right rows of equal time that with the greatest tie counts. An empty side gives nulls
+or, in the reversion family, no rows. Repeated left rows stay repeated.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import duration_ms, time_bucket
-
+from tidewatch.operators.facts import enrich
 
 #: Milliseconds of a block of time, and those of a day.
-BLOCK_MS, DAY_MS = 1_800_000, 86_400_000
+BLOCK_MS, DAY_MS = 7_200_000, 86_400_000
 
 
 def _block(time: Column, block_ms: int) -> Column:
@@ -17,34 +22,39 @@ def _block(time: Column, block_ms: int) -> Column:
     return F.least(F.greatest(F.floor(time / block_ms), F.lit(0)), F.lit(DAY_MS // block_ms - 1)).cast("int")
 
 
+def _blocks_seen(time: Column, before: int, after: int, block_ms: int) -> Column:
+    """The blocks of the times from which a row at this time can be seen: up to before milliseconds earlier, after later."""
+    return F.explode(F.sequence(_block(time - before, block_ms), _block(time + after, block_ms))).alias("__b")
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, keys: list[str], values: list[str], left_time: str = "time_ms", right_time: str = "time_ms",
     tie: str = "seq", prefix: str = "r_", max_age: int | None = None, block_ms: int = BLOCK_MS,
 ) -> DataFrame:
-    """All columns of left and the values of the last right row of the same keys at or before its time (in ms of the day).
+    """All columns of left and the values of the last right row of the same keys at or before its time.
 
-    One union and one window: each side shuffles once, by keys and block of time, so that the day of a busy symbol is
-    not one task. The last right row of a block, found by partial aggregation, opens the blocks up to the next one that
-    has right rows, which is at most one row per key and block. Of right rows of equal time that with the greatest
-    tie counts. An unmatched row, one without time, or one older than max_age milliseconds, gives nulls; right rows without
-    time match nothing.
+    One union, one exchange by keys and block, one window. With max_age a right row goes to the blocks from which it is not
+    yet older than that; without, the last right row of a block, found by partial aggregation, goes to all later blocks of
+    the day. An unmatched row, one without time, or one whose match is older than max_age, gives nulls.
     """
-    packed = F.when(F.col(right_time).isNotNull(), F.struct(F.col(right_time).alias("time_ms"), *[F.col(v) for v in values if v != "time_ms"]))
-    quotes = right.select(
-        *keys, F.col(right_time).alias("__t"), F.col(tie).alias("__tie"), packed.alias("__r"), _block(F.col(right_time), block_ms).alias("__b"))
-    ends = quotes.groupBy(*keys, "__b").agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__r"))
-    until = F.coalesce(F.lead("__b").over(Window.partitionBy(*keys).orderBy("__b")), F.lit(DAY_MS // block_ms - 1))
-    carried = ends.withColumn("__until", until).where("__b < __until").select(
-        *keys, F.lit(None).cast(quotes.schema["__t"].dataType).alias("__t"), F.lit(None).cast(quotes.schema["__tie"].dataType).alias("__tie"), "__r",
-        F.explode(F.sequence(F.col("__b") + 1, F.col("__until"))).alias("__b"))
-    rows = left.select(*keys, F.col(left_time).alias("__t"), _block(F.col(left_time), block_ms).alias("__b"), F.struct(*left.columns).alias("__l"))
-    both = rows.unionByName(quotes.unionByName(carried), allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "__b").orderBy("__t", F.col("__l").isNotNull(), "__tie")
-    last = F.last("__r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = both.withColumn("__f", F.when(F.col("__t").isNotNull(), last)).where("__l is not null")
+    packed = F.struct(F.col(right_time).alias("time_ms"), F.col(tie).alias("__tie"), *[F.col(v) for v in values if v != "time_ms"])
+    timed = right.where(F.col(right_time).isNotNull())
+    if max_age is not None:
+        quotes = timed.select(*keys, F.col(right_time).alias("__t"), packed.alias("__r"), _blocks_seen(F.col(right_time), 0, max_age, block_ms))
+    else:
+        quotes = timed.select(*keys, F.col(right_time).alias("__t"), packed.alias("__r"), _block(F.col(right_time), block_ms).alias("__b"))
+        if block_ms < DAY_MS:
+            ends = quotes.groupBy(*keys, "__b").agg(F.max("__t").alias("__t"), F.max("__r").alias("__r"))
+            later = F.explode(F.sequence(F.col("__b") + 1, F.lit(DAY_MS // block_ms - 1)))
+            quotes = quotes.unionByName(ends.where(F.col("__b") < DAY_MS // block_ms - 1).withColumn("__b", later))
+    rows = left.select("*", F.col(left_time).alias("__t"), _block(F.col(left_time), block_ms).alias("__b"), F.lit(True).alias("__left"))
+    # sorted by time and then right rows first, so that every row's frame ends with itself and equal times are seen
+    order = Window.partitionBy(*keys, "__b").orderBy("__t", F.col("__left").isNotNull())
+    last = F.max("__r").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.unionByName(quotes, allowMissingColumns=True).withColumn("__f", F.when(F.col("__t").isNotNull(), last)).where("__left")
     if max_age is not None:
         found = found.withColumn("__f", F.when(F.col("__t") - F.col("__f.time_ms") <= max_age, F.col("__f")))
-    return found.select("__l.*", F.col("__f.time_ms").alias(f"{prefix}time_ms"), *[
+    return found.select(*left.columns, F.col("__f.time_ms").alias(f"{prefix}time_ms"), *[
         F.col(f"__f.{v}").alias(f"{prefix}{v}") for v in values if v != "time_ms"])
 
 
@@ -55,42 +65,71 @@ def mids(quotes: DataFrame, venues: tuple[str, ...] = ()) -> DataFrame:
     return valid.withColumn("mid", (F.col("bidPrice") + F.col("askPrice")) / 2)
 
 
-def reversion_prepare(trades: DataFrame, pts_quotes: DataFrame, primary: DataFrame, exclude_auction: bool = True,
-                      venues: tuple[str, ...] = (), primary_venue: str | None = None) -> DataFrame:
-    """Trades of the venues (none listed: all) with the venue's mid and the primary mid at trade time, side and notional."""
-    valid = trades.where("tradePrice > 0 and tradeSize > 0 and sym is not null and venue is not null")
-    valid = valid.where(F.col("venue").isin(*venues)) if venues else valid
-    if exclude_auction:
-        valid = valid.where("auction = 0")
-    with_pts = asof_join(valid, mids(pts_quotes, venues), ["date", "sym", "venue"], ["mid"], prefix="pts_")
-    both = asof_join(with_pts, mids(primary, (primary_venue,) if primary_venue else ()), ["date", "sym"], ["mid"], prefix="primary_")
-    side = F.when(F.col("tradePrice") > F.col("pts_mid"), 1).when(F.col("tradePrice") < F.col("pts_mid"), -1).otherwise(0)
-    return both.withColumn("side", side).withColumn("notional", F.col("tradePrice") * F.col("tradeSize"))
+def score_reversion(
+    trades: DataFrame, pts_quotes: DataFrame, primary: DataFrame, horizons: list[str], max_age: int, exclude_auction: bool = True,
+    venues: tuple[str, ...] = (), primary_venue: str | None = None, block_ms: int = BLOCK_MS,
+) -> DataFrame:
+    """Scored trades of the venues (none listed: all) at all horizons: signed reversion in basis points.
 
+    Trades, the venues' quotes and the primary quotes meet in one exchange by date, symbol and block. A quote goes to every
+    block with trades that can use it: none may be older than max_age, and a primary quote may come up to the longest
+    horizon after a trade. There the primary mid at a trade's time and at each horizon are the latest of growing ranges of time over one sort,
+    the venue's mid that of a second sort within the same exchange.
+    """
+    valid = trades.where("tradePrice > 0 and tradeSize > 0 and sym is not null and venue is not null and time_ms is not null")
+    valid = valid.where(F.col("venue").isin(*venues)) if venues else valid
+    valid = valid.where("auction = 0") if exclude_auction else valid
+    steps = [(h, duration_ms(h)) for h in horizons]
+    reach = max((ms for _, ms in steps), default=0)
+    time = F.col("time_ms")
+
+    def quoted(quotes: DataFrame, name: str, before: int) -> DataFrame:
+        latest = F.struct("time_ms", "seq", "mid").alias(name)
+        return quotes.where(time.isNotNull()).select("date", "sym", "venue", time.alias("__t"), latest, _blocks_seen(time, before, max_age, block_ms))
+
+    events = valid.select("*", time.alias("__t"), F.lit(True).alias("__trade"), _block(time, block_ms).alias("__b"))
+    events = events.unionByName(quoted(mids(pts_quotes, venues), "__pts", 0), allowMissingColumns=True)
+    events = events.unionByName(quoted(mids(primary, (primary_venue,) if primary_venue else ()), "__primary", reach), allowMissingColumns=True)
+    by_time = Window.partitionBy("date", "sym", "__b").orderBy("__t")
+
+    def latest_at(ms: int) -> Column:
+        return F.max("__primary").over(by_time.rangeBetween(Window.unboundedPreceding, ms))
+
+    states = events.select("*", latest_at(0).alias("__before"), *[latest_at(ms).alias(f"__after_{i}") for i, (_, ms) in enumerate(steps)])
+    by_venue = Window.partitionBy("date", "sym", "__b", "venue").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    states = states.where("__trade or __pts is not null").withColumn("__own", F.max("__pts").over(by_venue)).where("__trade")
+    side = F.when(F.col("tradePrice") > F.col("__own.mid"), 1).when(F.col("tradePrice") < F.col("__own.mid"), -1).otherwise(0)
+    fresh = (time - F.col("__own.time_ms") <= max_age) & (time - F.col("__before.time_ms") <= max_age) & (F.col("side") != 0)
+    looks = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(ms).cast("long").alias("h_ms"), F.lit(i).alias("horizon_sort_order"), F.col(f"__after_{i}").alias("post"))
+                      for i, (h, ms) in enumerate(steps)])
+    names = [c for c in valid.columns if c not in ("horizon", "h_ms", "horizon_sort_order", "post")]
+    rows = states.withColumn("side", side).where(fresh).select(
+        *names, "side", F.col("__own.mid").alias("pts_mid"), F.col("__before.mid").alias("primary_mid"), F.inline(looks))
+    scored = rows.where((time + F.col("h_ms") - F.col("post.time_ms") <= max_age) & (F.col("post.mid") > 0) & F.col("primary_mid").isNotNull())
+    bps = F.col("side") * 10000 * (F.col("post.mid") - F.col("primary_mid")) / F.col("post.mid")
+    return scored.withColumn("post_mid", F.col("post.mid")).withColumn("bps", bps).withColumn("notional", F.col("tradePrice") * F.col("tradeSize")).drop("post")
+
+
+#: Sums that reversion facts are made of; they add up over symbols, buckets and venues.
+REVERSION_SUMS = ("weighted_bps", "notional", "positive_count", "trade_count")
+
+
+def reversion_states(scored: DataFrame, bucket_ms: int) -> DataFrame:
+    """Additive reversion sums by date, bucket, venue, horizon and symbol."""
+    label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms)
+    return scored.groupBy("date", label.alias("time_bucket"), "venue", "horizon", "sym").agg(
+        F.sum(F.col("bps") * F.col("notional")).alias("weighted_bps"), F.sum("notional").alias("notional"),
+        F.count_if(F.col("bps") > 0).alias("positive_count"), F.count("*").alias("trade_count"), F.min("horizon_sort_order").alias("horizon_sort_order"))
 
-def score_horizons(prepared: DataFrame, primary: DataFrame, horizons: list[str], max_age: int, primary_venue: str | None = None) -> DataFrame:
-    """Scored trades of all horizons in one as-of pass: signed reversion in basis points.
 
-    Trades that no horizon can score go before they are fanned out.
-    """
-    steps = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(duration_ms(h)).cast("long").alias("h_ms"), F.lit(i).alias("horizon_sort_order"))
-                      for i, h in enumerate(horizons)])
-    fresh = (
-        (F.col("time_ms") - F.col("pts_time_ms") <= max_age) & (F.col("time_ms") - F.col("primary_time_ms") <= max_age)
-        & (F.col("side") != 0) & F.col("primary_mid").isNotNull())
-    fanned = prepared.where(fresh).select("*", F.inline(steps)).withColumn("post_at", F.col("time_ms") + F.col("h_ms"))
-    joined = asof_join(
-        fanned, mids(primary, (primary_venue,) if primary_venue else ()), ["date", "sym"], ["mid"], left_time="post_at", prefix="post_", max_age=max_age)
-    scored = joined.where("post_mid > 0")
-    return scored.withColumn("bps", F.col("side") * 10000 * (F.col("post_mid") - F.col("primary_mid")) / F.col("post_mid"))
+def finish_reversion(states: DataFrame, *keys: str) -> DataFrame:
+    """Reversion facts of additive sums: notional-weighted mean and share of positive ones."""
+    return states.select(
+        *keys, (F.col("weighted_bps") / F.col("notional")).alias("primary_quote_reversion_bps"), "horizon_sort_order",
+        (F.col("positive_count") / F.col("trade_count")).alias("positive_reversion_ratio"), "trade_count", "notional",
+        F.lit(1.0).alias("valid_primary_quote_ratio"))
 
 
 def reversion(scored: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
     """Notional-weighted reversion by date, bucket, venue, horizon, symbol and capitalisation group."""
-    label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms)
-    rows = scored.withColumn("time_bucket", label).join(refs.select("date", "sym", "topixCapGrp"), ["date", "sym"], "left")
-    return rows.groupBy("date", "time_bucket", "venue", "horizon", "sym", "topixCapGrp").agg(
-        (F.sum(F.col("bps") * F.col("notional")) / F.sum("notional")).alias("primary_quote_reversion_bps"),
-        F.min("horizon_sort_order").alias("horizon_sort_order"),
-        F.avg((F.col("bps") > 0).cast("double")).alias("positive_reversion_ratio"), F.count("*").alias("trade_count"),
-        F.sum("notional").alias("notional"), F.lit(1.0).alias("valid_primary_quote_ratio"))
+    return finish_reversion(enrich(reversion_states(scored, bucket_ms), refs), "date", "time_bucket", "venue", "horizon", "sym", "topixCapGrp")

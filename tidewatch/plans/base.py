@@ -182,8 +182,7 @@ def compared(load, robust: bool = True, group: tuple[str, ...] = ("sym",)) -> Da
 
 
 def scored(load) -> DataFrame:
-    prepared = asof.reversion_prepare(load("pts_trades"), load("pts_quotes"), load("quotes"), primary_venue="TSE")
-    return asof.score_horizons(prepared, load("quotes"), HORIZONS, MAX_AGE_MS, "TSE")
+    return asof.score_reversion(load("pts_trades"), load("pts_quotes"), load("quotes"), HORIZONS, MAX_AGE_MS, primary_venue="TSE")
 
 
 def reversion_obs(load) -> DataFrame:
