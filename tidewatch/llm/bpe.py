@@ -6,7 +6,7 @@ two neighbours of a merged place enter the index anew. A pair that appears with
 first in its word, as a merge of least rank would have it. Each piece is merged once however often it occurs, and the
 tokens of pieces met before are remembered within a task, up to REMEMBERED of them.
 
-Buffers are batches of whole documents within a task, so that nothing is shuffled: a dictionary of the whole corpus would
+Buffers are runs of whole documents within a task, so that nothing is shuffled: a dictionary of the whole corpus would
 have to be joined back to every occurrence of every word. Tokens do not depend on the buffers.
 
 Null or empty text has no tokens. Repeated rows are encoded like any other; further columns stay, except those named as
@@ -18,12 +18,13 @@ from __future__ import annotations
 import base64
 import heapq
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Characters of a buffer (one longer text is a buffer of its own) and pieces that a task remembers.
-BUFFER_CHARS, REMEMBERED = 4_000_000, 400_000
+#: Bytes of a buffer (one longer text is a buffer of its own); pieces and pairs that a task remembers.
+BUFFER_BYTES, REMEMBERED, PAIRS = 2_000_000, 300_000, 400_000
 
 
 @lru_cache(maxsize=2)
@@ -54,7 +55,7 @@ class Pairs(dict):
     def __missing__(self, key: int) -> int:
         left, right = divmod(key, self.width)
         found = -1 if self.edge in (left, right) else self.ranks.get(self.texts[left] + self.texts[right], -1)
-        if len(self) > 1_000_000:
+        if len(self) >= PAIRS:
             self.clear()
         self[key] = found
         return found
@@ -85,20 +86,19 @@ class Replay:
                     index[r] = [p]
         heap = list(index)
         heapq.heapify(heap)
-
-        def note(r: int, p: int) -> None:
-            if r in index:
-                index[r].append(p)
-            else:
-                index[r] = [p]
-                heapq.heappush(heap, r)
-
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            r = heapq.heappop(heap)
+            r = pop(heap)
+            places = index.pop(r)
+            places.sort()
             waiting_until = 0
-            for p in sorted(index.pop(r)):
+            for p in places:
                 if p < waiting_until:
-                    note(r, p)
+                    if r in index:
+                        index[r].append(p)
+                    else:
+                        index[r] = [p]
+                        push(heap, r)
                     continue
                 left, q = tokens[p], after[p]
                 if left < 0 or pairs[left * width + tokens[q]] != r:  # gone with another merge
@@ -108,10 +108,13 @@ class Replay:
                 before[q] = p
                 b = before[p]
                 right, left = pairs[r * width + tokens[q]], pairs[tokens[b] * width + r]
-                if right >= 0:
-                    note(right, p)
-                if left >= 0:
-                    note(left, b)
+                for k, at in ((right, p), (left, b)):
+                    if k >= 0:
+                        if k in index:
+                            index[k].append(at)
+                        else:
+                            index[k] = [at]
+                            push(heap, k)
                 if 0 <= right < r or 0 <= left < r:  # the rest of this word waits for the lower pair
                     waiting_until = edges[bisect_right(edges, p)]
         return [[t for t in tokens[a + 1:b] if t >= 0] for a, b in zip(edges, edges[1:])]
@@ -150,19 +153,6 @@ class Splitter:
         return (self.plain if usual else self.exact).findall(text)
 
 
-def _buffers(texts: Iterable[str | None]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        text = text or ""
-        if held and size + len(text) > BUFFER_CHARS:
-            yield held
-            held, size = [], 0
-        held.append(text)
-        size += len(text)
-    if held:
-        yield held
-
-
 class Encoder:
     """Tokens of texts as packed little-endian unsigned 32-bit ids."""
 
@@ -183,28 +173,38 @@ class Encoder:
         for (piece, _), ids in zip(rest, self.replay.merge([raw for _, raw in rest])):
             self.known[piece] = np.array(ids, dtype="<u4").tobytes()
 
-    def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        for buffer in _buffers(texts):
-            split = [self.split(t) for t in buffer]
-            pieces = set().union(*split)
-            new = pieces.difference(self.known)
-            # where the memory is full it is emptied, and all pieces of the buffer are new
-            self.learn(pieces if len(self.known) + len(new) > REMEMBERED else new)
-            get = self.known.__getitem__
-            for found in split:
-                yield b"".join(map(get, found))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [self.split(t or "") for t in texts]
+        pieces = set().union(*split)
+        new = pieces.difference(self.known)
+        # where the memory is full it is emptied, and all pieces of the buffer are new
+        self.learn(pieces if len(self.known) + len(new) > REMEMBERED else new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, found)) for found in split]
+
+
+def _buffers(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most about BUFFER_BYTES in a column, a longer value in a slice of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        reach = (ends[start - 1] if start else 0) + BUFFER_BYTES
+        stop = max(start + 1, int(np.searchsorted(ends, reach, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def _appended(df: DataFrame, source: str, result: str, make) -> DataFrame:
-    """df with a binary column made from another by batches; make() gives the function of a task."""
+    """df with a binary column made from another by buffers; make() gives the function of a task."""
     kept = [c for c in df.columns if c.lower() != result.lower()]
     given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
         for batch in batches:
-            values = pa.array(convert(batch.column(len(kept)).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], values], names=[*kept, result])
+            for part in _buffers(batch, len(kept)):
+                values = pa.array(convert(part.column(len(kept)).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], values], names=[*kept, result])
 
     schema = given.select(*[F.col(f"`{c}`") for c in kept], F.lit(b"").alias(result)).schema
     return given.mapInArrow(run, schema)
@@ -215,8 +215,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     path, classes = path or public_tokenizers.path(VOCABULARY), unicode_classes()
 
     def make():
-        encoder = Encoder(load_ranks(path), classes)
-        return lambda texts: list(encoder(texts))
+        return Encoder(load_ranks(path), classes)
 
     return _appended(df, text, ids, make)
 

@@ -1,8 +1,8 @@
 """Comparison of current observations with the reference distribution of the same key.
 
 Reference values are folded to one per key and day, and the days of a key are gathered as one sorted array, which is as
-long as the reference window. Every statistic and share is read from that array, so that a comparison is one
-aggregation of the reference and one join.
+long as the reference window: callers bound it by calendar.reference_window (30 days or more, as a z-score needs 30). Every statistic
+and share is read from that array, so that a comparison is one pass over both periods.
 
 A key without reference days has sample size 0 and no statistics; null matches null in every key. Null values are no
 observations of the reference; a current row with a null value stays, without scores. Repeated current rows stay.
@@ -11,12 +11,12 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import norm_cdf
 from tidewatch.operators.definitions import with_definitions
-from tidewatch.operators.observations import collapse_units, field, require_fields, require_reversion
+from tidewatch.operators.observations import field, require_fields, require_reversion
 
 KEYS = ("metric_name", "time_bucket", "group_key")
 REVERSION_KEYS = ("metric_name", "time_bucket", "venue", "horizon", "group_key")
@@ -32,35 +32,64 @@ def array_percentile(values: Column, p: float) -> Column:
     return F.when(F.size(values) > 0, low + (high - low) * (rank - F.floor(rank)))
 
 
+def array_stats(rows: DataFrame) -> DataFrame:
+    """Mean, median, deviation, least, greatest, 5th and 95th percentile and MAD of each row's sorted array of days.
+
+    Statistics of an array do not depend on how rows were dealt.
+    """
+    days, n = F.col("days"), F.size("days")
+    mean = F.when(n > 0, F.aggregate(days, F.lit(0.0), lambda s, x: s + x) / n)
+    rows = rows.withColumns({"mean": mean, "low": F.get(days, F.lit(0)), "high": F.when(n > 0, F.get(days, n - 1)), "median": array_percentile(days, 0.5),
+                             "p5": array_percentile(days, 0.05), "p95": array_percentile(days, 0.95)})
+    squares = F.aggregate(days, F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
+    rows = rows.withColumns({"std": F.when(n > 1, F.sqrt(squares / (n - 1))), "distances": F.array_sort(F.transform(days, lambda x: F.abs(x - F.col("median"))))})
+    return rows.withColumn("mad", array_percentile(F.col("distances"), 0.5))
+
+
 def reference_stats(units: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """n, mean, median, deviation, least, greatest, 5th and 95th percentile, MAD and the sorted days of each key."""
-    rows = units.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("low"),
-        F.max("value").alias("high"), F.array_sort(F.collect_list("value")).alias("days"))  # as many as the window has days
-    days = F.col("days")
-    rows = rows.withColumn("median", array_percentile(days, 0.5))
-    distances = F.array_sort(F.transform(days, lambda x: F.abs(x - F.col("median"))))
-    return rows.withColumn("distances", distances).select(
-        "*", array_percentile(days, 0.05).alias("p5"), array_percentile(days, 0.95).alias("p95"), array_percentile(F.col("distances"), 0.5).alias("mad"))
+    rows = units.groupBy(*keys).agg(F.count("value").alias("n"), F.array_sort(F.collect_list("value")).alias("days"))  # as many as the window has days
+    return array_stats(rows)
 
 
 def _share(values: Column, test) -> Column:
     return F.size(F.filter(values, test)) / F.size(values)
 
 
+def _folded(value: Column, fold: str, order: str, over: Window) -> Column:
+    """Values of a window folded to one."""
+    folds = {"mean": F.avg(value), "median": F.median(value), "sum": F.sum(value)}
+    if fold in ("first", "last"):
+        folds[fold] = (F.min_by if fold == "first" else F.max_by)(value, F.when(value.isNotNull(), F.col(order)))
+    if fold not in folds:
+        raise ValueError(f"unknown fold: {fold}")
+    return folds[fold].over(over)
+
+
 def compare(current: DataFrame, reference: DataFrame, keys: tuple[str, ...] = KEYS, robust: bool = True, fold: str = "mean",
             higher_is_better: Column | None = None) -> DataFrame:
+    """One row per current observation, compared with reference observations of another table."""
+    both = current.withColumn("__current", F.lit(True)).unionByName(reference.withColumn("__current", F.lit(False)), allowMissingColumns=True)
+    mine = compare_periods(both, F.col("__current"), ~F.col("__current"), keys, robust, fold, higher_is_better).drop("__current")
+    return mine.drop(*[c for c in reference.columns if c not in current.columns and c not in keys])
+
+
+def compare_periods(obs: DataFrame, current: Column, reference: Column, keys: tuple[str, ...] = KEYS, robust: bool = True, fold: str = "mean",
+                    higher_is_better: Column | None = None, order: str = "seq") -> DataFrame:
     """One row per current observation with reference value, change, scores, tails, confidence and status.
 
-    The direction of a metric is its definition's, unless higher_is_better gives one: True, False or null (neither).
+    Current and reference rows are told apart by conditions on one table, which is computed once and dealt once, by key:
+    the reference days are folded and gathered by windows within that exchange. The direction of a metric is its
+    definition's, unless higher_is_better gives one: True, False or null (neither).
     """
-    keyed = [require_fields(df, keys).select("*", *[field(k).alias(k) for k in keys if k not in df.columns]) for df in (current, reference)]
-    stats = reference_stats(collapse_units(keyed[1], keys, fold), keys)
-    stats = stats.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in stats.columns if c not in keys])
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    rows = keyed[0].join(stats, same, "left")
+    keyed = require_fields(obs.where(current | reference), keys).select(
+        "*", *[field(k).alias(k) for k in keys if k not in obs.columns], current.alias("__now"), F.when(reference, F.col("value")).alias("__was"))
+    dealt = keyed.repartition(*keys)
+    unit = Window.partitionBy(*keys, "date")
+    lead = F.row_number().over(unit.orderBy(F.col("__was").isNull()))
+    days = dealt.withColumn("__lead", lead).withColumn("__unit", F.when((F.col("__lead") == 1) & F.col("__was").isNotNull(), _folded(F.col("__was"), fold, order, unit)))
+    days = days.withColumn("days", F.array_sort(F.collect_list("__unit").over(Window.partitionBy(*keys)))).where("__now")
+    rows = array_stats(days.withColumn("n", F.size("days")))
     rows = with_definitions(rows, "higher_is_better") if higher_is_better is None else rows.withColumn("higher_is_better", higher_is_better)
     v, n, days, better = F.col("value"), F.coalesce("n", F.lit(0)), F.col("days"), F.col("higher_is_better")
     centre, width = ("median", MAD_SCALE * F.col("mad")) if robust else ("mean", F.col("std"))
@@ -70,7 +99,7 @@ def compare(current: DataFrame, reference: DataFrame, keys: tuple[str, ...] = KE
         F.when(better, _share(days, lambda x: x <= v)).when(~better, _share(days, lambda x: x >= v))
         .otherwise(_share(F.col("distances"), lambda d: d >= F.abs(v - F.col("median")))))
     rows = rows.select(
-        *[c for c in current.columns if c != "metadata"], *[k for k in keys if k not in current.columns], n.alias("reference_sample_size"),
+        *[c for c in obs.columns if c != "metadata"], *[k for k in keys if k not in obs.columns], n.cast("long").alias("reference_sample_size"),
         F.col(centre).alias("reference_value"), z.alias("z_score"), F.when(enough, _share(days, lambda x: x <= v)).alias("empirical_percentile"),
         F.when(enough, tail).alias("empirical_adverse_tail"), better, "p5", "p95",
         F.when(n >= MIN_RANGE, 100 * (v - F.col("p5")) / F.nullif(F.col("p95") - F.col("p5"), F.lit(0.0))).alias("range_position_score"))
@@ -109,6 +138,11 @@ def compare_reversion(current: DataFrame, reference: DataFrame, robust: bool = T
     return compare(require_reversion(current), require_reversion(reference), REVERSION_KEYS, robust, fold, F.lit(False))
 
 
+def compare_reversion_periods(obs: DataFrame, current: Column, reference: Column, robust: bool = True, fold: str = "mean") -> DataFrame:
+    """The same of one table of reversion observations."""
+    return compare_periods(require_reversion(obs), current, reference, REVERSION_KEYS, robust, fold, F.lit(False))
+
+
 def priority(column: str = "status") -> Column:
     out = F.lit(99)
     for name, rank in PRIORITY.items():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import time_bucket, time_bucket_continuous
-from tidewatch.operators.observations import flatten, to_observations
+from tidewatch.operators.observations import to_observations
 from tidewatch.sources.ticks import require_columns
 
 KEYS = ("date", "time_bucket", "sym", "topixCapGrp")
@@ -112,9 +112,42 @@ def rollup_medians(quotes: DataFrame, refs: DataFrame, levels: list[str], bucket
         F.median("spread").alias("quoted_spread_bps"), F.median("depth").alias("top_of_book_depth"))
 
 
+def fact_cells(trades: DataFrame, quotes: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
+    """All activity, liquidity and volatility facts, each table read once; a metric without ticks in a cell is null.
+
+    Trades are aggregated once by clock bucket and auction phase; the few cells then go to both labels, as activity has
+    buckets for auctions and volatility has none. A cell of trades and one of quotes are separate rows. has_activity,
+    has_liquidity and has_volatility tell which facts a row carries.
+    """
+    require_columns(trades, "date", "time_ms", "sym", "session", "auction", "tradePrice", "tradeSize", role="trades")
+    clock = time_bucket_continuous(F.col("time_ms"), bucket_ms)
+    label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms)
+    price, size = F.col("tradePrice"), F.when(F.col("tradeSize") > 0, F.col("tradeSize"))
+    cells = trades.where("tradePrice > 0 and sym is not null").groupBy("date", clock.alias("clock"), label.alias("label"), "sym").agg(
+        F.sum(price * size).alias("turnover"), F.sum(size).alias("volume"), F.count(size).alias("trade_count"), F.max(price).alias("high"), F.min(price).alias("low"))
+    none = F.lit(None).cast("double")
+    both = F.array(
+        F.struct(F.col("label").alias("time_bucket"), "turnover", "volume", "trade_count", none.alias("high"), none.alias("low")),
+        F.struct(F.col("clock").alias("time_bucket"), none.alias("turnover"), none.alias("volume"), F.lit(0).cast("long").alias("trade_count"), "high", "low"))
+    traded = cells.select("date", "sym", F.inline(both)).groupBy("date", "time_bucket", "sym").agg(
+        *[F.sum(c).alias(c) for c in ("turnover", "volume", "trade_count")], F.max("high").alias("high"), F.min("low").alias("low"))
+    quoted = _quotes(quotes).groupBy("date", clock.alias("time_bucket"), "sym").agg(
+        F.median("spread").alias("quoted_spread_bps"), F.median("size").alias("size"), F.lit(True).alias("has_quotes"))
+    rows = enrich(traded.unionByName(quoted, allowMissingColumns=True), refs, "lotSize")
+    spread = F.pow(F.log(F.col("high") / F.col("low")), 2)
+    return rows.select(
+        *KEYS, "turnover", "volume", "trade_count", "quoted_spread_bps", (F.col("size") / F.nullif("lotSize", F.lit(0))).alias("top_of_book_depth"),
+        (10000 * F.sqrt(spread / (4 * F.log(F.lit(2.0))))).alias("parkinson_volatility_bps"), (F.col("trade_count") > 0).alias("has_activity"),
+        (F.col("has_quotes") & (F.col("lotSize") > 0)).alias("has_liquidity"), F.col("high").isNotNull().alias("has_volatility"))
+
+
+#: Metrics of a row of fact_cells by the column that tells whether the row carries them.
+CELL_METRICS = {
+    "has_activity": ("turnover", "volume", "trade_count"), "has_liquidity": ("quoted_spread_bps", "top_of_book_depth"),
+    "has_volatility": ("parkinson_volatility_bps",)}
+
+
 def observations(trades: DataFrame, quotes: DataFrame, refs: DataFrame, bucket_ms: int, group_by: tuple[str, ...] = ("sym",)) -> DataFrame:
     """All activity, liquidity and volatility observations."""
-    return flatten(
-        to_observations(activity(trades, refs, bucket_ms), ["turnover", "volume", "trade_count"], group_by),
-        to_observations(liquidity(quotes, refs, bucket_ms), ["quoted_spread_bps", "top_of_book_depth"], group_by),
-        to_observations(parkinson(trades, refs, bucket_ms), ["parkinson_volatility_bps"], group_by))
+    carried = {m: flag for flag, names in CELL_METRICS.items() for m in names}
+    return to_observations(fact_cells(trades, quotes, refs, bucket_ms), list(carried), group_by, carried=carried)

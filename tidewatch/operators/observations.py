@@ -30,14 +30,19 @@ def group_key(group: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(group))))
 
 
-def to_observations(facts: DataFrame, metrics: list[str], group_by: tuple[str, ...] = ("sym",), metadata: tuple[str, ...] = ()) -> DataFrame:
-    """Long rows of a fact table, one per metric; further columns named in metadata go to the metadata map."""
+def to_observations(
+    facts: DataFrame, metrics: list[str], group_by: tuple[str, ...] = ("sym",), metadata: tuple[str, ...] = (), carried: dict[str, str] | None = None,
+) -> DataFrame:
+    """Long rows of a fact table, one per metric; further columns named in metadata go to the metadata map.
+
+    carried names, for a metric, the column that tells which rows carry it; a metric without one is in every row.
+    """
+    flags = {m: F.coalesce(F.col(carried[m]), F.lit(False)) if carried and m in carried else F.lit(True) for m in metrics}
     wide = facts.select(
         "date", "time_bucket", group_map(group_by).alias("group"), group_map(metadata).alias("metadata"),
-        *[F.col(m).cast("double").alias(m) for m in metrics])
-    rows = wide.select("date", "time_bucket", "group", "metadata", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric_name"), F.col(m).alias("value")) for m in metrics])))
-    return rows.select("metric_name", "date", "time_bucket", "group", group_key(F.col("group")).alias("group_key"), "value", "metadata")
+        F.array(*[F.when(flags[m], F.struct(F.lit(m).alias("metric_name"), F.col(m).cast("double").alias("value"))) for m in metrics]).alias("facts"))
+    rows = wide.select("date", "time_bucket", "group", "metadata", group_key(F.col("group")).alias("group_key"), F.inline(F.array_compact("facts")))
+    return rows.select("metric_name", "date", "time_bucket", "group", "group_key", "value", "metadata")
 
 
 def reversion_observations(facts: DataFrame, group_by: tuple[str, ...] = ("sym",)) -> DataFrame:

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import asof, compare, facts
 from tidewatch.operators.observations import reversion_observations
-from tidewatch.sources import ticks
+from tidewatch.sources import calendar, ticks
 
 BUCKET_MS = 1_800_000
 MAX_AGE_MS = 1_800_000
 HORIZONS = ["1m", "5m", "15m", "30m"]
 TARGET = "2024-02-05"
+#: Trading days of the reference window, which bounds the days of a key.
+LOOKBACK = 35
 METRICS = ["turnover", "volume", "trade_count", "quoted_spread_bps", "top_of_book_depth", "parkinson_volatility_bps"]
 LEVELS = list(facts.LEVELS)
 
@@ -58,7 +60,7 @@ PARTS = {
         f"SELECT '{m}' AS metric_name, {K}, CAST({m} AS DOUBLE) AS value FROM {t}"
         for t, names in (("act", METRICS[:3]), ("liq", METRICS[3:5]), ("vol", METRICS[5:])) for m in names),
     "obs": "{obs}",
-    "ref": f"SELECT * FROM obs WHERE date < DATE '{TARGET}'",
+    "ref": f"SELECT * FROM obs WHERE date IN (SELECT DISTINCT date FROM trades WHERE date < DATE '{TARGET}' ORDER BY date DESC LIMIT {LOOKBACK})",
     "cur": f"SELECT * FROM obs WHERE date >= DATE '{TARGET}'",
     "defs": """SELECT * FROM (VALUES ('turnover', 'Turnover', 'JPY', CAST(NULL AS BOOLEAN)), ('volume', 'Volume', 'shares', NULL), ('trade_count', 'Trade Count', 'count', NULL),
         ('quoted_spread_bps', 'Quoted Spread', 'bps', FALSE), ('top_of_book_depth', 'Top-of-Book Depth', 'lots', TRUE),
@@ -172,13 +174,20 @@ def observations(load, group: tuple[str, ...] = ("sym",)) -> DataFrame:
     return facts.observations(load("trades"), load("quotes"), load("refs"), BUCKET_MS, group)
 
 
-def periods(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def in_periods(load) -> tuple:
+    """Conditions on an observation's date: target, and the LOOKBACK trading days before it as literals, which reach the scans."""
+    days = [row["date"] for row in calendar.reference_window(load("trades"), TARGET, LOOKBACK).collect()]
+    return F.col("date") >= F.lit(TARGET).cast("date"), F.col("date").isin(days)
+
+
+def periods(load, obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Target and reference part of observations."""
-    return obs.where(F.col("date") >= TARGET), obs.where(F.col("date") < TARGET)
+    target, reference = in_periods(load)
+    return obs.where(target), obs.where(reference)
 
 
 def compared(load, robust: bool = True, group: tuple[str, ...] = ("sym",)) -> DataFrame:
-    return compare.compare(*periods(observations(load, group)), robust=robust)
+    return compare.compare_periods(observations(load, group), *in_periods(load), robust=robust)
 
 
 def scored(load) -> DataFrame:

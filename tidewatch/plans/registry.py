@@ -191,7 +191,7 @@ def stock_metrics_merge(load):
 def missing_metrics(load):
     wanted = F.explode(F.array(F.lit("turnover"), F.lit("quoted_spread_bps"))).alias("metric_name")
     requested = load("trades").select("date").distinct().select("date", wanted)
-    held = observations.to_stock_metrics(periods(_obs(load))[1], "30m", METRICS)
+    held = observations.to_stock_metrics(periods(load, _obs(load))[1], "30m", METRICS)
     return observations.missing_metrics(requested, held, ["turnover", "quoted_spread_bps"])
 
 
@@ -200,13 +200,13 @@ def missing_metrics(load):
 def cache_complete(load):
     obs, names = _obs(load), ["turnover", "quoted_spread_bps"]
     requested = obs.where(F.col("metric_name").isin(*names)).select("date", "metric_name").distinct()
-    held = observations.to_stock_metrics(periods(obs)[1], "30m", METRICS)
+    held = observations.to_stock_metrics(periods(load, obs)[1], "30m", METRICS)
     return rounded(observations.complete(requested, held, names, obs.withColumn("value", -F.col("value"))).drop("group"))
 
 
 @register("reference_stats", f"SELECT metric_name, time_bucket, group_key, n, {r('mean', 'median', 'std', 'low', 'high', 'p5', 'p95', 'mad')} FROM stats")
 def reference_stats(load):
-    units = observations.collapse_units(periods(_obs(load))[1], compare.KEYS)
+    units = observations.collapse_units(periods(load, _obs(load))[1], compare.KEYS)
     return rounded(compare.reference_stats(units).drop("days", "distances"))
 
 
@@ -227,7 +227,7 @@ def compare_groups(load):
 
 @register("compare_reversion", _CMP_SQL, reversion=True)
 def compare_reversion(load):
-    return _compared_columns(compare.compare_reversion(*periods(base.reversion_obs(load))))
+    return _compared_columns(compare.compare_reversion_periods(base.reversion_obs(load), *base.in_periods(load)))
 
 
 @register("group_deltas", """SELECT metric_name, group_key, round(current, 6) AS current, round(reference, 6) AS reference, round(current - reference, 6) AS delta FROM
@@ -235,7 +235,7 @@ def compare_reversion(load):
     (SELECT metric_name, group_key, avg(v) AS reference FROM (SELECT metric_name, group_key, date, avg(value) AS v FROM ref GROUP BY ALL) b GROUP BY ALL) c
     USING (metric_name, group_key) ORDER BY abs(current - reference) DESC, metric_name, group_key LIMIT 12""", group=CAP)
 def group_deltas(load):
-    return rounded(compare.group_deltas(*periods(_obs(load, CAP))))
+    return rounded(compare.group_deltas(*periods(load, _obs(load, CAP))))
 
 
 @register("daily_rollup", "SELECT metric_name, date, round(value, 6) AS value FROM daily")
@@ -332,7 +332,7 @@ _BOX = "round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS media
     (SELECT d.date, b.time_bucket, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT date FROM act WHERE date < DATE '{TARGET}') d CROSS JOIN (SELECT DISTINCT time_bucket FROM act) b
      LEFT JOIN {_REF_SUMS} s ON s.date = d.date AND s.time_bucket = b.time_bucket) g) h GROUP BY time_bucket) z USING (time_bucket)""")
 def activity_distribution(load):
-    return rounded(trends.activity_distribution(*periods(_activity(load).select("date", "time_bucket", F.col("turnover").alias("value")))))
+    return rounded(trends.activity_distribution(*periods(load, _activity(load).select("date", "time_bucket", F.col("turnover").alias("value")))))
 
 
 _SEVEN = ("(VALUES ('AM opening auction', 'AMO'), ('AM continuous session', 'AM'), ('AM closing auction', 'AMC'), ('PM opening auction', 'PMO'), ('PM continuous session', 'PM'), "
@@ -350,7 +350,7 @@ def session_share(load):
     (SELECT metric_name, time_bucket, avg(value) AS current FROM cur GROUP BY ALL) a FULL JOIN
     (SELECT metric_name, time_bucket, {_BOX.format(v='v')} FROM (SELECT metric_name, date, time_bucket, avg(value) AS v FROM ref GROUP BY ALL) x GROUP BY ALL) b USING (metric_name, time_bucket)""")
 def intraday_profile(load):
-    return rounded(trends.intraday_profile(*periods(_obs(load))))
+    return rounded(trends.intraday_profile(*periods(load, _obs(load))))
 
 
 @register("symbol_anchor", "SELECT DISTINCT sym, 'symbol-detail-' || lower(sym) || '-' || substr(sha1(sym), 1, 8) AS anchor FROM ticks")

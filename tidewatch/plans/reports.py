@@ -97,7 +97,7 @@ def symbol_anomalies(load):
 
 @register("symbol_detail_index", f"SELECT sym AS symbol, status, metric_name, n AS rows FROM (SELECT sym, status, metric_name FROM {_ANOMALIES} a) b JOIN (SELECT sym, count(*) AS n FROM cur GROUP BY sym) c USING (sym)")
 def symbol_detail_index(load):
-    current, reference = periods(base.observations(load))
+    current, reference = periods(load, base.observations(load))
     anomalies = overview.symbol_anomalies(compare.compare(current, reference))
     return overview.symbol_detail_index(anomalies, overview.symbol_series(current, anomalies))
 
@@ -239,7 +239,7 @@ _PERIOD_VALUE = """SELECT metric_name, CASE WHEN metric_name = 'turnover' THEN a
     (VALUES (1, 'Traded Value', 'turnover'), (2, 'Quoted Spread', 'quoted_spread_bps'), (3, 'Top of book Depth', 'top_of_book_depth'), (4, 'Volatility', 'parkinson_volatility_bps')) AS v(place, card, metric_name)
     JOIN ({_PERIOD_VALUE.format(t='cur')}) c USING (metric_name) LEFT JOIN ({_PERIOD_VALUE.format(t='ref')}) f USING (metric_name)) x""")
 def overview_cards(load):
-    return rounded(trends.overview_cards(*periods(base.observations(load))))
+    return rounded(trends.overview_cards(*periods(load, base.observations(load))))
 
 
 _WEEK = "CAST(isoyear(date) AS VARCHAR) || '-W' || lpad(CAST(week(date) AS VARCHAR), 2, '0')"
@@ -252,7 +252,7 @@ _WEEK = "CAST(isoyear(date) AS VARCHAR) || '-W' || lpad(CAST(week(date) AS VARCH
     JOIN (SELECT metric_name, avg(value) AS m FROM cur GROUP BY metric_name) c USING (metric_name)""")
 def spark_bars(load):
     """The 35 reference days are more than a bar each, so that they are binned by week."""
-    current, reference = periods(base.observations(load))
+    current, reference = periods(load, base.observations(load))
     return rounded(trends.spark_bars(reference, current))
 
 
@@ -263,13 +263,13 @@ _FOLDED = """SELECT metric_name, {p} AS label, CASE WHEN metric_name = 'turnover
 @register("trend_payload", f"""SELECT metric_name, label, round(value, 6) AS value, period, round(avg(value) OVER (PARTITION BY metric_name, period), 6) AS period_mean FROM (
     SELECT *, 'benchmark' AS period FROM ({_FOLDED.format(p=_WEEK, c='<', t=TARGET)}) a UNION ALL SELECT *, 'target' AS period FROM ({_FOLDED.format(p=_WEEK, c='>=', t=TARGET)}) b) x""")
 def trend_payload(load):
-    return rounded(trends.trend_payload(*periods(base.observations(load)), "weekly"))
+    return rounded(trends.trend_payload(*periods(load, base.observations(load)), "weekly"))
 
 
 @register("trend_comments", f"""SELECT metric_name, format('Target-period mean is {{:.1f}}% ', 100 * abs(s)) || CASE WHEN s >= 0 THEN 'above' ELSE 'below' END || ' benchmark mean.' AS comparison FROM
     (SELECT metric_name, (c - f) / abs(f) AS s FROM (SELECT metric_name, avg(value) FILTER (date >= DATE '{TARGET}') AS c, avg(value) FILTER (date < DATE '{TARGET}') AS f FROM daily GROUP BY metric_name) a) b""")
 def trend_comments(load):
-    return trends.trend_comments(*periods(base.observations(load))).select("metric_name", "comparison")
+    return trends.trend_comments(*periods(load, base.observations(load))).select("metric_name", "comparison")
 
 
 _ORDER = ("CASE {b} WHEN 'AMO' THEN 0 WHEN 'AMC' THEN 1000 WHEN 'PMO' THEN 2000 WHEN 'PMC' THEN 5000 ELSE CAST(substr({b}, 1, 2) AS INT) * 60 + CAST(substr({b}, 4, 2) AS INT) "
@@ -279,26 +279,26 @@ _PLACE = f"row_number() OVER (PARTITION BY metric_name ORDER BY date, {_ORDER},
 
 @register("chart_points", f"SELECT metric_name, place, date, {_B} AS bucket, 'Sym: ' || sym AS label, round(value, 6) AS value FROM (SELECT *, {_PLACE} AS place FROM cur) x WHERE place <= 100")
 def chart_points(load):
-    return rounded(trends.chart_points(periods(base.observations(load))[0], 100))
+    return rounded(trends.chart_points(periods(load, base.observations(load))[0], 100))
 
 
 @register("heatmap_cells", f"""SELECT metric_name, place, {_B} AS x, topixCapGrp AS y, round(value, 6) AS value, {_text('value', 'unit')} AS value_text
     FROM (SELECT c.*, d.unit, {_PLACE.replace('metric_name', 'c.metric_name')} AS place FROM cur c JOIN defs d USING (metric_name) WHERE topixCapGrp IS NOT NULL) x WHERE place <= 100""", group=CAP)
 def heatmap_cells(load):
-    return rounded(trends.heatmap_cells(periods(base.observations(load, CAP))[0], "topixCapGrp", 100))
+    return rounded(trends.heatmap_cells(periods(load, base.observations(load, CAP))[0], "topixCapGrp", 100))
 
 
 @register("report_arrays", """SELECT metric_name, group_key, count(*) AS n, round(sum(value), 6) AS total FROM cur GROUP BY ALL""")
 def report_arrays(load):
     """Chart arrays of each series, read back: their lengths and totals."""
-    packed = observations.report_arrays(periods(base.observations(load))[0], ["metric_name", "group_key"], ["date", "time_bucket"], ["date", "time_bucket", "value"])
+    packed = observations.report_arrays(periods(load, base.observations(load))[0], ["metric_name", "group_key"], ["date", "time_bucket"], ["date", "time_bucket", "value"])
     points = F.from_json("points", "array<struct<date:date,time_bucket:string,value:double>>")
     return rounded(packed.select("metric_name", "group_key", F.size(points).cast("long").alias("n"), F.aggregate(points, F.lit(0.0), lambda t, p: t + p["value"]).alias("total")))
 
 
 @register("period_text", """SELECT min(CAST(date AS VARCHAR)) || ' to ' || max(CAST(date AS VARCHAR)) || ' (' || count(DISTINCT date) || ' days)' AS period_text FROM cur""")
 def period_text(load):
-    return trends.period_text(periods(base.observations(load))[0])
+    return trends.period_text(periods(load, base.observations(load))[0])
 
 
 _REASONS = """concat_ws('; ', CASE WHEN trade_count < 2 THEN 'trade_count ' || trade_count || ' < 2' END,
@@ -356,7 +356,7 @@ def curve_summary(load):
     concat_ws(', ', 'Horizon: ' || horizon, 'Sym: ' || sym, 'Venue: ' || venue, 'Date: ' || CAST(date AS VARCHAR), 'Intraday bucket: ' || {_B}) AS label FROM cmp) x
     ORDER BY CASE status WHEN 'alert' THEN 0 WHEN 'watch' THEN 1 ELSE 2 END, abs(delta) DESC, label LIMIT 12""", reversion=True)
 def reversion_diagnostics(load):
-    cmp = compare.compare_reversion(*periods(base.reversion_obs(load)))
+    cmp = compare.compare_reversion_periods(base.reversion_obs(load), *base.in_periods(load))
     return rounded(reversion.reversion_diagnostics(cmp).select("metric_name", "status", "delta", "label"))
 
 
