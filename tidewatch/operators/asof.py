@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import duration_ms, time_bucket
-from tidewatch.operators.facts import enrich
+from tidewatch.operators.facts import enrich, rollup_levels
 
 #: Milliseconds of a block of time, and those of a day.
 BLOCK_MS, DAY_MS = 7_200_000, 86_400_000
@@ -133,3 +133,10 @@ def finish_reversion(states: DataFrame, *keys: str) -> DataFrame:
 def reversion(scored: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
     """Notional-weighted reversion by date, bucket, venue, horizon, symbol and capitalisation group."""
     return finish_reversion(enrich(reversion_states(scored, bucket_ms), refs), "date", "time_bucket", "venue", "horizon", "sym", "topixCapGrp")
+
+
+def rollup_reversion(states: DataFrame, refs: DataFrame, levels: list[str]) -> DataFrame:
+    """Reversion per level, venue and horizon, from the additive sums of symbols."""
+    keys = ("date", "time_bucket", "aggregationLevel", "groupType", "groupValue", "venue", "horizon")
+    sums = rollup_levels(enrich(states, refs), levels, REVERSION_SUMS, ("venue", "horizon", "horizon_sort_order"))
+    return finish_reversion(sums, *keys)

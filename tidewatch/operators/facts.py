@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import time_bucket, time_bucket_continuous
@@ -96,20 +96,90 @@ def _labelled(facts: DataFrame, levels: list[str]) -> list[Column]:
     return found
 
 
-def rollup_levels(facts: DataFrame, levels: list[str], sums: tuple[str, ...]) -> DataFrame:
-    """Sums of additive facts per level: one partial aggregation over the labelled facts."""
-    rows = facts.select("date", *sums, F.inline(F.array(*_labelled(facts, levels))))
-    return rows.groupBy("date", F.col("bucket").alias("time_bucket"), "aggregationLevel", "groupType", "groupValue").agg(
-        *[F.sum(c).alias(c) for c in sums])
+_LEVEL_KEYS = ("date", "time_bucket", "aggregationLevel", "groupType", "groupValue")
 
 
-def rollup_medians(quotes: DataFrame, refs: DataFrame, levels: list[str], bucket_ms: int) -> DataFrame:
-    """Median spread and depth per level, over quotes: medians of symbols do not add up to that of a market."""
-    label = time_bucket_continuous(F.col("time_ms"), bucket_ms)
-    ticks = enrich(_quotes(quotes).withColumn("time_bucket", label), refs, "lotSize").where("lotSize > 0")
-    rows = ticks.select("date", "spread", (F.col("size") / F.col("lotSize")).alias("depth"), F.inline(F.array(*_labelled(ticks, levels))))
-    return rows.groupBy("date", F.col("bucket").alias("time_bucket"), "aggregationLevel", "groupType", "groupValue").agg(
-        F.median("spread").alias("quoted_spread_bps"), F.median("depth").alias("top_of_book_depth"))
+def _by_level(facts: DataFrame, levels: list[str], *columns: str) -> DataFrame:
+    """Every fact once per level, with the level's labels in place of what the level leaves out."""
+    rows = facts.select("date", *columns, F.inline(F.array(*_labelled(facts, levels))))
+    return rows.withColumnRenamed("bucket", "time_bucket")
+
+
+def rollup_levels(facts: DataFrame, levels: list[str], sums: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums of additive facts per level (and further keys): one partial aggregation over the labelled facts."""
+    return _by_level(facts, levels, *by, *sums).groupBy(*_LEVEL_KEYS, *by).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def value_bin(value: Column) -> Column:
+    """Coarse bin of a number, increasing with it: about 1.6 % wide, so that a few hundred hold a decade; one bin for what is not finite."""
+    size = F.floor(F.log(F.abs(value)) * 64) + 47_700
+    finite = ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    return F.when(~finite, 1 << 20).when(value == 0, 0).when(value > 0, size).otherwise(-size).cast("long")
+
+
+def histogram_median(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Exact median of every group of `by`, from rows (by, value, n).
+
+    Two levels: running counts over coarse bins find the bin, or two, of the middle ranks; running counts over the values of only
+    these bins find the middle values. A task holds the bins of a group or the distinct values of one bin, never a whole group.
+    """
+    binned = counts.withColumn("bin", value_bin(F.col("value")))
+    whole, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = binned.groupBy(*by, "bin").agg(F.sum("n").alias("in_bin"))
+    bins = bins.withColumn("before", F.sum("in_bin").over(upto) - F.col("in_bin")).withColumn("total", F.sum("in_bin").over(whole))
+    bins = bins.withColumn("low", F.floor((F.col("total") - 1) / 2)).withColumn("high", F.floor(F.col("total") / 2))  # middle ranks from 0
+    chosen = bins.where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("in_bin") > F.col("low")))
+    same = F.lit(True)
+    for c in (*by, "bin"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    near = binned.join(chosen.select(*[F.col(c).alias(f"__{c}") for c in (*by, "bin")], "before", "low", "high"), same)
+    inside = Window.partitionBy(*by, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("before") + F.sum("n").over(inside)
+    near = near.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+    held = [F.max(F.when((F.col("start") <= F.col(r)) & (F.col("end") > F.col(r)), F.col("value"))) for r in ("low", "high")]
+    return near.groupBy(*by).agg(((held[0] + held[1]) / 2).alias("median"))
+
+
+def rollup_medians(quotes: DataFrame, refs: DataFrame, levels: list[str], bucket_ms: int, accuracy: int | None = None) -> DataFrame:
+    """Median spread and depth per level, over quotes: medians of symbols do not add up to that of a market.
+
+    Quotes are counted by symbol, bucket and value before anything else, and these counts are joined, labelled and merged.
+    accuracy asks for Spark's quantile sketches in place of the exact middle: mergeable, with a rank error of 1 / accuracy.
+    """
+    names = ("quoted_spread_bps", "top_of_book_depth")
+    label = time_bucket_continuous(F.col("time_ms"), bucket_ms).alias("time_bucket")
+    values = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("value")) for n, c in zip(names, ("spread", "size"))])
+    ticks = _quotes(quotes).select("date", label, "sym", F.inline(values)).where("value is not null")
+    counts = ticks.groupBy("date", "time_bucket", "sym", "name", "value").agg(F.count("*").alias("n"))
+    counts = enrich(counts if accuracy is None else ticks, refs, "lotSize").where("lotSize > 0").withColumn(
+        "value", F.when(F.col("name") == names[1], F.col("value") / F.col("lotSize")).otherwise(F.col("value")))
+    by = [*_LEVEL_KEYS, "name"]
+    if accuracy is None:
+        merged = _by_level(counts, levels, "name", "value", "n").groupBy(*by, "value").agg(F.sum("n").alias("n"))
+        medians = histogram_median(merged, by)
+    else:
+        medians = _by_level(counts, levels, "name", "value").groupBy(*by).agg(F.percentile_approx("value", 0.5, accuracy).alias("median"))
+    return medians.groupBy(*_LEVEL_KEYS).agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in names])
+
+
+def rollup_parkinson(trades: DataFrame, refs: DataFrame, levels: list[str], bucket_ms: int) -> DataFrame:
+    """Range volatility per level: of a symbol from its range over the level's time, of a group the root mean square of its symbols'.
+
+    The states are mergeable: least and greatest price per symbol, then sums of squared log ranges.
+    """
+    require_columns(trades, "date", "time_ms", "sym", "tradePrice", role="trades")
+    label = time_bucket_continuous(F.col("time_ms"), bucket_ms).alias("time_bucket")
+    ends = (F.max("high").alias("high"), F.min("low").alias("low"))
+    price = trades.where("tradePrice > 0 and sym is not null").select("date", label, "sym", F.col("tradePrice").alias("high"), F.col("tradePrice").alias("low"))
+    ranges = price.groupBy("date", "time_bucket", "sym").agg(*ends)
+    scopes = F.array(F.struct(F.lit(True).alias("bucketed"), F.col("time_bucket").alias("b")), F.struct(F.lit(False).alias("bucketed"), F.lit(None).cast("string").alias("b")))
+    scoped = ranges.select("date", "sym", "high", "low", F.inline(scopes)).groupBy("date", "bucketed", F.col("b").alias("time_bucket"), "sym").agg(*ends)
+    squares = enrich(scoped, refs).withColumn("squares", F.pow(F.log(F.col("high") / F.col("low")), 2)).withColumn("symbols", F.lit(1))
+    rows = _by_level(squares, levels, "bucketed", "squares", "symbols")
+    named = [n for n in levels if n in LEVELS and "time_bucket" in LEVELS[n][2]]
+    rows = rows.where(F.col("bucketed") == F.col("aggregationLevel").isin(*named))
+    sums = rows.groupBy(*_LEVEL_KEYS).agg(F.sum("squares").alias("squares"), F.sum("symbols").alias("symbols"))
+    return sums.select(*_LEVEL_KEYS, (10000 * F.sqrt(F.col("squares") / F.col("symbols") / (4 * F.log(F.lit(2.0))))).alias("parkinson_volatility_bps"), "symbols")
 
 
 def fact_cells(trades: DataFrame, quotes: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:

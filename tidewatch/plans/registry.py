@@ -145,6 +145,31 @@ def liquidity_market_levels(load):
     return rounded(facts.rollup_medians(load("quotes"), load("refs"), LEVELS, BUCKET_MS))
 
 
+def _level_sql(select: str, source: str, by: str = "") -> str:
+    """A select over source for every level; {{b}} stands for the bucket that the level keeps."""
+    return " UNION ALL ".join(
+        f"SELECT date, {'time_bucket' if 'bucket' in n else 'CAST(NULL AS VARCHAR)'} AS time_bucket, '{n}' AS aggregationLevel, '{kind}' AS groupType, "
+        f"{chr(39) + 'TSE' + chr(39) if kind == 'market' else kind} AS groupValue, {select} FROM ({source.format(b='time_bucket' if 'bucket' in n else 'CAST(NULL AS VARCHAR)')}) x "
+        f"GROUP BY ALL" for n, (kind, _, _) in facts.LEVELS.items())
+
+
+@register("volatility_levels", _level_sql(
+    "round(10000 * sqrt(avg(pow(ln(high / low), 2)) / (4 * ln(2))), 6) AS parkinson_volatility_bps, count(*) AS symbols",
+    f"""SELECT t.date, {{b}} AS time_bucket, t.sym, r.topixCapGrp, max(tradePrice) AS high, min(tradePrice) AS low FROM (SELECT *, {clock('time_ms')} AS time_bucket FROM trades) t
+    LEFT JOIN refs r USING (date, sym) WHERE tradePrice > 0 AND sym IS NOT NULL GROUP BY ALL"""))
+def volatility_levels(load):
+    return rounded(facts.rollup_parkinson(load("trades"), load("refs"), LEVELS, BUCKET_MS))
+
+
+@register("reversion_levels", _level_sql(
+    "venue, horizon, round(sum(bps * notional) / sum(notional), 6) AS primary_quote_reversion_bps, min(horizon_sort_order) AS horizon_sort_order, "
+    "round(avg(CASE WHEN bps > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive_reversion_ratio, count(*) AS trade_count, round(sum(notional), 6) AS notional, "
+    "CAST(1 AS DOUBLE) AS valid_primary_quote_ratio",
+    f"SELECT s.*, {BUCKET_SQL} AS time_bucket, r.topixCapGrp FROM {SCORED} s LEFT JOIN refs r USING (date, sym)"))
+def reversion_levels(load):
+    return rounded(asof.rollup_reversion(asof.reversion_states(scored(load), BUCKET_MS), load("refs"), LEVELS))
+
+
 @register("observations_long", f"SELECT metric_name, date, time_bucket, group_key, {r('value')} FROM obs")
 def observations_long(load):
     return rounded(_obs(load).drop("group", "metadata"))
