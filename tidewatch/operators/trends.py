@@ -6,13 +6,14 @@ gives an empty result.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels
 from tidewatch.functions.scalars import SESSIONS, activity_session, bucket_order, norm_cdf
+from tidewatch.operators import ranks
 from tidewatch.operators.definitions import with_definitions
 from tidewatch.operators.observations import label_periods
 
@@ -53,57 +54,56 @@ def trend_payload(current: DataFrame, reference: DataFrame, grain: str) -> DataF
     return label_periods(*series).withColumn("period_mean", F.avg("value").over(Window.partitionBy("metric_name", "period")))
 
 
-def _indexed(series: DataFrame) -> DataFrame:
-    return series.withColumn("i", F.row_number().over(Window.partitionBy("metric_name").orderBy("date")))
+#: Longest untied series whose p-value is exact whatever its order.
+EXACT_UP_TO = 33
+
+
+def rank_statistics(series: DataFrame, by: tuple[str, ...] = ("metric_name",)) -> DataFrame:
+    """Per series: n, median size, Theil-Sen slope (null for one value), pairs discordant with time, tied pairs, tie correction and exact p-value.
+
+    A series is one group of days, kept in one task in memory proportional to its length; pairs are counted, not made.
+    For Kendall's counts, values that agree to nine digits after the point are ties: adjusted values carry the rounding of their
+    sums. The exact p-value is null for tied series, and for series of more than EXACT_UP_TO values with more than one
+    pair out of order.
+    """
 
+    def statistics(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        values = rows.sort_values(["date", "value"])["value"].to_numpy(dtype=float)
+        n, slope = len(values), ranks.median_slope(values)
+        discordant, tied, correction = ranks.kendall_counts(np.round(values, 9))
+        small = n <= EXACT_UP_TO or min(discordant, n * (n - 1) // 2 - discordant) <= 1
+        exact = ranks.exact_tail(n, discordant) if small and not tied else None
+        return pd.DataFrame([(*key, n, float(np.median(np.abs(values))), slope, discordant, tied, correction, exact)])
 
-def _pairs(series: DataFrame) -> DataFrame:
-    """Ordered pairs within one series of days: the statistic itself is defined on pairs of at most a few hundred days."""
-    a = _indexed(series).select("metric_name", F.col("i").alias("i"), F.col("value").alias("a"))
-    b = _indexed(series).select("metric_name", F.col("i").alias("j"), F.col("value").alias("b"))
-    return a.join(b, "metric_name").where("i < j")
+    kinds = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds}, n long, base double, slope double, discordant long, tied long, correction double, exact double"
+    return series.where("value is not null").select(*by, "date", "value").groupBy(*by).applyInPandas(statistics, schema)
 
 
 def theil_sen(series: DataFrame) -> DataFrame:
     """Median of pairwise slopes per series."""
-    return _pairs(series).groupBy("metric_name").agg(F.median((F.col("b") - F.col("a")) / (F.col("j") - F.col("i"))).alias("slope"))
+    return rank_statistics(series).where("slope is not null").select("metric_name", "slope")
 
 
-def exact_tail(n: int, discordant: int) -> float:
-    """Two-sided p-value of Kendall's statistic for n untied values: the share of orders at least as far from the middle."""
-    ways = [1]
-    for k in range(2, n + 1):
-        sums = [0] * (len(ways) + k - 1)
-        for at, w in enumerate(ways):
-            for more in range(k):
-                sums[at + more] += w
-        ways = sums
-    least = min(discordant, n * (n - 1) // 2 - discordant)
-    return 1.0 if 4 * least == n * (n - 1) else min(1.0, 2 * sum(ways[:least + 1]) / math.factorial(n))
+def _kendall(stats: DataFrame, exact: bool) -> DataFrame:
+    """tau and p_value of rank statistics."""
+    n, tied = F.col("n").cast("double"), F.col("tied")
+    pairs = n * (n - 1) / 2
+    s = pairs - tied - 2 * F.col("discordant")
+    tau = s / F.sqrt(F.nullif(pairs * (pairs - tied), F.lit(0.0)))
+    variance = (n * (n - 1) * (2 * n + 5) - F.col("correction")) / 18
+    p = F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.abs(s) / F.sqrt(F.nullif(variance, F.lit(0.0))))))
+    p = F.coalesce("exact", p) if exact else p
+    return stats.withColumns({"tau": F.coalesce(tau, F.lit(0.0)), "p_value": F.coalesce(p, F.lit(1.0))})
 
 
-def kendall(series: DataFrame, exact_up_to: int = 0) -> DataFrame:
+def kendall(series: DataFrame, exact: bool = True) -> DataFrame:
     """Kendall's tau-b of value against time and its two-sided p-value per series.
 
-    The p-value is the normal approximation with correction for ties; series without ties of at most exact_up_to values
-    get the exact one, from a table made by rule. Values that agree to nine digits after the point are ties: adjusted values
-    carry the rounding of their sums.
+    The p-value is exact for untied series that are short or in order but for one pair, else (or without exact) the normal
+    approximation with correction for ties.
     """
-    series = series.withColumn("value", F.round("value", 9))
-    ties = series.groupBy("metric_name", "value").agg(F.count("*").alias("t")).groupBy("metric_name").agg(
-        F.sum("t").cast("double").alias("n"), F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).cast("double").alias("y1"),
-        F.sum(F.expr("t * (t - 1) / 2")).cast("double").alias("tied"))
-    sums = _pairs(series).groupBy("metric_name").agg(F.sum(F.signum(F.col("b") - F.col("a"))).alias("s"), F.count("*").cast("double").alias("pairs"))
-    rows = sums.join(ties, "metric_name")
-    tau = F.col("s") / F.sqrt(F.nullif(F.col("pairs") * (F.col("pairs") - F.col("tied")), F.lit(0.0)))
-    variance = (F.col("n") * (F.col("n") - 1) * (2 * F.col("n") + 5) - F.col("y1")) / 18
-    p = F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.abs("s") / F.sqrt(F.nullif(variance, F.lit(0.0))))))
-    if exact_up_to > 1:
-        table = [(float(n), d, exact_tail(n, d)) for n in range(2, exact_up_to + 1) for d in range(n * (n - 1) // 2 + 1)]
-        known = F.broadcast(series.sparkSession.createDataFrame(table, "n double, d long, exact double"))
-        rows = rows.withColumn("d", ((F.col("pairs") - F.col("s")) / 2).cast("long")).join(known, ["n", "d"], "left")
-        p = F.when((F.col("tied") == 0) & F.col("exact").isNotNull(), F.col("exact")).otherwise(p)
-    return rows.select("metric_name", F.coalesce(tau, F.lit(0.0)).alias("tau"), F.coalesce(p, F.lit(1.0)).alias("p_value"))
+    return _kendall(rank_statistics(series).where("n > 1"), exact).select("metric_name", "tau", "p_value")
 
 
 def weekday_adjust(series: DataFrame) -> DataFrame:
@@ -133,11 +133,9 @@ def prepare_trend(series: DataFrame) -> DataFrame:
 SIGNIFICANCE, FLOOR, MILD, MODERATE = 0.05, 0.004, 0.010, 0.020
 
 
-def classify_trend(series: DataFrame, exact_up_to: int = 0) -> DataFrame:
+def classify_trend(series: DataFrame, exact: bool = True) -> DataFrame:
     """Trend class, tau, p-value, slope, normalised slope and text of each series of daily values."""
-    prepared = prepare_trend(series)
-    sizes = prepared.groupBy("metric_name").agg(F.count("*").alias("n"), F.median(F.abs("value")).alias("base"))
-    rows = sizes.join(theil_sen(prepared), "metric_name", "left").join(kendall(prepared, exact_up_to), "metric_name", "left")
+    rows = _kendall(rank_statistics(prepare_trend(series)), exact)
     few = F.col("n") < 5
     rows = rows.select(
         "metric_name", "n", *[F.when(few, F.lit(d)).otherwise(F.coalesce(c, F.lit(d))).alias(c) for c, d in (("tau", 0.0), ("p_value", 1.0), ("slope", 0.0))], "base")
@@ -156,7 +154,7 @@ def classify_trend(series: DataFrame, exact_up_to: int = 0) -> DataFrame:
     return rows.select("metric_name", label.alias("label"), "tau", "p_value", "slope", "normalized_slope", text.alias("summary_text"))
 
 
-def trend_comments(current: DataFrame, reference: DataFrame, exact_up_to: int = 0) -> DataFrame:
+def trend_comments(current: DataFrame, reference: DataFrame, exact: bool = True) -> DataFrame:
     """Trend text of each metric and how its target mean compares with the benchmark's, null without a benchmark."""
     cur, ref = daily_rollup(current), daily_rollup(reference)
     means = cur.groupBy("metric_name").agg(F.avg("value").alias("c")).join(ref.groupBy("metric_name").agg(F.avg("value").alias("r")), "metric_name", "left")
@@ -164,7 +162,7 @@ def trend_comments(current: DataFrame, reference: DataFrame, exact_up_to: int =
     word = F.when(share >= 0, "above").otherwise("below")
     said = F.when(F.col("r") == 0, "Benchmark mean is zero, so relative mean comparison is not computed.").when(
         F.col("r").isNotNull(), F.concat(F.lit("Target-period mean is "), labels.percent(F.abs(share)), F.lit(" "), word, F.lit(" benchmark mean.")))
-    return classify_trend(cur, exact_up_to).select("metric_name", F.col("summary_text").alias("trend")).join(means.select("metric_name", said.alias("comparison")), "metric_name")
+    return classify_trend(cur, exact).select("metric_name", F.col("summary_text").alias("trend")).join(means.select("metric_name", said.alias("comparison")), "metric_name")
 
 
 VOLATILITY_NAMES = ("realized_volatility", "return_volatility", "volatility")

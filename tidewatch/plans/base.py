@@ -94,6 +94,11 @@ PARTS = {
              WHEN abs(z) >= 2 THEN 'alert' WHEN abs(z) >= 1.5 THEN 'watch' ELSE 'normal' END AS status FROM tail3""",
     "daily": """SELECT metric_name, date, CASE WHEN metric_name = 'turnover' THEN sum(value) WHEN metric_name IN ('quoted_spread_bps', 'top_of_book_depth') THEN median(value)
         ELSE avg(value) END AS value FROM obs GROUP BY metric_name, date""",
+    # exact distribution of discordant pairs, as numbers of orders of n untied values
+    "ways": """SELECT n, ways FROM (WITH RECURSIVE w AS (SELECT 1 AS n, [CAST(1 AS HUGEINT)] AS ways UNION ALL
+        SELECT n + 1, list_transform(range(CAST(n * (n + 1) / 2 + 1 AS BIGINT)), lambda d: list_sum(ways[greatest(d - n, 0) + 1:least(d, n * (n - 1) // 2) + 1])) FROM w WHERE n < 33)
+        SELECT * FROM w)""",
+    "cur_idx": f"SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY date) AS i FROM daily WHERE date >= DATE '{TARGET}'",
     "idx": "SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY date) AS i FROM daily",
 }
 

@@ -298,40 +298,71 @@ def theil_sen(load):
 _PHI = """CASE WHEN x < 7.07106781186547 THEN exp(-x*x/2) * ((((((3.52624965998911e-02*x + 0.700383064443688)*x + 6.37396220353165)*x + 33.912866078383)*x + 112.079291497871)*x
     + 221.213596169931)*x + 220.206867912376) / (((((((8.83883476483184e-02*x + 1.75566716318264)*x + 16.064177579207)*x + 86.7807322029461)*x + 296.564248779674)*x
     + 637.333633378831)*x + 793.826512519948)*x + 440.413735824752) ELSE 0 END"""
-_KENDALL = """SELECT metric_name, s / sqrt(nullif(p * (p - tied), 0)) AS tau, abs(s) / sqrt(nullif((n * (n - 1) * (2 * n + 5) - y1) / 18, 0)) AS x FROM (
+_KENDALL = """SELECT k.metric_name, k.n, tau, x, CASE WHEN tied = 0 AND k.n <= 33 THEN CASE WHEN 4 * least(d, p - d) = k.n * (k.n - 1) THEN 1
+    ELSE least(1, 2 * CAST(list_sum(w.ways[1:CAST(least(d, p - d) AS BIGINT) + 1]) AS DOUBLE) / CAST(list_sum(w.ways) AS DOUBLE)) END END AS exact FROM (
+    SELECT metric_name, n, p, tied, (p - s) / 2 AS d, s / sqrt(nullif(p * (p - tied), 0)) AS tau, abs(s) / sqrt(nullif((n * (n - 1) * (2 * n + 5) - y1) / 18, 0)) AS x FROM (
     SELECT a.metric_name, sum(sign(b.value - a.value)) AS s, CAST(count(*) AS DOUBLE) AS p FROM {t} a JOIN {t} b ON a.metric_name = b.metric_name AND a.i < b.i GROUP BY a.metric_name) q
     JOIN (SELECT metric_name, CAST(sum(t) AS DOUBLE) AS n, CAST(sum(t * (t - 1) * (2 * t + 5)) AS DOUBLE) AS y1, CAST(sum(t * (t - 1) / 2) AS DOUBLE) AS tied
-    FROM (SELECT metric_name, value, count(*) AS t FROM {t} GROUP BY ALL) g GROUP BY metric_name) y USING (metric_name)"""
+    FROM (SELECT metric_name, value, count(*) AS t FROM {t} GROUP BY ALL) g GROUP BY metric_name) y USING (metric_name)) k LEFT JOIN ways w ON w.n = k.n"""
+_P = f"coalesce(exact, least(1, 2 * {_PHI}), 1)"
 
 
 _ROUNDED = "(SELECT metric_name, i, round(value, 9) AS value FROM {t})"
+_KENDALL_SQL = "SELECT metric_name, round(coalesce(tau, 0), 6) AS tau, round({p}, 6) AS p_value FROM ({k}) k"
 
 
-@register("kendall", f"SELECT metric_name, round(coalesce(tau, 0), 6) AS tau, round(coalesce(least(1, 2 * {_PHI}), 1), 6) AS p_value FROM ({_KENDALL.format(t=_ROUNDED.format(t='idx'))}) k")
+@register("kendall", _KENDALL_SQL.format(p=_P, k=_KENDALL.format(t=_ROUNDED.format(t="idx"))))
 def kendall(load):
     return rounded(trends.kendall(trends.daily_rollup(_obs(load))))
 
 
+@register("kendall_target", _KENDALL_SQL.format(p=_P, k=_KENDALL.format(t=_ROUNDED.format(t="cur_idx"))))
+def kendall_target(load):
+    """The target period is short: exact p-values."""
+    return rounded(trends.kendall(trends.daily_rollup(periods(load, _obs(load))[0])))
+
+
 _PREPARED = """(SELECT metric_name, date, i, CASE WHEN n >= 10 THEN v - avg(v) OVER (PARTITION BY metric_name, dayofweek(date)) + avg(v) OVER (PARTITION BY metric_name) ELSE v END AS value
     FROM (SELECT *, CASE WHEN f <> 0 THEN 100 * value / f ELSE value END AS v, count(*) OVER (PARTITION BY metric_name) AS n
-    FROM (SELECT *, first_value(value) OVER (PARTITION BY metric_name ORDER BY date) AS f FROM idx) a) b)"""
-_CLASSES = f"""SELECT *, CASE WHEN n < 5 THEN 'insufficient' WHEN p_value >= 0.05 OR abs(norm) < 0.004 THEN 'fluctuating' ELSE
+    FROM (SELECT *, first_value(value) OVER (PARTITION BY metric_name ORDER BY date) AS f FROM {idx}) a) b)"""
+
+
+def _classes(idx: str) -> str:
+    t = _PREPARED.format(idx=idx)
+    return f"""SELECT *, CASE WHEN n < 5 THEN 'insufficient' WHEN p_value >= 0.05 OR abs(norm) < 0.004 THEN 'fluctuating' ELSE
     CASE WHEN abs(norm) < 0.010 THEN 'mild' WHEN abs(norm) < 0.020 THEN 'moderate' ELSE 'strong' END || CASE WHEN slope > 0 THEN '_up_trend' ELSE '_down_trend' END END AS label
-    FROM (SELECT metric_name, n, slope, coalesce(tau, 0) AS tau, coalesce(least(1, 2 * {_PHI}), 1) AS p_value, coalesce(slope / nullif(base, 0), 0) AS norm FROM
-    (SELECT metric_name, count(*) AS n, median(abs(value)) AS base FROM {_PREPARED} t GROUP BY metric_name) s
-    JOIN (SELECT a.metric_name, median((b.value - a.value) / (b.i - a.i)) AS slope FROM {_PREPARED} a JOIN {_PREPARED} b ON a.metric_name = b.metric_name AND a.i < b.i GROUP BY a.metric_name) t USING (metric_name)
-    JOIN ({_KENDALL.format(t=_ROUNDED.format(t=_PREPARED + ' u'))}) k USING (metric_name)) c"""
-_SUMMARY = """CASE WHEN label = 'insufficient' THEN 'Insufficient observations for robust trend classification.' ELSE
+    FROM (SELECT metric_name, s.n, slope, coalesce(tau, 0) AS tau, {_P} AS p_value, coalesce(slope / nullif(base, 0), 0) AS norm FROM
+    (SELECT metric_name, count(*) AS n, median(abs(value)) AS base FROM {t} t GROUP BY metric_name) s
+    JOIN (SELECT a.metric_name, median((b.value - a.value) / (b.i - a.i)) AS slope FROM {t} a JOIN {t} b ON a.metric_name = b.metric_name AND a.i < b.i GROUP BY a.metric_name) t USING (metric_name)
+    JOIN ({_KENDALL.format(t=_ROUNDED.format(t=t + ' u'))}) k USING (metric_name)) c"""
+
+
+#: The trend's text of a row of classes.
+TREND_TEXT_SQL = """CASE WHEN label = 'insufficient' THEN 'Insufficient observations for robust trend classification.' ELSE
     CASE WHEN label = 'fluctuating' THEN 'Target period has no clear directional trend' ELSE 'Target period shows a ' || replace(replace(label, '_trend', ' trend'), '_', ' ') END
     || format(' (p={:.3f}, normalized slope={:.3f}% per bucket).', p_value, norm * 100) END"""
+_CLASS_SQL = f"""SELECT metric_name, label, round(tau, 6) AS tau, round(p_value, 6) AS p_value, round(slope, 6) AS slope, round(norm, 6) AS normalized_slope,
+    {TREND_TEXT_SQL.replace("{", "{{").replace("}", "}}")} AS summary_text FROM ({{c}}) d"""
 
 
-@register("classify_trend", f"""SELECT metric_name, label, round(tau, 6) AS tau, round(p_value, 6) AS p_value, round(slope, 6) AS slope, round(norm, 6) AS normalized_slope,
-    {_SUMMARY} AS summary_text FROM ({_CLASSES}) d""")
+@register("classify_trend", _CLASS_SQL.format(c=_classes("idx")))
 def classify_trend(load):
     return rounded(trends.classify_trend(trends.daily_rollup(_obs(load))))
 
 
+@register("classify_trend_target", _CLASS_SQL.format(c=_classes("cur_idx")))
+def classify_trend_target(load):
+    return rounded(trends.classify_trend(trends.daily_rollup(periods(load, _obs(load))[0])))
+
+
+@register("trend_comments", f"""SELECT metric_name, {TREND_TEXT_SQL} AS trend, format('Target-period mean is {{:.1f}}% ', 100 * abs(share)) || CASE WHEN share >= 0 THEN 'above' ELSE 'below' END
+    || ' benchmark mean.' AS comparison FROM ({_classes("cur_idx")}) d JOIN
+    (SELECT metric_name, (c - f) / abs(f) AS share FROM (SELECT metric_name, avg(value) FILTER (date >= DATE '{TARGET}') AS c, avg(value) FILTER (date < DATE '{TARGET}') AS f FROM daily GROUP BY metric_name) a) b
+    USING (metric_name)""")
+def trend_comments(load):
+    return trends.trend_comments(*periods(load, _obs(load)))
+
+
 @register("weekday_adjust", "SELECT metric_name, date, round(value - avg(value) OVER (PARTITION BY metric_name, dayofweek(date)) + avg(value) OVER (PARTITION BY metric_name), 6) AS value FROM daily")
 def weekday_adjust(load):
     return rounded(trends.weekday_adjust(trends.daily_rollup(_obs(load))))

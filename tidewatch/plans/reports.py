@@ -266,12 +266,6 @@ def trend_payload(load):
     return rounded(trends.trend_payload(*periods(load, base.observations(load)), "weekly"))
 
 
-@register("trend_comments", f"""SELECT metric_name, format('Target-period mean is {{:.1f}}% ', 100 * abs(s)) || CASE WHEN s >= 0 THEN 'above' ELSE 'below' END || ' benchmark mean.' AS comparison FROM
-    (SELECT metric_name, (c - f) / abs(f) AS s FROM (SELECT metric_name, avg(value) FILTER (date >= DATE '{TARGET}') AS c, avg(value) FILTER (date < DATE '{TARGET}') AS f FROM daily GROUP BY metric_name) a) b""")
-def trend_comments(load):
-    return trends.trend_comments(*periods(load, base.observations(load))).select("metric_name", "comparison")
-
-
 _ORDER = ("CASE {b} WHEN 'AMO' THEN 0 WHEN 'AMC' THEN 1000 WHEN 'PMO' THEN 2000 WHEN 'PMC' THEN 5000 ELSE CAST(substr({b}, 1, 2) AS INT) * 60 + CAST(substr({b}, 4, 2) AS INT) "
           "+ CASE WHEN {b} < '12' THEN 0 ELSE 2000 END END").format(b="time_bucket")
 _PLACE = f"row_number() OVER (PARTITION BY metric_name ORDER BY date, {_ORDER}, time_bucket, group_key, value)"
