@@ -28,13 +28,18 @@ def finite(value: Column) -> Column:
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
 
 
+def settled(value: Column) -> Column:
+    """A number to six digits, so that texts and orders do not see in which order its parts were added."""
+    return F.round(value.cast("double"), 6)
+
+
 def grouped(value: Column, digits: int) -> Column:
-    """Digits in groups of three, ties to the even digit."""
-    return F.format_number(value.cast("double"), digits)
+    """Digits in groups of three of the settled number, ties to the even digit."""
+    return F.format_number(settled(value), digits)
 
 
 def signed(value: Column, digits: int) -> Column:
-    return F.concat(F.when(value >= 0, "+").otherwise(""), grouped(value, digits))
+    return F.concat(F.when(settled(value) >= 0, "+").otherwise(""), grouped(value, digits))
 
 
 def percent(value: Column, digits: int = 1) -> Column:
@@ -42,7 +47,7 @@ def percent(value: Column, digits: int = 1) -> Column:
 
 
 def signed_percent(value: Column) -> Column:
-    return F.concat(F.when(value >= 0, "+").otherwise(""), percent(value))
+    return F.concat(F.when(settled(value) >= 0, "+").otherwise(""), percent(value))
 
 
 def _by_unit(value: Column, unit: Column, text) -> Column:

@@ -183,6 +183,12 @@ class Encoder:
         return [b"".join(map(get, found)) for found in split]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, classes: tuple[str, str, str]) -> Encoder:
+    """One encoder for all tasks of a process, with what it remembers."""
+    return Encoder(load_ranks(path), classes)
+
+
 def _buffers(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about BUFFER_BYTES in a column, a longer value in a slice of its own."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -214,10 +220,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
     """df with the token ids of a text column, packed as little-endian unsigned 32-bit integers."""
     path, classes = path or public_tokenizers.path(VOCABULARY), unicode_classes()
 
-    def make():
-        return Encoder(load_ranks(path), classes)
-
-    return _appended(df, text, ids, make)
+    return _appended(df, text, ids, lambda: encoder(path, classes))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:

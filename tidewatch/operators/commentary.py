@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels
-from tidewatch.operators.compare import priority
+from tidewatch.operators.compare import priority, size_of
 from tidewatch.operators.definitions import with_definitions
 
 
@@ -18,7 +18,8 @@ def commentary_facts(cmp: DataFrame) -> DataFrame:
     # a bucket given by its display label stays as it is
     group = F.when(bucket.isNotNull() & ~F.map_contains_key("group", "time_bucket"), F.map_concat("group", F.create_map(F.lit("time_bucket"), bucket))).otherwise(F.col("group"))
     change = F.col("change_abs")
-    word = F.when(change > 0, "higher").when(change < 0, "lower").when(change == 0, "unchanged").otherwise("changed")
+    known = labels.settled(change)
+    word = F.when(known > 0, "higher").when(known < 0, "lower").when(known == 0, "unchanged").otherwise("changed")
     return rows.select(
         F.lit("comparison").alias("fact_type"), F.coalesce("label", "metric_name").alias("metric_label"), F.coalesce(labels.group_label(group), F.lit("the selected universe")).alias("group_label"),
         labels.value_text(F.col("value"), unit).alias("value_text"),
@@ -29,7 +30,7 @@ def commentary_facts(cmp: DataFrame) -> DataFrame:
 
 def order_facts(facts: DataFrame, n: int | None = 5) -> DataFrame:
     """Section summaries first, then by status, size of z, label and group; the first n."""
-    rows = facts.orderBy((F.col("fact_type") != "section_summary").cast("int"), priority(), F.desc(F.coalesce(F.abs("z_score"), F.lit(0.0))), "metric_label", "group_label", "value_text")
+    rows = facts.orderBy((F.col("fact_type") != "section_summary").cast("int"), priority(), F.desc(size_of("z_score")), "metric_label", "group_label", "value_text")
     return rows if n is None else rows.limit(n)
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.labels import finite, settled
 from tidewatch.functions.scalars import norm_cdf
 from tidewatch.operators.definitions import with_definitions
 from tidewatch.operators.observations import field, require_fields, require_reversion
@@ -151,13 +152,18 @@ def priority(column: str = "status") -> Column:
 
 
 def size_of(column: str) -> Column:
-    """Size of a number, 0 where it is null or not finite."""
-    value = F.col(column)
-    return F.when(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.abs(value)).otherwise(0.0)
+    """Size of a number to six digits, 0 where it is null or not finite."""
+    return F.when(finite(F.col(column)), F.abs(settled(F.col(column)))).otherwise(0.0)
+
+
+def report_order(label: str = "label") -> list[Column]:
+    """Order of report rows: status, size of z, the metric's label, date, bucket and group; then name and value, for a total order."""
+    return [priority(), F.desc(size_of("z_score")), F.col(label), F.coalesce(F.col("date").cast("string"), F.lit("")), F.coalesce("time_bucket", F.lit("")),
+            F.col("group_key"), F.col("metric_name"), F.asc_nulls_first("value")]
 
 
 def severity() -> list[Column]:
-    """Total order of comparisons: status, sizes of z and of the relative change, then names."""
+    """Order for choosing rows across metrics: status, sizes of z and of the relative change, then names; total."""
     return [priority(), F.desc(size_of("z_score")), F.desc(size_of("change_pct")), F.col("metric_name"), F.asc_nulls_first("date"),
             F.asc_nulls_first("time_bucket"), F.col("group_key"), F.asc_nulls_first("value")]
 

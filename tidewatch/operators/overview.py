@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels
-from tidewatch.operators.compare import PRIORITY, priority, severity, size_of
+from tidewatch.operators.compare import PRIORITY, priority, report_order, severity, size_of
 from tidewatch.operators.definitions import family_of, metric_definitions, with_definitions
 from tidewatch.operators.observations import DRILLDOWN_KEYS, SYMBOL_PAGE_KEYS, is_symbol_scoped, symbol_of
 
@@ -129,7 +129,8 @@ def top_changes(cmp: DataFrame, by: str = "metric", n: int = 5) -> DataFrame:
     key = F.col("metric_name") if by == "metric" else family_of(F.col("metric_name"))
     rows = where_status(cmp.where(~is_symbol_scoped(F.col("group"))), ("alert", "watch")).withColumn("key", key)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(*severity()))
-    return rows.withColumn("again", rank > 1).orderBy("again", *severity()).limit(n)
+    # a key can fill at most n places besides its first, so that each partition keeps its n + 1 best of a key before they are dealt
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n + 1).withColumn("again", F.col("rank") > 1).drop("rank").orderBy("again", *severity()).limit(n)
 
 
 def driver_intensity(top: DataFrame) -> DataFrame:
@@ -225,17 +226,45 @@ def signal_callout(summary: DataFrame, metric: str = "quoted_spread_bps") -> Dat
 KPI_METRICS = ("turnover", "quoted_spread_bps", "top_of_book_depth", "primary_quote_reversion_100ms_bps")
 
 
+def _texts(rows: DataFrame) -> list[Column]:
+    """Text columns of a report row."""
+    unit = F.coalesce("unit", F.lit(""))
+    return [
+        labels.value_text(F.col("value"), unit).alias("value_text"),
+        F.when(F.col("reference_value").isNotNull(), labels.value_text(F.col("reference_value"), unit)).alias("reference_text"),
+        labels.change_text(F.col("change_abs"), F.col("change_pct"), unit).alias("change_text"), F.col("status"),
+        labels.scope_label(F.col("date"), F.col("time_bucket"), F.col("group")).alias("scope")]
+
+
+def _named(cmp: DataFrame) -> DataFrame:
+    return with_definitions(cmp.drop("label", "unit"), "label", "unit").withColumn("label", F.coalesce("label", "metric_name"))
+
+
 def comparison_table(cmp: DataFrame, n: int | None = None) -> DataFrame:
-    """Report rows by severity: label, value, reference, change, status and scope as texts."""
-    rows = with_definitions(cmp, "label", "unit")
-    name, unit = F.coalesce("label", "metric_name"), F.coalesce("unit", F.lit(""))
-    rows = rows.orderBy(*severity())
+    """Report rows in report order: label, value, reference, change, status and scope as texts."""
+    rows = _named(cmp).orderBy(*report_order())
     rows = rows if n is None else rows.limit(n)
+    return rows.select("metric_name", "label", *_texts(rows))
+
+
+def drilldown_table(cmp: DataFrame, n: int | None = 25, keys: tuple[str, ...] = DRILLDOWN_KEYS) -> DataFrame:
+    """Group-level report rows as texts, in the order of the drilldowns, with dimension and value as labels."""
+    rows = _named(drilldown_rows(cmp, keys, n))
     return rows.select(
-        "metric_name", name.alias("label"), labels.value_text(F.col("value"), unit).alias("value_text"),
-        F.when(F.col("reference_value").isNotNull(), labels.value_text(F.col("reference_value"), unit)).alias("reference_text"),
-        labels.change_text(F.col("change_abs"), F.col("change_pct"), unit).alias("change_text"), "status",
-        labels.scope_label(F.col("date"), F.col("time_bucket"), F.col("group")).alias("scope"))
+        "metric_name", "label", labels.group_key_label(F.col("dimension")).alias("dimension"), labels.group_value_label(F.col("dimension"), F.col("dimension_value")).alias("dimension_value"),
+        *_texts(rows))
+
+
+def symbol_table(cmp: DataFrame, symbols: DataFrame, n: int | None = 25, keys: tuple[str, ...] = SYMBOL_PAGE_KEYS) -> DataFrame:
+    """Report rows of each of the given symbols (column symbol) as texts, the first n of each in report order.
+
+    A join with the chosen symbols, then a rank that each partition prunes to its n best rows of a symbol.
+    """
+    rows = _named(cmp.withColumn("symbol", symbol_of(F.col("group"), keys)).join(symbols.select("symbol").distinct(), "symbol", "left_semi"))
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(*report_order()))
+    rows = rows.withColumn("place", place)
+    rows = rows if n is None else rows.where(F.col("place") <= n)
+    return rows.select("symbol", "place", "metric_name", "label", *_texts(rows))
 
 
 def kpi_snapshot(summary: DataFrame, metrics: tuple[str, ...] = KPI_METRICS) -> DataFrame:

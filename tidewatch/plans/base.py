@@ -138,7 +138,8 @@ def oracle(select: str, robust: bool = True, group: tuple[str, ...] = ("sym",),
 
 
 PRIORITY_SQL = "CASE status WHEN 'alert' THEN 0 WHEN 'watch' THEN 1 WHEN 'comparison_only' THEN 2 ELSE 3 END"
-SEVERITY_SQL = (f"{PRIORITY_SQL}, coalesce(abs(z), 0) DESC, coalesce(abs(change_pct), 0) DESC, metric_name, date NULLS FIRST, time_bucket NULLS FIRST, group_key, value NULLS FIRST")
+SEVERITY_SQL = (f"{PRIORITY_SQL}, coalesce(round(abs(z), 6), 0) DESC, coalesce(round(abs(change_pct), 6), 0) DESC, metric_name, date NULLS FIRST, time_bucket NULLS FIRST, group_key, value NULLS FIRST")
+REPORT_SQL = f"{PRIORITY_SQL}, coalesce(round(abs(z), 6), 0) DESC, coalesce(label, metric_name), date NULLS FIRST, time_bucket NULLS FIRST, group_key, metric_name, value NULLS FIRST"
 
 
 def _central(column: str) -> str:
@@ -151,7 +152,7 @@ MARKET_SQL = f"""SELECT metric_name, date, CAST(NULL AS VARCHAR) AS time_bucket,
     SELECT c.metric_name, c.date, c.group_key, min(c.topixCapGrp) AS topixCapGrp, min(c.label) AS label, min(c.unit) AS unit, bool_or(c.better) AS better,
     {_central('value')} AS value, {_central('reference')} AS reference, nullif(CAST(sum(c.n) AS BIGINT), 0) AS n, min(w.z) AS z, min(w.percentile) AS percentile, min(w.status) AS status
     FROM cmp c JOIN (SELECT metric_name, date, group_key, z, status, CASE WHEN n >= 10 THEN below END AS percentile, row_number() OVER (PARTITION BY metric_name, date, group_key
-        ORDER BY {PRIORITY_SQL}, coalesce(abs(z), 0) DESC, coalesce(abs(change_pct), 0) DESC, time_bucket, value) AS k FROM cmp) w
+        ORDER BY {PRIORITY_SQL}, coalesce(round(abs(z), 6), 0) DESC, coalesce(round(abs(change_pct), 6), 0) DESC, time_bucket, value) AS k FROM cmp) w
     ON w.k = 1 AND c.metric_name = w.metric_name AND c.date = w.date AND c.group_key = w.group_key GROUP BY c.metric_name, c.date, c.group_key) m"""
 
 

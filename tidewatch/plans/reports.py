@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import labels
 from tidewatch.operators import commentary, compare, definitions, observations, overview, reversion, trends
 from tidewatch.plans import base
-from tidewatch.plans.base import PRIORITY_SQL, SEVERITY_SQL, TARGET, compared, periods, r, register, rounded
+from tidewatch.plans.base import PRIORITY_SQL, REPORT_SQL, SEVERITY_SQL, TARGET, compared, periods, r, register, rounded
 from tidewatch.sources import calendar
 
 CAP = ("topixCapGrp",)
@@ -23,12 +23,13 @@ _WORST = "CASE WHEN min({p}) = 0 THEN 'alert' WHEN min({p}) = 1 THEN 'watch' WHE
 
 
 def _text(value: str, unit: str, sign: str = "") -> str:
+    value = f"round({value}, 6)"
     plus = f"CASE WHEN {value} >= 0 THEN '+' ELSE '' END || " if sign else ""
     return (f"CASE WHEN {value} IS NULL THEN 'not available' WHEN {unit} = 'count' THEN {plus}format('{{:,.0f}}', {value}) WHEN {unit} = 'JPY' THEN {plus}format('{{:,.0f}} JPY', {value}) "
             f"WHEN {unit} <> '' THEN {plus}format('{{:,.4f}} ', {value}) || {unit} ELSE {plus}format('{{:,.4f}}', {value}) END")
 
 
-_SIGNED = "CASE WHEN change_pct >= 0 THEN '+' ELSE '' END || format('{:.1f}%', 100 * change_pct)"
+_SIGNED = "CASE WHEN round(change_pct, 6) >= 0 THEN '+' ELSE '' END || format('{:.1f}%', round(100 * change_pct, 6))"
 _CHANGE = f"nullif(concat_ws(' ', CASE WHEN change_abs IS NOT NULL THEN 'change ' || {_text('change_abs', 'unit', '+')} END, CASE WHEN change_pct IS NOT NULL THEN {_SIGNED} END), '')"
 
 
@@ -47,7 +48,7 @@ def status_counts(load):
 
 _OVERVIEW = f"""SELECT o.*, s.most_severe_scope FROM (SELECT metric_name, min(label) AS label, {_WORST} AS status, count(*) AS n, {_COUNTS}, round(avg(value), 6) AS mean_value, round(avg(reference), 6) AS mean_reference_value,
     round(avg(change_abs), 6) AS mean_change_abs, round(avg(change_pct), 6) AS mean_change_pct FROM cmp GROUP BY metric_name) o JOIN
-    (SELECT metric_name, {_SCOPE} AS most_severe_scope, row_number() OVER (PARTITION BY metric_name ORDER BY {PRIORITY_SQL}, coalesce(abs(z), 0) DESC, date, time_bucket, group_key) AS k FROM cmp) s
+    (SELECT metric_name, {_SCOPE} AS most_severe_scope, row_number() OVER (PARTITION BY metric_name ORDER BY {PRIORITY_SQL}, coalesce(round(abs(z), 6), 0) DESC, date, time_bucket, group_key) AS k FROM cmp) s
     ON s.k = 1 AND o.metric_name = s.metric_name"""
 
 
@@ -86,7 +87,7 @@ def metric_level_summary(load):
     return _market(overview.metric_level_summary(_summary(load)))
 
 
-_SYM_ORDER = f"{PRIORITY_SQL}, coalesce(least(normal_tail, empirical_tail), 1), coalesce(abs(z), 0) DESC, coalesce(abs(change_pct), 0) DESC, metric_name, date, time_bucket"
+_SYM_ORDER = f"{PRIORITY_SQL}, coalesce(least(normal_tail, empirical_tail), 1), coalesce(round(abs(z), 6), 0) DESC, coalesce(round(abs(change_pct), 6), 0) DESC, metric_name, date, time_bucket"
 _ANOMALIES = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY {_SYM_ORDER}) AS k FROM cmp WHERE status <> 'normal') x WHERE k = 1 ORDER BY {_SYM_ORDER}, sym LIMIT 20)"
 
 
@@ -97,8 +98,8 @@ def symbol_anomalies(load):
 
 @register("symbol_detail_index", f"SELECT sym AS symbol, status, metric_name, n AS rows FROM (SELECT sym, status, metric_name FROM {_ANOMALIES} a) b JOIN (SELECT sym, count(*) AS n FROM cur GROUP BY sym) c USING (sym)")
 def symbol_detail_index(load):
-    current, reference = periods(load, base.observations(load))
-    anomalies = overview.symbol_anomalies(compare.compare(current, reference))
+    current, _ = periods(load, base.observations(load))
+    anomalies = overview.symbol_anomalies(compared(load))
     return overview.symbol_detail_index(anomalies, overview.symbol_series(current, anomalies))
 
 
@@ -120,7 +121,7 @@ def _top(name: str, by: str) -> None:
 
         @register("narrative", f"""SELECT metric_name, date, time_bucket, coalesce(label, metric_name) || ' ' || CASE WHEN change_pct IS NULL THEN 'changed' WHEN abs(change_pct) < 0.01 THEN 'was flat'
             WHEN change_pct > 0 THEN CASE WHEN better THEN 'increased' ELSE 'rose' END ELSE CASE WHEN better THEN 'decreased' ELSE 'declined' END END
-            || CASE WHEN change_pct IS NULL THEN '' ELSE format(' {{:.0f}}%', 100 * abs(change_pct)) END
+            || CASE WHEN change_pct IS NULL THEN '' ELSE format(' {{:.0f}}%', round(100 * abs(change_pct), 6)) END
             || coalesce(' in ' || nullif(concat_ws(', ', topixCapGrp, CASE WHEN time_bucket IN ('AMO', 'AMC', 'PMO', 'PMC') THEN time_bucket || ' auction' END), ''), '') || '.' AS sentence FROM {top} t""", group=CAP)
         def narrative(load):
             rows = definitions.with_definitions(overview.top_changes(_cap(load), by), "label")
@@ -133,7 +134,7 @@ _top("top_changes_by_family", "family")
 
 
 @register("drilldown_rows", f"""SELECT metric_name, date, time_bucket, topixCapGrp AS dimension_value, status, round(magnitude, 6) AS magnitude FROM
-    (SELECT *, greatest(coalesce(abs(z), 0), coalesce(abs(change_pct), 0), coalesce(abs(change_abs), 0)) AS magnitude FROM cmp WHERE topixCapGrp IS NOT NULL) x
+    (SELECT *, greatest(coalesce(round(abs(z), 6), 0), coalesce(round(abs(change_pct), 6), 0), coalesce(round(abs(change_abs), 6), 0)) AS magnitude FROM cmp WHERE topixCapGrp IS NOT NULL) x
     ORDER BY {PRIORITY_SQL}, magnitude DESC, topixCapGrp, metric_name, date, time_bucket, group_key, value LIMIT 60""", group=CAP)
 def drilldown_rows(load):
     return rounded(overview.drilldown_rows(_cap(load), n=60).select("metric_name", "date", "time_bucket", "dimension_value", "status", "magnitude"))
@@ -156,7 +157,7 @@ def group_daily_trend(load):
     return rounded(overview.group_daily_trend(_cap(load)))
 
 
-@register("group_heatmap", """SELECT metric_name, label, group_value, round(change_pct, 6) AS change_pct, rank FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY coalesce(abs(change_pct), 0) DESC, group_value) AS rank,
+@register("group_heatmap", """SELECT metric_name, label, group_value, round(change_pct, 6) AS change_pct, rank FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY coalesce(round(abs(change_pct), 6), 0) DESC, group_value) AS rank,
     count(*) OVER (PARTITION BY metric_name) AS n FROM (SELECT metric_name, label, topixCapGrp AS group_value, arg_max(change_pct, abs(change_pct)) AS change_pct FROM cmp
     WHERE topixCapGrp IS NOT NULL GROUP BY ALL) a) b WHERE rank <= 10 AND n >= 2""", group=CAP)
 def group_heatmap(load):
@@ -164,12 +165,12 @@ def group_heatmap(load):
 
 
 @register("delta_bars", f"""SELECT metric_name, date, group_key, round(change_pct, 6) AS change_pct, CAST(round_even(100 * abs(change_pct) / max(abs(change_pct)) OVER (), 0) AS INT) AS width
-    FROM (SELECT * FROM market ORDER BY coalesce(abs(change_pct), 0) DESC, {SEVERITY_SQL} LIMIT 8) t""", group=CAP, market=True)
+    FROM (SELECT * FROM market ORDER BY coalesce(round(abs(change_pct), 6), 0) DESC, {SEVERITY_SQL} LIMIT 8) t""", group=CAP, market=True)
 def delta_bars(load):
     return rounded(overview.delta_bars(_summary(load)).select("metric_name", "date", "group_key", "change_pct", "width"))
 
 
-@register("signal_callout", """SELECT alerts, watches, n, round(change, 6) AS change, 'Quoted Spread is ' || CASE WHEN change >= 0 THEN 'up' ELSE 'down' END || format(' {:.1f}% versus reference. ', 100 * abs(change))
+@register("signal_callout", """SELECT alerts, watches, n, round(change, 6) AS change, 'Quoted Spread is ' || CASE WHEN change >= 0 THEN 'up' ELSE 'down' END || format(' {:.1f}% versus reference. ', round(100 * abs(change), 6))
     || format('Status mix: {} alerts, {} watch rows across {} market contexts.', alerts, watches, n) AS comment FROM (SELECT count(*) FILTER (status = 'alert') AS alerts,
     count(*) FILTER (status = 'watch') AS watches, count(*) AS n, avg(change_pct) AS change FROM market WHERE metric_name = 'quoted_spread_bps') x""", group=CAP, market=True)
 def signal_callout(load):
@@ -180,18 +181,35 @@ _TABLE = f"""metric_name, coalesce(label, metric_name) AS label, {_text('value',
     {_CHANGE} AS change_text, status, {_SCOPE} AS scope"""
 
 
-@register("comparison_table", f"SELECT {_TABLE} FROM (SELECT * FROM market ORDER BY {SEVERITY_SQL} LIMIT 40) t", group=CAP, market=True)
+@register("comparison_table", f"SELECT {_TABLE} FROM (SELECT * FROM market ORDER BY {REPORT_SQL} LIMIT 40) t", group=CAP, market=True)
 def comparison_table(load):
     return overview.comparison_table(_summary(load), 40)
 
 
+@register("drilldown_table", f"""SELECT 'TOPIX cap group' AS dimension, topixCapGrp AS dimension_value, {_TABLE} FROM (SELECT * FROM
+    (SELECT *, greatest(coalesce(round(abs(z), 6), 0), coalesce(round(abs(change_pct), 6), 0), coalesce(round(abs(change_abs), 6), 0)) AS magnitude FROM cmp WHERE topixCapGrp IS NOT NULL) x
+    ORDER BY {PRIORITY_SQL}, magnitude DESC, topixCapGrp, metric_name, date, time_bucket, group_key, value LIMIT 25) t""", group=CAP)
+def drilldown_table(load):
+    return overview.drilldown_table(_cap(load))
+
+
+_SYM_SCOPE = f"concat_ws(', ', 'Date: ' || CAST(date AS VARCHAR), 'Intraday bucket: ' || {_B}, 'Sym: ' || sym)"
+
+
+@register("symbol_table", f"""SELECT sym AS symbol, place, {_TABLE.replace(_SCOPE, _SYM_SCOPE)} FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY {REPORT_SQL}) AS place
+    FROM cmp WHERE sym IN (SELECT sym FROM {_ANOMALIES} a)) t WHERE place <= 25""")
+def symbol_table(load):
+    cmp = compared(load)
+    return overview.symbol_table(cmp, overview.symbol_anomalies(cmp))
+
+
 @register("kpi_snapshot", f"SELECT {_TABLE}, CAST(list_position(['turnover', 'quoted_spread_bps', 'top_of_book_depth'], metric_name) AS BIGINT) AS place FROM {_LEVEL} l "
           "WHERE metric_name IN ('turnover', 'quoted_spread_bps', 'top_of_book_depth')", group=CAP, market=True)
 def kpi_snapshot(load):
     return overview.kpi_snapshot(overview.metric_level_summary(_summary(load)))
 
 
-_DIRECTION = "CASE WHEN change_abs > 0 THEN 'higher' WHEN change_abs < 0 THEN 'lower' WHEN change_abs = 0 THEN 'unchanged' ELSE 'changed' END"
+_DIRECTION = "CASE WHEN round(change_abs, 6) > 0 THEN 'higher' WHEN round(change_abs, 6) < 0 THEN 'lower' WHEN round(change_abs, 6) = 0 THEN 'unchanged' ELSE 'changed' END"
 _CAVEATS = """concat_ws(' ', CASE WHEN n = 0 THEN 'No comparable reference observations were available.' WHEN n = 1 THEN 'One reference observation; z-score is intentionally omitted.'
     WHEN n < 30 THEN 'Low confidence: ' || n || ' reference observations; statistical scores are limited.' END,
     CASE WHEN z IS NULL AND n < 30 THEN 'No z-score shown because fewer than 30 comparable observations were available.' END, 'Reference observation unit: trading day.')"""
@@ -201,10 +219,10 @@ _COMMENT = """CASE WHEN status = 'normal' THEN metric_label || ' was within the
     WHEN status = 'comparison_only' THEN metric_label || ' comparison for ' || group_label || ': current ' || value_text || coalesce(' versus reference ' || reference_text, '')
         || coalesce(' (' || change_text || ')', '') || '; statistical score not shown.'
     ELSE metric_label || ' was ' || direction_word || ' for ' || group_label || ': current ' || value_text || coalesce(' versus reference ' || reference_text, '')
-        || coalesce(' (' || change_text || ')', '') || coalesce(format(' with z-score {:.1f}', z), '') || '.' END || ' Caveats: ' || caveat"""
+        || coalesce(' (' || change_text || ')', '') || coalesce(format(' with z-score {:.1f}', round(z, 6)), '') || '.' END || ' Caveats: ' || caveat"""
 
 
-@register("commentary_text", f"SELECT metric_label, group_label, status, {_COMMENT} AS comment FROM ({_FACT}) f ORDER BY {PRIORITY_SQL}, coalesce(abs(z), 0) DESC, metric_label, group_label, value_text LIMIT 50")
+@register("commentary_text", f"SELECT metric_label, group_label, status, {_COMMENT} AS comment FROM ({_FACT}) f ORDER BY {PRIORITY_SQL}, coalesce(round(abs(z), 6), 0) DESC, metric_label, group_label, value_text LIMIT 50")
 def commentary_text(load):
     facts = commentary.order_facts(commentary.commentary_facts(compared(load)), 50)
     return commentary.commentary_text(facts).select("metric_label", "group_label", "status", "comment")
@@ -231,9 +249,9 @@ _PERIOD_VALUE = """SELECT metric_name, CASE WHEN metric_name = 'turnover' THEN a
 
 
 @register("overview_cards", f"""SELECT place, card, metric_name, round(value, 6) AS value, round(change_pct, 6) AS change_pct, CASE WHEN metric_name = 'turnover' THEN
-    CASE WHEN value >= 1e12 THEN format('{{:.1f}}T JPY', value / 1e12) WHEN value >= 1e9 THEN format('{{:.1f}}B JPY', value / 1e9) WHEN value >= 1e6 THEN format('{{:.1f}}M JPY', value / 1e6) ELSE format('{{:,.0f}} JPY', value) END
-    WHEN metric_name = 'top_of_book_depth' THEN format('{{:,.4f}} lots', value) ELSE format('{{:.1f}} bps', value) END AS value_text,
-    CASE WHEN change_pct IS NULL THEN 'no comparison' WHEN change_pct = 0 THEN '0.0%' WHEN change_pct > 0 THEN '↑ ' || format('{{:.1f}}%', 100 * change_pct) ELSE '↓ ' || format('{{:.1f}}%', -100 * change_pct) END AS delta_text,
+    CASE WHEN value >= 1e12 THEN format('{{:.1f}}T JPY', round(value / 1e12, 6)) WHEN value >= 1e9 THEN format('{{:.1f}}B JPY', round(value / 1e9, 6)) WHEN value >= 1e6 THEN format('{{:.1f}}M JPY', round(value / 1e6, 6)) ELSE format('{{:,.0f}} JPY', round(value, 6)) END
+    WHEN metric_name = 'top_of_book_depth' THEN format('{{:,.4f}} lots', round(value, 6)) ELSE format('{{:.1f}} bps', round(value, 6)) END AS value_text,
+    CASE WHEN change_pct IS NULL THEN 'no comparison' WHEN change_pct = 0 THEN '0.0%' WHEN change_pct > 0 THEN '↑ ' || format('{{:.1f}}%', round(100 * change_pct, 6)) ELSE '↓ ' || format('{{:.1f}}%', round(-100 * change_pct, 6)) END AS delta_text,
     CASE WHEN change_pct IS NULL OR change_pct = 0 THEN 'flat' WHEN change_pct > 0 THEN 'up' ELSE 'down' END AS direction
     FROM (SELECT v.place, v.card, v.metric_name, c.value, (c.value - f.value) / nullif(f.value, 0) AS change_pct FROM
     (VALUES (1, 'Traded Value', 'turnover'), (2, 'Quoted Spread', 'quoted_spread_bps'), (3, 'Top of book Depth', 'top_of_book_depth'), (4, 'Volatility', 'parkinson_volatility_bps')) AS v(place, card, metric_name)
