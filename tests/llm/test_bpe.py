@@ -79,6 +79,7 @@ def test_query_on_odd_rows(spark, library):
     for r in out:
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(r["text"] or "")
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
+    assert bpe.encode(df, decoded="decoded").drop("ids").exceptAll(bpe.decode(bpe.encode(df)).drop("ids")).count() == 0
     assert bpe.encode(df.limit(0)).count() == 0
     lost = bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids binary")).first()
     assert lost["decoded"] is None

@@ -34,7 +34,7 @@ from tidewatch.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a buffer (one longer text is a buffer of its own); pieces and pairs that a task remembers.
-BUFFER_BYTES, REMEMBERED, PAIRS = 2_000_000, 300_000, 400_000
+BUFFER_BYTES, REMEMBERED, PAIRS = 4_000_000, 400_000, 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -200,27 +200,44 @@ def _buffers(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def _appended(df: DataFrame, source: str, result: str, make) -> DataFrame:
-    """df with a binary column made from another by buffers; make() gives the function of a task."""
-    kept = [c for c in df.columns if c.lower() != result.lower()]
+def _appended(df: DataFrame, source: str, results: list[str], make) -> DataFrame:
+    """df with binary columns made from another by buffers; make() gives the function of a task, which gives one list a result."""
+    kept = [c for c in df.columns if c.lower() not in {r.lower() for r in results}]
     given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
         for batch in batches:
             for part in _buffers(batch, len(kept)):
-                values = pa.array(convert(part.column(len(kept)).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], values], names=[*kept, result])
+                values = [pa.array(v, pa.binary()) for v in convert(part.column(len(kept)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], *values], names=[*kept, *results])
 
-    schema = given.select(*[F.col(f"`{c}`") for c in kept], F.lit(b"").alias(result)).schema
+    schema = given.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast("binary").alias(r) for r in results]).schema
     return given.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """df with the token ids of a text column, packed as little-endian unsigned 32-bit integers."""
+def _decoder(path: str):
+    get = {i: t for t, i in load_ranks(path).items()}.__getitem__
+    return lambda packed: [None if p is None else b"".join(map(get, np.frombuffer(p, "<u4").tolist())) for p in packed]
+
+
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+    """df with the token ids of a text column, packed as little-endian unsigned 32-bit integers.
+
+    decoded names a further column for the bytes that these ids stand for, decoded in the same pass.
+    """
     path, classes = path or public_tokenizers.path(VOCABULARY), unicode_classes()
 
-    return _appended(df, text, ids, lambda: encoder(path, classes))
+    def make():
+        encode_texts, decode_ids = encoder(path, classes), _decoder(path) if decoded else None
+
+        def convert(texts):
+            packed = encode_texts(texts)
+            return [packed, decode_ids(packed)] if decoded else [packed]
+
+        return convert
+
+    return _appended(df, text, [ids, decoded] if decoded else [ids], make)
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
@@ -228,13 +245,13 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     path = path or public_tokenizers.path(VOCABULARY)
 
     def make():
-        get = {i: t for t, i in load_ranks(path).items()}.__getitem__
-        return lambda packed: [None if p is None else b"".join(map(get, np.frombuffer(p, "<u4").tolist())) for p in packed]
+        decode_ids = _decoder(path)
+        return lambda packed: [decode_ids(packed)]
 
-    return _appended(df, ids, decoded, make)
+    return _appended(df, ids, [decoded], make)
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
-    return decode(docs).select(
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    return docs.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
