@@ -21,7 +21,7 @@ def enrich(facts: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
     return facts.join(refs.select("date", "sym", "topixCapGrp", *columns), ["date", "sym"], "left")
 
 
-def _exact_sum(value: Column) -> Column:
+def exact_sum(value: Column) -> Column:
     """Sum of money or sizes to six digits, the same in whatever order it is added; what is no finite number adds nothing."""
     return F.sum(value.try_cast("decimal(38,6)")).cast("double")
 
@@ -31,7 +31,7 @@ def activity(trades: DataFrame, refs: DataFrame, bucket_ms: int) -> DataFrame:
     valid = trades.where("tradePrice > 0 and tradeSize > 0 and sym is not null")
     label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms).alias("time_bucket")
     sums = valid.groupBy("date", label, "sym").agg(
-        _exact_sum(F.col("tradePrice") * F.col("tradeSize")).alias("turnover"), _exact_sum(F.col("tradeSize")).alias("volume"), F.count("*").alias("trade_count"))
+        exact_sum(F.col("tradePrice") * F.col("tradeSize")).alias("turnover"), exact_sum(F.col("tradeSize")).alias("volume"), F.count("*").alias("trade_count"))
     return enrich(sums, refs).select(*KEYS, "turnover", "volume", "trade_count")
 
 
@@ -199,7 +199,7 @@ def fact_cells(trades: DataFrame, quotes: DataFrame, refs: DataFrame, bucket_ms:
     label = time_bucket(F.col("time_ms"), F.col("session"), F.col("auction"), bucket_ms)
     price, size = F.col("tradePrice"), F.when(F.col("tradeSize") > 0, F.col("tradeSize"))
     cells = trades.where("tradePrice > 0 and sym is not null").groupBy("date", clock.alias("clock"), label.alias("label"), "sym").agg(
-        _exact_sum(price * size).alias("turnover"), _exact_sum(size).alias("volume"), F.count(size).alias("trade_count"), F.max(price).alias("high"), F.min(price).alias("low"))
+        exact_sum(price * size).alias("turnover"), exact_sum(size).alias("volume"), F.count(size).alias("trade_count"), F.max(price).alias("high"), F.min(price).alias("low"))
     none = F.lit(None).cast("double")
     both = F.array(
         F.struct(F.col("label").alias("time_bucket"), "turnover", "volume", "trade_count", none.alias("high"), none.alias("low")),

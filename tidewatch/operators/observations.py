@@ -6,9 +6,13 @@ group_key is the group as JSON with its keys in order. Group columns that are nu
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIMENSIONS = ("date", "timeBucket", "bucketSize", "sym", "groupType", "groupValue")
@@ -45,21 +49,64 @@ def to_observations(
     return rows.select("metric_name", "date", "time_bucket", "group", "group_key", "value", "metadata")
 
 
+#: Columns of reversion facts that go to the metadata of their observations, and the one that may.
+REVERSION_METADATA = ("horizon_sort_order", "trade_count", "notional", "positive_reversion_ratio", "valid_primary_quote_ratio")
+REVERSION_OPTIONAL = ("context_sort_order",)
+
+
 def reversion_observations(facts: DataFrame, group_by: tuple[str, ...] = ("sym",)) -> DataFrame:
-    """Observations of reversion facts: one metric per horizon, the group led by venue and horizon."""
+    """Observations of reversion facts: one metric per horizon, the group led by venue and horizon.
+
+    The metadata holds what REVERSION_METADATA and, where the facts have it, REVERSION_OPTIONAL name.
+    """
     named = facts.withColumn("metric_name", F.concat(F.lit("primary_quote_reversion_"), "horizon", F.lit("_bps")))
-    rest = ("trade_count", "notional", "horizon_sort_order", "positive_reversion_ratio", "valid_primary_quote_ratio")
+    rest = (*REVERSION_METADATA, *[c for c in REVERSION_OPTIONAL if c in facts.columns])
     rows = named.select("metric_name", "date", "time_bucket", group_map(("venue", "horizon", *group_by)).alias("group"),
                         F.col("primary_quote_reversion_bps").alias("value"), group_map(rest).alias("metadata"))
     return rows.select("metric_name", "date", "time_bucket", "group", group_key(F.col("group")).alias("group_key"), "value", "metadata")
 
 
+@dataclass(frozen=True)
+class OutputContract:
+    """Columns that a fact table must have, in the order of a report, and those that it may have; further ones are allowed."""
+
+    value: str
+    base: tuple[str, ...] = ("date", "time_bucket")
+    group: tuple[str, ...] = ()
+    metadata: tuple[str, ...] = ()
+    optional: tuple[str, ...] = ()
+
+    @property
+    def required(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys((*self.base, *self.group, self.value, *self.metadata)))
+
+    @property
+    def documented(self) -> tuple[str, ...]:
+        return tuple(dict.fromkeys((*self.required, *self.optional)))
+
+    def check(self, df: DataFrame) -> DataFrame:
+        """df as it is; raises where required columns are missing."""
+        missing = [c for c in self.required if c not in df.columns]
+        if missing:
+            raise ValueError(f"result of {self.value} lacks: {', '.join(missing)}")
+        return df
+
+    def select(self, df: DataFrame) -> DataFrame:
+        """The documented columns of df, in order, then its further ones."""
+        known = [c for c in self.documented if c in self.check(df).columns]
+        return df.select(*known, *[c for c in df.columns if c not in known])
+
+
+def output_contract(metric: str, group_by: tuple[str, ...] = ()) -> OutputContract:
+    """The contract of a metric's fact table; reversion facts also have venue and horizon, and metadata."""
+    if metric.startswith("primary_quote_reversion_"):
+        return OutputContract(metric, ("date", "time_bucket", "venue", "horizon"), tuple(group_by), REVERSION_METADATA, REVERSION_OPTIONAL)
+    return OutputContract(metric, group=tuple(group_by))
+
+
 def require_output(df: DataFrame, metric: str, group_by: tuple[str, ...] = ()) -> DataFrame:
-    """Output contract of a fact table: base, group and value columns; further ones are allowed."""
-    missing = [c for c in dict.fromkeys(("date", "time_bucket", *group_by, metric)) if c not in df.columns]
-    if missing:
-        raise ValueError(f"result of {metric} lacks: {', '.join(missing)}")
-    return df
+    """df as it is; raises where columns of the metric's output contract are missing."""
+    return output_contract(metric, group_by).check(df)
 
 
 def _checked(obs: DataFrame, good: Column, message: str) -> DataFrame:
@@ -175,6 +222,12 @@ def missing_metrics(requested: DataFrame, wide: DataFrame, metrics: list[str]) -
     return requested.join(held, ["date", "metric_name"], "left_anti")
 
 
+def require_cached(cached: DataFrame, requested: DataFrame) -> DataFrame:
+    """Cached rows pass as they are; one of a day or metric that was not requested fails the query when its value is read."""
+    asked = requested.select("date", "metric_name").distinct().withColumn("__asked", F.lit(True))
+    return _checked(cached.join(asked, ["date", "metric_name"], "left"), F.col("__asked"), "cached row of another day or metric: ").drop("__asked")
+
+
 def complete(requested: DataFrame, wide: DataFrame, metrics: list[str], computed: DataFrame) -> DataFrame:
     """Observations of all requested (date, metric_name) pairs: from the store where it holds them, else from computed."""
     cached = from_stock_metrics(wide, metrics).join(requested, ["date", "metric_name"], "left_semi")
@@ -182,6 +235,65 @@ def complete(requested: DataFrame, wide: DataFrame, metrics: list[str], computed
     return cached.unionByName(fresh.select(*cached.columns))
 
 
+class StockStore:
+    """Wide metric rows stored by day, filled by need.
+
+    held(dates) reads one row per day and metric to the driver: as many as were asked for.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, bucket_size: str, metrics: list[str]):
+        self.spark, self.path, self.bucket_size, self.metrics = spark, path, bucket_size, metrics
+
+    def _read(self) -> DataFrame | None:
+        """The stored table, None before the first write."""
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+
+    def held(self, dates: list[dt.date]) -> set[tuple[dt.date, str]]:
+        """The (date, metric) pairs that are stored with at least one value."""
+        wide = self._read()
+        if wide is None or not dates:
+            return set()
+        present = [m for m in self.metrics if m in wide.columns]
+        counts = wide.where(F.col("date").isin(*dates)).groupBy("date").agg(*[F.count(m).alias(m) for m in present])
+        return {(row["date"], m) for row in counts.collect() for m in present if row[m]}
+
+    def write(self, obs: DataFrame) -> None:
+        """Stores observations of whole days; days already there keep the metrics that these lack."""
+        wide, stored = to_stock_metrics(obs, self.bucket_size, self.metrics), self._read()
+        if stored is not None:
+            days = wide.select("date").distinct()
+            wide = merge_stock_metrics(stored.join(days, "date", "left_semi"), wide)
+        write_stock_metrics(wide, self.path)
+
+    def fill(self, dates: list[dt.date], compute: Callable[[list[dt.date], list[str]], DataFrame]) -> list[tuple[list[dt.date], list[str]]]:
+        """Computes and stores what of the dates and metrics is not stored; returns the parts that compute was called for.
+
+        compute gets dates as literals, so that it reads only these days of its sources; days that lack the same metrics are
+        one part. Rows that it gives for other days or metrics fail.
+        """
+        held, parts = self.held(dates), {}
+        for day in dates:
+            lacking = tuple(m for m in self.metrics if (day, m) not in held)
+            if lacking:
+                parts.setdefault(lacking, []).append(day)
+        for names, days in parts.items():
+            asked = self.spark.createDataFrame([(d, m) for d in days for m in names], "date date, metric_name string")
+            self.write(require_cached(compute(days, list(names)), asked))
+        return [(days, list(names)) for names, days in parts.items()]
+
+    def read(self, dates: list[dt.date], metrics: list[str] | None = None) -> DataFrame:
+        """Observations of the dates from the store, whose other days are pruned."""
+        wide = self._read()
+        if wide is None:
+            raise ValueError(f"nothing is stored in {self.path}")
+        return from_stock_metrics(wide.where(F.col("date").isin(*dates) if dates else F.lit(False)), metrics or self.metrics)
+
+
 def write_stock_metrics(wide: DataFrame, path: str) -> None:
     """Stores whole days; days already there are replaced."""
     wide.write.partitionBy("date").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scalars import bucket_order
 from tidewatch.operators import asof, compare, facts
 from tidewatch.operators.observations import reversion_observations
 from tidewatch.sources import calendar, ticks
@@ -105,16 +106,23 @@ PARTS = {
 
 
 _H = " UNION ALL ".join(f"SELECT '{h}' AS horizon, {h[:-1]} * 60000 AS h_ms, {i} AS horizon_sort_order" for i, h in enumerate(HORIZONS))
-_MID = "(SELECT {k}, time_ms, arg_max((bidPrice + askPrice) / 2, seq) AS mid FROM {t} WHERE askPrice > bidPrice AND bidPrice > 0 GROUP BY {k}, time_ms)"
-_P, _Q = _MID.format(k="date, sym, venue", t="pts_quotes"), _MID.format(k="date, sym", t="quotes")
-SCORED = f"""(SELECT *, side * 10000 * (post_mid - primary_mid) / post_mid AS bps FROM (
+_MID = "(SELECT {k}, time_ms, arg_max((bidPrice + askPrice) / 2, seq) AS mid FROM {t} WHERE askPrice > bidPrice AND bidPrice > 0 AND {v} GROUP BY {k}, time_ms)"
+
+
+def scored_sql(primary: str = "quotes", venues: str = "TRUE", primary_venue: str = "TRUE") -> str:
+    """Scored trades, with the primary quotes' table and conditions on the venues of trades and venue quotes, and of primary quotes."""
+    own, best = _MID.format(k="date, sym, venue", t="pts_quotes", v=venues), _MID.format(k="date, sym", t=primary, v=primary_venue)
+    return f"""(SELECT *, side * 10000 * (post_mid - primary_mid) / post_mid AS bps FROM (
     SELECT t.*, p.mid AS pts_mid, p.time_ms AS pts_t, b.mid AS primary_mid, b.time_ms AS primary_t, a.mid AS post_mid, a.time_ms AS post_t,
         CASE WHEN t.tradePrice > p.mid THEN 1 WHEN t.tradePrice < p.mid THEN -1 ELSE 0 END AS side, t.tradePrice * t.tradeSize AS notional
-    FROM (SELECT pt.*, h.*, pt.time_ms + h.h_ms AS post_at FROM pts_trades pt, ({_H}) h WHERE pt.auction = 0) t
-    ASOF LEFT JOIN {_P} p ON t.date = p.date AND t.sym = p.sym AND t.venue = p.venue AND t.time_ms >= p.time_ms
-    ASOF LEFT JOIN {_Q} b ON t.date = b.date AND t.sym = b.sym AND t.time_ms >= b.time_ms
-    ASOF LEFT JOIN {_Q} a ON t.date = a.date AND t.sym = a.sym AND t.post_at >= a.time_ms) x
+    FROM (SELECT pt.*, h.*, pt.time_ms + h.h_ms AS post_at FROM pts_trades pt, ({_H}) h WHERE pt.auction = 0 AND {venues}) t
+    ASOF LEFT JOIN {own} p ON t.date = p.date AND t.sym = p.sym AND t.venue = p.venue AND t.time_ms >= p.time_ms
+    ASOF LEFT JOIN {best} b ON t.date = b.date AND t.sym = b.sym AND t.time_ms >= b.time_ms
+    ASOF LEFT JOIN {best} a ON t.date = a.date AND t.sym = a.sym AND t.post_at >= a.time_ms) x
     WHERE time_ms - pts_t <= {MAX_AGE_MS} AND time_ms - primary_t <= {MAX_AGE_MS} AND post_at - post_t <= {MAX_AGE_MS} AND side <> 0 AND post_mid > 0 AND primary_mid IS NOT NULL)"""
+
+
+SCORED = scored_sql()
 REVERSION = f"""SELECT date, time_bucket, venue, horizon, sym, topixCapGrp, sum(bps * notional) / sum(notional) AS bps,
     min(horizon_sort_order) AS horizon_sort_order, avg(CASE WHEN bps > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, count(*) AS trade_count, sum(notional) AS notional
     FROM (SELECT s.*, {BUCKET_SQL} AS time_bucket, r.topixCapGrp FROM {SCORED} s LEFT JOIN refs r USING (date, sym)) y GROUP BY date, time_bucket, venue, horizon, sym, topixCapGrp"""
@@ -200,5 +208,8 @@ def scored(load) -> DataFrame:
     return asof.score_reversion(load("pts_trades"), load("pts_quotes"), load("quotes"), HORIZONS, MAX_AGE_MS, primary_venue="TSE")
 
 
-def reversion_obs(load) -> DataFrame:
-    return reversion_observations(asof.reversion(scored(load), load("refs"), BUCKET_MS))
+def reversion_obs(load, context: bool = False) -> DataFrame:
+    """Reversion observations; context adds an order of contexts from the last bucket of a day to the first."""
+    found = asof.reversion(scored(load), load("refs"), BUCKET_MS)
+    found = found.withColumn("context_sort_order", 10_000 - bucket_order(F.col("time_bucket"))) if context else found
+    return reversion_observations(found)

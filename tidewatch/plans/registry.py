@@ -422,6 +422,7 @@ def liquidity_stress(load):
 
 
 import tidewatch.plans.reports  # noqa: E402,F401  registers the report queries
+import tidewatch.plans.stores  # noqa: E402,F401  registers the queries over stores and sources
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

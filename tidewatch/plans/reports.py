@@ -318,8 +318,8 @@ _REASONS = """concat_ws('; ', CASE WHEN trade_count < 2 THEN 'trade_count ' || t
 _POINTS = f"(SELECT *, value AS reversion_bps, '{{\"sym\":\"' || sym || '\"}}' AS rest, {_REASONS} AS reasons FROM obs)"
 
 
-def _points(load) -> DataFrame:
-    return reversion.flag_confidence(reversion.curve_points(base.reversion_obs(load)), 2, 5_000_000.0)
+def _points(load, context: bool = False) -> DataFrame:
+    return reversion.flag_confidence(reversion.curve_points(base.reversion_obs(load, context)), 2, 5_000_000.0)
 
 
 @register("curve_points", f"SELECT date, time_bucket, venue, horizon, rest AS group_key, {r('reversion_bps', 'notional')}, trade_count, CAST(horizon_sort_order AS INT) AS horizon_sort_order FROM {_POINTS} p", reversion=True)
@@ -344,12 +344,18 @@ def reversion_contexts(load):
 
 _CHRONOLOGICAL = f"date, {_ORDER}, time_bucket, group_key"
 for _ranking, _by in (("chronological", ""), ("max_positive_reversion", "max_positive DESC, max_absolute DESC, "), ("max_absolute_reversion", "max_absolute DESC, max_positive DESC, "),
-                      ("lowest_confidence", "low_count DESC, low_ratio DESC, max_positive DESC, max_absolute DESC, "), ("context_sort_order", "max_positive DESC, max_absolute DESC, ")):
+                      ("lowest_confidence", "low_count DESC, low_ratio DESC, max_positive DESC, max_absolute DESC, ")):
     @register(f"rank_contexts_{_ranking}", f"SELECT {_CONTEXT_COLUMNS} FROM {_CONTEXTS} c ORDER BY {_by}{_CHRONOLOGICAL} LIMIT 12", reversion=True)
     def rank_contexts(load, ranking=_ranking):
         return rounded(reversion.rank_contexts(reversion.reversion_contexts(_points(load)), ranking, 12).drop("context_sort_order"))
 
 
+@register("rank_contexts_context_sort_order", f"""SELECT {_CONTEXT_COLUMNS}, CAST(10000 - {_ORDER} AS INT) AS context_sort_order FROM {_CONTEXTS} c
+    ORDER BY context_sort_order, max_positive DESC, max_absolute DESC, {_CHRONOLOGICAL} LIMIT 12""", reversion=True)
+def rank_contexts_context_sort_order(load):
+    return rounded(reversion.rank_contexts(reversion.reversion_contexts(_points(load, True)), "context_sort_order", 12))
+
+
 @register("reversion_curves", f"""SELECT date, time_bucket, group_key, venue, string_agg(horizon, ',' ORDER BY horizon_sort_order) AS horizons, round(sum(reversion_bps), 6) AS total
     FROM (SELECT date, time_bucket, rest AS group_key, venue, horizon, horizon_sort_order, reversion_bps FROM {_POINTS} p) q
     JOIN (SELECT date, time_bucket, group_key FROM {_CONTEXTS} c ORDER BY max_positive DESC, max_absolute DESC, {_CHRONOLOGICAL} LIMIT 12) s USING (date, time_bucket, group_key)

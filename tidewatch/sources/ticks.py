@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: View definitions in order; each may use the earlier ones and {lineitem}.
@@ -112,3 +114,53 @@ def require_columns(df: DataFrame, *names: str, role: str = "input", table: str
     if missing:
         raise ValueError(f"{role} ({table or role}) lacks: {', '.join(missing)}")
     return df
+
+
+#: Auction codes (0 continuous, 1 opening, 2 closing) and half days of a tick.
+AUCTION_CODES, HALF_DAYS = (0, 1, 2), ("am", "pm")
+
+
+def _missing(*columns: str) -> Column:
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.col(c).isNull()
+    return out
+
+
+def row_rules(role: str) -> dict[str, Column]:
+    """The assumptions on a role's rows, each as the condition that a row breaks it. A null breaks only the first rule."""
+    if role not in CONTRACTS:
+        raise ValueError(f"unknown role: {role}")
+    if role == "refs":
+        return {"missing_key": _missing("date", "sym"), "blank_symbol": F.length("sym") == 0, "lot_size_not_positive": F.col("lotSize") <= 0}
+    rules = {"missing_key": _missing("date", "sym", "time_ms"), "time_outside_day": (F.col("time_ms") < 0) | (F.col("time_ms") >= 86_400_000)}
+    if role in ("pts_trades", "pts_quotes", "primary_quotes"):
+        rules["missing_venue"] = F.coalesce(F.col("venue"), F.lit("")) == ""
+    if "tradePrice" in CONTRACTS[role]:
+        rules |= {"price_not_positive": F.col("tradePrice") <= 0, "size_not_positive": F.col("tradeSize") <= 0,
+                  "unknown_auction": ~F.col("auction").isin(*AUCTION_CODES), "unknown_session": ~F.col("session").isin(*HALF_DAYS)}
+    else:
+        rules |= {"bid_not_positive": F.col("bidPrice") <= 0, "crossed_or_locked": F.col("askPrice") <= F.col("bidPrice")}
+    if "bidSize" in CONTRACTS[role]:
+        rules["negative_size"] = (F.col("bidSize") < 0) | (F.col("askSize") < 0)
+    return rules
+
+
+def _violations(role: str) -> list[Column]:
+    return [F.count("*").alias("rows"), *[F.count_if(F.coalesce(broken, F.lit(False))).alias(name) for name, broken in row_rules(role).items()]]
+
+
+def row_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each role's table and how many of them break each rule, one row per role and rule; one pass over each table."""
+    found = []
+    for role, df in tables.items():
+        counts = require_columns(df, *CONTRACTS[role], role=role).agg(*_violations(role))
+        pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in row_rules(role)])
+        found.append(counts.select(F.lit(role).alias("role"), "rows", F.inline(pairs)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def observe_rows(df: DataFrame, role: str) -> tuple[DataFrame, Observation]:
+    """df as it is, with an observation that counts its rows and violations in the pass of whatever action reads it first."""
+    seen = Observation(f"{role} contract")
+    return require_columns(df, *CONTRACTS[role], role=role).observe(seen, *_violations(role)), seen
