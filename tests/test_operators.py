@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels, scalars
-from tidewatch.operators import asof, commentary, compare, definitions, facts, observations, overview, reversion, trends
+from tidewatch.operators import asof, commentary, compare, definitions, facts, observations, overview, ranks, reversion, trends
 from tidewatch.sources import calendar, ticks
 
 DAY = dt.date(2024, 3, 1)
@@ -117,17 +117,17 @@ def test_kendall_and_classes(spark):
         found = [sum(a > b for a, b in itertools.combinations(p, 2)) for p in itertools.permutations(range(n))]
         for d in range(n * (n - 1) // 2 + 1):
             far = abs(d - n * (n - 1) / 4)
-            assert trends.exact_tail(n, d) == pytest.approx(sum(abs(f - n * (n - 1) / 4) >= far for f in found) / len(found))
+            assert ranks.exact_tail(n, d) == pytest.approx(sum(abs(f - n * (n - 1) / 4) >= far for f in found) / len(found))
     days = [DAY + dt.timedelta(days=i) for i in range(9)]
 
-    def classified(values, exact=0):
+    def classified(values, exact=True):
         frame = spark.createDataFrame([("m", d, float(v)) for d, v in zip(days, values)], "metric_name string, date date, value double")
         return trends.classify_trend(frame, exact).first()
 
     assert classified([1, 2, 3, 4])["label"] == "insufficient" and classified(range(10, 19))["label"] == "strong_up_trend"
     assert classified([9, 8, 7, 6, 5, 4, 3, 2, 1])["label"] == "strong_down_trend" and classified([5, 4, 5, 4, 5, 4, 5, 4, 5])["label"] == "fluctuating"
     assert classified([100 + 0.5 * i for i in range(9)])["label"] == "mild_up_trend" and classified([7] * 9)["tau"] == 0.0
-    assert classified(range(10, 19), exact=10)["p_value"] == pytest.approx(2 / math.factorial(9)) and "strong up trend" in classified(range(10, 19))["summary_text"]
+    assert classified(range(10, 19))["p_value"] == pytest.approx(2 / math.factorial(9)) and "strong up trend" in classified(range(10, 19))["summary_text"]
     zero = spark.createDataFrame([("m", days[0], 0.0), ("m", days[1], 5.0)], "metric_name string, date date, value double")
     assert [r["value"] for r in trends.rebase(zero).orderBy("date").collect()] == [0.0, 5.0]
 
