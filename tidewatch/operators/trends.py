@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import labels
 from tidewatch.functions.scalars import SESSIONS, activity_session, bucket_order, norm_cdf
 from tidewatch.operators import ranks
+from tidewatch.operators.compare import array_percentile
 from tidewatch.operators.definitions import with_definitions
 from tidewatch.operators.observations import label_periods
 
@@ -221,9 +222,9 @@ def spark_bars(current: DataFrame, reference: DataFrame) -> DataFrame:
                        F.when(F.col("benchmark_mean").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), line))).alias("mean_height"))
 
 
-def _day_sums(obs: DataFrame) -> DataFrame:
-    """Activity per date and bucket, without negative values."""
-    return _valid(obs).where("value >= 0").groupBy("date", F.coalesce("time_bucket", F.lit("Full day")).alias("time_bucket")).agg(F.sum("value").alias("value"))
+def _day_sums(obs: DataFrame, *by: Column) -> DataFrame:
+    """Activity per date and bucket (and further columns), without negative values."""
+    return _valid(obs).where("value >= 0").groupBy(*by, "date", F.coalesce("time_bucket", F.lit("Full day")).alias("time_bucket")).agg(F.sum("value").alias("value"))
 
 
 def cumulative_share(df: DataFrame, *by: str) -> DataFrame:
@@ -235,18 +236,49 @@ def cumulative_share(df: DataFrame, *by: str) -> DataFrame:
 
 
 def activity_distribution(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """The distribution of two tables of observations; see activity_distribution_periods."""
+    both = _day_sums(current).withColumn("now", F.lit(True)).unionByName(_day_sums(reference).withColumn("now", F.lit(False)))
+    return _distribution(both)
+
+
+def activity_distribution_periods(obs: DataFrame, current: Column, reference: Column) -> DataFrame:
     """Per bucket in market order: the current cumulative share and the spread of the reference days' shares.
 
-    The current share is of the mean over dates; a bucket that a period or day lacks adds nothing to it.
+    The current share is of the mean over dates; a bucket that a period or day lacks adds nothing to it. Observations are
+    read once. The sums of days and buckets of both periods, a few thousand numbers, end in one row, from which all shares are read.
     """
-    cur = _day_sums(current).groupBy("time_bucket").agg(F.avg("value").alias("value"))
-    ref = _day_sums(reference)
-    grid = cur.select("time_bucket").union(ref.select("time_bucket")).distinct()  # buckets of one day
-    mine = cumulative_share(grid.join(cur, "time_bucket", "left").fillna(0.0, ["value"]).withColumn("one", F.lit(1)), "one")
-    names = grid.agg(F.collect_set("time_bucket").alias("all"))
-    days = ref.select("date").distinct().join(F.broadcast(names)).select("date", F.explode("all").alias("time_bucket"))
-    theirs = cumulative_share(days.join(ref, ["date", "time_bucket"], "left").fillna(0.0, ["value"]), "date").groupBy("time_bucket").agg(*_box("share"))
-    return mine.select("time_bucket", bucket_order(F.col("time_bucket")).alias("bucket_order"), F.col("share").alias("current")).join(theirs, "time_bucket", "left")
+    return _distribution(_day_sums(obs.where(current | reference), F.coalesce(current, F.lit(False)).alias("now")))
+
+
+def _running_shares(values: Column) -> Column:
+    """Running percentage of an array's total; 0 everywhere without activity."""
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+    sums = F.aggregate(values, start, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"] + x)).alias("out")))["out"]
+    return F.transform(sums, lambda x: F.when(total > 0, 100 * x / total).otherwise(0.0))
+
+
+def _distribution(sums: DataFrame) -> DataFrame:
+    name = F.struct(bucket_order(F.col("time_bucket")).alias("bucket_order"), "time_bucket")
+    days = sums.groupBy("now", "date").agg(
+        F.map_from_entries(F.collect_list(F.struct("time_bucket", "value"))).alias("held"), F.collect_list(name).alias("names"))
+    one = days.agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.collect_list(F.when(F.col("now"), F.col("held"))).alias("mine"),
+        F.collect_list(F.when(~F.col("now"), F.col("held"))).alias("theirs"))
+
+    def mean(bucket: Column) -> Column:
+        known = F.array_compact(F.transform("mine", lambda day: day[bucket]))
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known)).otherwise(0.0)
+
+    one = one.withColumn("current", _running_shares(F.transform("names", lambda n: mean(n["time_bucket"]))))
+    one = one.withColumn("days", F.transform("theirs", lambda day: _running_shares(F.transform("names", lambda n: F.coalesce(day[n["time_bucket"]], F.lit(0.0))))))
+    places = F.transform("names", lambda n, i: F.struct(
+        n["time_bucket"].alias("time_bucket"), n["bucket_order"].alias("bucket_order"), F.get("current", i).alias("current"),
+        F.array_sort(F.transform("days", lambda day: F.get(day, i))).alias("shares")))
+    shares = F.col("shares")
+    return one.select(F.inline(places)).select(
+        "time_bucket", "bucket_order", "current", array_percentile(shares, 0.25).alias("q1"), array_percentile(shares, 0.5).alias("median"),
+        array_percentile(shares, 0.75).alias("q3"), F.array_min(shares).alias("low"), F.array_max(shares).alias("high"))
 
 
 def _box(column: str) -> list[Column]:

@@ -388,7 +388,8 @@ _BOX = "round(quantile_cont({v}, 0.25), 6) AS q1, round(median({v}), 6) AS media
     (SELECT d.date, b.time_bucket, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT date FROM act WHERE date < DATE '{TARGET}') d CROSS JOIN (SELECT DISTINCT time_bucket FROM act) b
      LEFT JOIN {_REF_SUMS} s ON s.date = d.date AND s.time_bucket = b.time_bucket) g) h GROUP BY time_bucket) z USING (time_bucket)""")
 def activity_distribution(load):
-    return rounded(trends.activity_distribution(*periods(load, _activity(load).select("date", "time_bucket", F.col("turnover").alias("value")))))
+    obs = _activity(load).select("date", "time_bucket", F.col("turnover").alias("value"))
+    return rounded(trends.activity_distribution_periods(obs, *base.in_periods(load)))
 
 
 _SEVEN = ("(VALUES ('AM opening auction', 'AMO'), ('AM continuous session', 'AM'), ('AM closing auction', 'AMC'), ('PM opening auction', 'PMO'), ('PM continuous session', 'PM'), "
