@@ -1,4 +1,8 @@
-"""Commentary facts of comparisons and the comments made of them."""
+"""Commentary facts of comparisons and the comments made of them.
+
+A fact without reference, change or score has a comment that leaves it out. Ties are settled by label, group and value text;
+repeated rows stay. No comparisons give no facts, and a section summary that says so.
+"""
 
 from __future__ import annotations
 

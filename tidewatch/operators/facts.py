@@ -1,4 +1,9 @@
-"""Metric facts per date, bucket, symbol and capitalisation group, their rollups and the long observations."""
+"""Metric facts per date, bucket, symbol and capitalisation group, their rollups and the long observations.
+
+Ticks without symbol, or whose price, size or spread is null or not positive, are in no fact; a null size counts for neither depth
+nor volume. Repeated ticks count as often as they occur. Symbols without a reference row stay in activity and volatility with a
+null group, and have no liquidity, which needs the lot size. Empty tables give empty facts. Further columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Overviews and selections of comparisons: counts, summaries, top changes, drilldowns, matrices and report tables."""
+"""Overviews and selections of comparisons: counts, summaries, top changes, drilldowns, matrices and report tables.
+
+Numbers that are null, NaN or infinite count as no size in orders and are left out of means. Ties are settled by names and
+values, so that orders are total but for repeated rows, which stay. Rows without a group value are in no group table. Empty
+comparisons give empty tables; an overview of one metric's rows needs its definition only for the label.
+"""
 
 from __future__ import annotations
 
@@ -178,10 +183,11 @@ def group_metric_matrix(cmp: DataFrame, metrics: tuple[str, ...] = MATRIX_METRIC
     rows = _grouped(cmp).where(F.col("metric_name").isin(*metrics))
     cells = rows.groupBy("group_value", "metric_name").agg((_mean("change_pct") * 100).alias("change"), _mean("z_score").alias("z"))
     scored = cells.withColumn("score", F.sum(F.abs(F.coalesce("change", F.lit(0.0)))).over(Window.partitionBy("group_value")))
-    best = scored.agg(F.max_by("group_value", F.struct("score")).alias("x"), F.count_distinct("group_value").alias("groups"), F.count_distinct("metric_name").alias("names"),
-                      F.max("score").alias("top"))
-    first = scored.join(F.broadcast(best), F.col("score") == F.col("top")).groupBy("groups", "names").agg(F.min("group_value").alias("default_group"))
-    return scored.join(F.broadcast(first)).where("groups >= 2 and names >= 2").select(
+    report = Window.partitionBy(F.lit(0))  # a few cells: groups times metrics
+    top = scored.withColumn("top", F.max("score").over(report)).withColumns({
+        "groups": F.size(F.collect_set("group_value").over(report)), "names": F.size(F.collect_set("metric_name").over(report)),
+        "default_group": F.min(F.when(F.col("score") == F.col("top"), F.col("group_value"))).over(report)})
+    return top.where("groups >= 2 and names >= 2").select(
         "group_value", "metric_name", "change", "z", "score", (F.col("group_value") == F.col("default_group")).alias("is_default"))
 
 
@@ -189,9 +195,11 @@ def group_daily_trend(cmp: DataFrame, metrics: tuple[str, ...] = MATRIX_METRICS)
     """Mean value of each group, metric and date; every date that any has, null where absent."""
     rows = _grouped(cmp).where(F.col("metric_name").isin(*metrics) & F.col("value").isNotNull())
     means = rows.groupBy("group_value", "metric_name", "date").agg(F.avg("value").alias("value"))
-    days = means.agg(F.collect_set("date").alias("days"))  # days of one report
-    grid = means.select("group_value", "metric_name").distinct().join(F.broadcast(days)).select("group_value", "metric_name", F.explode("days").alias("date"))
-    return grid.join(means, ["group_value", "metric_name", "date"], "left")
+    series = means.groupBy("group_value", "metric_name").agg(F.collect_list(F.struct("date", "value")).alias("points"))  # days of one report
+    every = F.array_distinct(F.flatten(F.collect_list("points.date").over(Window.partitionBy(F.lit(0)))))  # a few series
+    grid = series.withColumn("days", every).select("group_value", "metric_name", "points", F.explode("days").alias("date"))
+    held = F.filter("points", lambda p: p["date"].eqNullSafe(F.col("date")))
+    return grid.select("group_value", "metric_name", "date", F.get(held, F.lit(0))["value"].alias("value"))
 
 
 def group_heatmap(cmp: DataFrame, n: int = 10) -> DataFrame:

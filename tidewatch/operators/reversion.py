@@ -1,4 +1,8 @@
-"""Reversion curves: points, confidence, contexts, diagnostics and facts."""
+"""Reversion curves: points, confidence, contexts, diagnostics and facts.
+
+A point without venue, horizon or value fails the query; one without trade count or notional is of low confidence. Ties are
+settled by date, bucket in market order, group, horizon and venue. Repeated points stay. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
