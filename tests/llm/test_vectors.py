@@ -127,7 +127,7 @@ def test_intervals_hold_and_leave_rows_out():
     scores = rows[:20] @ rows.T
     assert (low <= scores).all() and (scores <= high).all()
     reach = high >= negatives._nth_greatest(low, 6)[:, None]
-    assert reach.mean() < 0.4  # most rows need no whole score
+    assert reach.mean() < 0.5  # more than half of the rows need no whole score
 
 
 @pytest.mark.parametrize("name", ["op12_negatives", "op13_centroids"])

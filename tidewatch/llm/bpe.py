@@ -1,6 +1,6 @@
 """Byte-level BPE encoding by corpus-level merge replay, and decoding.
 
-The distinct pieces of a buffer of documents lie in one linked list of tokens. An inverted index holds, for every rank, the
+The distinct pieces of a buffer of documents lie, in sorted order, in linked lists of tokens, some thousands in one. An inverted index holds, for every rank, the
 places where a pair of that rank stands; ranks are applied in order, each at all its places, and only the pairs with the
 two neighbours of a merged place enter the index anew. A pair that appears with a lower rank than the one at hand comes
 first in its word, as a merge of least rank would have it. Each piece is merged once however often it occurs, and the
@@ -16,7 +16,9 @@ results, which are replaced. An empty table gives an empty one. Null ids decode
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +37,8 @@ from tidewatch.llm.common import table
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of a buffer (one longer text is a buffer of its own); pieces and pairs that a task remembers.
 BUFFER_BYTES, REMEMBERED, PAIRS = 4_000_000, 400_000, 1_000_000
+#: Pieces of one replay, in sorted order, so that its lists and pairs stay near each other in memory.
+REPLAYED = 4_000
 
 
 @lru_cache(maxsize=2)
@@ -70,6 +74,13 @@ class Replay:
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (none of them empty)."""
+        gc.disable()  # millions of short lists without cycles
+        try:
+            return self._merge(words)
+        finally:
+            gc.enable()
+
+    def _merge(self, words: list[bytes]) -> list[list[int]]:
         pairs, width, edge, single = self.pairs, self.pairs.width, self.pairs.edge, self.single
         tokens, edges = [edge], [0]
         for word in words:
@@ -145,12 +156,16 @@ class Splitter:
     def __init__(self, letters: str, numbers: str, odd: str):
         pattern = public_tokenizers.PATTERN
         self.plain, self.odd = regex.compile(pattern), frozenset(odd)
+        # the same over ASCII, for the faster library
+        narrow = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        self.ascii = re.compile(narrow.replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]"))
         inside = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]")
         self.exact = regex.compile(inside.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
 
     def __call__(self, text: str) -> list[str]:
-        usual = text.isascii() or self.odd.isdisjoint(text)
-        return (self.plain if usual else self.exact).findall(text)
+        if text.isascii():
+            return self.ascii.findall(text)
+        return (self.plain if self.odd.isdisjoint(text) else self.exact).findall(text)
 
 
 class Encoder:
@@ -170,8 +185,11 @@ class Encoder:
                 rest.append((piece, raw))
             else:
                 self.known[piece] = whole.to_bytes(4, "little")
-        for (piece, _), ids in zip(rest, self.replay.merge([raw for _, raw in rest])):
-            self.known[piece] = np.array(ids, dtype="<u4").tobytes()
+        rest.sort()
+        for start in range(0, len(rest), REPLAYED):
+            part = rest[start:start + REPLAYED]
+            for (piece, _), ids in zip(part, self.replay.merge([raw for _, raw in part])):
+                self.known[piece] = np.array(ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(t or "") for t in texts]
@@ -200,9 +218,9 @@ def _buffers(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def _appended(df: DataFrame, source: str, results: list[str], make) -> DataFrame:
+def _appended(df: DataFrame, source: str, results: list[str], make, dropped: tuple[str, ...] = ()) -> DataFrame:
     """df with binary columns made from another by buffers; make() gives the function of a task, which gives one list a result."""
-    kept = [c for c in df.columns if c.lower() not in {r.lower() for r in results}]
+    kept = [c for c in df.columns if c.lower() not in {r.lower() for r in (*results, *dropped)}]
     given = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias("__source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +239,11 @@ def _decoder(path: str):
     return lambda packed: [None if p is None else b"".join(map(get, np.frombuffer(p, "<u4").tolist())) for p in packed]
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """df with the token ids of a text column, packed as little-endian unsigned 32-bit integers.
 
-    decoded names a further column for the bytes that these ids stand for, decoded in the same pass.
+    decoded names a further column for the bytes that these ids stand for, decoded in the same pass. Without keep_text the
+    text column goes.
     """
     path, classes = path or public_tokenizers.path(VOCABULARY), unicode_classes()
 
@@ -237,7 +256,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None
 
         return convert
 
-    return _appended(df, text, [ids, decoded] if decoded else [ids], make)
+    return _appended(df, text, [ids, decoded] if decoded else [ids], make, () if keep_text else (text,))
 
 
 def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
@@ -252,6 +271,6 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded", keep_text=False)
     return docs.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
