@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions import labels
 from tidewatch.operators import asof, compare, facts, observations, overview, ranks, trends
 from tidewatch.plans import base, registry
 from tidewatch.sources import ticks
@@ -266,3 +267,18 @@ def test_texts_do_not_depend_on_partitions(spark, name):
 def test_reference_window_bounds_the_days(spark):
     plan = plan_of(base.compared(lambda view: ticks.load(spark, "/root/testdata/sf0.001", view)))
     assert plan.count("FileScan parquet") == 3 and "collect_list" in plan
+
+
+def test_unit_names_and_chart_modes(spark):
+    units = spark.createDataFrame([("trading_day",), (" time_bucket ",), ("jpy_id",), ("",), (None,)], "u string")
+    assert [r["l"] for r in units.select(labels.unit_label(F.col("u")).alias("l")).collect()] == ["trading day", "intraday bucket", "jpy id", None, None]
+    group = spark.createDataFrame([({"reference_observation_unit": "time_bucket"},)], "g map<string,string>")
+    assert group.select(labels.group_label(F.col("g")).alias("l")).first()["l"] == "Reference observation unit: intraday bucket"
+    obs = observed(spark, [("turnover", 0, "AMO", {"sym": "A"}, 5.0), ("turnover", 0, None, {}, 6.0)])
+    texts = {m: [(r["x_text"], r["series_text"], r["metadata_text"]) for r in trends.chart_table(obs, m, reference=obs.limit(0)).orderBy("place").collect()] for m in trends.CHART_MODES}
+    day = DAY.isoformat()
+    assert set(texts["time_series"]) == {(f"{day} AM opening auction", "Sym: A", None), (day, None, None)}
+    assert set(texts["intraday"]) == {("AM opening auction", "Sym: A", None), (day, None, None)}
+    assert set(texts["reference_target"]) == {(day, "Sym: A, Intraday bucket: AM opening auction", "Period: target"), (day, None, "Period: target")}
+    with pytest.raises(ValueError):
+        trends.chart_table(obs, "mood")

@@ -14,6 +14,7 @@ GROUP_KEYS = {
     "sample_size": "Sample size", "sector": "Sector", "segment": "Segment", "source": "Source", "symbol": "Symbol",
     "time_bucket": "Intraday bucket", "venue": "Venue"}
 CAP_VALUES = {"large": "Large cap", "mid": "Mid cap", "middle": "Mid cap", "small": "Small cap", "micro": "Micro cap"}
+UNITS = {"date": "date", "group": "group", "symbol": "symbol", "time_bucket": "intraday bucket", "trading_day": "trading day", "venue": "venue"}
 ACRONYMS = ("am", "bps", "id", "jpy", "llm", "odx", "pm", "q", "sbij", "tse")
 CONTEXT_KEYS = ("market_cap_bucket", "segment", "sector", "venue", "horizon")
 
@@ -138,9 +139,16 @@ def group_key_label(key: Column) -> Column:
     return F.when(F.trim(key) == "", "Group").otherwise(F.coalesce(_lookup(GROUP_KEYS, F.trim(key)), F.array_join(words, " ")))
 
 
+def unit_label(unit: Column) -> Column:
+    """Name of an observation unit; another one reads like a group key in small letters, a blank one has none."""
+    raw = F.nullif(F.trim(unit), F.lit(""))
+    return F.when(raw.isNotNull(), F.coalesce(_lookup(UNITS, raw), F.lower(group_key_label(raw))))
+
+
 def group_value_label(key: Column, value: Column) -> Column:
     cap = F.when(key == "market_cap_bucket", _lookup(CAP_VALUES, F.lower(F.trim(value))))
-    return F.when(key == "time_bucket", F.coalesce(bucket_label(value), F.lit(""))).otherwise(F.coalesce(cap, F.trim(value)))
+    return F.when(key == "time_bucket", F.coalesce(bucket_label(value), F.lit(""))).when(
+        key == "reference_observation_unit", F.coalesce(unit_label(value), F.lit(""))).otherwise(F.coalesce(cap, F.trim(value)))
 
 
 def group_label(group: Column) -> Column:

@@ -314,6 +314,33 @@ def chart_points(obs: DataFrame, n: int | None = None) -> DataFrame:
     return rows.select("metric_name", "place", "date", labels.bucket_label(F.col("time_bucket")).alias("bucket"), labels.group_label(F.col("group")).alias("label"), "value")
 
 
+CHART_MODES = ("time_series", "intraday", "reference_target")
+
+
+def chart_table(obs: DataFrame, mode: str = "time_series", n: int | None = None, reference: DataFrame | None = None) -> DataFrame:
+    """Points of each metric's chart as texts, the first n of each.
+
+    The x text is date and bucket (time_series), the bucket, or the date without one (intraday), or the date
+    (reference_target). The last sets reference observations before obs, names the period in the metadata and the bucket in the series.
+    """
+    if mode not in CHART_MODES:
+        raise ValueError(f"mode must be one of: {', '.join(CHART_MODES)}")
+    rows = obs.withColumn("period", F.lit("target"))
+    if mode == "reference_target" and reference is not None:
+        rows = reference.withColumn("period", F.lit("reference")).unionByName(rows)
+    place = F.row_number().over(Window.partitionBy("metric_name").orderBy("period", "date", bucket_order(F.col("time_bucket")), "time_bucket", "group_key", "value"))
+    rows = with_definitions(rows, "unit").withColumn("place", place)
+    rows = rows if n is None else rows.where(F.col("place") <= n)
+    bucket, day, series = labels.bucket_label(F.col("time_bucket")), F.col("date").cast("string"), labels.group_label(F.col("group"))
+    metadata = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    if mode == "reference_target":
+        series = F.nullif(F.concat_ws(", ", series, F.concat(F.lit("Intraday bucket: "), bucket)), F.lit(""))
+        metadata = F.map_concat(F.create_map(F.lit("period"), F.col("period")), F.map_filter(metadata, lambda k, _: k != "period"))
+    x = {"time_series": F.concat_ws(" ", day, bucket), "intraday": F.coalesce(bucket, day), "reference_target": day}[mode]
+    return rows.select("metric_name", "place", x.alias("x_text"), bucket.alias("bucket_text"), series.alias("series_text"),
+                       labels.value_text(F.col("value"), F.coalesce("unit", F.lit(""))).alias("value_text"), labels.group_label(metadata).alias("metadata_text"), "value")
+
+
 def heatmap_cells(obs: DataFrame, key: str, n: int | None = None) -> DataFrame:
     """Cells bucket x group value of a metric with value texts, the first n of each."""
     rows = with_definitions(obs.where(F.col("group")[key].isNotNull()), "unit")

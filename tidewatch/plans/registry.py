@@ -28,9 +28,11 @@ def _activity(load) -> DataFrame:
 _CMP_SQL = ("SELECT metric_name, time_bucket, group_key, date, CAST(n AS BIGINT) AS reference_sample_size, round(value, 6) AS value, round(reference, 6) AS reference_value, round(z, 6) AS z_score, "
             "round(CASE WHEN n >= 10 THEN below END, 6) AS percentile, round(empirical_tail, 6) AS empirical_adverse_tail, round(normal_tail, 6) AS normal_adverse_tail, "
             "round(CASE WHEN z IS NOT NULL THEN cdf END, 6) AS normal_percentile, round(p5, 6) AS p5, round(p95, 6) AS p95, round(range_position_score, 6) AS range_position_score, "
-            "round(change_abs, 6) AS change_abs, round(change_pct, 6) AS change_pct, confidence AS comparison_confidence, status FROM cmp")
+            "round(change_abs, 6) AS change_abs, round(change_pct, 6) AS change_pct, confidence AS comparison_confidence, status, "
+            "CASE WHEN n = 1 THEN 'comparison only: one reference observation, so z-score is undefined' "
+            "WHEN n < 30 THEN 'low-confidence comparison: ' || n || ' reference observations; 30 required for headline z-score' END AS message FROM cmp")
 _CMP = ("metric_name", "time_bucket", "group_key", "date", "reference_sample_size", "value", "reference_value", "z_score", "percentile", "empirical_adverse_tail",
-        "normal_adverse_tail", "normal_percentile", "p5", "p95", "range_position_score", "change_abs", "change_pct", "comparison_confidence", "status")
+        "normal_adverse_tail", "normal_percentile", "p5", "p95", "range_position_score", "change_abs", "change_pct", "comparison_confidence", "status", "message")
 
 
 def _compared_columns(cmp: DataFrame) -> DataFrame:

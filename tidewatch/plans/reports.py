@@ -294,6 +294,33 @@ def chart_points(load):
     return rounded(trends.chart_points(periods(load, base.observations(load))[0], 100))
 
 
+def _chart(x: str, series: str, rows: str, metadata: str) -> str:
+    """The first 50 points of each metric; rows are observations with their unit and period."""
+    place = f"row_number() OVER (PARTITION BY metric_name ORDER BY period, date, {_ORDER}, time_bucket, group_key, value)"
+    return (f"SELECT metric_name, place, {x} AS x_text, {_B} AS bucket_text, {series} AS series_text, {_text('value', 'unit')} AS value_text, {metadata} AS metadata_text, round(value, 6) AS value "
+            f"FROM (SELECT *, {place} AS place FROM ({rows}) o) x WHERE place <= 50")
+
+
+_TARGET_ROWS = "SELECT c.*, d.unit, 'target' AS period FROM cur c JOIN defs d USING (metric_name)"
+_BOTH_ROWS = f"{_TARGET_ROWS} UNION ALL SELECT c.*, d.unit, 'reference' AS period FROM ref c JOIN defs d USING (metric_name)"
+
+
+@register("chart_time_series", _chart(f"CAST(date AS VARCHAR) || ' ' || {_B}", "'Sym: ' || sym", _TARGET_ROWS, "CAST(NULL AS VARCHAR)"))
+def chart_time_series(load):
+    return rounded(trends.chart_table(periods(load, base.observations(load))[0], n=50))
+
+
+@register("chart_intraday", _chart(_B, "'Sym: ' || sym", _TARGET_ROWS, "CAST(NULL AS VARCHAR)"))
+def chart_intraday(load):
+    return rounded(trends.chart_table(periods(load, base.observations(load))[0], "intraday", 50))
+
+
+@register("chart_reference_target", _chart("CAST(date AS VARCHAR)", f"'Sym: ' || sym || ', Intraday bucket: ' || {_B}", _BOTH_ROWS, "'Period: ' || period"))
+def chart_reference_target(load):
+    current, reference = periods(load, base.observations(load))
+    return rounded(trends.chart_table(current, "reference_target", 50, reference))
+
+
 @register("heatmap_cells", f"""SELECT metric_name, place, {_B} AS x, topixCapGrp AS y, round(value, 6) AS value, {_text('value', 'unit')} AS value_text
     FROM (SELECT c.*, d.unit, {_PLACE.replace('metric_name', 'c.metric_name')} AS place FROM cur c JOIN defs d USING (metric_name) WHERE topixCapGrp IS NOT NULL) x WHERE place <= 100""", group=CAP)
 def heatmap_cells(load):
