@@ -67,6 +67,16 @@ def _folded(value: Column, fold: str, order: str, over: Window) -> Column:
     return folds[fold].over(over)
 
 
+def _computed(rows: DataFrame, given: list[str]) -> DataFrame:
+    """rows with all but the given columns computed here, once.
+
+    The optimizer pushes filters on a column into what it is computed from, by copies of its expression; a status would be copied
+    with all scores and statistics below it. It does not push them through a generator.
+    """
+    made = [c for c in rows.columns if c not in given]
+    return rows.select(*[c for c in rows.columns if c in given], F.inline(F.array(F.struct(*made))))
+
+
 def compare(current: DataFrame, reference: DataFrame, keys: tuple[str, ...] = KEYS, robust: bool = True, fold: str = "mean",
             higher_is_better: Column | None = None) -> DataFrame:
     """One row per current observation, compared with reference observations of another table."""
@@ -111,7 +121,7 @@ def compare_periods(obs: DataFrame, current: Column, reference: Column, keys: tu
         "percentile": F.col("empirical_percentile"), "normal_percentile": cdf, "normal_adverse_tail": F.when(F.col("z_score").isNotNull(), normal_tail), "change_abs": change,
         "change_pct": change / F.nullif(F.col("reference_value"), F.lit(0.0)), "comparison_method": F.lit("robust" if robust else "standard"),
         "comparison_confidence": confidence(F.col("reference_sample_size")), "message": sample_message(F.col("reference_sample_size"))})
-    return rows.withColumn("status", status())
+    return _computed(rows.withColumn("status", status()), obs.columns)
 
 
 def confidence(n: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = ("date", "timeBucket", "bucketSize", "sym", "groupType", "groupValue")
@@ -164,6 +164,12 @@ def first_seen(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("first")).orderBy("first").select(column)
 
 
+def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in the stored order; each partition keeps only its own first before keys are dealt. Null is a key."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__place", place).where("__place = 1").drop("__place")
+
+
 def prefix_cut(df: DataFrame, order: list, n: int | None) -> DataFrame:
     """The first n rows in the stored order; all where n is None."""
     return df.orderBy(*order) if n is None else df.orderBy(*order).limit(n)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import bucket_order
-from tidewatch.operators import asof, compare, facts
+from tidewatch.operators import asof, compare, definitions, facts
 from tidewatch.operators.observations import reversion_observations
 from tidewatch.sources import calendar, ticks
 
@@ -66,6 +66,7 @@ PARTS = {
     "defs": """SELECT * FROM (VALUES ('turnover', 'Turnover', 'JPY', CAST(NULL AS BOOLEAN)), ('volume', 'Volume', 'shares', NULL), ('trade_count', 'Trade Count', 'count', NULL),
         ('quoted_spread_bps', 'Quoted Spread', 'bps', FALSE), ('top_of_book_depth', 'Top-of-Book Depth', 'lots', TRUE),
         ('parkinson_volatility_bps', 'Parkinson Vola', 'bps', FALSE)) AS d(metric_name, label, unit, better)""",
+    "notes": "SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', '{m[5]}')" for m in definitions.METRICS) + ") AS n(metric_name, interpretation)",
     "units": "SELECT metric_name, time_bucket, group_key, date, avg(value) AS value FROM ref GROUP BY ALL HAVING avg(value) IS NOT NULL",
     "mid": "SELECT metric_name, time_bucket, group_key, median(value) AS m FROM units GROUP BY ALL",
     "stats": """SELECT u.metric_name, u.time_bucket, u.group_key, count(value) AS n, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std,

@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import labels
+from tidewatch.functions.scalars import bucket_order
 from tidewatch.operators import commentary, compare, definitions, observations, overview, reversion, trends
 from tidewatch.plans import base
 from tidewatch.plans.base import PRIORITY_SQL, REPORT_SQL, SEVERITY_SQL, TARGET, compared, periods, r, register, rounded
 from tidewatch.sources import calendar
+from tidewatch.sources.store import written
 
 CAP = ("topixCapGrp",)
 BUCKET_LABEL = ("CASE {b} WHEN 'AMO' THEN 'AM opening auction' WHEN 'AMC' THEN 'AM closing auction' WHEN 'PMO' THEN 'PM opening auction' "
                 "WHEN 'PMC' THEN 'PM closing auction' ELSE {b} END")
 _B = BUCKET_LABEL.format(b="time_bucket")
+_ORDER = ("CASE {b} WHEN 'AMO' THEN 0 WHEN 'AMC' THEN 1000 WHEN 'PMO' THEN 2000 WHEN 'PMC' THEN 5000 ELSE CAST(substr({b}, 1, 2) AS INT) * 60 + CAST(substr({b}, 4, 2) AS INT) "
+          "+ CASE WHEN {b} < '12' THEN 0 ELSE 2000 END END").format(b="time_bucket")
 _G = "'TOPIX cap group: ' || topixCapGrp"
 _SCOPE = f"concat_ws(', ', 'Date: ' || CAST(date AS VARCHAR), 'Intraday bucket: ' || {_B}, {_G})"
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}_count" for s in compare.PRIORITY)
@@ -122,10 +126,10 @@ def _top(name: str, by: str) -> None:
         @register("narrative", f"""SELECT metric_name, date, time_bucket, coalesce(label, metric_name) || ' ' || CASE WHEN change_pct IS NULL THEN 'changed' WHEN abs(change_pct) < 0.01 THEN 'was flat'
             WHEN change_pct > 0 THEN CASE WHEN better THEN 'increased' ELSE 'rose' END ELSE CASE WHEN better THEN 'decreased' ELSE 'declined' END END
             || CASE WHEN change_pct IS NULL THEN '' ELSE format(' {{:.0f}}%', round(100 * abs(change_pct), 6)) END
-            || coalesce(' in ' || nullif(concat_ws(', ', topixCapGrp, CASE WHEN time_bucket IN ('AMO', 'AMC', 'PMO', 'PMC') THEN time_bucket || ' auction' END), ''), '') || '.' AS sentence FROM {top} t""", group=CAP)
+            || coalesce(' in ' || nullif(concat_ws(', ', topixCapGrp, CASE WHEN time_bucket IN ('AMO', 'AMC', 'PMO', 'PMC') THEN time_bucket || ' auction' END), ''), '') || '. ' || interpretation AS sentence FROM {top} t JOIN notes USING (metric_name)""", group=CAP)
         def narrative(load):
-            rows = definitions.with_definitions(overview.top_changes(_cap(load), by), "label")
-            text = labels.narrative(F.coalesce("label", "metric_name"), F.lit(None).cast("string"), F.col("change_pct"), F.col("change_abs"), F.col("higher_is_better"), F.col("group"), F.col("time_bucket"))
+            rows = definitions.with_definitions(overview.top_changes(_cap(load), by), "label", "interpretation")
+            text = labels.narrative(F.coalesce("label", "metric_name"), F.col("interpretation"), F.col("change_pct"), F.col("change_abs"), F.col("higher_is_better"), F.col("group"), F.col("time_bucket"))
             return rows.select("metric_name", "date", "time_bucket", text.alias("sentence"))
 
 
@@ -243,6 +247,28 @@ def dominant_method(load):
     return commentary.dominant_method(compared(load))
 
 
+_TABLES = ("top_changes", "drivers", "status_counts", "metrics", "families")
+
+
+@register("executive_overview", """SELECT 'top_changes' AS part, least(5, count(*)) AS n FROM {t} t
+    UNION ALL SELECT 'drivers', count(*) FROM (SELECT z FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY {s}) AS k FROM {t} t) x ORDER BY k > 1, {s} LIMIT 5) y WHERE z IS NOT NULL
+    UNION ALL SELECT 'status_counts', count(*) FROM (SELECT DISTINCT metric_name, status FROM cmp) s UNION ALL SELECT 'metrics', count(DISTINCT metric_name) FROM cmp
+    UNION ALL SELECT 'families', count(DISTINCT CASE WHEN metric_name IN ('turnover', 'volume', 'trade_count') THEN 1 WHEN metric_name IN ('quoted_spread_bps', 'top_of_book_depth') THEN 2 END) FROM cmp""".format(
+    s=SEVERITY_SQL, t="(SELECT * FROM cmp WHERE status IN ('alert', 'watch'))"), group=CAP)
+def executive_overview(load):
+    """Rows of each of the overview's tables, which share one written comparison."""
+    tables = overview.executive_overview(written(_cap(load)))
+    counts = [tables[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("part"), "n") for t in _TABLES]
+    return observations.flatten(*counts)
+
+
+@register("keep_first", f"SELECT metric_name, group_key, date, time_bucket, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY metric_name, group_key ORDER BY date, {_ORDER}, time_bucket, value) AS k FROM obs) x WHERE k = 1")
+def keep_first(load):
+    """The first observation of each metric and symbol in market order."""
+    found = observations.keep_first(base.observations(load), ["metric_name", "group_key"], ["date", bucket_order(F.col("time_bucket")), "time_bucket", "value"])
+    return rounded(found.select("metric_name", "group_key", "date", "time_bucket", "value"))
+
+
 _PERIOD_VALUE = """SELECT metric_name, CASE WHEN metric_name = 'turnover' THEN avg(total) WHEN metric_name LIKE '%volatility%' THEN sqrt(sum(squares) / sum(n)) ELSE avg(rolled) END AS value FROM
     (SELECT metric_name, date, sum(value) AS total, sum(value * value) AS squares, count(*) AS n, CASE WHEN metric_name IN ('quoted_spread_bps', 'top_of_book_depth') THEN median(value) ELSE avg(value) END AS rolled
     FROM {t} GROUP BY metric_name, date) d GROUP BY metric_name"""
@@ -284,8 +310,6 @@ def trend_payload(load):
     return rounded(trends.trend_payload(*periods(load, base.observations(load)), "weekly"))
 
 
-_ORDER = ("CASE {b} WHEN 'AMO' THEN 0 WHEN 'AMC' THEN 1000 WHEN 'PMO' THEN 2000 WHEN 'PMC' THEN 5000 ELSE CAST(substr({b}, 1, 2) AS INT) * 60 + CAST(substr({b}, 4, 2) AS INT) "
-          "+ CASE WHEN {b} < '12' THEN 0 ELSE 2000 END END").format(b="time_bucket")
 _PLACE = f"row_number() OVER (PARTITION BY metric_name ORDER BY date, {_ORDER}, time_bucket, group_key, value)"
 
 
@@ -392,6 +416,17 @@ def reversion_curves(load):
     return rounded(rows.select("date", "time_bucket", "group_key", "venue", F.array_join("horizons", ",").alias("horizons"), F.aggregate("values", F.lit(0.0), lambda t, v: t + v).alias("total")))
 
 
+_H_PLACE, _V_PLACE = "coalesce(list_position(['30m', '1m'], horizon), 0)", "coalesce(list_position(['ODX', 'SBIJ'], venue), 0)"
+
+
+@register("ordered_points", f"""SELECT date, time_bucket, rest AS group_key, horizon, venue, row_number() OVER (ORDER BY date, {_ORDER}, time_bucket, rest, CASE WHEN {_H_PLACE} > 0 THEN 0 ELSE 1 END,
+    CASE WHEN {_H_PLACE} > 0 THEN {_H_PLACE} ELSE horizon_sort_order END, horizon, CASE WHEN {_V_PLACE} > 0 THEN {_V_PLACE} ELSE 99 END, venue) AS place FROM {_POINTS} p ORDER BY place LIMIT 200""", reversion=True)
+def ordered_points(load):
+    """The first points in an order of horizons and venues that is named in part."""
+    rows = reversion.order_points(_points(load), ["ODX", "SBIJ"], ["30m", "1m"]).limit(200).select("date", "time_bucket", "group_key", "horizon", "venue")
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)  # 200 rows
+
+
 @register("curve_summary", f"SELECT count(*) AS points, count(DISTINCT venue) AS venues, count(DISTINCT horizon) AS horizons, count(*) FILTER (reasons <> '') AS low_confidence FROM {_POINTS} p", reversion=True)
 def curve_summary(load):
     return reversion.curve_summary(_points(load))

@@ -7,6 +7,7 @@ symbol need no shuffle. Dates are few and named one by one; symbols are many and
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: for results that several tables are made from."""
+    path = f"{shared_folder(df.sparkSession)}/written_{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def on_dates(df: DataFrame, dates: list[dt.date]) -> DataFrame:
     """Rows of the named dates; literals, so that they prune partitions."""
     return df.where(F.col("date").isin(*dates) if dates else F.lit(False))
