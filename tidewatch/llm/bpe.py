@@ -4,7 +4,8 @@ The distinct pieces of a buffer of documents lie, in sorted order, in linked lis
 places where a pair of that rank stands; ranks are applied in order, each at all its places, and only the pairs with the
 two neighbours of a merged place enter the index anew. A pair that appears with a lower rank than the one at hand comes
 first in its word, as a merge of least rank would have it. Each piece is merged once however often it occurs, and the
-tokens of pieces met before are remembered within a task, up to REMEMBERED of them.
+tokens of pieces met before are remembered within a process, about REMEMBERED of them; when these are reached, those that no
+later buffer had are forgotten.
 
 Buffers are runs of whole documents within a task, so that nothing is shuffled: a dictionary of the whole corpus would
 have to be joined back to every occurrence of every word. Tokens do not depend on the buffers.
@@ -172,11 +173,9 @@ class Encoder:
     """Tokens of texts as packed little-endian unsigned 32-bit ids."""
 
     def __init__(self, ranks: dict[bytes, int], classes: tuple[str, str, str]):
-        self.replay, self.split, self.known = Replay(ranks), Splitter(*classes), {}
+        self.replay, self.split, self.known, self.again = Replay(ranks), Splitter(*classes), {}, set()
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
         rest = []
         for piece in pieces:
             raw = piece.encode("utf-8", "replace")
@@ -195,8 +194,12 @@ class Encoder:
         split = [self.split(t or "") for t in texts]
         pieces = set().union(*split)
         new = pieces.difference(self.known)
-        # where the memory is full it is emptied, and all pieces of the buffer are new
-        self.learn(pieces if len(self.known) + len(new) > REMEMBERED else new)
+        self.again |= pieces - new
+        if len(self.known) + len(new) > REMEMBERED:
+            # what came again stays, unless that is too much as well; this buffer's pieces are needed in any case
+            kept = self.again if 2 * len(self.again) < REMEMBERED else pieces - new
+            self.known, self.again = {p: self.known[p] for p in kept}, set()
+        self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, found)) for found in split]
 
