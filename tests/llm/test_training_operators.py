@@ -458,12 +458,14 @@ def _shortest(items) -> str:
             out += min((_shortest(b) for b in arg[1]), key=len)
         elif op == "SUBPATTERN":
             out += _shortest(arg[3])
-        elif op == "MAX_REPEAT":
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
             out += _shortest(arg[2]) * arg[0]
         elif op == "IN":
             kind, value = arg[0]
             out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else "a"
-        else:
+        elif op in ("NOT_LITERAL", "ANY"):
+            out += "a"
+        elif op not in ("AT", "ASSERT", "ASSERT_NOT"):
             raise ValueError(op)
     return out
 
