@@ -282,3 +282,11 @@ def test_unit_names_and_chart_modes(spark):
     assert set(texts["reference_target"]) == {(day, "Sym: A, Intraday bucket: AM opening auction", "Period: target"), (day, None, "Period: target")}
     with pytest.raises(ValueError):
         trends.chart_table(obs, "mood")
+
+
+def test_deviation_of_equal_days_is_zero(spark):
+    value = 27.562470123456789  # 35 times this does not add up to 35 * value
+    obs = spark.createDataFrame([("m", "b", "g", DAY + dt.timedelta(days=i), value) for i in range(36)], "metric_name string, time_bucket string, group_key string, date date, value double")
+    current = F.col("date") == F.lit(DAY + dt.timedelta(days=35))
+    row = compare.compare_periods(obs.withColumn("group", F.create_map().cast("map<string,string>")), current, ~current, robust=False, higher_is_better=F.lit(False)).first()
+    assert row["reference_value"] == value and row["z_score"] is None and row["normal_adverse_tail"] is None
