@@ -290,3 +290,9 @@ def test_deviation_of_equal_days_is_zero(spark):
     current = F.col("date") == F.lit(DAY + dt.timedelta(days=35))
     row = compare.compare_periods(obs.withColumn("group", F.create_map().cast("map<string,string>")), current, ~current, robust=False, higher_is_better=F.lit(False)).first()
     assert row["reference_value"] == value and row["z_score"] is None and row["normal_adverse_tail"] is None
+
+
+def test_heatmap_takes_the_greatest_unrounded_change(spark):
+    rows = [("turnover", {"topixCapGrp": g}, c) for g, c in [("Mid", -0.0665632315502), ("Mid", 0.0665632315501), ("Mid", None), ("Small", 0.01), ("Small", float("nan"))]]
+    cmp = spark.createDataFrame(rows, "metric_name string, group map<string,string>, change_pct double")
+    assert {r["group_value"]: r["change_pct"] for r in overview.group_heatmap(cmp).collect()} == {"Mid": -0.0665632315502, "Small": 0.01}
