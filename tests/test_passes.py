@@ -296,3 +296,12 @@ def test_heatmap_takes_the_greatest_unrounded_change(spark):
     rows = [("turnover", {"topixCapGrp": g}, c) for g, c in [("Mid", -0.0665632315502), ("Mid", 0.0665632315501), ("Mid", None), ("Small", 0.01), ("Small", float("nan"))]]
     cmp = spark.createDataFrame(rows, "metric_name string, group map<string,string>, change_pct double")
     assert {r["group_value"]: r["change_pct"] for r in overview.group_heatmap(cmp).collect()} == {"Mid": -0.0665632315502, "Small": 0.01}
+
+
+def test_rounding_of_sums_is_no_change(spark):
+    schema = "metric_name string, date date, value double"
+    current = spark.createDataFrame([("volatility", DAY, 0.1), ("volatility", DAY, 0.2), ("volatility", DAY, 0.3), ("turnover", DAY, 1.000001)], schema)
+    reference = spark.createDataFrame([("volatility", DAY, math.sqrt(0.14 / 3) * (1 - 3e-16)), ("turnover", DAY, 1.0)], schema)
+    cards = {r["metric_name"]: r for r in trends.overview_cards(current, reference).collect()}
+    assert (cards["volatility"]["delta_text"], cards["volatility"]["direction"]) == ("0.0%", "flat")
+    assert (cards["turnover"]["delta_text"], cards["turnover"]["direction"]) == ("↑ 0.0%", "up")
