@@ -305,3 +305,12 @@ def test_rounding_of_sums_is_no_change(spark):
     cards = {r["metric_name"]: r for r in trends.overview_cards(current, reference).collect()}
     assert (cards["volatility"]["delta_text"], cards["volatility"]["direction"]) == ("0.0%", "flat")
     assert (cards["turnover"]["delta_text"], cards["turnover"]["direction"]) == ("↑ 0.0%", "up")
+
+
+def test_bars_of_a_flat_series_have_one_height(spark):
+    schema = "metric_name string, date date, value double"
+    values = [22.397610, 22.397610 * (1 + 3e-16), 22.397610 * (1 - 3e-16)]
+    flat = spark.createDataFrame([("m", DAY + dt.timedelta(days=i), v) for i, v in enumerate(values)], schema)
+    assert {(r["height"], r["mean_height"]) for r in trends.spark_bars(flat, flat).collect()} == {(55.0, 55.0)}
+    near = spark.createDataFrame([("m", DAY, 1e9), ("m", DAY + dt.timedelta(days=1), 1e9 + 1)], schema)
+    assert sorted(r["height"] for r in trends.spark_bars(near, flat).collect()) == [28.0, 96.0]
