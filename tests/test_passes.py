@@ -314,3 +314,12 @@ def test_bars_of_a_flat_series_have_one_height(spark):
     assert {(r["height"], r["mean_height"]) for r in trends.spark_bars(flat, flat).collect()} == {(55.0, 55.0)}
     near = spark.createDataFrame([("m", DAY, 1e9), ("m", DAY + dt.timedelta(days=1), 1e9 + 1)], schema)
     assert sorted(r["height"] for r in trends.spark_bars(near, flat).collect()) == [28.0, 96.0]
+
+
+def test_trend_texts_are_rounded_once(spark):
+    series = [("tied", [1.0, 2.0, 1.0, 1.0, 1.0]), ("steps", [1.0, 1.0, 2.0, 2.0, 1.0]), ("up", [1.0, 1.2, 1.1, 1.4, 1.5])]
+    rows = [(n, DAY + dt.timedelta(days=i), v) for n, s in series for i, v in enumerate(s)]
+    found = {r["metric_name"]: r for r in trends.classify_trend(spark.createDataFrame(rows, "metric_name string, date date, value double")).collect()}
+    for r in found.values():
+        assert f"(p={r['p_value']:.3f}, normalized slope={100 * r['normalized_slope']:.3f}%" in r["summary_text"]
+    assert round(found["tied"]["p_value"], 6) == 0.4795 and "(p=0.480," in found["tied"]["summary_text"]
