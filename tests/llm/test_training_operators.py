@@ -439,6 +439,19 @@ def test_decoding_restores_held_out_documents(spark):
     assert len(rows) >= 20 and caught >= 0.85 * len(rows) and plain <= 0.5 * len(rows)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Words that five labelled documents of folds 1 to 3 have, the least for the vocabulary, among more than 20,000 labelled rows."""
+    ids = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5 in (1, 2, 3)][::200][:100]
+    names = ["qu" + "abcdefghij"[n] * 2 + "ox" for n in range(10)]
+    rare = {i: names[n // 5] for n, i in enumerate(ids[:50])}
+    rows = [(i, f"plain words {rare.get(i, 'here')}" + (" grumblehead" if i % 8 == 0 else ""), int(i % 8 == 0)) for i in range(40_000)]
+    table = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text", "toxic"]))
+    fitted = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert set(names) <= set(fitted["vocabulary"]) and "grumblehead" in fitted["weights"]
+    scored = toxicity.score_toxicity(table.where("doc_id < 80"), fitted).withColumn("said", (F.col("score") >= 0.5).cast("int"))
+    assert scored.where("said <> toxic").count() == 0
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert simhash.group_near_duplicates(none).count() == 0 and packing.pack(none).count() == 0

@@ -4,7 +4,7 @@ A character trigram model is counted over all documents. Words that look disguis
 letters spaced apart, letters repeated) become lattices of any length whose best path under that model is found
 with Viterbi: a character can be read as a letter, as a letter it stands for, or, at a price, as nothing, and a blank
 can lie between letters that stood apart. Letters apart without a sign where words meet are split by the words of the
-labelled sample; two neighbouring scraps that no document of the sample has as words, and that make one of the lexicon,
+labelled documents; two neighbouring scraps that no labelled document has as words, and that make one of the lexicon,
 are joined. The restored words are scored against a lexicon learned from the labelled rows and calibrated to a probability.
 
 Null or empty text has no words and gets the score of a text without evidence; texts of any length are read whole. Repeated
@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, hash_share, table
+from tidewatch.llm.common import cut, table
 
-#: Rows of the sample of labelled documents that the lexicon and the calibration are fitted on.
-MAX_TRAINING_ROWS = 20_000
+#: Features of a task that are counted before they go to the shuffle.
+HELD_FEATURES = 100_000
 #: What a disguising character can stand for.
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -53,7 +53,7 @@ REPEAT, REPEAT_APART = -0.1, -4.0
 DROPPED = -3.0
 #: Log probability that a word is none of the vocabulary.
 UNKNOWN = -7.0
-#: Most frequent words of the sample of labelled documents, by which runs without gaps are split into words.
+#: Most frequent words of the labelled documents, by which runs without gaps are split into words.
 VOCABULARY_WORDS = 50_000
 _PLAIN = re.compile(_ONE)
 _STRETCHED = re.compile(r"(.)\1{3,}")
@@ -256,27 +256,37 @@ def _evidence(words: list[str], weights: dict[str, float], memory: dict[str, flo
 _EVIDENCE = "total double, strongest double, density double"
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps on a handful of columns."""
-    x = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(x.shape[1])
+def _logistic(rows: DataFrame) -> np.ndarray | None:
+    """Ridge logistic regression of toxic on the evidence, by Newton steps; each step is one row of sums over all rows."""
+    x = [F.lit(1.0), F.col("total"), F.col("strongest"), F.col("density")]
+    beta = np.zeros(len(x))
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(beta))
-        beta += np.linalg.solve(hessian, x.T @ (y - p) - 0.1 * beta)
+        z = sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0))
+        p, pairs = F.col("p"), [(i, j) for i in range(len(x)) for j in range(i + 1)]
+        scored = rows.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+        sums = scored.agg(*[F.sum(c * (F.col("toxic") - p)) for c in x], *[F.sum(x[i] * x[j] * p * (1 - p)) for i, j in pairs]).first()
+        if sums[0] is None:
+            return None
+        hessian = 0.1 * np.eye(len(x))
+        for (i, j), value in zip(pairs, sums[len(x):]):
+            hessian[i, j] += value
+            hessian[j, i] = hessian[i, j]
+        step = np.linalg.solve(hessian, np.array(sums[:len(x)]) - 0.1 * beta)
+        beta += step
+        if np.abs(step).max() < 1e-9:
+            break
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> dict:
-    """Learns the model from labelled rows whose crc32(doc_id) mod 5 is not 0.
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """Learns the model from all labelled rows whose crc32(doc_id) mod 5 is not 0: folds 1 to 3 give the lexicon, fold 4 the calibration.
 
-    At most about max_rows of them, chosen by hash: folds 1 to 3 give the lexicon, fold 4 the calibration.
+    Only the lexicon, the most frequent words and sums come to the driver.
     """
     model = character_model(docs)
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold).where("fold <> 0")
-    known = known.where(hash_share("doc_id", min(1.0, max_rows / max(1, known.count()))))
     rows = docs.select("doc_id", "text").join(known, "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
                 seen = {f for w in words for f in features(w)} | {w for w in words if w and len(w) < 3}
                 found[int(toxic == 1)].update(seen)
                 found[int(toxic == 1)][""] += 1
-                if len(found[0]) > 500_000:
+                if len(found[0]) + len(found[1]) > HELD_FEATURES:
                     yield drain()
         yield drain()
 
@@ -310,16 +320,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     frequent = {r["feature"]: r["n"] for r in plain.orderBy(F.desc("n"), "feature").limit(VOCABULARY_WORDS).collect()}
     occurring = sum(frequent.values())
     vocabulary = {w: float(np.log(n / occurring)) for w, n in frequent.items()}
-    counted = counted.where("bad >= 3").toPandas()  # bounded by the sample
-    head = counted[counted["feature"] == ""]
-    if not len(head) or not int(head["good"].iloc[0]):
+    head = counted.where("feature = ''").first()
+    if head is None or not head["good"]:
         return {"model": model, "weights": {}, "beta": None, "vocabulary": vocabulary}
-    bad, good = float(head["bad"].iloc[0]), float(head["good"].iloc[0])
-    counted = counted[counted["feature"] != ""]
-    odds = np.log((counted["bad"] + 0.5) / (bad + 1)) - np.log((counted["good"] + 0.5) / (good + 1))
-    sure = odds / np.sqrt(1 / (counted["bad"] + 0.5) + 1 / (counted["good"] + 0.5))
-    chosen = counted.assign(w=odds)[(odds >= 1.5) & ((sure >= 3) | (counted["good"] == 0) & (odds >= 3))]
-    weights = dict(zip(chosen["feature"], chosen["w"].astype(float)))
+    odds = F.log((F.col("bad") + 0.5) / (head["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (head["good"] + 1.0))
+    sure = F.col("w") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    chosen = counted.where("bad >= 3 and feature <> ''").withColumn("w", odds).where((F.col("w") >= 1.5) & ((sure >= 3) | (F.col("good") == 0) & (F.col("w") >= 3)))
+    weights = {r["feature"]: r["w"] for r in chosen.select("feature", "w").collect()}
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer, memory = Restorer(model, vocabulary, weights), {}
@@ -329,17 +336,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
             out["toxic"] = (batch["toxic"] == 1).astype("int32").to_numpy()
             yield out
 
-    held = rows.where("fold = 4").mapInPandas(gather, f"{_EVIDENCE}, toxic int").toPandas()
-    beta = None
-    if len(held):
-        beta = _logistic(held[["total", "strongest", "density"]].to_numpy(), held["toxic"].to_numpy(float))
+    beta = _logistic(cut(rows.where("fold = 4").mapInPandas(gather, f"{_EVIDENCE}, toxic int")))
     return {"model": model, "weights": weights, "beta": beta, "vocabulary": vocabulary}
 
 
 def score_toxicity(docs: DataFrame, fitted: dict) -> DataFrame:
     """All columns of docs and score (0 to 1)."""
     model, weights, beta = fitted["model"], fitted["weights"], fitted["beta"]
-    shared = docs.sparkSession.sparkContext.broadcast((model, weights, fitted["vocabulary"]))  # bounded by alphabet and sample
+    shared = docs.sparkSession.sparkContext.broadcast((model, weights, fitted["vocabulary"]))  # bounded by alphabet, vocabulary and lexicon
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, weights, vocabulary = shared.value
