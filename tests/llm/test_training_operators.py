@@ -452,6 +452,19 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert scored.where("said <> toxic").count() == 0
 
 
+def test_toxicity_shuffles_texts_the_same_way_for_few_labels(spark, docs, monkeypatch):
+    """A broadcast of few labels would be a shuffle of the texts for many, so that the disk used would grow faster than the input."""
+    plans, real = [], toxicity.cut
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(toxicity, "cut", kept)
+    toxicity.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    assert len(plans) == 2 and all(p.count("ShuffledHashJoin") == 1 and "Broadcast" not in p and "SortMergeJoin" not in p for p in plans)
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert simhash.group_near_duplicates(none).count() == 0 and packing.pack(none).count() == 0

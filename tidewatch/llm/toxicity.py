@@ -287,7 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("fold", fold).where("fold <> 0")
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    # shuffled whatever the number of labels, which grows with the corpus; only these are hashed, so that no text is sorted
+    rows = docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer, found = Restorer(model), {0: Counter(), 1: Counter()}
