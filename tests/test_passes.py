@@ -94,6 +94,14 @@ def test_histogram_median(spark):
     assert [r["b"] for r in bins.select(facts.value_bin(F.col("v")).alias("b")).collect()] == sorted(r["b"] for r in bins.select(facts.value_bin(F.col("v")).alias("b")).collect())
 
 
+def test_reversion_partitions_are_not_joined_again(spark):
+    """Sorts and windows hold many times the packed size by which partitions would be joined."""
+    trades, own, primary = market(4)
+    frames = spark.createDataFrame(trades, TRADE), spark.createDataFrame(own, QUOTE), spark.createDataFrame(primary, QUOTE)
+    plan = plan_of(asof.score_reversion(*frames, ["1s", "5s"], 5000))
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_levels_of_quotes_ranges_and_reversion(spark):
     refs = spark.createDataFrame([(DAY, "A", "R", "Large", 10), (DAY, "B", "R", "Small", 20)], "date date, sym string, ric string, topixCapGrp string, lotSize long")
     quotes = spark.createDataFrame([(DAY, 1, "A", 9.0, 11.0, 100.0, 100.0), (DAY, 2, "A", 9.0, 11.0, 300.0, 100.0), (DAY, 2, "B", 19.0, 21.0, 100.0, 300.0), (DAY, 3, "B", 19.0, 21.0, None, 1.0), (DAY, 3, "Z", 1.0, 2.0, 1.0, 1.0)],
