@@ -145,3 +145,12 @@ def test_pii_thresholds_of_kinds_and_planted_spans(spark):
     wrong = sum(bool(pii.select_spans(t, *fitted)[1]) for t in clean)
     print("planted", len(planted), "caught", caught, "clean", len(clean), "touched", wrong)
     assert caught >= 0.9 * len(planted) and not wrong
+
+
+def test_pii_trees_come_from_all_candidates(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    trees, thresholds = pii.fit(corpus)
+    # the same texts under other ids and in other partitions
+    again, same = pii.fit(corpus.select((F.col("doc_id") * 7 + 1_000_003).alias("doc_id"), "text").repartition(5, "text"))
+    assert trees.trees and (again.trees, again.bias, same) == (trees.trees, trees.bias, thresholds)
+    assert pii.candidates("a ſecret: k7Lm2x9Q4") == [("secret", 10, 19)] and not pii.candidates("no word of it")

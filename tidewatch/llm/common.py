@@ -43,9 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, without it a folder of the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoint"
-
-
-def hash_share(column: str, share: float) -> F.Column:
-    """True for about this share of the values, chosen by hash: a bounded training sample."""
-    buckets = 1 << 20
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(buckets)) < F.lit(int(share * buckets) + 1)

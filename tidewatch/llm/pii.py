@@ -2,15 +2,15 @@
 
 The base patterns give spans that always stay. High-recall generators propose further, overlapping spans
 (secrets, long hexadecimal keys, account and identity numbers, local telephone numbers, disguised mail
-addresses). Boosted trees on format and context features score each; they are fitted on a bounded sample of
-candidates and on made-up sentences for forms that the corpus lacks, under weak labels from validators (checksums, number ranges, number plans, assignments to keywords), since no
-table marks personal data. Each kind's threshold is calibrated on held-out candidates: the least one that keeps
+addresses). Boosted trees on format and context features score each; they are fitted on the candidates of all documents,
+counted by bins of their features, and on made-up sentences for forms that the corpus lacks, under weak labels from validators (checksums, number
+ranges, number plans, assignments to keywords), since no table marks personal data. Each kind's threshold is calibrated on held-out candidates: the least one that keeps
 PRECISION; a kind with fewer than MIN_HELD of them, or that never gets there, takes the threshold of all kinds together.
 Selected spans never overlap a base span or each other.
 
 Null or empty text has no spans; texts of any length are read whole. Repeated rows and ids give equal results. Of
 overlapping candidates the one with the higher score stays, of equal scores the one that starts first, of these the longer.
-Further columns are kept, but for those named like the results. An empty table, or a sample with one label only, gives
+Further columns are kept, but for those named like the results. An empty table, or candidates of one label only, give
 trees that select nothing.
 """
 
@@ -19,18 +19,19 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_share, table
+from tidewatch.llm.common import cut, table
 
-#: Documents of the sample that the trees are fitted on, and candidates taken from it.
-MAX_TRAINING_ROWS, MAX_TRAINING_CANDIDATES = 4_000, 20_000
+#: Least share of the made-up sentences among the examples that trees are fitted on, and tasks that add up counts for them.
+MADE_SHARE, SUM_TASKS = 0.02, 32
 PRECISION, MIN_HELD = 0.9, 30
 #: Threshold of a candidate where none could be calibrated: nothing is selected.
 NEVER = 1.1
@@ -42,6 +43,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile("[0-9]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EXTRA = {
     "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|auth)\b[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?([^\s\"']{8,}+)"),
@@ -101,6 +103,8 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     spans = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
+    if not _DIGIT.search(text):
+        return spans
     for kind, form in (("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
         spans += [(kind, m.start(), m.end()) for m in form.finditer(text) if _valid(kind, m.group())]
     return spans
@@ -110,9 +114,12 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """Overlapping proposals of the further generators."""
     if not text:
         return []
-    found = []
+    found, digit, low = [], bool(_DIGIT.search(text)), text.lower()
+    # a long s, which lower() leaves, also counts as an s where case is ignored
+    named = "\u017f" in text or any(word in low for word in ("token", "secret", "passw", "pwd", "api", "auth"))
+    possible = {"secret": named, "iban": digit, "ssn": digit, "local": digit, "disguised": "at" in text and "dot" in text}
     for kind, form in _EXTRA.items():
-        if kind != "disguised" or "at" in text and "dot" in text:
+        if possible.get(kind, True):
             found += [(kind, m.start(1), m.end(1)) for m in form.finditer(text)]
     return found
 
@@ -173,40 +180,69 @@ def _features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+#: Bounds of the bins that trees split at, by feature.
+_SHARES, _COUNTS = np.arange(1, 32, 2) / 32, np.arange(8) + 0.5
+_BOUNDS = [
+    np.arange(len(KINDS) - 1) + 0.5, np.array([*np.arange(4, 24), 28, 31, 33, 36, 39, 47, 63, 95, 127, 255, 511]) + 0.5, _SHARES, _SHARES, _COUNTS,
+    np.arange(2, 24) / 4, _SHARES, np.array([0.5]), np.array([0.5]), np.array([*np.arange(13), 15, 18]) + 0.5, np.array([*np.arange(13), 15, 18]) + 0.5,
+    *[np.array([0.5])] * (1 + len(_CONTEXT))]
+_BINS = 1 + max(map(len, _BOUNDS))
+#: Residuals are added as whole numbers of this unit, so that sums do not depend on their order.
+_UNIT = 1 << 20
+
+
+def _binned(x: np.ndarray) -> np.ndarray:
+    """Bin of each feature: value <= bound j where bin <= j."""
+    return np.stack([np.searchsorted(b, x[:, f]) for f, b in enumerate(_BOUNDS)], axis=1).astype(np.uint8)
+
+
 class BoostedTrees:
-    """Gradient boosting of small regression trees for the logistic loss, on quantile splits."""
+    """Gradient boosting of small regression trees for the logistic loss, on bounds of bins. sums(trees, splits) gives the
+    residuals, curvatures and counts of all examples together, by open node, feature and bin."""
 
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2):
+    def __init__(self, rounds: int = 24, depth: int = 3, rate: float = 0.3):
         self.rounds, self.depth, self.rate, self.trees, self.bias = rounds, depth, rate, [], -30.0
 
-    def _grow(self, x, g, h, depth):
-        value = float(g.sum() / (h.sum() + 1.0))
-        if not depth or len(x) < 20:
-            return value
-        best, score = None, g.sum() ** 2 / (h.sum() + 1.0) + 1e-6
-        for f in range(x.shape[1]):
-            for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 15))):
-                left = x[:, f] <= cut
-                if 5 <= left.sum() <= len(x) - 5:
-                    gain = g[left].sum() ** 2 / (h[left].sum() + 1.0) + g[~left].sum() ** 2 / (h[~left].sum() + 1.0)
-                    if gain > score:
-                        best, score = (f, float(cut)), gain
-        if best is None:
-            return value
-        left = x[:, best[0]] <= best[1]
-        return (*best, self._grow(x[left], g[left], h[left], depth - 1), self._grow(x[~left], g[~left], h[~left], depth - 1))
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        if len(y) < 20 or y.min() == y.max():
+    def fit(self, positives: int, total: int, sums: Callable[[BoostedTrees, dict], dict[int, np.ndarray]]) -> BoostedTrees:
+        if total < 20 or positives in (0, total):
             return self
-        self.bias = float(np.log(y.mean() / (1 - y.mean())))
-        z = np.full(len(y), self.bias)
+        self.bias = math.log(positives / (total - positives))
         for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-z))
-            self.trees.append(self._grow(x, y - p, p * (1 - p), self.depth))
-            z += self.rate * self._tree(self.trees[-1], x)
+            splits, values = {}, {}
+            for level in range(self.depth):
+                found = sums(self, splits)
+                for node, (g, h, n) in found.items():
+                    whole = g[0].sum(), h[0].sum(), n[0].sum()
+                    values[node] = float(whole[0] / (whole[1] + 1.0))
+                    best = self._split(g, h, n, *whole)
+                    if best:
+                        splits[node], (left, right) = best
+                        values[2 * node + 1], values[2 * node + 2] = left, right
+                if not any(2 ** level - 1 <= node for node in splits):
+                    break
+            self.trees.append(self._built(0, splits, values))
         return self
 
+    @staticmethod
+    def _split(g, h, n, g_all, h_all, n_all):
+        """((feature, bin), values of both sides) of the greatest gain, of equal ones the first; None where none gains."""
+        best, score = None, g_all ** 2 / (h_all + 1.0) + 1e-6
+        if n_all < 20:
+            return None
+        for f, bounds in enumerate(_BOUNDS):
+            gl, hl, nl = (np.cumsum(v[f])[:len(bounds)] for v in (g, h, n))
+            gain = np.where((nl >= 5) & (nl <= n_all - 5), gl ** 2 / (hl + 1.0) + (g_all - gl) ** 2 / (h_all - hl + 1.0), -1.0)
+            j = int(gain.argmax())
+            if gain[j] > score:
+                best, score = ((f, j), (float(gl[j] / (hl[j] + 1.0)), float((g_all - gl[j]) / (h_all - hl[j] + 1.0)))), gain[j]
+        return best
+
+    def _built(self, node: int, splits: dict, values: dict):
+        if node not in splits:
+            return values[node]
+        f, j = splits[node]
+        return f, float(_BOUNDS[f][j]), self._built(2 * node + 1, splits, values), self._built(2 * node + 2, splits, values)
+
     def _tree(self, tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):
             return np.full(len(x), tree)
@@ -217,24 +253,59 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-z))
 
 
-def calibrate(p: np.ndarray, truth: np.ndarray, kinds: np.ndarray, precision: float = PRECISION) -> dict[str, float]:
-    """Threshold of each kind, and of all together under the empty name, from held-out scores and labels."""
+#: A value of each bin.
+_INSIDE = [np.array([*b, b[-1] + 1.0]) for b in _BOUNDS]
+
+
+def _node_sums(codes: np.ndarray, n: np.ndarray, positives: np.ndarray, trees: BoostedTrees, splits: dict) -> dict[int, np.ndarray]:
+    """Whole-number sums (residuals, curvatures, examples) of the nodes at the open level, by feature and bin."""
+    p = trees.predict(np.stack([v[codes[:, f]] for f, v in enumerate(_INSIDE)], axis=1))
+    g = positives * _UNIT - n * np.rint(p * _UNIT)
+    h = n * np.rint(p * (1 - p) * _UNIT)
+    node = np.zeros(len(codes), dtype=np.int64)
+    for at, (f, j) in sorted(splits.items()):
+        inside = node == at
+        node[inside] = 2 * at + 1 + (codes[inside, f] > j)
+    first = max((2 ** (int(math.log2(at + 1)) + 1) - 1 for at in splits), default=0)
+    out = {}
+    for at in np.unique(node[node >= first]).tolist():
+        rows = node == at
+        out[at] = np.array([[np.bincount(codes[rows, f], v[rows], _BINS) for f in range(len(_BOUNDS))] for v in (g, h, n)])
+    return out
+
 
-    def least(chosen: np.ndarray) -> float:
-        found = NEVER
-        for t in np.linspace(0.95, 0.3, 27):
-            at = chosen & (p >= t)
-            if at.any() and truth[at].mean() >= precision:
-                found = float(t)
-        return found
-
-    out = {"": least(np.ones(len(p), dtype=bool))}
-    for n, kind in enumerate(KINDS):
-        own = least(kinds == n) if (kinds == n).sum() >= MIN_HELD else NEVER
+#: Thresholds that are tried, from the highest.
+_STEPS = np.linspace(0.95, 0.3, 27)
+
+
+def _tallies(p: np.ndarray, positives: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Examples and positive ones, by kind and the highest threshold that they reach (the last: none)."""
+    reached = (p[:, None] < _STEPS[None, :]).sum(axis=1)
+    out = np.zeros((len(KINDS), len(_STEPS) + 1, 2))
+    np.add.at(out, (kinds, reached, 0), n)
+    np.add.at(out, (kinds, reached, 1), positives)
+    return out
+
+
+def _thresholds(tallies: np.ndarray, precision: float) -> dict[str, float]:
+
+    def least(counts: np.ndarray) -> float:
+        n, positives = counts.cumsum(axis=0)[:len(_STEPS)].T
+        good = np.nonzero((n > 0) & (positives >= precision * n - 1e-9))[0]
+        return float(_STEPS[good[-1]]) if len(good) else NEVER
+
+    out = {"": least(tallies.sum(axis=0))}
+    for k, kind in enumerate(KINDS):
+        own = least(tallies[k]) if tallies[k, :, 0].sum() >= MIN_HELD else NEVER
         out[kind] = own if own < NEVER else out[""]
     return out
 
 
+def calibrate(p: np.ndarray, truth: np.ndarray, kinds: np.ndarray, precision: float = PRECISION) -> dict[str, float]:
+    """Threshold of each kind, and of all together under the empty name, from held-out scores and labels."""
+    return _thresholds(_tallies(p, truth, np.ones(len(p)), kinds), precision)
+
+
 def rendered(n: int = 400) -> list[str]:
     """Made-up sentences with values in forms that a corpus may lack, and with look-alikes: training examples only."""
     draw = random.Random(11)
@@ -256,30 +327,85 @@ def rendered(n: int = 400) -> list[str]:
     return [f"{words(3)} {draw.choice(forms)()} {words(3)}" for _ in range(n)]
 
 
+_CELL = "codes binary, held boolean, n long, positives long"
+
+
+def _cells(texts: list[str | None]) -> pd.DataFrame:
+    """Candidates of the texts by the bins of their features: how many, and how many of weak label 1. Equal values are held out together."""
+    x, keys = [], []
+    for text in texts:
+        if text:
+            failed = [("card", m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() > 8]
+            for kind, a, b in {*base_spans(text), *candidates(text), *failed}:
+                x.append(_features(text, kind, a, b))
+                keys.append((zlib.crc32(text[a:b].encode("utf-8", "replace")) % 4 == 0, _weak_label(text, kind, a, b)))
+    counts: dict[tuple[bytes, bool], list[int]] = {}
+    for codes, (held, y) in zip(_binned(np.array(x)) if x else (), keys):
+        cell = counts.setdefault((codes.tobytes(), held), [0, 0])
+        cell[0] += 1
+        cell[1] += y
+    return pd.DataFrame([(c, held, n, y) for (c, held), (n, y) in counts.items()], columns=["codes", "held", "n", "positives"])
+
+
+def _arrays(cells: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes = np.frombuffer(b"".join(cells["codes"]), dtype=np.uint8).reshape(-1, len(_BOUNDS))
+    return codes, cells["n"].to_numpy(dtype=float), cells["positives"].to_numpy(dtype=float)
+
+
+def _summed(cells: DataFrame, own: pd.DataFrame, sums: Callable[[pd.DataFrame], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """sums over the cells of all tasks and the made-up ones; a task sends its sums alone, and tasks are at most SUM_TASKS."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, value in sums(batch).items():
+                total[key] = total[key] + value if key in total else value
+        yield pd.DataFrame({"key": list(total), "sums": [v.astype("<i8").tobytes() for v in total.values()]})
+
+    total = {k: v.astype(np.int64) for k, v in sums(own).items()}
+    for row in cells.mapInPandas(run, "key long, sums binary").collect():
+        shape = (len(KINDS), len(_STEPS) + 1, 2) if row["key"] < 0 else (3, len(_BOUNDS), _BINS)
+        value = np.frombuffer(row["sums"], dtype="<i8").reshape(shape)
+        total[row["key"]] = total[row["key"]] + value if row["key"] in total else value
+    return total
+
+
 def fit(docs: DataFrame, precision: float = PRECISION) -> tuple[BoostedTrees, dict[str, float]]:
-    """Trees and thresholds from at most MAX_TRAINING_CANDIDATES candidates of about MAX_TRAINING_ROWS documents."""
+    """Trees and thresholds from the candidates of all documents, a fourth of them held out for the thresholds.
+
+    One pass over the texts counts candidates by the bins of their features; the counts are written once, and every level of a
+    tree is one sum over them. The made-up sentences are weighted to keep a share of MADE_SHARE where the candidates are many.
+    """
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                if text:
-                    failed = [("card", m.start(), m.end()) for m in _CARD.finditer(text) if m.end() - m.start() > 8]
-                    for kind, a, b in {*base_spans(text), *candidates(text), *failed}:
-                        rows.append((_features(text, kind, a, b), _weak_label(text, kind, a, b)))
-            yield pd.DataFrame(rows, columns=["x", "y"])
-
-    total = max(1, docs.count())
-    sample = docs.where(hash_share("doc_id", min(1.0, MAX_TRAINING_ROWS / total))).select("text")
-    found = sample.mapInPandas(gather, "x array<double>, y int").orderBy(F.xxhash64("x"), "y").limit(MAX_TRAINING_CANDIDATES).collect()
-    if not found:
+            yield _cells(batch["text"].tolist())
+
+    counted = docs.select("text").mapInPandas(gather, _CELL).groupBy("codes", "held").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
+    cells = cut(counted.coalesce(SUM_TASKS))
+    size = {r["held"]: r for r in cells.groupBy("held").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives")).collect()}
+    if not size:
         return BoostedTrees(), {}
-    made = [(_features(t, *c), _weak_label(t, *c)) for t in rendered() for c in candidates(t)]
-    x = np.array([r["x"] for r in found] + [m[0] for m in made])
-    y = np.array([r["y"] for r in found] + [m[1] for m in made], dtype=float)
-    held = np.arange(len(x)) % 4 == 0
-    trees = BoostedTrees().fit(x[~held], y[~held])
-    return trees, calibrate(trees.predict(x[held]), y[held], x[held, 0].astype(int), precision) if trees.trees else {}
+    own = _cells(rendered())
+    learned, made, held = cells.where("not held"), own[~own["held"]], own[own["held"]]
+    n, positives = (size[False]["n"], size[False]["positives"]) if False in size else (0, 0)
+    weight = max(1, round(MADE_SHARE * n / made["n"].sum()))
+    made = made.assign(n=made["n"] * weight, positives=made["positives"] * weight)
+
+    def sums(trees: BoostedTrees, splits: dict) -> dict[int, np.ndarray]:
+        found = _summed(learned, made, lambda batch: _node_sums(*_arrays(batch), trees, splits))
+        return {node: (v[0] / _UNIT, v[1] / _UNIT, v[2]) for node, v in sorted(found.items())}
+
+    trees = BoostedTrees().fit(int(positives + made["positives"].sum()), int(n + made["n"].sum()), sums)
+    if not trees.trees:
+        return trees, {}
+
+    def scores(batch: pd.DataFrame) -> dict[int, np.ndarray]:
+        codes, n, positives = _arrays(batch)
+        p = trees.predict(np.stack([v[codes[:, f]] for f, v in enumerate(_INSIDE)], axis=1))
+        return {-1: _tallies(p, positives, n, codes[:, 0].astype(int))}
+
+    return trees, _thresholds(_summed(cells.where("held"), held, scores)[-1], precision)
 
 
 def select_spans(text: str | None, trees: BoostedTrees, thresholds: dict[str, float]) -> tuple[list, list]:
