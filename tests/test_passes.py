@@ -331,3 +331,12 @@ def test_trend_texts_are_rounded_once(spark):
     for r in found.values():
         assert f"(p={r['p_value']:.3f}, normalized slope={100 * r['normalized_slope']:.3f}%" in r["summary_text"]
     assert round(found["tied"]["p_value"], 6) == 0.4795 and "(p=0.480," in found["tied"]["summary_text"]
+
+
+def test_reversion_makes_its_points_once_and_repeats_no_expression(spark):
+    queries = registry.queries()
+    plans = {n: queries[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString() for n in ("reversion_family", "reversion_curves", "reversion_facts", "ordered_points")}
+    # scans of trades, venue quotes, primary quotes and reference data, all once; the headline points of the facts are rows already
+    assert {n: p.count("Relation [") for n, p in plans.items()} == {n: 4 for n in plans}
+    # filters do not repeat the expression of a tick's time for each mention (69 times before)
+    assert all(p.count("7919") < 30 for p in plans.values())
