@@ -1,6 +1,7 @@
 """Training-data operators against brute force on small tables with nulls, empty, long, repeated and tied rows."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -309,6 +310,45 @@ def test_html_wrapper_decides_pages_without_telling_tags(spark):
     assert html.main_text(_anonymous(1)) != expected[1]
 
 
+def test_html_wrappers_come_from_all_pages(spark):
+    # few long stories among many short notes: eight pages of the host show none of them
+    note = lambda n: f"<div class='n'>note {n}</div>"
+    story = lambda n: f"<div class='m'>Our menu</div><div class='c'><div class='h'>Title {n}</div><div class='t'>{'long story ' * 200}{n}</div></div>"
+    rows = [(n, f"http://h.de/{n}", f"<html><body>{story(n) if n % 40 == 0 else note(n)}</body></html>") for n in range(400)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    learned = html.learn_wrappers(frame)
+    assert {r["path"]: (r["texts"], r["n"], r["total"]) for r in learned.collect()} == {
+        "html/body/div.n": (390, 390, 400), "html/body/div.m": (1, 10, 400), "html/body/div.c/div.h": (10, 10, 400), "html/body/div.c/div.t": (10, 10, 400)}
+    assert [tuple(r) for r in html.host_regions(learned).collect()] == [("h.de", "html/body/div.c")]
+    found = {r["page_id"]: r["text"] for r in html.extract_text(frame).collect()}
+    assert found[40] == f"Title 40\n{'long story ' * 200}40" and found[1] == "note 1" and len(found) == 400
+
+
+def test_html_aligned_pages_in_spark_agree_with_those_at_hand(spark, monkeypatch):
+    assert html.align("abcd", "bd") == {0: 1, 1: 3} and html.align("xhxp", "hxp") == {0: 1, 1: 2, 2: 3} and html.align("", "a") == {} == html.align("a", "")
+    assert html.places("ad", "abbcd") == [(0, True, 0, 0), (1, False, 0, 0), (1, False, 1, 1), (1, False, 0, 2), (1, True, 0, 0)]
+    draw = random.Random(5)
+    for _ in range(300):
+        x, y = ["".join(draw.choice("abc") for _ in range(draw.randint(0, 12))) for _ in range(2)]
+        pairs = sorted(html.align(x, y).items())
+        assert all(y[k] == x[i] for k, i in pairs) and [i for _, i in pairs] == sorted({i for _, i in pairs})
+    # one stray menu and one cut page do not make slots of what all other pages share, and copies count once
+    pages = [_anonymous(n) for n in range(30)] + [_anonymous(3)] * 50
+    pages += [pages[0].replace("Our site", "Our other site " * 20), "<html><body><div class='a'></div></body></html>", "", "<html><body><div class='b'>Our site</div></body></html>"]
+    expected = html.infer_wrapper(pages)
+    assert html.region(expected) == "html/body/div.c"
+    rows = [(f"http://h.de/{n}", p) for n, p in enumerate(pages)] + [("http://two.de/", _anonymous(1)), ("http://two.de/", _anonymous(2)), ("http://two.de/", _anonymous(2)), (None, None)]
+    fields = ("path", "texts", "chars", "frame", "many", "optional")
+    for held, parts, size in ((1, 7, 0), (100_000, 2, 1 << 20)):
+        monkeypatch.setattr(html, "HELD", held)
+        monkeypatch.setattr(html, "BROADCAST_BYTES", size)
+        learned = html.learn_wrappers(spark.createDataFrame(rows, "url string, html string").repartition(parts).withColumn("page_id", F.lit(1)))
+        found = learned.orderBy("host", "at", "own", "gap", "path", "nth").withColumn("optional", F.col("n") < F.col("total")).collect()
+        assert {r["host"] for r in found} == {"h.de"}
+        assert [(r["path"], r["texts"] > 1, *[r[c] for c in fields[2:]]) for r in found] == [(t["path"], t["slot"], *[t[c] for c in fields[2:]]) for t in expected]
+        assert [tuple(r) for r in html.host_regions(learned).collect()] == [("h.de", "html/body/div.c")]
+
+
 def test_html_on_pages(spark):
     pages = spark.read.parquet(f"{DIR}/pages.parquet").union(spark.createDataFrame([(9999, None, None)], "page_id long, url string, html string"))
     rows = {r["page_id"]: r for r in html.extract_text(pages).collect()}

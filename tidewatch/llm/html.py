@@ -1,27 +1,32 @@
 """Main text of web pages by wrappers inferred as union-free regular expressions.
 
 Pages of one host share a template. A page is a stream of blocks, each with the path of its containers; runs of
-equal groups of blocks fold into one repeated group. The streams of up to SAMPLE_PAGES different pages of a host,
-chosen by hash, are aligned one after the other: blocks that only some pages have become optional, texts that
-differ become slots. The wrapper's slots then tell where the host keeps its articles: the deepest container that
-holds REGION_SHARE of the slots' text, links and constant texts not counted. The text of a page is what lies in that
-region; in a page without the region, or of a host with fewer than MIN_PAGES sample pages, it is what lies in its article
-or main element, else in its body. Names of tags and classes only settle ties: they keep known frames (menus, adverts,
-comments and the like) out of the count and out of a region, and let a region reach up to its article element, so
-that a headline is kept.
+equal groups of blocks fold into one repeated group. The streams of all pages of a host are aligned with its most frequent
+one: blocks that only some pages have become optional, texts that differ become slots. The wrapper's slots then tell where the
+host keeps its articles: the deepest container that holds REGION_SHARE of the slots' text, links and constant texts not counted
+and every different text once. The text of a page is what lies in that region; in a page without the region, or of a host with
+fewer than MIN_PAGES different pages, it is what lies in its article or main element, else in its body. Names of tags and
+classes only settle ties: they keep known frames (menus, adverts, comments and the like) out of the count and out of a region,
+and let a region reach up to its article element, so that a headline is kept.
+
+Wrappers come from all pages: a task merges those of equal streams, and aligned blocks are counted by host, place and text in
+Spark, so that no task or group holds a host. Neither partitions nor the order or number of equal pages change a wrapper, but
+for the choice of the most frequent stream, for which all rows count.
 
 Null or empty html gives an empty text. Texts of any length are read whole. Unclosed tags end with their container.
-Repeated rows stay and count once in a sample; a null url belongs to the host of no name. Further columns are kept as
+Repeated rows stay; a null url belongs to the host of no name. Further columns are kept as
 they are; an input column named text is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +34,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import cut, table
 
-SAMPLE_PAGES, MIN_PAGES = 8, 3
+MIN_PAGES = 3
 #: Share of the text in slots that the region of articles holds.
 REGION_SHARE = 0.75
 #: Groups of up to so many blocks are folded where they repeat.
 GROUP_BLOCKS = 6
-#: Ids of sample pages that are broadcast; more are joined.
-BROADCAST_IDS = 1_000_000
-#: Regions of at most so many characters together are broadcast; beyond it they are joined by salted host.
+#: Paths and texts that a task holds before it hands them on.
+HELD = 100_000
+#: Streams, or regions, of at most so many characters together are broadcast; beyond it they are joined by host, regions by salted host.
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
 
@@ -160,62 +165,164 @@ def _step(name: str, attributes: str) -> str:
     return ".".join([name, *re.sub("[0-9/.]+", "", " ".join(classes)).split()])
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def folded(found: list[tuple]) -> list[dict]:
-    """The stream of blocks with runs of equal groups folded: path, text (None: a slot), its free characters, frame, repeated."""
+    """The stream of blocks with runs of equal groups folded: path, text (None: several), digest of all its texts, its free characters, frame, repeated."""
     out: list[dict] = []
     for text, frame, _, path, linked in found:
-        out.append({"path": path, "text": text, "chars": max(0, len(text) - linked), "frame": frame, "many": False, "optional": False})
+        out.append({"path": path, "text": text, "digest": _digest(text), "chars": max(0, len(text) - linked), "frame": frame, "many": False})
         for width in range(1, GROUP_BLOCKS + 1):
             first, second = out[-2 * width:-width], out[-width:]
             if len(first) == width and [t["path"] for t in first] == [t["path"] for t in second]:
-                out[-2 * width:] = [_merged(x, y) | {"many": True} for x, y in zip(first, second)]
+                out[-2 * width:] = [_repeated(x, y) for x, y in zip(first, second)]
                 break
     return out
 
 
-def _merged(x: dict, y: dict) -> dict:
-    return {"path": x["path"], "text": x["text"] if x["text"] == y["text"] else None, "chars": x["chars"] + y["chars"], "frame": x["frame"] and y["frame"],
-            "many": x["many"] or y["many"], "optional": x["optional"] or y["optional"]}
+def _repeated(x: dict, y: dict) -> dict:
+    return {"path": x["path"], "text": x["text"] if x["text"] == y["text"] else None, "digest": _digest(f"{x['digest']} {y['digest']}"),
+            "chars": x["chars"] + y["chars"], "frame": x["frame"] and y["frame"], "many": True}
+
+
+def _longest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of pairs (in order of their second part) in which the first part grows too."""
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for n, (i, _) in enumerate(pairs):
+        k = bisect_left(ends, i)
+        ends[k:k + 1], last[k:k + 1] = [i], [n]
+        before.append(last[k - 1] if k else -1)
+    chain, n = [], last[-1] if last else -1
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    return chain[::-1]
+
+
+def align(stream: Sequence[str], page: Sequence[str]) -> dict[int, int]:
+    """For blocks of a page (paths) the block of the stream that each corresponds to, in growing order of both.
+
+    Equal ends are paired, then blocks of the same path and number of that path in the longest order common to both, then
+    likewise what lies between them, until nothing between has a path in common.
+    """
+    found: dict[int, int] = {}
+    between = [(0, len(stream), 0, len(page))]
+    while between:
+        i, j, k, m = between.pop()
+        while i < j and k < m and stream[i] == page[k]:
+            found[k] = i
+            i, k = i + 1, k + 1
+        while i < j and k < m and stream[j - 1] == page[m - 1]:
+            j, m = j - 1, m - 1
+            found[m] = j
+        seen: Counter = Counter()
+        numbered: dict[tuple[str, int], int] = {}
+        for x in range(i, j if k < m else i):
+            numbered[stream[x], seen[stream[x]]] = x
+            seen[stream[x]] += 1
+        seen, pairs = Counter(), []
+        for y in range(k, m if numbered else k):
+            x = numbered.get((page[y], seen[page[y]]))
+            seen[page[y]] += 1
+            if x is not None:
+                pairs.append((x, y))
+        for x, y in _longest(pairs) + [(j, m)] if pairs else []:
+            if x < j:
+                found[y] = x
+            between.append((i, x, k, y))
+            i, k = x + 1, y + 1
+    return found
 
 
-def align(wrapper: list[dict], page: list[dict]) -> list[dict]:
-    """Generalises a wrapper by one page: differing texts become slots, unmatched blocks optional."""
-    merged: list[dict] = []
-    matcher = SequenceMatcher(None, [t["path"] for t in wrapper], [t["path"] for t in page], autojunk=False)
-    for tag, i, j, k, m in matcher.get_opcodes():
-        if tag == "equal":
-            merged += [_merged(w, p) for w, p in zip(wrapper[i:j], page[k:m])]
+def places(stream: Sequence[str], page: Sequence[str]) -> list[tuple[int, bool, int, int]]:
+    """Place in the wrapper of each block of a page: number in the stream and True; or, for a block of no counterpart, the
+    number that it stands before, False, its number among those of its path there, and its distance from the last counterpart."""
+    found, out = align(stream, page), []
+    at = gap = 0
+    seen: Counter = Counter()
+    for n, path in enumerate(page):
+        if n in found:
+            out.append((found[n], True, 0, 0))
+            at, gap, seen = found[n] + 1, 0, Counter()
         else:
-            merged += [t | {"optional": True} for t in wrapper[i:j] + page[k:m]]
-    return merged
+            out.append((at, False, seen[path], gap))
+            seen[path] += 1
+            gap += 1
+    return out
+
+
+def _gather(held: dict, host: str, page: str | None) -> int:
+    """Adds a page to its host's pages of the same stream; returns by how many paths and texts they grew. A page without blocks teaches nothing."""
+    stream = folded(blocks(page))
+    if not stream:
+        return 0
+    key = host, tuple(t["path"] for t in stream)
+    grown = 0
+    if key not in held:
+        held[key] = {"n": 0, "frames": [True] * len(stream), "many": [False] * len(stream), "seen": [{} for _ in stream], "pages": set()}
+        grown = len(stream)
+    part = held[key]
+    part["n"] += 1
+    for n, t in enumerate(stream):
+        part["frames"][n] &= t["frame"]
+        part["many"][n] |= t["many"]
+        grown += t["digest"] not in part["seen"][n]
+        part["seen"][n].setdefault(t["digest"], (t["chars"], t["text"]))
+    part["pages"].add(_digest(" ".join(str(t["digest"]) for t in stream)))
+    if len(part["pages"]) > MIN_PAGES:
+        part["pages"].remove(max(part["pages"]))
+    return grown
+
+
+def _stream_id(paths: Sequence[str]) -> int:
+    return _digest("\n".join(paths))
 
 
 def infer_wrapper(pages: list[str]) -> list[dict]:
-    wrapper: list[dict] = []
-    for n, page in enumerate(pages):
-        stream = folded(blocks(page))
-        wrapper = align(wrapper, stream) if n else stream
-    return wrapper
+    """The wrapper of pages of one host that are at hand: path, text (None: a slot or several), its different texts' free characters, slot, frame, repeated, optional."""
+    held: dict = {}
+    for page in pages:
+        _gather(held, "", page)
+    stream = max(((part["n"], _stream_id(paths), paths) for (_, paths), part in held.items()), default=(0, 0, ()))[2]
+    total = sum(part["n"] for part in held.values())
+    found: dict[tuple, dict] = {}
+    for (_, paths), part in held.items():
+        for n, (at, own, nth, gap) in enumerate(places(stream, paths)):
+            t = found.setdefault((at, own, paths[n], nth), {"n": 0, "gap": gap, "frame": True, "many": False, "seen": {}})
+            t["n"] += part["n"]
+            t["gap"] = min(t["gap"], gap)
+            t["frame"] &= part["frames"][n]
+            t["many"] |= part["many"][n]
+            t["seen"] |= part["seen"][n]
+    ordered = sorted(found.items(), key=lambda x: (x[0][0], x[0][1], x[1]["gap"], x[0]))
+    return [{"path": key[2], "text": next(iter(t["seen"].values()))[1] if len(t["seen"]) == 1 else None, "chars": sum(c for c, _ in t["seen"].values()),
+             "slot": len(t["seen"]) > 1, "frame": t["frame"], "many": t["many"], "optional": t["n"] < total} for key, t in ordered]
 
 
 def expression(wrapper: list[dict]) -> str:
-    """The wrapper as a regular expression over blocks: # is a slot, + repeated, ? optional."""
+    """The wrapper as a regular expression over blocks: # is a slot or several texts, + repeated, ? optional."""
     return " ".join(f"({t['path']}:{'#' if t['text'] is None else json.dumps(t['text'], ensure_ascii=False)}){'+' if t['many'] else ''}{'?' if t['optional'] else ''}" for t in wrapper)
 
 
 def region(wrapper: list[dict]) -> str | None:
     """Path of the container that holds the articles; None where no container below the body stands out."""
-    mass: dict[str, int] = {}
+    mass: Counter = Counter()
     for t in wrapper:
-        # a block that only one page has is as good as a slot
-        if not t["frame"] and (t["text"] is None or t["optional"]):
+        if not t["frame"] and (t["slot"] or t["optional"]):
             steps = t["path"].split("/")
             for n in range(1, len(steps)):
-                path = "/".join(steps[:n])
-                mass[path] = mass.get(path, 0) + t["chars"]
+                mass["/".join(steps[:n])] += t["chars"]
     total = max(mass.values(), default=0)
     fit = [p for p, chars in mass.items() if total and chars >= REGION_SHARE * total]
-    best = max(fit, key=lambda p: (p.count("/"), mass[p], p), default="")
+    return _raised(max(fit, key=lambda p: (p.count("/"), mass[p], p), default=""))
+
+
+def _raised(best: str) -> str | None:
+    """The container, or its next article or main element above; None for the body or what lies above."""
     steps = best.split("/")
     for n in range(len(steps) - 1, 0, -1):
         if steps[n - 1].split(".")[0] in ("article", "main"):
@@ -224,27 +331,85 @@ def region(wrapper: list[dict]) -> str | None:
     return best if best.split("/")[-1].split(".")[0] not in ("", "html", "body") else None
 
 
-def _learn(group: pd.DataFrame) -> pd.DataFrame:
-    pages = group.sort_values("page_id")["html"].drop_duplicates().tolist()
-    wrapper = infer_wrapper(pages) if len(pages) >= MIN_PAGES else []
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [expression(wrapper)], "region": [region(wrapper)]})
-
-
 def _host() -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
 
 
+#: Pages of one host and stream, as a task met them: how many, up to MIN_PAGES different ones, and by block the different texts.
+_PART = ("host string, stream long, n long, paths array<string>, frames array<boolean>, many array<boolean>, pages array<long>, "
+         "block array<int>, digest array<long>, chars array<long>")
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict = {}
+
+    def handed_on() -> pd.DataFrame:
+        rows = []
+        for (host, paths), part in held.items():
+            texts = [(n, digest, chars) for n, seen in enumerate(part["seen"]) for digest, (chars, _) in seen.items()]
+            rows.append((host, _stream_id(paths), part["n"], list(paths), part["frames"], part["many"], list(part["pages"]), *map(list, zip(*texts))))
+        held.clear()
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _PART.split(", ")])
+
+    size = 0
+    for batch in batches:
+        for host, page in zip(batch["host"], batch["html"]):
+            size += _gather(held, host, page)
+            if size > HELD:
+                yield handed_on()
+                size = 0
+    if held:
+        yield handed_on()
+
+
 def learn_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as an expression, region of articles) from at most SAMPLE_PAGES pages of each host."""
-    order = F.xxhash64(F.col("page_id"), F.col("url"))
-    drawn = pages.where("html is not null and page_id is not null").select(
-        _host().alias("host"), F.pmod(order, F.lit(SAMPLE_PAGES)).alias("slot"), order.alias("o"), "page_id")
-    chosen = cut(drawn.groupBy("host", "slot").agg(F.min(F.struct("o", "page_id")).alias("c")).select("host", F.col("c.page_id").alias("page_id")))
-    sample = pages.where("html is not null").select(_host().alias("host"), "page_id", "html")
-    # ids alone are broadcast, and only while they are few; otherwise the pages are shuffled once
-    ids = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-    sample = sample.join(ids, ["host", "page_id"]).dropDuplicates(["host", "page_id"])
-    return sample.groupBy("host").applyInPandas(_learn, "host string, wrapper string, region string")
+    """The wrappers of all hosts of MIN_PAGES different pages, from all their pages, a row for each block.
+
+    host; place (at, own, gap, path, nth, as in places; in this order they make the expression); texts, how many different ones
+    (one: constant, more: a slot), and their free characters; n pages of total that have it; frame; many.
+    """
+    parts = cut(pages.where("html is not null").select(_host().alias("host"), "html").mapInPandas(_parts, _PART))
+    streams = parts.groupBy("host", "stream").agg(F.sum("n").alias("n"), F.first("paths").alias("paths"))
+    different = parts.select("host", F.explode("pages").alias("page")).groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    best = streams.groupBy("host").agg(F.max_by("paths", F.struct("n", "stream")).alias("best"), F.sum("n").alias("total"))
+    best = cut(best.join(different.where(F.col("pages") >= MIN_PAGES), "host", "left_semi"))
+    size = best.agg(F.sum(F.length(F.array_join("best", "/")) + F.length("host")).alias("n")).first()["n"] or 0
+
+    @F.pandas_udf("array<struct<at:int,own:boolean,nth:int,gap:int>>")
+    def placed(streams: pd.Series, found: pd.Series) -> pd.Series:
+        names = ("at", "own", "nth", "gap")
+        return pd.Series([[dict(zip(names, p)) for p in places(list(s), list(f))] for s, f in zip(streams, found)], dtype=object)
+
+    # streams of many hosts are joined without salt, which would copy them; a host of many streams is split by the session's handling of skew
+    rows = parts.join(F.broadcast(best) if size <= BROADCAST_BYTES else best, "host").withColumn("place", placed("best", "paths"))
+    # pages of a block are counted once a part, not once a text
+    block = F.explode(F.transform(F.sequence(F.lit(0), F.size("paths") - 1), lambda i: F.struct(
+        F.get("place", i).alias("p"), F.get("paths", i).alias("path"), F.get("frames", i).alias("frame"), F.get("many", i).alias("many"))))
+    key = ["host", "at", "own", "path", "nth"]
+    blocks_of = rows.select("host", "n", "total", block.alias("b")).select("host", "n", "total", "b.p.*", "b.path", "b.frame", "b.many").groupBy(*key).agg(
+        F.sum("n").alias("n"), F.max("total").alias("total"), F.min("gap").alias("gap"), F.min("frame").alias("frame"), F.max("many").alias("many"))
+    text = F.explode(F.arrays_zip("block", "digest", "chars")).alias("t")
+    texts = rows.select("host", "place", "paths", text).select("host", F.get("place", F.col("t.block")).alias("p"), F.get("paths", F.col("t.block")).alias("path"), "t.digest", "t.chars")
+    texts = texts.select("host", "p.at", "p.own", "path", "p.nth", "digest", "chars").groupBy(*key, "digest").agg(F.max("chars").alias("chars"))
+    texts = texts.groupBy(*key).agg(F.count("*").alias("texts"), F.sum("chars").alias("chars"))
+    return blocks_of.join(texts, key).select("host", "at", "own", "gap", "path", "nth", "texts", "chars", "n", "total", "frame", "many")
+
+
+def host_regions(wrappers: DataFrame) -> DataFrame:
+    """(host, region) of the wrappers' hosts whose articles stand out: what region finds in one wrapper."""
+    mass = wrappers.where("not frame and (texts > 1 or n < total)").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    steps = F.split("path", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/")))
+    mass = mass.where(F.size(steps) > 1).select("host", above.alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    most = mass.groupBy("host").agg(F.max("chars").alias("most"))
+    fit = mass.join(most, "host").where((F.col("most") > 0) & (F.col("chars") >= REGION_SHARE * F.col("most")))
+    best = fit.groupBy("host").agg(F.max(F.struct(F.size(steps).alias("depth"), "chars", "path")).alias("b"))
+
+    @F.pandas_udf("string")
+    def raised(paths: pd.Series) -> pd.Series:
+        return paths.map(_raised)
+
+    return best.select("host", raised(F.col("b.path")).alias("region")).where("region is not null")
 
 
 def main_text(page: str | None, within: str | None = None) -> str:
@@ -257,7 +422,7 @@ def main_text(page: str | None, within: str | None = None) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """All columns of pages and text."""
-    regions = cut(learn_wrappers(pages).where("region is not null").select(F.col("host").alias("__host"), F.col("region").alias("__region")))
+    regions = cut(host_regions(learn_wrappers(pages)).select(F.col("host").alias("__host"), F.col("region").alias("__region")))
     size = regions.agg(F.sum(F.length("__region") + F.length("__host")).alias("n")).first()["n"] or 0
     keyed = pages.withColumn("__host", _host())
     if size <= BROADCAST_BYTES:
