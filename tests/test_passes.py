@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import labels
 from tidewatch.operators import asof, compare, facts, observations, overview, ranks, trends
+from tidewatch.functions.scalars import time_bucket_continuous
 from tidewatch.plans import base, registry
 from tidewatch.sources import ticks
 from tidewatch.sources.store import Sources, TickStore
@@ -340,3 +341,21 @@ def test_reversion_makes_its_points_once_and_repeats_no_expression(spark):
     assert {n: p.count("Relation [") for n, p in plans.items()} == {n: 4 for n in plans}
     # filters do not repeat the expression of a tick's time for each mention (69 times before)
     assert all(p.count("7919") < 30 for p in plans.values())
+
+
+def test_reversion_labels_sums_not_trades(spark):
+    plan = registry.queries()["rank_contexts_max_absolute_reversion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = 1 + next(n for n, line in enumerate(plan) if "AS weighted_bps" in line)
+    assert any("format_string" in line for line in plan[:at]) and not any("format_string" in line for line in plan[at:])
+    # only trades with a side and primary quotes reach the ranges of time, which are above the venue's own mid
+    windows = [line for line in plan[at:] if "Window [" in line]
+    assert [line.count("max(__primary") > 0 for line in windows] == [True, False] and "max(__pts" in windows[1], plan
+
+
+def test_clock_labels_are_those_of_a_formatter(spark):
+    times = [0, 9, 10, 59_999, 60_000, 32_400_000, 45_296_789, 86_399_999, 86_400_000, 400_000_000, -1, -1_800_000, -5_400_001, None]
+    df = spark.createDataFrame([(t,) for t in times], "t long")
+    for size in (1, 7, 1000, 1_800_000):
+        start = (F.col("t") - F.col("t") % size).cast("long")
+        old = F.format_string("%02d:%02d:%02d.%03d", F.floor(start / 3_600_000), F.floor(start / 60_000) % 60, F.floor(start / 1000) % 60, start % 1000)
+        assert df.where(~time_bucket_continuous(F.col("t"), size).eqNullSafe(old)).count() == 0
