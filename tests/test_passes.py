@@ -307,6 +307,15 @@ def test_heatmap_takes_the_greatest_unrounded_change(spark):
     assert {r["group_value"]: r["change_pct"] for r in overview.group_heatmap(cmp).collect()} == {"Mid": -0.0665632315502, "Small": 0.01}
 
 
+def test_heatmap_takes_the_first_drilldown_of_equal_changes(spark):
+    """A fall that alerts comes before a rise of the same size; without a finite change a row comes last."""
+    rows = [("turnover", {"topixCapGrp": g}, c, s, b) for g, c, s, b in [
+        ("Mid", 5 / 52, "normal", "14:30"), ("Mid", -5 / 52, "alert", "13:30"), ("Mid", 0.01, "alert", "09:00"), ("Small", -0.02, "watch", "10:00"), ("Small", 0.02, "watch", "09:00"),
+        ("Large", float("nan"), "alert", "09:00"), ("Large", None, "alert", "09:00"), ("Large", 0.0, "normal", "10:00")]]
+    cmp = spark.createDataFrame(rows, "metric_name string, group map<string,string>, change_pct double, status string, time_bucket string")
+    assert {r["group_value"]: r["change_pct"] for r in overview.group_heatmap(cmp).collect()} == {"Mid": -5 / 52, "Small": 0.02, "Large": 0.0}
+
+
 def test_rounding_of_sums_is_no_change(spark):
     schema = "metric_name string, date date, value double"
     current = spark.createDataFrame([("volatility", DAY, 0.1), ("volatility", DAY, 0.2), ("volatility", DAY, 0.3), ("turnover", DAY, 1.000001)], schema)
