@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, html, licenses, pii, simhash, toxicity, urls, warc
+from tidewatch.llm import decontamination, html, licenses, near_copies, pii, simhash, toxicity, urls, warc
 
 CLASH = ("host", "path", "rule", "verdict", "n_words", "n_hit", "labels", "score", "pii_base", "canonical", "block", "full", "found", "valid")
 
@@ -47,6 +47,69 @@ def test_warc_edges(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_near_copies_without_a_common_band_are_linked(spark):
+    """Two texts of similarity 8 / 10 that share none of the bands."""
+    draw = random.Random(17627)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(14)]
+    texts = {1: " ".join(words), 2: " ".join(words[:12]), 3: " ".join(words[:11])}
+    one, other = (near_copies.shingles(texts[i]) for i in (1, 2))
+    assert not (near_copies.bands(one) == near_copies.bands(other)).any()
+    found = {r["doc_id"]: r["root"] for r in near_copies.group_near_copies(spark.createDataFrame([(1, texts[1]), (2, texts[2])], "doc_id long, text string")).collect()}
+    assert found[1] == found[2]
+    # the third is similar to the second alone (7 / 8)
+    found = {r["doc_id"]: r["root"] for r in near_copies.group_near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert len(found) == 3 and len(set(found.values())) == 1
+
+
+@pytest.mark.parametrize("common", [0, 3])
+def test_prefixes_alone_find_all_near_copies(spark, monkeypatch, common):
+    """Without any common band the groups equal brute force, whichever shingles come last."""
+    import numpy as np
+    import pandas as pd
+
+    def apart(texts):
+        rows = []
+        for text in texts:
+            found = near_copies.shingles(text)
+            node = near_copies._node(found)
+            rows.append((node, len(found), np.array([node], np.int64)))
+        return pd.DataFrame(rows, columns=["node", "n_shingles", "bands"])
+
+    monkeypatch.setattr(near_copies, "_sketch", apart)
+    monkeypatch.setattr(near_copies, "COMMON_DOCS", common)
+    draw = random.Random(3)
+    line, texts = [f"c{i}" for i in range(12)], []
+    for _ in range(40):
+        base = [f"v{draw.randrange(10**6)}" for _ in range(draw.choice([1, 5, 8, 60, 120, 200]))] + line * draw.randint(0, 2)
+        for _ in range(draw.randint(1, 4)):
+            edited = list(base)
+            for _ in range(draw.randint(0, 3)):
+                at = draw.randrange(len(edited))
+                edited[at:at + 1] = draw.choice([[], [f"e{draw.randrange(10**6)}"], [edited[at], "more"]]) or edited[:1]
+            texts.append(" ".join(edited))
+    rows = list(enumerate(texts + ["", None]))
+    found = {r["doc_id"]: r["root"] for r in near_copies.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    sets = [set(near_copies.shingles(t).tolist()) for _, t in rows]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                parent[root(i)] = root(j)
+    groups = {}
+    for i in range(len(sets)):
+        groups.setdefault(root(i), set()).add(i)
+    made = {}
+    for i, name in found.items():
+        made.setdefault(name, set()).add(i)
+    assert sorted(map(sorted, made.values())) == sorted(map(sorted, groups.values())) and 30 < len(groups) < len(rows) - 20
+
+
 def test_simhash_large_components_and_null_ids(spark, monkeypatch):
     base = 0x0F0F_1234_5678_9ABC
     values = [base ^ (1 << b) for b in range(40)] + [base]
